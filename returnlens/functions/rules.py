@@ -23,8 +23,9 @@ def _d(x: float) -> Column:
 
 
 def clamp(p: Column, lo: float = K.PROBABILITY_FLOOR, hi: float = K.PROBABILITY_CEILING) -> Column:
-    """max(lo, min(hi, p))."""
-    return F.greatest(_d(lo), F.least(_d(hi), p))
+    """max(lo, min(hi, p)); a NULL score stays NULL (``least``/``greatest``
+    would otherwise skip it and return a bound)."""
+    return F.when(p.isNotNull(), F.greatest(_d(lo), F.least(_d(hi), p)))
 
 
 def _delta(v: Column, conditions) -> Column:

@@ -68,8 +68,9 @@ def confusion(df: DataFrame, actual="actual", predicted="Prediction") -> DataFra
     )
 
 
-def metrics_from_confusion(cm: DataFrame) -> DataFrame:
-    """AG9 from AG8: accuracy, precision, recall, F1; a zero division gives 0."""
+def metrics_from_confusion(cm: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """AG9 from AG8: accuracy, precision, recall, F1; a zero division gives 0.
+    ``extra`` columns of ``cm`` are carried along."""
     tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
     total = tn + fp + fn + tp
     precision = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
@@ -81,6 +82,7 @@ def metrics_from_confusion(cm: DataFrame) -> DataFrame:
         _round6(precision).alias("precision"),
         _round6(recall).alias("recall"),
         _round6(f1).alias("f1"),
+        *extra,
     )
 
 
@@ -89,6 +91,19 @@ def classification_metrics(df: DataFrame, actual="actual", predicted="Prediction
     return metrics_from_confusion(confusion(df, actual, predicted))
 
 
+def classification_report(df: DataFrame, actual="actual", predicted="Prediction") -> DataFrame:
+    """AG8 + AG9 + AG21 from one aggregate."""
+    a, p = _c(actual), _c(predicted)
+    agg = df.agg(
+        F.count_if((a == 0) & (p == 0)).alias("tn"),
+        F.count_if((a == 0) & (p == 1)).alias("fp"),
+        F.count_if((a == 1) & (p == 0)).alias("fn"),
+        F.count_if((a == 1) & (p == 1)).alias("tp"),
+        _round6(F.avg(a.cast("double"))).alias("actual_rate"),
+        _round6(F.avg(p.cast("double"))).alias("predicted_rate"))
+    return metrics_from_confusion(agg, ("actual_rate", "predicted_rate"))
+
+
 def actual_vs_predicted(df: DataFrame, actual="actual", predicted="Prediction") -> DataFrame:
     """AG21: mean actual return rate beside the mean predicted rate."""
     return df.agg(_round6(F.avg(_c(actual).cast("double"))).alias("actual_rate"),
@@ -112,8 +127,8 @@ def score_counts(df: DataFrame, score="score", label="label") -> DataFrame:
 
 
 def _class_totals(counts: DataFrame) -> tuple[int, int]:
-    r = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()[0]
-    return int(r["P"] or 0), int(r["N"] or 0)
+    r = counts.agg(F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total")).collect()[0]
+    return int(r["pos_total"] or 0), int(r["neg_total"] or 0)
 
 
 def roc_curve(df: DataFrame, score="score", label="label") -> DataFrame:
@@ -138,14 +153,14 @@ def roc_auc(df: DataFrame, score="score", label="label") -> DataFrame:
     cum = running_sums(counts, [], "score", ["neg"], descending=False)
     # negatives strictly below this score = cum_neg - neg
     twice_u = F.sum(F.col("pos") * (F.lit(2) * (F.col("cum_neg") - F.col("neg")) + F.col("neg")))
-    agg = cum.agg(twice_u.alias("u2"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    agg = cum.agg(twice_u.alias("u2"), F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total"))
+    P, N = F.col("pos_total"), F.col("neg_total")
     return agg.select(
-        F.when((F.col("P") > 0) & (F.col("N") > 0),
-               F.col("u2").cast("double") / (F.lit(2.0) * F.col("P").cast("double")
-                                             * F.col("N").cast("double")))
+        F.when((P > 0) & (N > 0),
+               F.col("u2").cast("double") / (F.lit(2.0) * P.cast("double") * N.cast("double")))
         .alias("auc"),
-        F.col("P").cast("bigint").alias("positives"),
-        F.col("N").cast("bigint").alias("negatives"))
+        P.cast("bigint").alias("positives"),
+        N.cast("bigint").alias("negatives"))
 
 
 def youden_threshold(df: DataFrame, score="score", label="label") -> DataFrame:
@@ -156,9 +171,8 @@ def youden_threshold(df: DataFrame, score="score", label="label") -> DataFrame:
     j = (F.col("tpr") - F.col("fpr"))
     best = roc.agg(F.max_by(F.struct(F.col("score"), j.alias("j")),
                             F.struct(j, F.col("score"))).alias("b"),
-                   F.count(F.lit(1)).alias("n"),
-                   F.max("tps").alias("P"), F.max("fps").alias("N"))
-    single = (F.col("P") == 0) | (F.col("N") == 0) | F.col("P").isNull()
+                   F.max("tps").alias("pos_total"), F.max("fps").alias("neg_total"))
+    single = (F.col("pos_total") == 0) | (F.col("neg_total") == 0) | F.col("pos_total").isNull()
     return best.select(
         F.when(single, F.lit(0.5)).when(F.col("b.j") > 0, F.col("b.score")).alias("threshold"),
         F.when(single, F.lit(None).cast("double")).otherwise(_round6(F.col("b.j"))).alias("youden_j"))

@@ -337,7 +337,8 @@ def standardise(df: DataFrame, keep: Sequence[str] = (), protect: Sequence[str]
 # ---------------------------------------------------------------------------
 
 
-def scoring_fills(df: DataFrame, leakage_mode: str = "substring"
+def scoring_fills(df: DataFrame, leakage_mode: str = "substring",
+                  only: Sequence[str] | None = None
                   ) -> tuple[dict[str, Column], list[str], list[str]]:
     """TR15 as expressions over ``df``: for every non-leakage column, the
     prepared value (numeric → DOUBLE with NULLs at the batch median; other →
@@ -345,10 +346,14 @@ def scoring_fills(df: DataFrame, leakage_mode: str = "substring"
 
     Returns (column → Column, leakage columns dropped, numeric columns).  The
     statistics take two jobs (medians, modes); the fills themselves are
-    row-local, so callers can keep every input column alongside.
+    row-local, so callers can keep every input column alongside.  ``only``
+    limits the statistics to the columns a caller will read (a scorer that
+    reads four columns should not rank every id column in the table).
     """
     leakage = N.leakage_columns(df.columns, leakage_mode)
     remaining = [c for c in df.columns if c not in set(leakage)]
+    if only is not None:
+        remaining = [c for c in remaining if c in set(only)]
     numeric = convertible_columns(df, remaining)
     other = [c for c in remaining if c not in set(numeric)]
     medians = fit_medians(df, numeric) if numeric else {}

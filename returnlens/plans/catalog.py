@@ -1,9 +1,10 @@
 """Registered queries: name → (spark, sf_dir) → DataFrame.
 
-Each query reads the driver tables through the ``order_lines`` view (or the
-``events`` table) over their whole extent and runs one library operator or
-a composition of them.  ``plans.oracle`` holds the equivalent DuckDB SQL
-under the same names.
+Each query reads the driver tables over their whole extent — through the
+``order_lines`` view, or the line-item stream — and runs one library
+operator or a composition of them.  ``plans.oracle`` holds the equivalent
+DuckDB SQL under the same names; model fits have none (checked on rows and
+by their own tests).
 """
 
 from __future__ import annotations
@@ -13,9 +14,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
+from ..functions import rules as R
+from ..functions.coerce import column_to_double
+from ..operators import analytics as AN
 from ..operators import evaluate as EV
+from ..operators import history as HI
+from ..operators import models as ML
+from ..operators import profile as PF
+from ..operators import projections as PR
+from ..operators import split as SP
+from ..operators import transforms as TR
+from ..sources.tables import table
 from . import scoring as S
-from .views import order_lines
+from .views import order_lines, order_lines_with_dates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,6 +50,25 @@ def _per_score(scored: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), F.sum("actual").cast("bigint").alias("returns")))
 
 
+def _rows(scored: DataFrame) -> DataFrame:
+    return scored.select("order_id", "line_no", "Prediction", "Return_Probability",
+                         "Prediction_Label", "Confidence_Level")
+
+
+def _production(spark, sf_dir) -> DataFrame:
+    return _actual(S.score_production(order_lines(spark, sf_dir)))
+
+
+def _canonical(spark, sf_dir):
+    """TR14 over order_lines; returns (frame, mapping, target)."""
+    return TR.standardise(order_lines(spark, sf_dir), keep=["order_id", "line_no"])
+
+
+# ---------------------------------------------------------------------------
+# SC: scoring
+# ---------------------------------------------------------------------------
+
+
 @query("score_summary")
 def q_score_summary(spark, sf_dir):
     """Flagship: plain rule scoring of every order line, then the summary (AG6)."""
@@ -51,9 +82,7 @@ def q_rule_score_plain(spark, sf_dir):
 
 @query("rule_score_plain_rows")
 def q_rule_score_plain_rows(spark, sf_dir):
-    scored = S.score_plain(order_lines(spark, sf_dir))
-    return scored.select("order_id", "line_no", "Prediction", "Return_Probability",
-                         "Prediction_Label", "Confidence_Level")
+    return _rows(S.score_plain(order_lines(spark, sf_dir)))
 
 
 @query("rule_score_imputed")
@@ -64,3 +93,412 @@ def q_rule_score_imputed(spark, sf_dir):
 @query("rule_score_production")
 def q_rule_score_production(spark, sf_dir):
     return _per_score(S.score_production(order_lines(spark, sf_dir)))
+
+
+@query("rule_score_production_rows")
+def q_rule_score_production_rows(spark, sf_dir):
+    return _rows(S.score_production(order_lines(spark, sf_dir)))
+
+
+@query("propensity")
+def q_propensity(spark, sf_dir):
+    """SC4 (production formula) on the canonical features of every line."""
+    canon, _, _ = _canonical(spark, sf_dir)
+    feats = {"price": F.col("product_price"), "category": F.col("product_category"),
+             "delivery": F.col("delivery_time"), "rating": F.col("product_rating"),
+             "return_rate": F.col("return_history_rate"), "discount": F.col("discount"),
+             "quantity": F.col("order_quantity"), "age": F.col("customer_age")}
+    return canon.select("order_id", "line_no",
+                        R.clamp(R.propensity("production", feats)).alias("propensity"))
+
+
+@query("labels_and_bands")
+def q_labels_and_bands(spark, sf_dir):
+    """SC5-SC12: every label and band ladder over the production scores."""
+    scored = S.score_production(order_lines(spark, sf_dir))
+    bands = AN.bands_table(scored.select("Return_Probability"))
+    return (bands.groupBy("Return_Probability", "label", "confidence6", "confidence7",
+                          "confidence_distance", "confidence2", "risk_band")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------------------
+# AG: summaries and evaluation
+# ---------------------------------------------------------------------------
+
+
+@query("probability_distribution")
+def q_probability_distribution(spark, sf_dir):
+    return EV.probability_distribution(S.score_production(order_lines(spark, sf_dir)))
+
+
+@query("confusion_metrics")
+def q_confusion_metrics(spark, sf_dir):
+    """AG8 + AG9 + AG21: production rules against actual returns."""
+    return EV.classification_report(_production(spark, sf_dir), "actual", "Prediction")
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    """AG10 on the production rule score (19 distinct values: many ties)."""
+    return EV.roc_auc(_production(spark, sf_dir), "Return_Probability", "actual")
+
+
+@query("roc_auc_propensity")
+def q_roc_auc_propensity(spark, sf_dir):
+    """AG10 on the continuous SC4 propensity (NULL scores left out)."""
+    canon, _, _ = _canonical(spark, sf_dir)
+    feats = {"price": F.col("product_price"), "category": F.col("product_category"),
+             "delivery": F.col("delivery_time"), "rating": F.col("product_rating"),
+             "return_rate": F.col("return_history_rate"), "discount": F.col("discount"),
+             "quantity": F.col("order_quantity"), "age": F.col("customer_age")}
+    scored = canon.select(R.clamp(R.propensity("production", feats)).alias("score"), "target")
+    return EV.roc_auc(scored, "score", "target")
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    """AG11: TPR / FPR at every distinct production score."""
+    roc = EV.roc_curve(_production(spark, sf_dir), "Return_Probability", "actual")
+    return roc.select("score", "tps", "fps", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+@query("youden_threshold")
+def q_youden_threshold(spark, sf_dir):
+    """AG12 on the production rule score."""
+    return EV.youden_threshold(_production(spark, sf_dir), "Return_Probability", "actual")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    """AG13 + AG14: rows, share and balanced weight per class."""
+    return SP.class_weights(_actual(order_lines(spark, sf_dir)), "actual", with_share=True)
+
+
+@query("top_categories")
+def q_top_categories(spark, sf_dir):
+    """AG15: five most frequent product categories."""
+    return AN.top_values(order_lines(spark, sf_dir), "product_category", 5)
+
+
+@query("category_return_rate")
+def q_category_return_rate(spark, sf_dir):
+    """AG16 + SO1 + SO2: mean predicted return per category, top 10."""
+    return AN.group_mean_top(S.score_production(order_lines(spark, sf_dir)),
+                             "product_category", "Prediction", 10)
+
+
+@query("histograms")
+def q_histograms(spark, sf_dir):
+    """AG17: price (20 bins), rating (10 bins), probability (20 bins)."""
+    scored = S.score_production(order_lines(spark, sf_dir))
+    parts = [AN.histogram(scored, "item_price", K.HIST_BINS["price"]).withColumn("variable", F.lit("price")),
+             AN.histogram(scored, "product_rating", K.HIST_BINS["rating"]).withColumn("variable", F.lit("rating")),
+             AN.histogram(scored, "Return_Probability", K.HIST_BINS["probability"])
+             .withColumn("variable", F.lit("probability"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("risk_distribution")
+def q_risk_distribution(spark, sf_dir):
+    return AN.risk_distribution(S.score_production(order_lines(spark, sf_dir)))
+
+
+@query("dataset_summary")
+def q_dataset_summary(spark, sf_dir):
+    """AG19: rows, actual return rate, mean price / rating / delivery days."""
+    return AN.dataset_summary(_actual(order_lines(spark, sf_dir)), "actual", "item_price",
+                              "product_rating", "delivery_days")
+
+
+@query("distinct_counts")
+def q_distinct_counts(spark, sf_dir):
+    return PF.distinct_counts(order_lines(spark, sf_dir))
+
+
+@query("missing_report")
+def q_missing_report(spark, sf_dir):
+    """AG2 per column, with the table total as an extra row."""
+    df = order_lines(spark, sf_dir)
+    total = PF.missing_total(df).select(F.lit("*").alias("column"), F.col("missing_values").alias("missing"))
+    return PF.missing_counts(df).unionByName(total)
+
+
+@query("quality_report")
+def q_quality_report(spark, sf_dir):
+    """AG3 + AG4 on the view plus two derived columns: the net price after
+    the discount percentage, and years since the customer turned 30 (an
+    'age' column with negatives)."""
+    df = order_lines(spark, sf_dir).select(
+        "*", (F.col("item_price") - F.col("discount")).alias("net_price"),
+        (F.col("customer_age") - 30).alias("years_past_age_30"))
+    return PF.quality_issues(df, include_amount=True)
+
+
+@query("table_counts")
+def q_table_counts(spark, sf_dir):
+    """AG1 + FI3."""
+    df = order_lines(spark, sf_dir)
+    return PF.table_counts(df)
+
+
+# ---------------------------------------------------------------------------
+# PR: projections and type detection
+# ---------------------------------------------------------------------------
+
+
+@query("detect_types")
+def q_detect_types(spark, sf_dir):
+    """PR13 with both cardinality limits (10 flexible, 20 ultra)."""
+    df = order_lines(spark, sf_dir)
+    a = PR.detect_types(df, K.TYPE_LIMIT_FLEXIBLE).withColumn("type_limit", F.lit(K.TYPE_LIMIT_FLEXIBLE))
+    b = PR.detect_types(df, K.TYPE_LIMIT_ULTRA).withColumn("type_limit", F.lit(K.TYPE_LIMIT_ULTRA))
+    return a.unionByName(b)
+
+
+@query("drop_leakage")
+def q_drop_leakage(spark, sf_dir):
+    """PR1-PR6: identifiers and leakage dropped, target found and binarised."""
+    df = order_lines(spark, sf_dir)
+    target = PR.target_column(df, "exact")
+    kept = PR.drop_leakage(PR.drop_identifiers(df), "substring").columns
+    return df.select(*kept, TR.binarise_target(F.col(target), df.schema[target].dataType).alias("target"))
+
+
+@query("filtered_results")
+def q_filtered_results(spark, sf_dir):
+    """FI1 + FI2 + PR11 + PR12: confident predicted returns, display columns."""
+    scored = S.score_production(order_lines(spark, sf_dir))
+    return PR.display_columns(AN.filter_results(scored, 0.6, "Return"), 10)
+
+
+@query("row_validation")
+def q_row_validation(spark, sf_dir):
+    """FI4: record checks over every line, with the raw extended price as the
+    price and the raw ship-minus-order days as the delivery time."""
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_extendedprice", "l_shipdate"])
+    od = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    base = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        F.col("l_extendedprice").alias("price"),
+        (F.lit(18) + F.col("o_custkey") % 63).cast("int").alias("age"),
+        F.datediff(F.col("l_shipdate"), F.col("o_orderdate")).alias("delivery_days"))
+    checked = PF.row_errors(base, {"Product_Price": "price", "Customer_Age": "age",
+                                   "Delivery_Time": "delivery_days"})
+    return (checked.select(F.explode_outer("errors").alias("error"))
+            .groupBy("error").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------------------
+# TR: transforms
+# ---------------------------------------------------------------------------
+
+
+@query("coerce_cells")
+def q_coerce_cells(spark, sf_dir):
+    """TR1 + TR2 on text forms of the view's columns."""
+    df = order_lines(spark, sf_dir).select(
+        F.col("order_quantity").cast("string").alias("quantity_text"),
+        F.concat(F.lit(" "), F.col("discount").cast("string"), F.lit(" ")).alias("discount_text"),
+        F.col("item_price").cast("string").alias("price_text"),
+        F.col("shipping_method"),
+        F.concat(F.col("discount").cast("string"), F.lit("%")).alias("discount_pct"))
+    conv = set(TR.convertible_columns(df))
+    coerced = TR.coerce_cells(df)
+    aggs = []
+    for c in df.columns:
+        aggs += [F.count(F.col(c)).alias(f"{c}__n"),
+                 F.round(F.sum(F.col(c)), 6).alias(f"{c}__sum")]
+    row = coerced.agg(*aggs)
+    items = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("n_numeric"),
+                      F.col(f"{c}__sum").alias("total"), F.lit(c in conv).cast("int").alias("converts"))
+             for c in df.columns]
+    return row.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
+
+
+@query("canonical_orders")
+def q_canonical_orders(spark, sf_dir):
+    """TR14 (PR2, PR4, PR6-PR8, TR1, TR3, TR4): per canonical column
+    aggregates after mapping, defaults, coercion, clipping and clean-up."""
+    canon, _, _ = _canonical(spark, sf_dir)
+    items = []
+    for c in K.CANONICAL_NUMERIC:
+        items.append(F.struct(F.lit(c).alias("feature"), F.count(F.col(c)).alias("n"),
+                              F.round(F.min(c), 6).alias("min_value"), F.round(F.max(c), 6).alias("max_value"),
+                              F.round(F.avg(c), 6).alias("mean_value"),
+                              F.lit(None).cast("bigint").alias("n_distinct")))
+    for c in K.CANONICAL_CATEGORICAL:
+        items.append(F.struct(F.lit(c).alias("feature"), F.count(F.col(c)).alias("n"),
+                              F.lit(None).cast("double").alias("min_value"),
+                              F.lit(None).cast("double").alias("max_value"),
+                              F.lit(None).cast("double").alias("mean_value"),
+                              F.count_distinct(F.col(c)).alias("n_distinct")))
+    items.append(F.struct(F.lit("target").alias("feature"), F.sum("target").cast("bigint").alias("n"),
+                          F.lit(None).cast("double").alias("min_value"),
+                          F.lit(None).cast("double").alias("max_value"),
+                          F.round(F.avg("target"), 6).alias("mean_value"),
+                          F.lit(None).cast("bigint").alias("n_distinct")))
+    return canon.agg(F.array(*items).alias("a")).select(F.explode("a").alias("kv")).select("kv.*")
+
+
+@query("impute_median")
+def q_impute_median(spark, sf_dir):
+    """TR5/TR7 statistics: exact median per numeric column."""
+    df = order_lines(spark, sf_dir)
+    numeric = ["item_price", "order_quantity", "customer_age", "discount", "delivery_days", "product_rating"]
+    return TR.median_table(df, numeric)
+
+
+@query("impute_mode")
+def q_impute_mode(spark, sf_dir):
+    """TR6/TR8 statistics: most frequent value per text column (ties: smallest)."""
+    df = order_lines(spark, sf_dir)
+    return TR.mode_table(df, ["product_category", "customer_location", "payment_method", "shipping_method"])
+
+
+@query("impute_apply")
+def q_impute_apply(spark, sf_dir):
+    """TR15 applied: per column, rows, NULLs left and the filled sum."""
+    df = order_lines(spark, sf_dir)
+    prepared, _ = TR.prepare_for_scoring(df)
+    num = ["item_price", "order_quantity", "customer_age", "discount", "delivery_days", "product_rating"]
+    items = [F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("nulls"),
+                      F.round(F.sum(column_to_double(prepared, c)), 6).alias("total"))
+             for c in num]
+    return prepared.agg(F.array(*items).alias("a")).select(F.explode("a").alias("kv")).select("kv.*")
+
+
+@query("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    """TR9: mean and population std per numeric column, and the scaled
+    column's range."""
+    df = order_lines(spark, sf_dir)
+    num = ["item_price", "order_quantity", "customer_age", "discount", "delivery_days", "product_rating"]
+    stats = TR.fit_scaler(df, num)
+    scaled = TR.scale(df.select(*num), stats)
+    items = [F.struct(F.lit(c).alias("column"),
+                      F.lit(round(stats[c][0], 6)).alias("mean"),
+                      F.lit(round(stats[c][1], 6)).alias("std"),
+                      F.round(F.min(c), 6).alias("scaled_min"),
+                      F.round(F.max(c), 6).alias("scaled_max")) for c in num]
+    return scaled.agg(F.array(*items).alias("a")).select(F.explode("a").alias("kv")).select("kv.*")
+
+
+@query("label_encode")
+def q_label_encode(spark, sf_dir):
+    """TR10: sorted distinct values → codes 0..k-1, per text column."""
+    df = order_lines(spark, sf_dir)
+    return TR.fit_label_encoder(df, ["product_category", "customer_location", "payment_method",
+                                     "shipping_method"])
+
+
+@query("label_encode_unseen")
+def q_label_encode_unseen(spark, sf_dir):
+    """TR11: an encoder fitted on supplier nations applied to customer
+    nations; nations no supplier has get code 0 (the first class)."""
+    sup = table(spark, sf_dir, "supplier", ["s_nationkey"])
+    na = table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    supplier_nations = sup.join(F.broadcast(na), sup.s_nationkey == na.n_nationkey).select(
+        F.col("n_name").alias("customer_location"))
+    enc = TR.fit_label_encoder(supplier_nations, ["customer_location"])
+    lines = order_lines(spark, sf_dir).select("customer_location")
+    coded = TR.label_encode(lines.withColumn("raw", F.col("customer_location")), enc,
+                            ["customer_location"], unseen="first")
+    return (coded.groupBy(F.col("customer_location").alias("code"), F.col("raw").alias("value"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------------------
+# SO: splits
+# ---------------------------------------------------------------------------
+
+
+@query("split_80_20")
+def q_split(spark, sf_dir):
+    df = SP.split_train_test(_actual(order_lines(spark, sf_dir)), ["order_id", "line_no"])
+    return SP.split_report(df, "actual", "part")
+
+
+@query("folds_5")
+def q_folds(spark, sf_dir):
+    df = SP.assign_folds(_actual(order_lines(spark, sf_dir)), ["order_id", "line_no"], 5)
+    return df.groupBy(F.col("fold"), F.col("actual").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# SF1 formatting
+# ---------------------------------------------------------------------------
+
+
+@query("format_rates")
+def q_format_rates(spark, sf_dir):
+    """SF1: per shipping method, predicted return rate as '12.34%' and mean
+    probability as '0.123' beside the raw doubles."""
+    scored = S.score_production(order_lines(spark, sf_dir))
+    g = scored.groupBy("shipping_method").agg(F.avg(F.col("Prediction").cast("double")).alias("rate"),
+                                              F.avg("Return_Probability").alias("mean_p"))
+    return g.select("shipping_method",
+                    F.format_string("%.2f%%", F.col("rate") * 100).alias("return_rate"),
+                    F.format_string("%.3f", F.col("mean_p")).alias("avg_probability"),
+                    F.round("rate", 6).alias("rate"), F.round("mean_p", 6).alias("mean_p"))
+
+
+# ---------------------------------------------------------------------------
+# X1 / X2 extensions
+# ---------------------------------------------------------------------------
+
+
+@query("customer_history")
+def q_customer_history(spark, sf_dir):
+    """X1: each line with the customer's orders, lines and return rate from
+    strictly earlier order dates."""
+    lines = _actual(order_lines_with_dates(spark, sf_dir)).select(
+        "order_id", "line_no", "customer_id", "order_date", "actual")
+    h = HI.with_history(lines)
+    return h.select("order_id", "line_no", "prior_orders", "prior_lines",
+                    F.round("prior_return_rate", 6).alias("prior_return_rate"))
+
+
+@query("stream_window_rates")
+def q_stream_window_rates(spark, sf_dir):
+    """X2: line items as a stream, scored with frozen batch medians, counted
+    per 30-day order-date window."""
+    from ..streaming import stream as ST
+    medians = ST.stream_medians(spark, sf_dir)
+    scored = ST.score_stream(ST.order_lines_stream(spark, sf_dir), medians)
+    return ST.run_available(ST.windowed_rates(scored, watermark=None), output_mode="complete")
+
+
+# ---------------------------------------------------------------------------
+# ML: models (no SQL oracle)
+# ---------------------------------------------------------------------------
+
+_NUM = ["product_price", "order_quantity", "customer_age", "discount", "delivery_time", "product_rating"]
+_CAT = ["product_category", "customer_location", "payment_method", "shipping_method"]
+
+
+def _model_table(spark, sf_dir) -> DataFrame:
+    canon, _, _ = _canonical(spark, sf_dir)
+    return SP.split_train_test(canon, ["order_id", "line_no"])
+
+
+@query("model_train_evaluate")
+def q_model_train_evaluate(spark, sf_dir):
+    """ML1 + ML6 + ML7 + SC13: logistic regression on the canonical
+    features, Youden threshold tuned on the training part, metrics on both."""
+    data = _model_table(spark, sf_dir)
+    train, test = data.where(F.col("part") == "train"), data.where(F.col("part") == "test")
+    model = ML.fit(train, _NUM, _CAT, "target", kind="lr", threshold="youden", maxIter=100)
+    return ML.evaluate_model(model, train, "target", "train").unionByName(
+        ML.evaluate_model(model, test, "target", "test"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """ML2 + AG22: random forest importances, top 10."""
+    data = _model_table(spark, sf_dir)
+    model = ML.fit(data.where(F.col("part") == "train"), _NUM, _CAT, "target", kind="rf",
+                   numTrees=20, maxDepth=6)
+    return ML.feature_importance(model, 10)

@@ -96,3 +96,382 @@ ORACLE["rule_score_imputed"] = with_order_lines(
 
 ORACLE["rule_score_production"] = with_order_lines(
     f"WITH {_MEDIANS},\n{_scored(_PROD_P, _BANDS7, 'order_lines, med')}\n{_PER_SCORE}")
+
+# ---------------------------------------------------------------------------
+# Shared pieces for the production scorer and canonical features
+# ---------------------------------------------------------------------------
+
+_ACTUAL = "CASE WHEN return_status = 'Returned' THEN 1 ELSE 0 END"
+
+# Production-scored lines: p, pred, band, actual.
+_PROD_CTE = f"""{_MEDIANS},
+{_scored(_PROD_P, _BANDS7, 'order_lines, med')},
+prod AS (SELECT *, {_ACTUAL} AS actual FROM scored)"""
+
+_ROWS = """
+SELECT order_id, line_no, pred AS Prediction, p AS Return_Probability,
+       CASE WHEN pred = 1 THEN 'Return' ELSE 'Not Return' END AS Prediction_Label,
+       band AS Confidence_Level
+FROM scored"""
+
+ORACLE["rule_score_production_rows"] = with_order_lines(f"WITH {_PROD_CTE}\n{_ROWS}")
+
+
+def _clip(x: str, lo: float, hi: float) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE LEAST(GREATEST(CAST({x} AS DOUBLE), {lo}::DOUBLE), "
+            f"{hi}::DOUBLE) END")
+
+
+# Canonical features of order_lines (TR14): mapped, coerced, clipped,
+# defaults for the unmapped ones, target binarised.
+_CANON_CTE = f"""canon AS (
+  SELECT order_id, line_no,
+    COALESCE(CAST(product_category AS VARCHAR), 'Unknown') AS product_category,
+    {_clip('item_price', 1, 1000)} AS product_price,
+    {_clip('order_quantity', 1, 100)} AS order_quantity,
+    {_clip('customer_age', 18, 100)} AS customer_age,
+    COALESCE(customer_location, 'Unknown') AS customer_location,
+    COALESCE(payment_method, 'Unknown') AS payment_method,
+    COALESCE(shipping_method, 'Unknown') AS shipping_method,
+    {_clip('discount', 0, 100)} AS discount,
+    {_clip('delivery_days', 1, 30)} AS delivery_time,
+    5.0::DOUBLE AS purchase_history_count,
+    0.1::DOUBLE AS return_history_rate,
+    {_clip('product_rating', 1, 5)} AS product_rating,
+    CASE WHEN lower(return_status) IN ('returned', 'return', 'yes', 'true', '1') THEN 1 ELSE 0 END AS target
+  FROM order_lines
+)"""
+
+_PROPENSITY = """
+  0.25::DOUBLE
+  + product_price / 2000.0::DOUBLE * 0.2::DOUBLE
+  + CASE WHEN product_category IN ('Electronics', 'Clothing', 'Shoes') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.15::DOUBLE
+  + delivery_time / 20.0::DOUBLE * 0.2::DOUBLE
+  + (5.0::DOUBLE - product_rating) / 4.0::DOUBLE * 0.25::DOUBLE
+  + return_history_rate * 0.3::DOUBLE
+  + discount / 40.0::DOUBLE * 0.15::DOUBLE
+  + CASE WHEN order_quantity > 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.1::DOUBLE
+  + CASE WHEN customer_age < 25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.05::DOUBLE"""
+
+_PROP_CLAMPED = f"""CASE WHEN ({_PROPENSITY}) IS NULL THEN NULL
+  ELSE GREATEST(0.05::DOUBLE, LEAST(0.95::DOUBLE, ({_PROPENSITY}))) END"""
+
+ORACLE["propensity"] = with_order_lines(f"""
+WITH {_CANON_CTE}
+SELECT order_id, line_no, {_PROP_CLAMPED} AS propensity FROM canon""")
+
+ORACLE["labels_and_bands"] = with_order_lines(f"""
+WITH {_PROD_CTE}
+SELECT p AS Return_Probability,
+  CASE WHEN p > 0.5 THEN 'Return' ELSE 'Not Return' END AS label,
+  CASE WHEN p > 0.8 THEN 'Very High' WHEN p > 0.7 THEN 'High' WHEN p > 0.6 THEN 'Medium-High'
+       WHEN p > 0.4 THEN 'Medium' WHEN p > 0.3 THEN 'Medium-Low' ELSE 'Low' END AS confidence6,
+  {_BANDS7} AS confidence7,
+  CASE WHEN abs(p - 0.5) < 0.1 THEN 'Very High' WHEN abs(p - 0.5) < 0.2 THEN 'High'
+       WHEN abs(p - 0.5) < 0.3 THEN 'Medium-High' WHEN abs(p - 0.5) < 0.4 THEN 'Medium'
+       WHEN abs(p - 0.5) < 0.5 THEN 'Medium-Low' ELSE 'Low' END AS confidence_distance,
+  CASE WHEN p > 0.7 OR p < 0.3 THEN 'High' ELSE 'Medium' END AS confidence2,
+  CASE WHEN p > 0.7 THEN 'High' WHEN p > 0.3 THEN 'Medium' ELSE 'Low' END AS risk_band,
+  COUNT(*) AS n
+FROM prod GROUP BY 1, 2, 3, 4, 5, 6, 7""")
+
+ORACLE["probability_distribution"] = with_order_lines(f"""
+WITH {_PROD_CTE}
+SELECT round(avg(p), 6) AS probability_mean, round(stddev_pop(p), 6) AS probability_std,
+       min(p) AS probability_min, max(p) AS probability_max,
+       round(avg(CASE WHEN p > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share_above,
+       round(avg(CASE WHEN p < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share_below
+FROM prod""")
+
+ORACLE["confusion_metrics"] = with_order_lines(f"""
+WITH {_PROD_CTE},
+cm AS (
+  SELECT COUNT(*) FILTER (WHERE actual = 0 AND pred = 0) AS tn,
+         COUNT(*) FILTER (WHERE actual = 0 AND pred = 1) AS fp,
+         COUNT(*) FILTER (WHERE actual = 1 AND pred = 0) AS fn,
+         COUNT(*) FILTER (WHERE actual = 1 AND pred = 1) AS tp,
+         round(avg(actual::DOUBLE), 6) AS actual_rate, round(avg(pred::DOUBLE), 6) AS predicted_rate
+  FROM prod)
+SELECT tn, fp, fn, tp,
+  round(COALESCE((tp + tn)::DOUBLE / NULLIF((tn + fp + fn + tp)::DOUBLE, 0), 0), 6) AS accuracy,
+  round(COALESCE(tp::DOUBLE / NULLIF((tp + fp)::DOUBLE, 0), 0), 6) AS precision,
+  round(COALESCE(tp::DOUBLE / NULLIF((tp + fn)::DOUBLE, 0), 0), 6) AS recall,
+  round(COALESCE(2.0 * tp::DOUBLE / NULLIF(2.0 * tp::DOUBLE + fp + fn, 0), 0), 6) AS f1,
+  actual_rate, predicted_rate
+FROM cm""")
+
+
+def _auc_sql(src: str, score: str, label: str) -> str:
+    return f"""
+c AS (SELECT {score} AS score, CAST(SUM(CASE WHEN {label} = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+             CAST(SUM(CASE WHEN {label} = 1 THEN 0 ELSE 1 END) AS BIGINT) AS neg
+      FROM {src} WHERE {score} IS NOT NULL GROUP BY 1),
+r AS (SELECT *, SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg
+      FROM c),
+u AS (SELECT CAST(SUM(pos * (2 * (cum_neg - neg) + neg)) AS BIGINT) AS u2,
+             CAST(SUM(pos) AS BIGINT) AS P, CAST(SUM(neg) AS BIGINT) AS N FROM r)
+SELECT CASE WHEN P > 0 AND N > 0 THEN CAST(u2 AS DOUBLE) / (2.0::DOUBLE * CAST(P AS DOUBLE) * CAST(N AS DOUBLE))
+       END AS auc, P AS positives, N AS negatives
+FROM u"""
+
+
+ORACLE["roc_auc"] = with_order_lines(f"WITH {_PROD_CTE},\n{_auc_sql('prod', 'p', 'actual')}")
+
+ORACLE["roc_auc_propensity"] = with_order_lines(f"""
+WITH {_CANON_CTE},
+sc AS (SELECT {_PROP_CLAMPED} AS s, target FROM canon),
+{_auc_sql('sc', 's', 'target')}""")
+
+_ROC_CTE = """
+c AS (SELECT p AS score, CAST(SUM(actual) AS BIGINT) AS pos, CAST(SUM(1 - actual) AS BIGINT) AS neg
+      FROM prod GROUP BY 1),
+t AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM c),
+roc AS (
+  SELECT score,
+    CAST(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tps,
+    CAST(SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fps
+  FROM c)"""
+
+ORACLE["roc_curve"] = with_order_lines(f"""
+WITH {_PROD_CTE},{_ROC_CTE}
+SELECT score, tps, fps, round(tps / CAST(P AS DOUBLE), 6) AS tpr, round(fps / CAST(N AS DOUBLE), 6) AS fpr
+FROM roc, t""")
+
+ORACLE["youden_threshold"] = with_order_lines(f"""
+WITH {_PROD_CTE},{_ROC_CTE},
+j AS (SELECT score, tps / CAST(P AS DOUBLE) - fps / CAST(N AS DOUBLE) AS j FROM roc, t)
+SELECT CASE WHEN j > 0 THEN score END AS threshold, round(j, 6) AS youden_j
+FROM j ORDER BY j DESC, score DESC LIMIT 1""")
+
+ORACLE["class_weights"] = with_order_lines(f"""
+WITH c AS (SELECT {_ACTUAL} AS label, COUNT(*) AS n FROM order_lines GROUP BY 1)
+SELECT label, n, round(n / CAST(SUM(n) OVER () AS DOUBLE), 6) AS share,
+       round(CAST(SUM(n) OVER () AS DOUBLE) / (COUNT(*) OVER () * n), 6) AS weight
+FROM c""")
+
+ORACLE["top_categories"] = with_order_lines("""
+SELECT product_category AS value, COUNT(*) AS n FROM order_lines
+GROUP BY 1 ORDER BY n DESC, value ASC LIMIT 5""")
+
+ORACLE["category_return_rate"] = with_order_lines(f"""
+WITH {_PROD_CTE}
+SELECT product_category AS key, round(avg(pred::DOUBLE), 6) AS mean, COUNT(*) AS n
+FROM prod GROUP BY 1 ORDER BY mean DESC, key ASC LIMIT 10""")
+
+
+def _hist_sql(var: str, col: str, bins: int, src: str) -> str:
+    return f"""
+SELECT bin, round(lo + bin * ((hi - lo) / {bins}.0::DOUBLE), 6) AS lower,
+       round(lo + (bin + 1) * ((hi - lo) / {bins}.0::DOUBLE), 6) AS upper, COUNT(*) AS n,
+       '{var}' AS variable
+FROM (SELECT LEAST(CAST(floor((CAST({col} AS DOUBLE) - lo) / (hi - lo) * {bins}.0::DOUBLE) AS INTEGER), {bins - 1})
+             AS bin, lo, hi
+      FROM {src}, (SELECT min(CAST({col} AS DOUBLE)) AS lo, max(CAST({col} AS DOUBLE)) AS hi FROM {src}) b
+      WHERE {col} IS NOT NULL) x
+GROUP BY bin, lo, hi"""
+
+
+ORACLE["histograms"] = with_order_lines(f"""
+WITH {_PROD_CTE}
+{_hist_sql('price', 'item_price', 20, 'prod')}
+UNION ALL {_hist_sql('rating', 'product_rating', 10, 'prod')}
+UNION ALL {_hist_sql('probability', 'p', 20, 'prod')}""")
+
+ORACLE["risk_distribution"] = with_order_lines(f"""
+WITH {_PROD_CTE}
+SELECT CASE WHEN p > 0.7 THEN 'High' WHEN p > 0.3 THEN 'Medium' ELSE 'Low' END AS risk_band, COUNT(*) AS n
+FROM prod GROUP BY 1""")
+
+ORACLE["dataset_summary"] = with_order_lines(f"""
+SELECT COUNT(*) AS total_records, round(avg(({_ACTUAL})::DOUBLE), 6) AS return_rate,
+       round(avg(item_price), 6) AS avg_price, round(avg(product_rating), 6) AS avg_rating,
+       round(avg(delivery_days::DOUBLE), 6) AS avg_delivery_time
+FROM order_lines""")
+
+_VIEW_COLS = ["order_id", "line_no", "customer_id", "product_category", "item_price", "order_quantity",
+              "customer_age", "customer_location", "payment_method", "shipping_method", "discount",
+              "delivery_days", "product_rating", "return_status"]
+
+ORACLE["distinct_counts"] = with_order_lines("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS n_distinct FROM order_lines" for c in _VIEW_COLS))
+
+ORACLE["missing_report"] = with_order_lines("\nUNION ALL\n".join(
+    [f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS missing FROM order_lines" for c in _VIEW_COLS]
+    + ["SELECT '*' AS \"column\", (" + " + ".join(f"(COUNT(*) - COUNT({c}))" for c in _VIEW_COLS)
+       + ") AS missing FROM order_lines"]))
+
+ORACLE["quality_report"] = with_order_lines("""
+WITH q AS (SELECT item_price, customer_age, item_price - discount AS net_price,
+                  customer_age - 30 AS years_past_age_30 FROM order_lines)
+SELECT 'negative_values' AS "check", 'item_price' AS "column", COUNT(*) FILTER (WHERE item_price < 0) AS n FROM q
+UNION ALL SELECT 'negative_values', 'net_price', COUNT(*) FILTER (WHERE net_price < 0) FROM q
+UNION ALL SELECT 'unreasonable_age', 'customer_age',
+  COUNT(*) FILTER (WHERE customer_age < 0 OR customer_age > 120) FROM q
+UNION ALL SELECT 'unreasonable_age', 'years_past_age_30',
+  COUNT(*) FILTER (WHERE years_past_age_30 < 0 OR years_past_age_30 > 120) FROM q""")
+
+ORACLE["table_counts"] = with_order_lines("SELECT COUNT(*) AS rows, 14 AS columns FROM order_lines")
+
+
+def _detect_sql(limit: int) -> str:
+    feats = _VIEW_COLS[:-1]  # return_status is leakage and the target
+    numeric = {"order_id", "line_no", "customer_id", "item_price", "order_quantity", "customer_age",
+               "discount", "delivery_days", "product_rating"}
+    parts = []
+    for i, c in enumerate(feats):
+        num = f"COUNT({c})" if c in numeric else f"COUNT(TRY_CAST(trim({c}) AS DOUBLE))"
+        parts.append(f"""SELECT '{c}' AS "column", {num} AS n_numeric, COUNT(DISTINCT {c}) AS n_distinct,
+  CASE WHEN {num} > 0 AND COUNT(DISTINCT {c}) <= {limit} THEN 'numeric' ELSE 'categorical' END AS kind,
+  {i} AS position, {limit} AS type_limit FROM order_lines""")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["detect_types"] = with_order_lines(_detect_sql(10) + "\nUNION ALL\n" + _detect_sql(20))
+
+ORACLE["drop_leakage"] = with_order_lines("""
+SELECT order_id, line_no, customer_id, product_category, item_price, order_quantity, customer_age,
+       customer_location, payment_method, shipping_method, discount, delivery_days, product_rating,
+       CASE WHEN lower(return_status) IN ('returned', 'return', 'yes', 'true', '1') THEN 1 ELSE 0 END AS target
+FROM order_lines""")
+
+ORACLE["filtered_results"] = with_order_lines(f"""
+WITH {_PROD_CTE}
+SELECT order_id, line_no, customer_id, product_category, item_price, order_quantity, customer_age,
+       customer_location, payment_method, shipping_method,
+       pred AS Prediction, p AS Return_Probability,
+       CASE WHEN pred = 1 THEN 'Return' ELSE 'Not Return' END AS Prediction_Label, band AS Confidence_Level
+FROM prod WHERE p >= 0.6 AND pred = 1""")
+
+ORACLE["row_validation"] = """
+WITH b AS (
+  SELECT l_extendedprice AS price, 18 + o_custkey % 63 AS age,
+         date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (
+  SELECT 'Product price must be greater than 0' AS error FROM b WHERE price <= 0
+  UNION ALL SELECT 'Product price seems unusually high' FROM b WHERE price > 10000
+  UNION ALL SELECT 'Customer age must be between 18 and 100' FROM b WHERE age < 18 OR age > 100
+  UNION ALL SELECT 'Product rating must be between 1 and 5' FROM b
+  UNION ALL SELECT 'Delivery time must be between 1 and 30 days' FROM b WHERE d < 1 OR d > 30
+)
+SELECT error, COUNT(*) AS n FROM e GROUP BY 1"""
+
+ORACLE["coerce_cells"] = with_order_lines("""
+WITH t AS (
+  SELECT CAST(order_quantity AS VARCHAR) AS quantity_text,
+         ' ' || CAST(discount AS VARCHAR) || ' ' AS discount_text,
+         item_price, shipping_method, CAST(discount AS VARCHAR) || '%' AS discount_pct
+  FROM order_lines)
+SELECT 'quantity_text' AS "column", COUNT(TRY_CAST(trim(quantity_text) AS DOUBLE)) AS n_numeric,
+       round(SUM(TRY_CAST(trim(quantity_text) AS DOUBLE)), 6) AS total,
+       CASE WHEN COUNT(quantity_text) = COUNT(TRY_CAST(trim(quantity_text) AS DOUBLE)) THEN 1 ELSE 0 END AS converts
+FROM t
+UNION ALL SELECT 'discount_text', COUNT(TRY_CAST(trim(discount_text) AS DOUBLE)),
+       round(SUM(TRY_CAST(trim(discount_text) AS DOUBLE)), 6),
+       CASE WHEN COUNT(discount_text) = COUNT(TRY_CAST(trim(discount_text) AS DOUBLE)) THEN 1 ELSE 0 END FROM t
+UNION ALL SELECT 'price_text', COUNT(item_price), round(SUM(item_price), 6), 1 FROM t
+UNION ALL SELECT 'shipping_method', COUNT(TRY_CAST(trim(shipping_method) AS DOUBLE)),
+       round(SUM(TRY_CAST(trim(shipping_method) AS DOUBLE)), 6),
+       CASE WHEN COUNT(shipping_method) = COUNT(TRY_CAST(trim(shipping_method) AS DOUBLE)) THEN 1 ELSE 0 END FROM t
+UNION ALL SELECT 'discount_pct', COUNT(TRY_CAST(trim(discount_pct) AS DOUBLE)),
+       round(SUM(TRY_CAST(trim(discount_pct) AS DOUBLE)), 6),
+       CASE WHEN COUNT(discount_pct) = COUNT(TRY_CAST(trim(discount_pct) AS DOUBLE)) THEN 1 ELSE 0 END FROM t""")
+
+_CANON_NUM = ["product_price", "order_quantity", "customer_age", "discount", "delivery_time",
+              "purchase_history_count", "return_history_rate", "product_rating"]
+_CANON_CAT = ["product_category", "customer_location", "payment_method", "shipping_method"]
+
+ORACLE["canonical_orders"] = with_order_lines(
+    f"WITH {_CANON_CTE}\n" + "\nUNION ALL\n".join(
+        [f"""SELECT '{c}' AS feature, COUNT({c}) AS n, round(min({c}), 6) AS min_value,
+  round(max({c}), 6) AS max_value, round(avg({c}), 6) AS mean_value, CAST(NULL AS BIGINT) AS n_distinct
+FROM canon""" for c in _CANON_NUM]
+        + [f"""SELECT '{c}', COUNT({c}), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+  COUNT(DISTINCT {c}) FROM canon""" for c in _CANON_CAT]
+        + ["""SELECT 'target', CAST(SUM(target) AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+  round(avg(target), 6), CAST(NULL AS BIGINT) FROM canon"""]))
+
+_NUM_COLS = ["item_price", "order_quantity", "customer_age", "discount", "delivery_days", "product_rating"]
+
+
+def _median_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS "column",
+  (MAX(CASE WHEN r = (n - 1) // 2 THEN v END) + MAX(CASE WHEN r = n // 2 THEN v END)) / 2.0::DOUBLE AS median
+FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r, COUNT(*) OVER () AS n
+      FROM (SELECT CAST({c} AS DOUBLE) AS v FROM order_lines WHERE {c} IS NOT NULL) s) x"""
+
+
+ORACLE["impute_median"] = with_order_lines("\nUNION ALL\n".join(_median_sql(c) for c in _NUM_COLS))
+
+ORACLE["impute_mode"] = with_order_lines("\nUNION ALL\n".join(
+    f"""SELECT * FROM (SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS mode, COUNT(*) AS n
+  FROM order_lines WHERE {c} IS NOT NULL GROUP BY 2 ORDER BY n DESC, mode ASC LIMIT 1)"""
+    for c in ["product_category", "customer_location", "payment_method", "shipping_method"]))
+
+ORACLE["impute_apply"] = with_order_lines(
+    "WITH " + ",\n".join(f"m_{c} AS ({_median_sql(c)})" for c in _NUM_COLS) + "\n" +
+    "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS "column", CAST(0 AS BIGINT) AS nulls,
+  round(SUM(COALESCE(CAST({c} AS DOUBLE), (SELECT median FROM m_{c}))), 6) AS total FROM order_lines"""
+        for c in _NUM_COLS))
+
+ORACLE["standard_scale"] = with_order_lines("\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", round(avg({c}::DOUBLE), 6) AS mean, round(stddev_pop({c}::DOUBLE), 6) AS std,
+  round((min({c}::DOUBLE) - avg({c}::DOUBLE)) / stddev_pop({c}::DOUBLE), 6) AS scaled_min,
+  round((max({c}::DOUBLE) - avg({c}::DOUBLE)) / stddev_pop({c}::DOUBLE), 6) AS scaled_max
+FROM order_lines""" for c in _NUM_COLS))
+
+ORACLE["label_encode"] = with_order_lines("""
+WITH d AS (""" + "\nUNION ALL\n".join(
+    f"SELECT DISTINCT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM order_lines WHERE {c} IS NOT NULL"
+    for c in ["product_category", "customer_location", "payment_method", "shipping_method"]) + """)
+SELECT "column", value, CAST(dense_rank() OVER (PARTITION BY "column" ORDER BY value) - 1 AS INTEGER) AS code
+FROM d""")
+
+ORACLE["label_encode_unseen"] = with_order_lines("""
+WITH enc AS (
+  SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT n_name AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey) s)
+SELECT COALESCE(enc.code, 0) AS code, o.customer_location AS value, COUNT(*) AS n
+FROM order_lines o LEFT JOIN enc ON o.customer_location = enc.value GROUP BY 1, 2""")
+
+_HASH = "('0x' || substr(md5('42:' || order_id || ':' || line_no), 1, 8))::BIGINT"
+
+ORACLE["split_80_20"] = with_order_lines(f"""
+SELECT {_ACTUAL} AS label, CASE WHEN {_HASH} % 100 < 20 THEN 'test' ELSE 'train' END AS part, COUNT(*) AS n
+FROM order_lines GROUP BY 1, 2""")
+
+ORACLE["folds_5"] = with_order_lines(f"""
+SELECT CAST({_HASH} % 5 AS INTEGER) AS fold, {_ACTUAL} AS label, COUNT(*) AS n
+FROM order_lines GROUP BY 1, 2""")
+
+ORACLE["format_rates"] = with_order_lines(f"""
+WITH {_PROD_CTE},
+g AS (SELECT shipping_method, avg(pred::DOUBLE) AS rate, avg(p) AS mean_p FROM prod GROUP BY 1)
+SELECT shipping_method, printf('%.2f%%', rate * 100) AS return_rate, printf('%.3f', mean_p) AS avg_probability,
+       round(rate, 6) AS rate, round(mean_p, 6) AS mean_p
+FROM g""")
+
+ORACLE["customer_history"] = with_order_lines(f"""
+WITH ol AS (SELECT order_id, line_no, customer_id, order_date, {_ACTUAL} AS actual FROM order_lines),
+daily AS (SELECT customer_id, order_date, COUNT(DISTINCT order_id) AS d_orders, COUNT(*) AS d_lines,
+                 SUM(actual) AS d_returns FROM ol GROUP BY 1, 2),
+hist AS (
+  SELECT customer_id, order_date,
+    COALESCE(SUM(d_orders) OVER w, 0) AS prior_orders,
+    COALESCE(SUM(d_lines) OVER w, 0) AS prior_lines,
+    COALESCE(SUM(d_returns) OVER w, 0) AS prior_returns
+  FROM daily
+  WINDOW w AS (PARTITION BY customer_id ORDER BY order_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT ol.order_id, ol.line_no, CAST(prior_orders AS BIGINT) AS prior_orders,
+       CAST(prior_lines AS BIGINT) AS prior_lines,
+       round(CASE WHEN prior_lines > 0 THEN prior_returns::DOUBLE / prior_lines::DOUBLE END, 6) AS prior_return_rate
+FROM ol JOIN hist USING (customer_id, order_date)""")
+
+ORACLE["stream_window_rates"] = with_order_lines(f"""
+WITH {_MEDIANS},
+{_scored(_QUICK_P, _BANDS6, 'order_lines, med')}
+SELECT CAST((date_diff('day', DATE '1970-01-01', order_date) // 30) * 30 AS BIGINT) AS window_start_day,
+       COUNT(*) AS lines, CAST(SUM(pred) AS BIGINT) AS predicted_returns,
+       CAST(SUM({_ACTUAL}) AS BIGINT) AS actual_returns
+FROM scored GROUP BY 1""")

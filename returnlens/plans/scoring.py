@@ -81,7 +81,11 @@ def production_probability(df: DataFrame) -> Column:
     coercion, median/mode fill), then the four rule families over the
     prepared columns; text values coerce per cell and mostly add nothing."""
     base = df.select(*[qcol(c) for c in _inputs(df)])
-    fills, _, numeric = TR.scoring_fills(base)
+    # Only columns some rule family reads need batch statistics; the output
+    # keeps the original columns, so filling the others changes nothing.
+    used = [c for c in base.columns
+            if any(N.contains_any(c, words) for words, _ in K.PRODUCTION_RULES)]
+    fills, _, numeric = TR.scoring_fills(base, only=used)
     cols = [(c, e if c in numeric else text_to_double(e)) for c, e in fills.items()]
     return R.clamp(R.production_rule_score(cols))
 

@@ -31,16 +31,25 @@ def _blank_every(n: int) -> F.Column:
     return ((F.col("l_orderkey") + F.col("l_linenumber")) % n) == 0
 
 
-def order_lines_with_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``order_lines`` plus ``order_date`` (for point-in-time features)."""
-    li = table(spark, sf_dir, "lineitem", [
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_returnflag", "l_shipdate"])
-    od = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
-    cu = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
-    na = table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
-    pa = table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
+def scans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five pruned scans the view needs (lineitem last, as the fact)."""
+    return {
+        "orders": table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"]),
+        "customer": table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"]),
+        "nation": table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]),
+        "part": table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"]),
+        "lineitem": table(spark, sf_dir, "lineitem", LINEITEM_COLUMNS),
+    }
+
+
+LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                    "l_discount", "l_returnflag", "l_shipdate"]
+
 
+def order_lines_from(li: DataFrame, od: DataFrame, cu: DataFrame, na: DataFrame,
+                     pa: DataFrame) -> DataFrame:
+    """The view over given inputs (``li`` may be a stream: stream-static
+    joins).  Adds ``order_date`` (DATE) and ``order_ts`` (event time)."""
     j = (li.join(od, li.l_orderkey == od.o_orderkey)
          .join(cu, F.col("o_custkey") == F.col("c_custkey"))
          .join(F.broadcast(na), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -68,9 +77,18 @@ def order_lines_with_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", F.lit("Returned"))
          .otherwise(F.lit("Not Returned")).alias("return_status"),
         F.to_date(F.col("o_orderdate")).alias("order_date"),
+        # event time at UTC midnight of the order date, whatever the session zone
+        F.timestamp_seconds(F.unix_date(F.to_date(F.col("o_orderdate"))).cast("long") * 86400)
+        .alias("order_ts"),
     )
 
 
+def order_lines_with_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_lines`` plus ``order_date`` and ``order_ts``."""
+    s = scans(spark, sf_dir)
+    return order_lines_from(s["lineitem"], s["orders"], s["customer"], s["nation"], s["part"])
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_lines_with_dates(spark, sf_dir).select(*ORDER_LINES_COLUMNS)
 
