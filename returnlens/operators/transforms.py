@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import names as N
 from ..functions.coerce import column_to_double, is_numeric_type, nan_to_null, qcol, to_double
+from . import quantiles as Q
 from .prefix import add_buckets, running_sums, string_sort_key
 
 # ---------------------------------------------------------------------------
@@ -125,28 +127,15 @@ def _long_values(df: DataFrame, columns: Sequence[str], as_text: bool,
 
 def median_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact medians (the mean of the two middle values for an even count)
-    as a (column, median) DataFrame.  All-NULL columns have no row.
+    as a (column, median) table, one row per column with values.
 
-    Distinct values are counted first (a hot value collapses to one row),
-    then ranks come from bucketed running sums — no task ever holds a whole
-    column.
+    Computed by distributed selection (``quantiles.medians``): distinct
+    values are counted once, then only the value ranges holding the middle
+    ranks are narrowed and ranked, so no task ever holds a whole column.
     """
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column string, median double")
-    counts = (_long_values(df, columns, as_text=False, bucketed=True)
-              .groupBy("column", "bucket", "value").agg(F.count(F.lit(1)).alias("n")))
-    ranked = running_sums(counts, ["column"], "value", ["n"], bucket_col="bucket")
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    # one row per column: a proven bound, broadcast
-    j = ranked.join(F.broadcast(totals), "column")
-    lo_rank = F.floor((F.col("total") - 1) / 2)
-    hi_rank = F.floor(F.col("total") / 2)
-    first = F.col("cum_n") - F.col("n")
-    last = F.col("cum_n") - 1
-    return (j.groupBy("column").agg(
-        F.max(F.when((first <= lo_rank) & (lo_rank <= last), F.col("value"))).alias("v_lo"),
-        F.max(F.when((first <= hi_rank) & (hi_rank <= last), F.col("value"))).alias("v_hi"))
-        .select("column", ((F.col("v_lo") + F.col("v_hi")) / F.lit(2.0)).alias("median")))
+    meds = fit_medians(df, columns, missing=None)
+    rows = [(c, meds[c]) for c in columns if meds.get(c) is not None]
+    return df.sparkSession.createDataFrame(rows, "column string, median double")
 
 
 def mode_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -162,10 +151,14 @@ def mode_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .select("column", F.col("b.value").alias("mode"), F.col("b.n").alias("n")))
 
 
-def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """TR5/TR7 fit: column → median; an all-NULL column gets 0."""
-    got = {r["column"]: r["median"] for r in median_table(df, columns).collect()}
-    return {c: (got.get(c) if got.get(c) is not None else 0.0) for c in columns}
+def fit_medians(df: DataFrame, columns: Sequence[str], missing: float | None = 0.0
+                ) -> dict[str, float | None]:
+    """TR5/TR7 fit: column → exact median; an all-NULL column gets
+    ``missing`` (0, as in the reference)."""
+    if not columns:
+        return {}
+    got = Q.medians(_long_values(df, columns, as_text=False))
+    return {c: (got[c] if got.get(c) is not None else missing) for c in columns}
 
 
 def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
@@ -337,6 +330,56 @@ def standardise(df: DataFrame, keep: Sequence[str] = (), protect: Sequence[str]
 # ---------------------------------------------------------------------------
 
 
+def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, txt, num, n): every distinct non-missing cell of the listed
+    columns with its text form (text columns only), its number (NULL when it
+    does not convert) and how often it occurs.  One pass over ``df``;
+    persisted, because the fill statistics all read it (recomputed from
+    lineage if an executor is lost; the caller unpersists)."""
+    items = []
+    for c in columns:
+        dt = df.schema[c].dataType
+        txt = qcol(c).cast("string") if not is_numeric_type(dt) else F.lit(None).cast("string")
+        items.append(F.struct(F.lit(c).alias("column"), txt.alias("txt"),
+                              column_to_double(df, c).alias("num")))
+    long = (df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
+            .where(F.col("txt").isNotNull() | F.col("num").isNotNull()))
+    return (long.groupBy("column", "txt", "num").agg(F.count(F.lit(1)).alias("n"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def fit_fill_statistics(df: DataFrame, columns: Sequence[str]
+                        ) -> tuple[list[str], dict[str, float], dict[str, str]]:
+    """TR2 + TR5 + TR6 from one scan: (numeric columns — numeric types and
+    text columns whose every cell converts —, their medians, modes of the
+    rest)."""
+    if not columns:
+        return [], {}, {}
+    prof = column_profile(df, columns)
+    try:
+        text_cols = [c for c in columns if not is_numeric_type(df.schema[c].dataType)]
+        failing = {r["column"] for r in prof.where(F.col("num").isNull())
+                   .select("column").distinct().collect()} if text_cols else set()
+        numeric = [c for c in columns if is_numeric_type(df.schema[c].dataType) or
+                   (isinstance(df.schema[c].dataType, T.StringType) and c not in failing)]
+        other = [c for c in columns if c not in set(numeric)]
+        medians: dict[str, float] = {}
+        if numeric:
+            long = (prof.where(F.col("column").isin(numeric))
+                    .select("column", F.col("num").alias("value"), "n"))
+            got = Q.medians_from_counts(long)
+            medians = {c: (got[c] if got.get(c) is not None else 0.0) for c in numeric}
+        modes: dict[str, str] = {}
+        if other:
+            best = F.min_by(F.col("txt"), F.struct((-F.col("n")).alias("neg_n"), F.col("txt")))
+            got_m = {r["column"]: r["mode"] for r in prof.where(F.col("column").isin(other))
+                     .groupBy("column").agg(best.alias("mode")).collect()}
+            modes = {c: got_m.get(c) or "Unknown" for c in other}
+    finally:
+        prof.unpersist()
+    return numeric, medians, modes
+
+
 def scoring_fills(df: DataFrame, leakage_mode: str = "substring",
                   only: Sequence[str] | None = None
                   ) -> tuple[dict[str, Column], list[str], list[str]]:
@@ -345,7 +388,7 @@ def scoring_fills(df: DataFrame, leakage_mode: str = "substring",
     text with NULLs at the batch mode).
 
     Returns (column → Column, leakage columns dropped, numeric columns).  The
-    statistics take two jobs (medians, modes); the fills themselves are
+    statistics come from one scan (``fit_fill_statistics``); the fills are
     row-local, so callers can keep every input column alongside.  ``only``
     limits the statistics to the columns a caller will read (a scorer that
     reads four columns should not rank every id column in the table).
@@ -354,10 +397,7 @@ def scoring_fills(df: DataFrame, leakage_mode: str = "substring",
     remaining = [c for c in df.columns if c not in set(leakage)]
     if only is not None:
         remaining = [c for c in remaining if c in set(only)]
-    numeric = convertible_columns(df, remaining)
-    other = [c for c in remaining if c not in set(numeric)]
-    medians = fit_medians(df, numeric) if numeric else {}
-    modes = fit_modes(df, other) if other else {}
+    numeric, medians, modes = fit_fill_statistics(df, remaining)
     fills: dict[str, Column] = {}
     for c in remaining:
         if c in medians:

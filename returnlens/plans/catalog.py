@@ -240,9 +240,36 @@ def q_quality_report(spark, sf_dir):
 
 @query("table_counts")
 def q_table_counts(spark, sf_dir):
-    """AG1 + FI3."""
+    """AG1 + FI3: rows, columns, and the empty-table check."""
     df = order_lines(spark, sf_dir)
-    return PF.table_counts(df)
+    return PF.table_counts(df).select("rows", "columns", (F.col("rows") == 0).cast("int").alias("is_empty"))
+
+
+@query("validation_report")
+def q_validation_report(spark, sf_dir):
+    """AG5: the long validation report (rows, columns, missing cells,
+    leakage and target columns, quality issues, feature types)."""
+    return PF.validation_report(order_lines(spark, sf_dir))
+
+
+@query("csv_round_trip")
+def q_csv_round_trip(spark, sf_dir):
+    """IO2 then IO1: scored lines written as CSV to the shared checkpoint
+    folder, read back with an explicit schema, summarised per band."""
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FS
+    scored = S.score_plain(order_lines(spark, sf_dir)).select(
+        "order_id", "line_no", "item_price", "Prediction", "Return_Probability", "Confidence_Level")
+    path = os.path.join(ensure_checkpoint_dir(spark), "csv", uuid.uuid4().hex)
+    FS.write_csv(scored, path)
+    back = FS.read_csv(spark, path, "order_id long, line_no int, item_price double, Prediction int, "
+                                    "Return_Probability double, Confidence_Level string")
+    return back.groupBy("Confidence_Level").agg(
+        F.count(F.lit(1)).alias("n"), F.count("item_price").alias("priced"),
+        F.sum("Prediction").cast("bigint").alias("predicted_returns"),
+        F.round(F.sum("Return_Probability"), 6).alias("probability_sum"))
 
 
 # ---------------------------------------------------------------------------
@@ -495,6 +522,33 @@ def q_model_train_evaluate(spark, sf_dir):
         ML.evaluate_model(model, test, "target", "test"))
 
 
+@query("model_persistence")
+def q_model_persistence(spark, sf_dir):
+    """IO3 + IO4: fit, save under the shared checkpoint folder, load, and
+    report the model info; the loaded model scores the test part."""
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    data = _model_table(spark, sf_dir)
+    model = ML.fit(data.where(F.col("part") == "train"), _NUM, _CAT, "target", kind="lr", maxIter=50)
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    ML.save(model, path)
+    loaded = ML.load(path)
+    scored = loaded.score(data.where(F.col("part") == "test"))
+    n = scored.agg(F.count("p").alias("scored")).collect()[0]["scored"]
+    return ML.model_info(path).select("*", F.lit(n).cast("bigint").alias("scored_rows"))
+
+
+@query("cross_validation")
+def q_cross_validation(spark, sf_dir):
+    """ML4 + ML5 + SO4: 3-fold cross-validated F1 of logistic regression
+    over a two-point regularisation grid."""
+    data = SP.assign_folds(_model_table(spark, sf_dir).where(F.col("part") == "train"),
+                           ["order_id", "line_no"], 3)
+    return ML.cross_validate(data, _NUM, _CAT, "target", kind="lr",
+                             grid={"regParam": [0.0, 0.01]}, maxIter=50)
+
+
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """ML2 + AG22: random forest importances, top 10."""

@@ -310,7 +310,8 @@ UNION ALL SELECT 'unreasonable_age', 'customer_age',
 UNION ALL SELECT 'unreasonable_age', 'years_past_age_30',
   COUNT(*) FILTER (WHERE years_past_age_30 < 0 OR years_past_age_30 > 120) FROM q""")
 
-ORACLE["table_counts"] = with_order_lines("SELECT COUNT(*) AS rows, 14 AS columns FROM order_lines")
+ORACLE["table_counts"] = with_order_lines(
+    "SELECT COUNT(*) AS rows, 14 AS columns, CASE WHEN COUNT(*) = 0 THEN 1 ELSE 0 END AS is_empty FROM order_lines")
 
 
 def _detect_sql(limit: int) -> str:
@@ -475,3 +476,41 @@ SELECT CAST((date_diff('day', DATE '1970-01-01', order_date) // 30) * 30 AS BIGI
        COUNT(*) AS lines, CAST(SUM(pred) AS BIGINT) AS predicted_returns,
        CAST(SUM({_ACTUAL}) AS BIGINT) AS actual_returns
 FROM scored GROUP BY 1""")
+
+ORACLE["validation_report"] = with_order_lines("""
+SELECT 'rows' AS "check", CAST(NULL AS VARCHAR) AS "column", CAST(COUNT(*) AS VARCHAR) AS value, 'info' AS severity
+FROM order_lines
+UNION ALL SELECT 'columns', NULL, '14', 'info'
+UNION ALL SELECT 'missing_values', NULL,
+  CAST(COUNT(*) * 14 - COUNT(order_id) - COUNT(line_no) - COUNT(customer_id) - COUNT(product_category)
+       - COUNT(item_price) - COUNT(order_quantity) - COUNT(customer_age) - COUNT(customer_location)
+       - COUNT(payment_method) - COUNT(shipping_method) - COUNT(discount) - COUNT(delivery_days)
+       - COUNT(product_rating) - COUNT(return_status) AS VARCHAR), 'warning' FROM order_lines
+UNION ALL SELECT 'leakage_column', 'return_status', 'removed before scoring', 'warning'
+UNION ALL SELECT 'target_column', 'return_status', 'compared with predictions', 'warning'
+UNION ALL SELECT 'numeric_features', NULL, CAST(SUM(k) AS VARCHAR), 'info' FROM (
+  SELECT CASE WHEN COUNT(DISTINCT line_no) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT order_quantity) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT customer_age) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT discount) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT delivery_days) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT product_rating) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT item_price) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT order_id) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT customer_id) <= 10 THEN 1 ELSE 0 END AS k FROM order_lines) x
+UNION ALL SELECT 'categorical_features', NULL, CAST(13 - SUM(k) AS VARCHAR), 'info' FROM (
+  SELECT CASE WHEN COUNT(DISTINCT line_no) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT order_quantity) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT customer_age) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT discount) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT delivery_days) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT product_rating) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT item_price) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT order_id) <= 10 THEN 1 ELSE 0 END
+       + CASE WHEN COUNT(DISTINCT customer_id) <= 10 THEN 1 ELSE 0 END AS k FROM order_lines) x""")
+
+ORACLE["csv_round_trip"] = with_order_lines(f"""
+WITH {_scored(_PLAIN_P, _BANDS6)}
+SELECT band AS Confidence_Level, COUNT(*) AS n, COUNT(item_price) AS priced,
+       CAST(SUM(pred) AS BIGINT) AS predicted_returns, round(SUM(p), 6) AS probability_sum
+FROM scored GROUP BY 1""")
