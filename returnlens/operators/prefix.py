@@ -24,7 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+MAX_BUCKETS = 4096            # boundaries reaching the driver per key: at most this many
+ROWS_PER_BUCKET = 1_000_000   # target rows per window partition
 _INF = float("inf")
 
 
@@ -40,19 +41,32 @@ def _splits(q) -> list[float]:
     return [-_INF] + (inner or [0.0]) + [_INF]
 
 
-def add_buckets(df: DataFrame, keys: dict[str, Column], n_buckets: int = DEFAULT_BUCKETS
-                ) -> DataFrame:
+def add_buckets(df: DataFrame, keys: dict[str, Column], n_buckets: int | None = None) -> DataFrame:
     """Add one INT bucket column per entry of ``keys`` (name → numeric key
-    expression), cutting each key at its approximate ``n_buckets``-quantiles.
-    Equal keys always share a bucket; buckets increase with the key."""
+    expression), cut at approximate quantiles of each key.  Equal keys always
+    share a bucket; buckets increase with the key.
+
+    The bucket count follows the data: about one bucket per
+    ``ROWS_PER_BUCKET`` rows (at most ``MAX_BUCKETS``), chosen from one
+    sketch job that also counts the rows; ``n_buckets`` fixes it instead."""
     names = list(keys)
     tmp = df.select("*", *[keys[n].cast("double").alias(f"__k_{i}") for i, n in enumerate(names)])
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = max(10_000, 20 * n_buckets)
-    row = tmp.agg(*[F.percentile_approx(f"__k_{i}", probs, acc).alias(f"q{i}")
+    cap = n_buckets or MAX_BUCKETS
+    probs = [i / cap for i in range(1, cap)]
+    acc = max(10_000, 10 * cap)
+    row = tmp.agg(F.count(F.lit(1)).alias("__n"),
+                  *[F.percentile_approx(f"__k_{i}", probs, acc).alias(f"q{i}")
                     for i in range(len(names))]).collect()[0]
+    eff = n_buckets or min(cap, max(1, -(-int(row["__n"]) // ROWS_PER_BUCKET)))
+
+    def pick(q):
+        q = q or []
+        if eff >= cap or not q:
+            return q
+        return [q[(j * cap) // eff - 1] for j in range(1, eff)]
+
     bucketizer = Bucketizer(
-        splitsArray=[_splits(row[f"q{i}"]) for i in range(len(names))],
+        splitsArray=[_splits(pick(row[f"q{i}"])) for i in range(len(names))],
         inputCols=[f"__k_{i}" for i in range(len(names))],
         outputCols=[f"__b_{i}" for i in range(len(names))],
         handleInvalid="keep")
@@ -63,7 +77,7 @@ def add_buckets(df: DataFrame, keys: dict[str, Column], n_buckets: int = DEFAULT
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
                  sum_cols: Sequence[str], descending: bool = False,
-                 bucket_col: str | None = None, n_buckets: int = DEFAULT_BUCKETS,
+                 bucket_col: str | None = None, n_buckets: int | None = None,
                  prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<s>`` = sum of ``s`` over the rows of the same group whose
     ``order_col`` comes at or before this row's (ascending or descending).
