@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import materialize
 from .prefix import running_sums
 
 
@@ -133,8 +134,10 @@ def _class_totals(counts: DataFrame) -> tuple[int, int]:
 
 def roc_curve(df: DataFrame, score="score", label="label") -> DataFrame:
     """AG11: one row per distinct score, descending: true and false positive
-    counts and rates at threshold = score (score >= threshold is positive)."""
-    counts = score_counts(df, score, label)
+    counts and rates at threshold = score (score >= threshold is positive).
+    The distinct-score table is checkpointed: every later job reads it
+    instead of re-running the plan that scored the rows."""
+    counts = materialize(score_counts(df, score, label))
     P, N = _class_totals(counts)
     cum = running_sums(counts, [], "score", ["pos", "neg"], descending=True)
     return cum.select(
@@ -149,7 +152,7 @@ def roc_curve(df: DataFrame, score="score", label="label") -> DataFrame:
 def roc_auc(df: DataFrame, score="score", label="label") -> DataFrame:
     """AG10: exact area under the ROC curve with tied scores counted half
     (the Mann-Whitney form); NULL when only one class occurs."""
-    counts = score_counts(df, score, label)
+    counts = materialize(score_counts(df, score, label))
     cum = running_sums(counts, [], "score", ["neg"], descending=False)
     # negatives strictly below this score = cum_neg - neg
     twice_u = F.sum(F.col("pos") * (F.lit(2) * (F.col("cum_neg") - F.col("neg")) + F.col("neg")))

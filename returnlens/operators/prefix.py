@@ -75,6 +75,33 @@ def add_buckets(df: DataFrame, keys: dict[str, Column], n_buckets: int | None =
                       *[F.col(f"__b_{i}").cast("int").alias(n) for i, n in enumerate(names)])
 
 
+def add_group_buckets(df: DataFrame, group_col: str, key: Column, out: str = "bucket") -> DataFrame:
+    """``add_buckets`` with separate boundaries per value of ``group_col`` (a
+    schema-level key such as a column name): one sketch job for all groups,
+    then each group is cut by its own ``Bucketizer`` and the parts are
+    unioned (as many scans of ``df`` as groups — checkpoint it first)."""
+    cap = MAX_BUCKETS
+    probs = [i / cap for i in range(1, cap)]
+    stats = df.groupBy(group_col).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.percentile_approx(key.cast("double"), probs, max(10_000, 10 * cap)).alias("__q")).collect()
+    parts = []
+    for r in stats:
+        eff = min(cap, max(1, -(-int(r["__n"]) // ROWS_PER_BUCKET)))
+        q = r["__q"] or []
+        if eff < cap and q:
+            q = [q[(j * cap) // eff - 1] for j in range(1, eff)]
+        sub = df.where(F.col(group_col) == F.lit(r[group_col])).withColumn("__k", key.cast("double"))
+        b = Bucketizer(splits=_splits(q), inputCol="__k", outputCol="__b", handleInvalid="keep").transform(sub)
+        parts.append(b.select(*[F.col(c) for c in df.columns], F.col("__b").cast("int").alias(out)))
+    if not parts:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
                  sum_cols: Sequence[str], descending: bool = False,
                  bucket_col: str | None = None, n_buckets: int | None = None,

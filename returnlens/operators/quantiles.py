@@ -181,10 +181,17 @@ def medians_from_counts(weighted: DataFrame) -> dict[str, float | None]:
         counts.unpersist()
 
 
+def medians_given(counts: DataFrame, totals: dict[str, int], distinct: dict[str, int]
+                  ) -> dict[str, float | None]:
+    """Medians for a (column, value, n) table unique on (column, value) whose
+    per-column row totals and distinct counts are already known."""
+    targets = {c: [(t - 1) // 2, t // 2] for c, t in totals.items() if t > 0}
+    vals = rank_values(counts, targets, distinct)
+    return {c: (vals[(c, (t - 1) // 2)] + vals[(c, t // 2)]) / 2.0 for c, t in totals.items() if t > 0}
+
+
 def _medians(counts: DataFrame) -> dict[str, float | None]:
     summary = counts.groupBy("column").agg(F.sum("n").alias("total"),
                                            F.count(F.lit(1)).alias("d")).collect()
-    totals = {r["column"]: int(r["total"]) for r in summary}
-    targets = {c: [(t - 1) // 2, t // 2] for c, t in totals.items() if t > 0}
-    vals = rank_values(counts, targets, {r["column"]: int(r["d"]) for r in summary})
-    return {c: (vals[(c, (t - 1) // 2)] + vals[(c, t // 2)]) / 2.0 for c, t in totals.items() if t > 0}
+    return medians_given(counts, {r["column"]: int(r["total"]) for r in summary},
+                         {r["column"]: int(r["d"]) for r in summary})

@@ -20,7 +20,8 @@ from .. import constants as K
 from ..functions import names as N
 from ..functions.coerce import column_to_double, is_numeric_type, nan_to_null, qcol, to_double
 from . import quantiles as Q
-from .prefix import add_buckets, running_sums, string_sort_key
+from ..session import materialize
+from .prefix import add_group_buckets, running_sums, string_sort_key
 
 # ---------------------------------------------------------------------------
 # TR1 / TR2 coercion
@@ -103,25 +104,11 @@ def round_half_even(c: Column, digits: int) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def _long_values(df: DataFrame, columns: Sequence[str], as_text: bool,
-                 bucketed: bool = False) -> DataFrame:
-    """(column, value[, bucket]) pairs for the listed columns, NULLs dropped.
-
-    With ``bucketed`` each value also gets its equi-depth bucket (see
-    ``prefix.add_buckets``), computed per column while the table is still
-    wide, so every column has its own boundaries."""
+def _long_values(df: DataFrame, columns: Sequence[str], as_text: bool) -> DataFrame:
+    """(column, value) pairs for the listed columns, NULLs dropped."""
     vals = [qcol(c).cast("string") if as_text else column_to_double(df, c) for c in columns]
-    wide = df.select(*[v.alias(f"__v{i}") for i, v in enumerate(vals)])
-    if bucketed:
-        key = string_sort_key if as_text else (lambda c: c)
-        wide = add_buckets(wide, {f"__b{i}": key(F.col(f"__v{i}")) for i in range(len(columns))})
-    items = []
-    for i, c in enumerate(columns):
-        fields = [F.lit(c).alias("column"), F.col(f"__v{i}").alias("value")]
-        if bucketed:
-            fields.append(F.col(f"__b{i}").alias("bucket"))
-        items.append(F.struct(*fields))
-    return (wide.select(F.explode(F.array(*items)).alias("kv"))
+    items = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in zip(columns, vals)]
+    return (df.select(F.explode(F.array(*items)).alias("kv"))
             .select("kv.*").where(F.col("value").isNotNull()))
 
 
@@ -238,9 +225,9 @@ def fit_label_encoder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Dense ranks over distinct values use the bucketed running sum, so a
     column with many distinct values is never ranked in one task."""
-    distinct = (_long_values(df, columns, as_text=True, bucketed=True).distinct()
-                .withColumn("one", F.lit(1)))
-    ranked = running_sums(distinct, ["column"], "value", ["one"], bucket_col="bucket")
+    distinct = materialize(_long_values(df, columns, as_text=True).distinct()).withColumn("one", F.lit(1))
+    bucketed = add_group_buckets(distinct, "column", string_sort_key(F.col("value")))
+    ranked = running_sums(bucketed, ["column"], "value", ["one"], bucket_col="bucket")
     return ranked.select("column", "value", (F.col("cum_one") - 1).cast("int").alias("code"))
 
 
@@ -352,29 +339,36 @@ def fit_fill_statistics(df: DataFrame, columns: Sequence[str]
                         ) -> tuple[list[str], dict[str, float], dict[str, str]]:
     """TR2 + TR5 + TR6 from one scan: (numeric columns — numeric types and
     text columns whose every cell converts —, their medians, modes of the
-    rest)."""
+    rest).  One profile pass over ``df``, one summary aggregate over the
+    profile, then the median selection over the profile."""
     if not columns:
         return [], {}, {}
     prof = column_profile(df, columns)
     try:
-        text_cols = [c for c in columns if not is_numeric_type(df.schema[c].dataType)]
-        failing = {r["column"] for r in prof.where(F.col("num").isNull())
-                   .select("column").distinct().collect()} if text_cols else set()
+        best = F.min_by(F.col("txt"), F.struct((-F.col("n")).alias("neg_n"), F.col("txt")))
+        summary = {r["column"]: r for r in prof.groupBy("column").agg(
+            F.count_if(F.col("num").isNull()).alias("failing"),
+            F.count(F.lit(1)).alias("d"),
+            F.sum("n").alias("total"),
+            best.alias("mode")).collect()}
         numeric = [c for c in columns if is_numeric_type(df.schema[c].dataType) or
-                   (isinstance(df.schema[c].dataType, T.StringType) and c not in failing)]
+                   (isinstance(df.schema[c].dataType, T.StringType) and
+                    (c not in summary or summary[c]["failing"] == 0))]
         other = [c for c in columns if c not in set(numeric)]
         medians: dict[str, float] = {}
         if numeric:
             long = (prof.where(F.col("column").isin(numeric))
                     .select("column", F.col("num").alias("value"), "n"))
-            got = Q.medians_from_counts(long)
+            if all(is_numeric_type(df.schema[c].dataType) for c in numeric):
+                # (column, num) is already unique: use the profile as the counts
+                known = [c for c in numeric if c in summary]
+                got = Q.medians_given(long, {c: int(summary[c]["total"]) for c in known},
+                                      {c: int(summary[c]["d"]) for c in known})
+            else:
+                got = Q.medians_from_counts(long)
             medians = {c: (got[c] if got.get(c) is not None else 0.0) for c in numeric}
-        modes: dict[str, str] = {}
-        if other:
-            best = F.min_by(F.col("txt"), F.struct((-F.col("n")).alias("neg_n"), F.col("txt")))
-            got_m = {r["column"]: r["mode"] for r in prof.where(F.col("column").isin(other))
-                     .groupBy("column").agg(best.alias("mode")).collect()}
-            modes = {c: got_m.get(c) or "Unknown" for c in other}
+        modes = {c: (summary[c]["mode"] if c in summary and summary[c]["mode"] is not None else "Unknown")
+                 for c in other}
     finally:
         prof.unpersist()
     return numeric, medians, modes

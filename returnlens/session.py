@@ -54,3 +54,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and return a frame that
+    reads it back (a reliable checkpoint: it survives executor loss and cuts
+    the lineage, so later jobs do not recompute the plan that produced it)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
