@@ -318,86 +318,112 @@ def standardise(df: DataFrame, keep: Sequence[str] = (), protect: Sequence[str]
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, txt, num, n): every distinct non-missing cell of the listed
-    columns with its text form (text columns only), its number (NULL when it
-    does not convert) and how often it occurs.  One pass over ``df``;
-    persisted, because the fill statistics all read it (recomputed from
-    lineage if an executor is lost; the caller unpersists)."""
+    """(column, txt, num, n): every distinct cell of the listed columns with
+    its text form (text columns only), its number (NULL when it does not
+    convert) and how often it occurs; missing cells count under (NULL,
+    NULL).  One pass over ``df``; persisted, because the fill statistics all
+    read it (recomputed from lineage if an executor is lost; the caller
+    unpersists)."""
     items = []
     for c in columns:
         dt = df.schema[c].dataType
         txt = qcol(c).cast("string") if not is_numeric_type(dt) else F.lit(None).cast("string")
         items.append(F.struct(F.lit(c).alias("column"), txt.alias("txt"),
                               column_to_double(df, c).alias("num")))
-    long = (df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
-            .where(F.col("txt").isNotNull() | F.col("num").isNotNull()))
+    long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
     return (long.groupBy("column", "txt", "num").agg(F.count(F.lit(1)).alias("n"))
             .persist(StorageLevel.MEMORY_AND_DISK))
 
 
-def fit_fill_statistics(df: DataFrame, columns: Sequence[str]
+def fit_fill_statistics(df: DataFrame, columns: Sequence[str], per_cell: bool = False,
+                        skip_complete: bool = False
                         ) -> tuple[list[str], dict[str, float], dict[str, str]]:
-    """TR2 + TR5 + TR6 from one scan: (numeric columns — numeric types and
-    text columns whose every cell converts —, their medians, modes of the
-    rest).  One profile pass over ``df``, one summary aggregate over the
-    profile, then the median selection over the profile."""
+    """Batch fill statistics from one scan of ``df``: (numeric columns, their
+    medians, modes of the rest).
+
+    Numeric columns are the numeric types and the text columns whose every
+    cell converts (TR2); with ``per_cell`` every column is coerced cell by
+    cell (TR1) and non-numbers count as gaps.  With ``skip_complete`` only
+    columns that have gaps get a statistic (a fill changes nothing
+    elsewhere).  One profile pass, one summary aggregate over the profile,
+    then the median selection."""
     if not columns:
         return [], {}, {}
     prof = column_profile(df, columns)
     try:
-        best = F.min_by(F.col("txt"), F.struct((-F.col("n")).alias("neg_n"), F.col("txt")))
+        txt, num, n = F.col("txt"), F.col("num"), F.col("n")
+        missing = txt.isNull() & num.isNull()
+        best = F.min_by(F.when(txt.isNotNull(), txt),
+                        F.when(txt.isNotNull(), F.struct((-n).alias("neg_n"), txt)))
         summary = {r["column"]: r for r in prof.groupBy("column").agg(
-            F.count_if(F.col("num").isNull()).alias("failing"),
-            F.count(F.lit(1)).alias("d"),
-            F.sum("n").alias("total"),
+            F.sum(F.when(txt.isNotNull() & num.isNull(), n).otherwise(0)).alias("failing"),
+            F.sum(F.when(missing, n).otherwise(0)).alias("missing"),
+            F.count_if(num.isNotNull()).alias("d"),
+            F.sum(F.when(num.isNotNull(), n).otherwise(0)).alias("total"),
             best.alias("mode")).collect()}
-        numeric = [c for c in columns if is_numeric_type(df.schema[c].dataType) or
-                   (isinstance(df.schema[c].dataType, T.StringType) and
-                    (c not in summary or summary[c]["failing"] == 0))]
+
+        def stat(c, key):
+            return int(summary[c][key] or 0) if c in summary else 0
+
+        if per_cell:
+            numeric = list(columns)
+        else:
+            numeric = [c for c in columns if is_numeric_type(df.schema[c].dataType) or
+                       (isinstance(df.schema[c].dataType, T.StringType) and stat(c, "failing") == 0)]
         other = [c for c in columns if c not in set(numeric)]
+
+        def gaps(c):
+            return stat(c, "missing") + (stat(c, "failing") if per_cell else 0)
+
+        want_median = [c for c in numeric if not skip_complete or gaps(c) > 0]
+        want_mode = [c for c in other if not skip_complete or gaps(c) > 0]
         medians: dict[str, float] = {}
-        if numeric:
-            long = (prof.where(F.col("column").isin(numeric))
-                    .select("column", F.col("num").alias("value"), "n"))
-            if all(is_numeric_type(df.schema[c].dataType) for c in numeric):
-                # (column, num) is already unique: use the profile as the counts
-                known = [c for c in numeric if c in summary]
-                got = Q.medians_given(long, {c: int(summary[c]["total"]) for c in known},
-                                      {c: int(summary[c]["d"]) for c in known})
+        if want_median:
+            long = (prof.where(F.col("column").isin(want_median) & num.isNotNull())
+                    .select("column", num.alias("value"), "n"))
+            if all(is_numeric_type(df.schema[c].dataType) for c in want_median):
+                # (column, num) is unique for numeric types: the profile is the count table
+                known = [c for c in want_median if stat(c, "total") > 0]
+                got = Q.medians_given(long, {c: stat(c, "total") for c in known},
+                                      {c: stat(c, "d") for c in known})
             else:
                 got = Q.medians_from_counts(long)
-            medians = {c: (got[c] if got.get(c) is not None else 0.0) for c in numeric}
+            medians = {c: (got[c] if got.get(c) is not None else 0.0) for c in want_median}
         modes = {c: (summary[c]["mode"] if c in summary and summary[c]["mode"] is not None else "Unknown")
-                 for c in other}
+                 for c in want_mode}
     finally:
         prof.unpersist()
     return numeric, medians, modes
 
 
 def scoring_fills(df: DataFrame, leakage_mode: str = "substring",
-                  only: Sequence[str] | None = None
+                  only: Sequence[str] | None = None, skip_complete: bool = False
                   ) -> tuple[dict[str, Column], list[str], list[str]]:
     """TR15 as expressions over ``df``: for every non-leakage column, the
-    prepared value (numeric → DOUBLE with NULLs at the batch median; other →
-    text with NULLs at the batch mode).
+    prepared value (numeric → DOUBLE with gaps at the batch median; other →
+    text with gaps at the batch mode).
 
     Returns (column → Column, leakage columns dropped, numeric columns).  The
     statistics come from one scan (``fit_fill_statistics``); the fills are
     row-local, so callers can keep every input column alongside.  ``only``
-    limits the statistics to the columns a caller will read (a scorer that
-    reads four columns should not rank every id column in the table).
+    limits the work to the columns a caller will read; ``skip_complete``
+    leaves columns without gaps as they are (coerced, not filled).
     """
     leakage = N.leakage_columns(df.columns, leakage_mode)
     remaining = [c for c in df.columns if c not in set(leakage)]
     if only is not None:
         remaining = [c for c in remaining if c in set(only)]
-    numeric, medians, modes = fit_fill_statistics(df, remaining)
+    numeric, medians, modes = fit_fill_statistics(df, remaining, skip_complete=skip_complete)
     fills: dict[str, Column] = {}
     for c in remaining:
         if c in medians:
             fills[c] = F.coalesce(column_to_double(df, c), F.lit(float(medians[c])))
-        else:
+        elif c in modes:
             fills[c] = F.coalesce(qcol(c).cast("string"), F.lit(modes[c]))
+        elif c in numeric:
+            fills[c] = column_to_double(df, c)
+        else:
+            fills[c] = qcol(c).cast("string")
     return fills, leakage, numeric
 
 

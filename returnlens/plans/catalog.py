@@ -297,8 +297,13 @@ def q_drop_leakage(spark, sf_dir):
 
 @query("filtered_results")
 def q_filtered_results(spark, sf_dir):
-    """FI1 + FI2 + PR11 + PR12: confident predicted returns, display columns."""
-    scored = S.score_production(order_lines(spark, sf_dir))
+    """FI1 + FI2 + PR11 + PR12: confident predicted returns, display columns.
+    As in an interactive session, the scored table is stored once (a
+    checkpoint in the shared folder) and the filters read the stored result;
+    they are then plain scan predicates instead of conditions inside the
+    scoring joins."""
+    from ..session import materialize
+    scored = materialize(S.score_production(order_lines(spark, sf_dir)))
     return PR.display_columns(AN.filter_results(scored, 0.6, "Return"), 10)
 
 

@@ -66,9 +66,9 @@ def quick_probability(df: DataFrame, numeric_fallback: bool = True) -> Column:
     median (TR5), then the plain rules over those columns."""
     base = df.select(*[qcol(c) for c in _inputs(df)])
     chosen = scoring_columns(base, numeric_fallback=numeric_fallback)
-    # a median only fills missing cells: complete columns need none
+    # a median only fills gaps: complete columns need none (one profile pass)
     scored = [c for c in chosen if N.plain_family(c) is not None]
-    medians = TR.fit_medians(base, columns_with_missing(base, scored))
+    _, medians, _ = TR.fit_fill_statistics(base, scored, per_cell=True, skip_complete=True)
     filled = [(c, F.coalesce(column_to_double(base, c), F.lit(float(medians[c])))
                if c in medians else column_to_double(base, c)) for c in chosen]
     return R.clamp(R.plain_rule_score(filled))
@@ -91,28 +91,11 @@ def production_probability(df: DataFrame) -> Column:
     leak = set(N.leakage_columns(base.columns, "substring"))
     used = [c for c in base.columns if c not in leak
             and any(N.contains_any(c, words) for words, _ in K.PRODUCTION_RULES)]
-    need = columns_with_missing(base, used)
-    fills, _, numeric = TR.scoring_fills(base, only=need)
-    cols = []
-    for c in used:
-        if c in fills:
-            cols.append((c, fills[c] if c in numeric else text_to_double(fills[c])))
-        else:
-            cols.append((c, column_to_double(base, c)))
+    fills, _, numeric = TR.scoring_fills(base, only=used, skip_complete=True)
+    cols = [(c, fills[c] if c in numeric else text_to_double(fills[c])) for c in used]
     return R.clamp(R.production_rule_score(cols))
 
 
-def columns_with_missing(df: DataFrame, columns) -> list[str]:
-    """The listed columns that hold a NULL (or NaN) cell: one aggregate,
-    no shuffle beyond a single row per task."""
-    if not columns:
-        return []
-    from ..operators.profile import _is_missing
-    row = df.agg(*[F.max(_is_missing(df, c).cast("int")).alias(f"m{i}")
-                   for i, c in enumerate(columns)]).collect()[0]
-    return [c for i, c in enumerate(columns) if row[f"m{i}"]]
-
-
 def score_production(df: DataFrame) -> DataFrame:
     """SC3 (+SC5, SC7, SC9) over the input; every input column is kept."""
     return decorate(df, production_probability(df), "seven")

@@ -57,8 +57,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and return a frame that
-    reads it back (a reliable checkpoint: it survives executor loss and cuts
-    the lineage, so later jobs do not recompute the plan that produced it)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and
+    return a frame that reads it back.  The plan runs once; the table
+    survives executor loss and cuts the lineage, so later jobs read it
+    (with column pruning and pushed filters) instead of recomputing the
+    plan that produced it."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
