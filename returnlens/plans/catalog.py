@@ -350,6 +350,23 @@ def q_coerce_cells(spark, sf_dir):
     return row.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
 
 
+@query("round_half_even")
+def q_round_half_even(spark, sf_dir):
+    """TR16: ratings rounded to whole stars, half to even (2.5 → 2, 3.5 → 4)."""
+    df = order_lines(spark, sf_dir)
+    return (df.where(F.col("product_rating").isNotNull())
+            .groupBy(F.col("product_rating").alias("rating"),
+                     TR.round_half_even(F.col("product_rating"), 0).alias("rounded"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("relevant_columns")
+def q_relevant_columns(spark, sf_dir):
+    """PR9: the columns whose names carry a relevant word (price, cost,
+    amount, age, rating, score, time, day), every row."""
+    return PR.select_relevant(order_lines(spark, sf_dir))
+
+
 @query("canonical_orders")
 def q_canonical_orders(spark, sf_dir):
     """TR14 (PR2, PR4, PR6-PR8, TR1, TR3, TR4): per canonical column

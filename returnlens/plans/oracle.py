@@ -514,3 +514,10 @@ WITH {_scored(_PLAIN_P, _BANDS6)}
 SELECT band AS Confidence_Level, COUNT(*) AS n, COUNT(item_price) AS priced,
        CAST(SUM(pred) AS BIGINT) AS predicted_returns, round(SUM(p), 6) AS probability_sum
 FROM scored GROUP BY 1""")
+
+ORACLE["round_half_even"] = with_order_lines("""
+SELECT product_rating AS rating, round_even(product_rating, 0) AS rounded, COUNT(*) AS n
+FROM order_lines WHERE product_rating IS NOT NULL GROUP BY 1, 2""")
+
+ORACLE["relevant_columns"] = with_order_lines(
+    "SELECT item_price, customer_age, delivery_days, product_rating FROM order_lines")

@@ -47,8 +47,11 @@ def normalise_missing(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """IO2: CSV with header, one file per task (no single-writer funnel)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """IO2: CSV with header, one file per task (no single-writer funnel).
+    Text is written exactly (Spark's writer would trim surrounding spaces)."""
+    (df.write.mode(mode).option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",

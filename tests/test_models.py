@@ -75,3 +75,11 @@ def test_unknown_category_encodes_as_zeros(spark):
     # unseen → all one-hot slots zero; NULL → the training mode 'a' (frozen fill)
     assert vecs[0][1:] == [0.0, 0.0]
     assert vecs[1][1:] != [0.0, 0.0]
+
+
+def test_gradient_boosted_trees_fit(spark, labelled):
+    train = labelled.where(F.col("part") == "train")
+    test = labelled.where(F.col("part") == "test")
+    model = ML.fit(train, NUM, CAT, "y", kind="gbt", maxIter=5, maxDepth=3)
+    auc = EV.roc_auc(model.score(test), "p", "y").collect()[0]["auc"]
+    assert auc > 0.55
