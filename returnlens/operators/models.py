@@ -110,6 +110,32 @@ def classifier(kind: str, label: str = "label", weight: str | None = None, **par
     raise ValueError(kind)
 
 
+def lr_reg_param(C: float, n_rows: int) -> float:
+    """ML1: Spark's ``regParam`` for an L2 penalty that weighs like
+    scikit-learn's inverse strength ``C`` on ``n_rows`` training rows
+    (Spark averages the loss and weights the penalty; the other weighs the
+    summed loss by C): regParam = 1 / (C · n)."""
+    return 1.0 / (C * n_rows)
+
+
+def select_model(candidates: list[tuple[str, "FittedModel"]], df: DataFrame, label: str,
+                 prefer: str | None = None) -> tuple[str, "FittedModel", DataFrame]:
+    """ML6: the candidate with the best F1 on ``df`` at its own threshold.
+    Ties keep the earlier candidate, unless ``prefer`` names one that ties
+    for best (the fixed-schema trainer lets the random forest win ties).
+    Returns (name, model, per-candidate metrics)."""
+    reports = [evaluate_model(m, df, label, name) for name, m in candidates]
+    table = reports[0]
+    for r in reports[1:]:
+        table = table.unionByName(r)
+    f1 = {r["split"]: r["f1"] for r in table.select("split", "f1").collect()}  # one row per candidate
+    best_name, best_f1 = None, None
+    for name, _ in candidates:
+        if best_f1 is None or f1[name] > best_f1 or (name == prefer and f1[name] == best_f1):
+            best_name, best_f1 = name, f1[name]
+    return best_name, dict(candidates)[best_name], table
+
+
 def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str], clf) -> Pipeline:
     """TR12 + TR13: one-hot categorical branch + numeric branch → vector."""
     idx = [f"{c}__idx" for c in categorical]

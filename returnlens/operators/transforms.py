@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import names as N
-from ..functions.coerce import column_to_double, is_numeric_type, nan_to_null, qcol, to_double
+from ..functions.coerce import column_to_double, is_numeric_type, nan_to_null, qcol
 from . import quantiles as Q
 from ..session import materialize
 from .prefix import add_group_buckets, running_sums, string_sort_key

@@ -102,14 +102,17 @@ def q_rule_score_production_rows(spark, sf_dir):
 
 @query("propensity")
 def q_propensity(spark, sf_dir):
-    """SC4 (production formula) on the canonical features of every line."""
+    """SC4: the three propensity formulas (root, flexible, production) on
+    the canonical features of every line."""
     canon, _, _ = _canonical(spark, sf_dir)
     feats = {"price": F.col("product_price"), "category": F.col("product_category"),
              "delivery": F.col("delivery_time"), "rating": F.col("product_rating"),
              "return_rate": F.col("return_history_rate"), "discount": F.col("discount"),
              "quantity": F.col("order_quantity"), "age": F.col("customer_age")}
     return canon.select("order_id", "line_no",
-                        R.clamp(R.propensity("production", feats)).alias("propensity"))
+                        R.clamp(R.propensity("production", feats)).alias("propensity"),
+                        R.clamp(R.propensity("root", feats)).alias("propensity_root"),
+                        R.clamp(R.propensity("flexible", feats)).alias("propensity_flexible"))
 
 
 @query("labels_and_bands")

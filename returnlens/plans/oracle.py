@@ -156,9 +156,35 @@ _PROPENSITY = """
 _PROP_CLAMPED = f"""CASE WHEN ({_PROPENSITY}) IS NULL THEN NULL
   ELSE GREATEST(0.05::DOUBLE, LEAST(0.95::DOUBLE, ({_PROPENSITY}))) END"""
 
+_PROPENSITY_ROOT = """
+  0.15::DOUBLE
+  + product_price / 500.0::DOUBLE * 0.2::DOUBLE
+  + CASE WHEN product_category IN ('Electronics', 'Clothing') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.1::DOUBLE
+  + delivery_time / 15.0::DOUBLE * 0.15::DOUBLE
+  + (5.0::DOUBLE - product_rating) / 4.0::DOUBLE * 0.2::DOUBLE
+  + return_history_rate * 0.25::DOUBLE
+  + discount / 30.0::DOUBLE * 0.1::DOUBLE"""
+
+_PROPENSITY_FLEX = """
+  0.35::DOUBLE
+  + product_price / 2000.0::DOUBLE * 0.25::DOUBLE
+  + CASE WHEN product_category IN ('Electronics', 'Clothing') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.15::DOUBLE
+  + delivery_time / 20.0::DOUBLE * 0.2::DOUBLE
+  + (5.0::DOUBLE - product_rating) / 4.0::DOUBLE * 0.25::DOUBLE
+  + discount / 30.0::DOUBLE * 0.15::DOUBLE"""
+
+
+def _clamped(expr: str) -> str:
+    return f"""CASE WHEN ({expr}) IS NULL THEN NULL
+  ELSE GREATEST(0.05::DOUBLE, LEAST(0.95::DOUBLE, ({expr}))) END"""
+
+
 ORACLE["propensity"] = with_order_lines(f"""
 WITH {_CANON_CTE}
-SELECT order_id, line_no, {_PROP_CLAMPED} AS propensity FROM canon""")
+SELECT order_id, line_no, {_PROP_CLAMPED} AS propensity,
+       {_clamped(_PROPENSITY_ROOT)} AS propensity_root,
+       {_clamped(_PROPENSITY_FLEX)} AS propensity_flexible
+FROM canon""")
 
 ORACLE["labels_and_bands"] = with_order_lines(f"""
 WITH {_PROD_CTE}

@@ -83,3 +83,14 @@ def test_gradient_boosted_trees_fit(spark, labelled):
     model = ML.fit(train, NUM, CAT, "y", kind="gbt", maxIter=5, maxDepth=3)
     auc = EV.roc_auc(model.score(test), "p", "y").collect()[0]["auc"]
     assert auc > 0.55
+
+
+def test_model_selection_tie_rules(spark, labelled):
+    train = labelled.where(F.col("part") == "train")
+    test = labelled.where(F.col("part") == "test")
+    m = ML.fit(train, NUM, CAT, "y", kind="lr", maxIter=20)
+    name, _, table = ML.select_model([("first", m), ("second", m)], test, "y")
+    assert name == "first" and table.count() == 2      # equal F1: the earlier one
+    name, _, _ = ML.select_model([("lr", m), ("rf", m)], test, "y", prefer="rf")
+    assert name == "rf"                                 # the preferred one wins ties
+    assert ML.lr_reg_param(1.0, 1000) == 0.001
