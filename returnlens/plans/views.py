@@ -6,11 +6,11 @@ same cells; age, rating and delivery are stand-ins derived from keys.
 
 Join strategy (for a 100 TB lineitem): lineitem ⋈ orders is the one
 large-large join and is a shuffle (sort-merge) join on the order key;
-customer and part joins are left to the planner, which broadcasts them only
-while their measured size is under ``spark.sql.autoBroadcastJoinThreshold``
-and otherwise shuffles (AQE re-plans at run time and splits skewed keys).
-``nation`` is a fixed 25-row dimension and is broadcast.  Each scan keeps
-only the columns used here.
+the dimension joins (customer, nation, part) are left to the planner, which
+broadcasts a side only while its measured size is under
+``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles (AQE
+re-plans at run time and splits skewed keys).  Each scan keeps only the
+columns used here.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def order_lines_from(li: DataFrame, od: DataFrame, cu: DataFrame, na: DataFrame,
     joins).  Adds ``order_date`` (DATE) and ``order_ts`` (event time)."""
     j = (li.join(od, li.l_orderkey == od.o_orderkey)
          .join(cu, F.col("o_custkey") == F.col("c_custkey"))
-         .join(F.broadcast(na), F.col("c_nationkey") == F.col("n_nationkey"))
+         .join(na, F.col("c_nationkey") == F.col("n_nationkey"))
          .join(pa, F.col("l_partkey") == F.col("p_partkey")))
 
     null_d = F.lit(None).cast("double")

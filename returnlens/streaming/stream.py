@@ -86,6 +86,24 @@ def run_available(df: DataFrame, output_mode: str = "append", name: str | None =
     return spark.table(name)
 
 
+def run_to_parquet(df: DataFrame, path: str, name: str | None = None,
+                   available_now: bool = True):
+    """Append a streaming frame to a Parquet table (the sink for unbounded
+    outputs such as scored rows; the memory sink suits bounded ones such as
+    per-window counts).  Exactly-once through the checkpoint folder under
+    ``spark.checkpoint.dir``.  Returns the query (already finished when
+    ``available_now``)."""
+    spark = df.sparkSession
+    name = name or f"rl_{uuid.uuid4().hex[:12]}"
+    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+    w = (df.writeStream.format("parquet").option("path", path)
+         .option("checkpointLocation", ckpt).outputMode("append"))
+    q = (w.trigger(availableNow=True) if available_now else w).start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
 def stream_medians(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     """Fit the SC2 medians on the batch view (the frozen statistics)."""
     from ..operators.projections import scoring_columns

@@ -28,7 +28,7 @@ def test_scoring_plan_has_no_python_and_prunes_scans(spark):
     assert scan and "l_tax" not in scan[0] and "l_suppkey" not in scan[0]
 
 
-def test_nation_is_broadcast_and_lines_join_orders_on_key(spark):
+def test_small_dimensions_are_broadcast_by_measured_size(spark):
     plan = _plan(order_lines(spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
 

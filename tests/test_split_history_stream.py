@@ -79,3 +79,13 @@ def test_score_stream_rejects_batch(spark):
     import pytest
     with pytest.raises(ValueError):
         ST.score_stream(spark.createDataFrame([(1.0,)], "item_price double"), {"item_price": 1.0})
+
+
+def test_scored_stream_to_parquet(spark):
+    import os
+    import tempfile
+    out = os.path.join(tempfile.mkdtemp(prefix="rl-stream-"), "scored")
+    medians = ST.stream_medians(spark, SF_SMALL)
+    ST.run_to_parquet(ST.score_stream(ST.order_lines_stream(spark, SF_SMALL), medians)
+                      .select("order_id", "line_no", "Prediction"), out)
+    assert spark.read.parquet(out).count() == order_lines_with_dates(spark, SF_SMALL).count()
