@@ -97,13 +97,27 @@ def replace_result_columns(df: DataFrame) -> DataFrame:
 
 def detect_types(df: DataFrame, limit: int = K.TYPE_LIMIT_FLEXIBLE,
                  leakage_mode: str = "substring") -> DataFrame:
-    """PR13: per feature column, 'numeric' when at least one value converts
-    and it has at most ``limit`` distinct values, else 'categorical'.
+    """PR13 (see ``type_stats``): (column, n_numeric, n_distinct, kind,
+    position) for one cardinality limit."""
+    return with_kind(type_stats(df, leakage_mode), limit)
+
+
+def with_kind(stats: DataFrame, limit: int) -> DataFrame:
+    """Classify ``type_stats`` rows under a cardinality limit."""
+    kind = F.when((F.col("n_numeric") > 0) & (F.col("n_distinct") <= limit), F.lit("numeric")) \
+        .otherwise(F.lit("categorical"))
+    return stats.select("column", "n_numeric", "n_distinct", kind.alias("kind"), "position")
+
+
+def type_stats(df: DataFrame, leakage_mode: str = "substring") -> DataFrame:
+    """PR13 statistics per feature column: cells that convert to a number
+    and distinct values (a column is 'numeric' when some value converts and
+    it has at most ``limit`` distinct values, see ``with_kind``).
 
     Leakage columns and the target are left out first.  One job: values are
     unpivoted to (column, text, number); distinct counting shuffles on
     (column, value), so one wide column never sits in one task.
-    Returns (column, n_numeric, n_distinct, kind), in input column order.
+    Returns (column, n_numeric, n_distinct, position).
     """
     cols = list(df.columns)
     leak = set(N.leakage_columns(cols, leakage_mode))
@@ -111,7 +125,7 @@ def detect_types(df: DataFrame, limit: int = K.TYPE_LIMIT_FLEXIBLE,
     feats = [c for c in cols if c not in leak and c != target]
     if not feats:
         return df.sparkSession.createDataFrame(
-            [], "column string, n_numeric bigint, n_distinct bigint, kind string, position int")
+            [], "column string, n_numeric bigint, n_distinct bigint, position int")
     items = []
     for i, c in enumerate(feats):
         dt = df.schema[c].dataType
@@ -125,11 +139,9 @@ def detect_types(df: DataFrame, limit: int = K.TYPE_LIMIT_FLEXIBLE,
     stats = (per_value.groupBy("column", "position")
              .agg(F.sum("n_num").alias("n_numeric"),
                   F.count("text").alias("n_distinct")))
-    kind = F.when((F.col("n_numeric") > 0) & (F.col("n_distinct") <= limit), F.lit("numeric")) \
-        .otherwise(F.lit("categorical"))
     return stats.select("column", F.col("n_numeric").cast("bigint").alias("n_numeric"),
                         F.col("n_distinct").cast("bigint").alias("n_distinct"),
-                        kind.alias("kind"), F.col("position").cast("int").alias("position"))
+                        F.col("position").cast("int").alias("position"))
 
 
 def feature_types(df: DataFrame, limit: int = K.TYPE_LIMIT_FLEXIBLE,
