@@ -41,32 +41,29 @@ def _splits(q) -> list[float]:
     return [-_INF] + (inner or [0.0]) + [_INF]
 
 
+def _bucket_count(n_rows: int) -> int:
+    return min(MAX_BUCKETS, max(1, -(-int(n_rows) // ROWS_PER_BUCKET)))
+
+
 def add_buckets(df: DataFrame, keys: dict[str, Column], n_buckets: int | None = None) -> DataFrame:
     """Add one INT bucket column per entry of ``keys`` (name → numeric key
     expression), cut at approximate quantiles of each key.  Equal keys always
     share a bucket; buckets increase with the key.
 
     The bucket count follows the data: about one bucket per
-    ``ROWS_PER_BUCKET`` rows (at most ``MAX_BUCKETS``), chosen from one
-    sketch job that also counts the rows; ``n_buckets`` fixes it instead."""
+    ``ROWS_PER_BUCKET`` rows (at most ``MAX_BUCKETS``); ``n_buckets`` fixes
+    it instead.  The row count comes first (cheap on a materialized input),
+    and the sketch job runs only when more than one bucket is needed."""
     names = list(keys)
+    eff = n_buckets or _bucket_count(df.count())
+    if eff <= 1:
+        return df.select("*", *[F.when(keys[n].isNotNull(), F.lit(0)).alias(n) for n in names])
     tmp = df.select("*", *[keys[n].cast("double").alias(f"__k_{i}") for i, n in enumerate(names)])
-    cap = n_buckets or MAX_BUCKETS
-    probs = [i / cap for i in range(1, cap)]
-    acc = max(10_000, 10 * cap)
-    row = tmp.agg(F.count(F.lit(1)).alias("__n"),
-                  *[F.percentile_approx(f"__k_{i}", probs, acc).alias(f"q{i}")
+    probs = [i / eff for i in range(1, eff)]
+    row = tmp.agg(*[F.percentile_approx(f"__k_{i}", probs, max(10_000, 10 * eff)).alias(f"q{i}")
                     for i in range(len(names))]).collect()[0]
-    eff = n_buckets or min(cap, max(1, -(-int(row["__n"]) // ROWS_PER_BUCKET)))
-
-    def pick(q):
-        q = q or []
-        if eff >= cap or not q:
-            return q
-        return [q[(j * cap) // eff - 1] for j in range(1, eff)]
-
     bucketizer = Bucketizer(
-        splitsArray=[_splits(pick(row[f"q{i}"])) for i in range(len(names))],
+        splitsArray=[_splits(row[f"q{i}"]) for i in range(len(names))],
         inputCols=[f"__k_{i}" for i in range(len(names))],
         outputCols=[f"__b_{i}" for i in range(len(names))],
         handleInvalid="keep")
@@ -77,25 +74,30 @@ def add_buckets(df: DataFrame, keys: dict[str, Column], n_buckets: int | None =
 
 def add_group_buckets(df: DataFrame, group_col: str, key: Column, out: str = "bucket") -> DataFrame:
     """``add_buckets`` with separate boundaries per value of ``group_col`` (a
-    schema-level key such as a column name): one sketch job for all groups,
-    then each group is cut by its own ``Bucketizer`` and the parts are
-    unioned (as many scans of ``df`` as groups — checkpoint it first)."""
-    cap = MAX_BUCKETS
-    probs = [i / cap for i in range(1, cap)]
-    stats = df.groupBy(group_col).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx(key.cast("double"), probs, max(10_000, 10 * cap)).alias("__q")).collect()
-    parts = []
-    for r in stats:
-        eff = min(cap, max(1, -(-int(r["__n"]) // ROWS_PER_BUCKET)))
-        q = r["__q"] or []
-        if eff < cap and q:
-            q = [q[(j * cap) // eff - 1] for j in range(1, eff)]
-        sub = df.where(F.col(group_col) == F.lit(r[group_col])).withColumn("__k", key.cast("double"))
-        b = Bucketizer(splits=_splits(q), inputCol="__k", outputCol="__b", handleInvalid="keep").transform(sub)
-        parts.append(b.select(*[F.col(c) for c in df.columns], F.col("__b").cast("int").alias(out)))
-    if not parts:
-        return df.withColumn(out, F.lit(None).cast("int"))
+    schema-level key such as a column name).  Rows are counted per group
+    first; groups that fit one bucket get bucket 0 in one projection, larger
+    groups are sketched in one job and cut by their own ``Bucketizer``, and
+    the parts are unioned.  Checkpoint ``df`` first: it is read once per
+    large group."""
+    counts = {r[group_col]: int(r["__n"]) for r in
+              df.groupBy(group_col).agg(F.count(F.lit(1)).alias("__n")).collect()}
+    big = {g: _bucket_count(n) for g, n in counts.items() if _bucket_count(n) > 1}
+    small_part = df.where(~F.col(group_col).isin(list(big))) if big else df
+    parts = [small_part.select("*", F.when(key.isNotNull(), F.lit(0)).alias(out))]
+    if big:
+        cap = max(big.values())
+        probs = [i / cap for i in range(1, cap)]
+        stats = {r[group_col]: r["__q"] for r in df.where(F.col(group_col).isin(list(big)))
+                 .groupBy(group_col).agg(F.percentile_approx(key.cast("double"), probs,
+                                                             max(10_000, 10 * cap)).alias("__q")).collect()}
+        for g, eff in big.items():
+            q = stats.get(g) or []
+            if eff < cap and q:
+                q = [q[(j * cap) // eff - 1] for j in range(1, eff)]
+            sub = df.where(F.col(group_col) == F.lit(g)).withColumn("__k", key.cast("double"))
+            b = Bucketizer(splits=_splits(q), inputCol="__k", outputCol="__b",
+                           handleInvalid="keep").transform(sub)
+            parts.append(b.select(*[F.col(c) for c in df.columns], F.col("__b").cast("int").alias(out)))
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)

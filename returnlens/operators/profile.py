@@ -77,12 +77,14 @@ def is_empty(df: DataFrame) -> DataFrame:
 
 
 def validation_report(df: DataFrame, limit: int = K.TYPE_LIMIT_FLEXIBLE,
-                      leakage_mode: str = "substring") -> DataFrame:
+                      leakage_mode: str = "substring", target_mode: str = "exact") -> DataFrame:
     """AG5: a long (check, column, value, severity) report.
 
     Data-level numbers (rows, missing cells, quality issues) come from
     aggregates; name-level findings (leakage, target, feature types) from
-    the schema and PR13.  An empty table reports only the error.
+    the schema and PR13.  An empty table reports only the error.  The
+    "ultra" variant is ``limit=20, leakage_mode='keyword',
+    target_mode='keyword'`` (its negatives check also covers 'amount').
     """
     spark = df.sparkSession
     schema = "check string, column string, value string, severity string"
@@ -94,7 +96,8 @@ def validation_report(df: DataFrame, limit: int = K.TYPE_LIMIT_FLEXIBLE,
     rows.append(("missing_values", None, str(missing), "warning" if missing else "info"))
     for c in N.leakage_columns(df.columns, leakage_mode):
         rows.append(("leakage_column", c, "removed before scoring", "warning"))
-    target = N.find_target_exact(df.columns)
+    target = (N.find_target_keyword(df.columns) if target_mode == "keyword"
+              else N.find_target_exact(df.columns))
     if target:
         rows.append(("target_column", target, "compared with predictions", "warning"))
     for r in quality_issues(df, include_amount=(leakage_mode == "keyword")).collect():

@@ -172,6 +172,25 @@ def q_youden_threshold(spark, sf_dir):
     return EV.youden_threshold(_production(spark, sf_dir), "Return_Probability", "actual")
 
 
+@query("tuned_decisions")
+def q_tuned_decisions(spark, sf_dir):
+    """SC4 → AG12 → SC6 → SC7 → SC10: the propensity as a score, its Youden
+    threshold tuned against actual returns, decisions p >= t, labels and
+    distance-to-threshold bands, counted."""
+    canon, _, _ = _canonical(spark, sf_dir)
+    feats = {"price": F.col("product_price"), "category": F.col("product_category"),
+             "delivery": F.col("delivery_time"), "rating": F.col("product_rating"),
+             "return_rate": F.col("return_history_rate"), "discount": F.col("discount"),
+             "quantity": F.col("order_quantity"), "age": F.col("customer_age")}
+    scored = canon.select(R.clamp(R.propensity("production", feats)).alias("p"), "target") \
+        .where(F.col("p").isNotNull())
+    t = EV.best_threshold(scored, "p", "target")
+    out = S.score_with_probability(scored, F.col("p"), t, bands="distance")
+    return out.groupBy("Prediction", "Prediction_Label", "Confidence_Level").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("target").cast("bigint").alias("returns"),
+        F.lit(t).cast("double").alias("threshold"))
+
+
 @query("class_weights")
 def q_class_weights(spark, sf_dir):
     """AG13 + AG14: rows, share and balanced weight per class."""
@@ -255,6 +274,13 @@ def q_validation_report(spark, sf_dir):
     return PF.validation_report(order_lines(spark, sf_dir))
 
 
+@query("ultra_validation")
+def q_ultra_validation(spark, sf_dir):
+    """AG5, "ultra" variant: keyword leakage (PR3), keyword target (PR5),
+    type limit 20, amount columns in the negatives check."""
+    return PF.validation_report(order_lines(spark, sf_dir), K.TYPE_LIMIT_ULTRA, "keyword", "keyword")
+
+
 @query("csv_round_trip")
 def q_csv_round_trip(spark, sf_dir):
     """IO2 then IO1: scored lines written as CSV to the shared checkpoint

@@ -503,37 +503,26 @@ SELECT CAST((date_diff('day', DATE '1970-01-01', order_date) // 30) * 30 AS BIGI
        CAST(SUM({_ACTUAL}) AS BIGINT) AS actual_returns
 FROM scored GROUP BY 1""")
 
-ORACLE["validation_report"] = with_order_lines("""
+def _validation_sql(limit: int) -> str:
+    """AG5 over order_lines: only return_status is leakage and target under
+    both name rules; no quality issue fires on this view."""
+    numeric_cols = ["line_no", "order_quantity", "customer_age", "discount", "delivery_days",
+                    "product_rating", "item_price", "order_id", "customer_id"]
+    k = " + ".join(f"CASE WHEN COUNT(DISTINCT {c}) <= {limit} THEN 1 ELSE 0 END" for c in numeric_cols)
+    missing = " - ".join(f"COUNT({c})" for c in _VIEW_COLS)
+    return with_order_lines(f"""
 SELECT 'rows' AS "check", CAST(NULL AS VARCHAR) AS "column", CAST(COUNT(*) AS VARCHAR) AS value, 'info' AS severity
 FROM order_lines
 UNION ALL SELECT 'columns', NULL, '14', 'info'
-UNION ALL SELECT 'missing_values', NULL,
-  CAST(COUNT(*) * 14 - COUNT(order_id) - COUNT(line_no) - COUNT(customer_id) - COUNT(product_category)
-       - COUNT(item_price) - COUNT(order_quantity) - COUNT(customer_age) - COUNT(customer_location)
-       - COUNT(payment_method) - COUNT(shipping_method) - COUNT(discount) - COUNT(delivery_days)
-       - COUNT(product_rating) - COUNT(return_status) AS VARCHAR), 'warning' FROM order_lines
+UNION ALL SELECT 'missing_values', NULL, CAST(COUNT(*) * 14 - {missing} AS VARCHAR), 'warning' FROM order_lines
 UNION ALL SELECT 'leakage_column', 'return_status', 'removed before scoring', 'warning'
 UNION ALL SELECT 'target_column', 'return_status', 'compared with predictions', 'warning'
-UNION ALL SELECT 'numeric_features', NULL, CAST(SUM(k) AS VARCHAR), 'info' FROM (
-  SELECT CASE WHEN COUNT(DISTINCT line_no) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT order_quantity) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT customer_age) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT discount) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT delivery_days) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT product_rating) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT item_price) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT order_id) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT customer_id) <= 10 THEN 1 ELSE 0 END AS k FROM order_lines) x
-UNION ALL SELECT 'categorical_features', NULL, CAST(13 - SUM(k) AS VARCHAR), 'info' FROM (
-  SELECT CASE WHEN COUNT(DISTINCT line_no) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT order_quantity) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT customer_age) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT discount) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT delivery_days) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT product_rating) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT item_price) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT order_id) <= 10 THEN 1 ELSE 0 END
-       + CASE WHEN COUNT(DISTINCT customer_id) <= 10 THEN 1 ELSE 0 END AS k FROM order_lines) x""")
+UNION ALL SELECT 'numeric_features', NULL, CAST({k} AS VARCHAR), 'info' FROM order_lines
+UNION ALL SELECT 'categorical_features', NULL, CAST(13 - ({k}) AS VARCHAR), 'info' FROM order_lines""")
+
+
+ORACLE["validation_report"] = _validation_sql(10)
+ORACLE["ultra_validation"] = _validation_sql(20)
 
 ORACLE["csv_round_trip"] = with_order_lines(f"""
 WITH {_scored(_PLAIN_P, _BANDS6)}
@@ -547,3 +536,27 @@ FROM order_lines WHERE product_rating IS NOT NULL GROUP BY 1, 2""")
 
 ORACLE["relevant_columns"] = with_order_lines(
     "SELECT item_price, customer_age, delivery_days, product_rating FROM order_lines")
+
+ORACLE["tuned_decisions"] = with_order_lines(f"""
+WITH {_CANON_CTE},
+sc AS (SELECT {_PROP_CLAMPED} AS p, target FROM canon),
+s AS (SELECT * FROM sc WHERE p IS NOT NULL),
+c AS (SELECT p AS score, CAST(SUM(target) AS BIGINT) AS pos, CAST(SUM(1 - target) AS BIGINT) AS neg
+      FROM s GROUP BY 1),
+t AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM c),
+roc AS (
+  SELECT score,
+    SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tps,
+    SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fps
+  FROM c),
+j AS (SELECT score, tps / CAST(P AS DOUBLE) - fps / CAST(N AS DOUBLE) AS j FROM roc, t),
+best AS (SELECT CASE WHEN j > 0 THEN score END AS thr FROM j ORDER BY j DESC, score DESC LIMIT 1),
+d AS (
+  SELECT s.*, thr, CASE WHEN thr IS NOT NULL AND p >= thr THEN 1 ELSE 0 END AS pred,
+         abs(p - COALESCE(thr, 0.5)) AS dist
+  FROM s, best)
+SELECT pred AS Prediction, CASE WHEN pred = 1 THEN 'Return' ELSE 'Not Return' END AS Prediction_Label,
+  CASE WHEN dist < 0.1 THEN 'Very High' WHEN dist < 0.2 THEN 'High' WHEN dist < 0.3 THEN 'Medium-High'
+       WHEN dist < 0.4 THEN 'Medium' WHEN dist < 0.5 THEN 'Medium-Low' ELSE 'Low' END AS Confidence_Level,
+  COUNT(*) AS n, CAST(SUM(target) AS BIGINT) AS returns, MAX(thr) AS threshold
+FROM d GROUP BY 1, 2, 3""")

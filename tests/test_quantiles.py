@@ -60,3 +60,17 @@ def test_running_sums_equal_plain_window(spark):
     w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("score", F.sum("pos").over(w).alias("cum_pos"), F.sum("neg").over(w).alias("cum_neg"))
     assert sorted(got.select("score", "cum_pos", "cum_neg").collect()) == sorted(want.collect())
+
+
+def test_label_codes_with_many_buckets(spark, monkeypatch):
+    from returnlens.operators import prefix as P
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 7)     # force several buckets per column
+    rnd = random.Random(4)
+    words = ["w%03d" % rnd.randint(0, 400) for _ in range(300)]
+    nums = [str(rnd.randint(0, 50)) for _ in range(300)]
+    df = spark.createDataFrame(list(zip(words, nums)), "a string, b string")
+    enc = TR.fit_label_encoder(df, ["a", "b"])
+    got = {(r["column"], r["value"]): r["code"] for r in enc.collect()}
+    for col, vals in (("a", words), ("b", nums)):
+        for code, v in enumerate(sorted(set(vals))):
+            assert got[(col, v)] == code
