@@ -10,6 +10,8 @@ top-k has a total order (a tie key), so results are deterministic.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,24 +58,52 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """AG17: equal-width histogram between the column's min and max
     (the max falls in the last bin).  (bin, lower, upper, n) for non-empty
     bins.  Bounds come from one aggregate (two numbers)."""
-    x = column_to_double(df, column)
-    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).collect()[0]
-    lo, hi = r["lo"], r["hi"]
-    if lo is None:
-        return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n bigint")
-    span = hi - lo
-    if span == 0:
-        b = F.when(x.isNotNull(), F.lit(0))
-    else:
-        # least() skips NULLs, so guard: a missing value has no bin
-        b = F.when(x.isNotNull(), F.least(
-            F.floor((x - F.lit(lo)) / F.lit(span) * F.lit(float(bins))).cast("int"), F.lit(bins - 1)))
-    width = span / bins if span else 0.0
-    return (df.select(b.alias("bin")).where(F.col("bin").isNotNull())
-            .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-            .select("bin",
-                    F.round(F.lit(lo) + F.col("bin") * F.lit(width), 6).alias("lower"),
-                    F.round(F.lit(lo) + (F.col("bin") + 1) * F.lit(width), 6).alias("upper"),
+    return histograms(df, [(column, column, bins)]).drop("variable")
+
+
+def histograms(df: DataFrame, specs: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """AG17 for several columns at once: ``specs`` lists (variable, column,
+    bins).  One aggregate finds every column's bounds (two numbers each),
+    then one pass bins each row once per column (an array of structs,
+    exploded) and counts per (variable, bin): (variable, bin, lower, upper,
+    n) for non-empty bins.  Missing values have no bin; they are counted out
+    in the aggregate rather than filtered per row, so no filter on the
+    computed bin is pushed into the input's joins."""
+    xs = [column_to_double(df, col) for _, col, _ in specs]
+    r = df.agg(*[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
+               *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).collect()[0]
+    items, lows, widths = [], {}, {}
+    for i, ((var, _, bins), x) in enumerate(zip(specs, xs)):
+        lo, hi = r[f"lo{i}"], r[f"hi{i}"]
+        if lo is None:
+            continue
+        span = hi - lo
+        if span == 0:
+            b = F.when(x.isNotNull(), F.lit(0))
+        else:
+            # least() skips NULLs, so guard: a missing value has no bin
+            b = F.when(x.isNotNull(), F.least(
+                F.floor((x - F.lit(lo)) / F.lit(span) * F.lit(float(bins))).cast("int"), F.lit(bins - 1)))
+        items.append(F.struct(F.lit(var).alias("variable"), b.alias("bin")))
+        lows[var], widths[var] = lo, (span / bins if span else 0.0)
+    if not items:
+        return df.sparkSession.createDataFrame(
+            [], "variable string, bin int, lower double, upper double, n bigint")
+
+    def per_variable(values: dict[str, float]) -> Column:
+        expr = None
+        for var, v in values.items():
+            cond = F.col("variable") == F.lit(var)
+            expr = F.when(cond, F.lit(float(v))) if expr is None else expr.when(cond, F.lit(float(v)))
+        return expr
+
+    lo_c, width_c = per_variable(lows), per_variable(widths)
+    return (df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
+            .groupBy("variable", "bin").agg(F.count("bin").alias("n"))
+            .where(F.col("n") > 0)
+            .select("variable", "bin",
+                    F.round(lo_c + F.col("bin") * width_c, 6).alias("lower"),
+                    F.round(lo_c + (F.col("bin") + 1) * width_c, 6).alias("upper"),
                     "n"))
 
 

@@ -182,13 +182,17 @@ def q_tuned_decisions(spark, sf_dir):
              "delivery": F.col("delivery_time"), "rating": F.col("product_rating"),
              "return_rate": F.col("return_history_rate"), "discount": F.col("discount"),
              "quantity": F.col("order_quantity"), "age": F.col("customer_age")}
-    scored = canon.select(R.clamp(R.propensity("production", feats)).alias("p"), "target") \
-        .where(F.col("p").isNotNull())
+    scored = canon.select(R.clamp(R.propensity("production", feats)).alias("p"), "target")
     t = EV.best_threshold(scored, "p", "target")
     out = S.score_with_probability(scored, F.col("p"), t, bands="distance")
-    return out.groupBy("Prediction", "Prediction_Label", "Confidence_Level").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("target").cast("bigint").alias("returns"),
+    # Lines without a score are counted out in the aggregate (a row filter
+    # on p would be pushed into the joins; see EV.score_counts).
+    known = F.col("Return_Probability").isNotNull()
+    return (out.groupBy("Prediction", "Prediction_Label", "Confidence_Level").agg(
+        F.count("Return_Probability").alias("n"),
+        F.sum(F.when(known, F.col("target"))).cast("bigint").alias("returns"),
         F.lit(t).cast("double").alias("threshold"))
+        .where(F.col("n") > 0))
 
 
 @query("class_weights")
@@ -214,14 +218,9 @@ def q_category_return_rate(spark, sf_dir):
 def q_histograms(spark, sf_dir):
     """AG17: price (20 bins), rating (10 bins), probability (20 bins)."""
     scored = S.score_production(order_lines(spark, sf_dir))
-    parts = [AN.histogram(scored, "item_price", K.HIST_BINS["price"]).withColumn("variable", F.lit("price")),
-             AN.histogram(scored, "product_rating", K.HIST_BINS["rating"]).withColumn("variable", F.lit("rating")),
-             AN.histogram(scored, "Return_Probability", K.HIST_BINS["probability"])
-             .withColumn("variable", F.lit("probability"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return AN.histograms(scored, [("price", "item_price", K.HIST_BINS["price"]),
+                                  ("rating", "product_rating", K.HIST_BINS["rating"]),
+                                  ("probability", "Return_Probability", K.HIST_BINS["probability"])])
 
 
 @query("risk_distribution")
