@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import names as N
-from ..functions.coerce import column_to_double, nan_to_null, qcol, is_numeric_type
+from ..functions.coerce import column_to_double, qcol, is_numeric_type
 
 
 def drop_identifiers(df: DataFrame) -> DataFrame:
@@ -116,7 +116,9 @@ def type_stats(df: DataFrame, leakage_mode: str = "substring") -> DataFrame:
 
     Leakage columns and the target are left out first.  One job: values are
     unpivoted to (column, text, number); distinct counting shuffles on
-    (column, value), so one wide column never sits in one task.
+    (column, value), so one wide column never sits in one task.  Numeric
+    columns are keyed by the number itself (text stays NULL): no per-cell
+    number-to-text formatting, and -0.0 equals 0.0 as in pandas.
     Returns (column, n_numeric, n_distinct, position).
     """
     cols = list(df.columns)
@@ -129,16 +131,17 @@ def type_stats(df: DataFrame, leakage_mode: str = "substring") -> DataFrame:
     items = []
     for i, c in enumerate(feats):
         dt = df.schema[c].dataType
-        text = (nan_to_null(qcol(c).cast("double")).cast("string") if is_numeric_type(dt)
-                else qcol(c).cast("string"))
+        text = F.lit(None).cast("string") if is_numeric_type(dt) else qcol(c).cast("string")
         items.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
                               text.alias("text"), column_to_double(df, c).alias("num")))
     long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
-    per_value = (long.groupBy("column", "position", "text")
+    # the number is a function of the text, so (text, num) groups by value
+    per_value = (long.groupBy("column", "position", "text", "num")
                  .agg(F.count("num").alias("n_num")))
+    present = F.col("text").isNotNull() | F.col("num").isNotNull()
     stats = (per_value.groupBy("column", "position")
              .agg(F.sum("n_num").alias("n_numeric"),
-                  F.count("text").alias("n_distinct")))
+                  F.count_if(present).alias("n_distinct")))
     return stats.select("column", F.col("n_numeric").cast("bigint").alias("n_numeric"),
                         F.col("n_distinct").cast("bigint").alias("n_distinct"),
                         F.col("position").cast("int").alias("position"))
