@@ -558,8 +558,13 @@ _CAT = ["product_category", "customer_location", "payment_method", "shipping_met
 
 
 def _model_table(spark, sf_dir) -> DataFrame:
+    """Canonical features with their train/test part, stored once in the
+    shared checkpoint folder: the preparation statistics, every pipeline
+    stage, each optimiser iteration and the evaluations read the stored
+    table instead of re-running the joins."""
+    from ..session import materialize
     canon, _, _ = _canonical(spark, sf_dir)
-    return SP.split_train_test(canon, ["order_id", "line_no"])
+    return materialize(SP.split_train_test(canon, ["order_id", "line_no"]))
 
 
 @query("model_train_evaluate")

@@ -38,10 +38,27 @@ def scans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "customer": table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"]),
         "nation": table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]),
         "part": table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"]),
-        "lineitem": table(spark, sf_dir, "lineitem", LINEITEM_COLUMNS),
+        "lineitem": spread_fact(table(spark, sf_dir, "lineitem", LINEITEM_COLUMNS)),
     }
 
 
+def spread_fact(df: DataFrame) -> DataFrame:
+    """Give the fact scan at least one partition per core.
+
+    Parquet is split at row-group granularity: a file written as one large
+    row group yields one busy task however many splits it is cut into, and
+    everything before the first shuffle (the dimension joins, scoring, the
+    partial aggregates) would run on one core.  When the scan has fewer
+    partitions than the session's default parallelism, rows are spread
+    round-robin (no key, so a hot key cannot skew it).  A large table has
+    far more splits than cores and is read as is: no extra shuffle."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
                     "l_discount", "l_returnflag", "l_shipdate"]
 
