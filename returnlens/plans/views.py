@@ -50,15 +50,22 @@ def spread_fact(df: DataFrame) -> DataFrame:
     everything before the first shuffle (the dimension joins, scoring, the
     partial aggregates) would run on one core.  When the scan has fewer
     partitions than the session's default parallelism, rows are spread
-    round-robin (no key, so a hot key cannot skew it).  A large table has
-    far more splits than cores and is read as is: no extra shuffle."""
+    round-robin (no key, so a hot key cannot skew it), to at most one
+    partition per ``MIN_SPREAD_BYTES`` of the planner's size estimate, so a
+    tiny table on a large cluster is not cut into thousands of tasks.  A
+    large table has far more splits than cores and is read as is: no extra
+    shuffle."""
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    target = min(spark.sparkContext.defaultParallelism, max(1, size // MIN_SPREAD_BYTES))
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
 
 
+MIN_SPREAD_BYTES = 512 * 1024  # smallest share of a fact scan worth its own task
+
+
 LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
                     "l_discount", "l_returnflag", "l_shipdate"]
 
