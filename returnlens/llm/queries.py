@@ -6,8 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokencounts, tokenfiles
-from .common import documents
+from . import bpe, merkle, simhash, tokencounts, tokenfiles
+from .common import documents, stored
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(documents(spark, sf_dir))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = stored(simhash.fingerprints(documents(spark, sf_dir), shingle=3), "fingerprints")
+    classes = simhash.near_duplicates(fps, max_bits=3)
+    return fps.join(classes, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                             public_tokenizers.PATTERN))
@@ -35,9 +46,13 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op5_token_files": op5_token_files,
+    "op7_simhash": op7_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_fingerprints": merkle.FINGERPRINT_SQL,
+}
