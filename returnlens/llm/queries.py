@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, simhash, tokencounts, tokenfiles
+from ..sources.tables import table
+from . import bpe, merkle, mixing, simhash, tokencounts, tokenfiles, toxicity
 from .common import documents, stored
 
 
@@ -14,6 +15,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_edits(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", ["doc_id", "toxic"]), sample_each=4_000)
+    return toxicity.score(docs, model)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -26,6 +33,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    return mixing.mix(docs, weights=[5, 2, 1], share=1.0, cap=3.0).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = stored(simhash.fingerprints(documents(spark, sf_dir), shingle=3), "fingerprints")
     classes = simhash.near_duplicates(fps, max_bits=3)
@@ -47,8 +60,10 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_token_files": op5_token_files,
+    "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
