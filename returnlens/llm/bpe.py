@@ -23,8 +23,8 @@ import base64
 import functools
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,8 +36,9 @@ WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0
 #: Texts of these characters only are split alike by the standard library's
 #: faster ``re`` and by Unicode categories.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\u00c0-\u017f\u2010-\u2027]*\Z")
-#: Pre-tokens that a worker remembers, and the longest one remembered.
-CACHE_WORDS, CACHE_CHARS = 250_000, 64
+#: Pre-tokens that a worker remembers (twice, in two generations), the longest
+#: one remembered, and the borders between tokens it remembers.
+CACHE_WORDS, CACHE_CHARS, BORDERS = 400_000, 64, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +56,7 @@ class Merges:
         for b in ranks:
             self.longest[b[-1]] = max(self.longest[b[-1]], len(b))
         self._split: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.fits = Borders(self)
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for one byte."""
@@ -68,24 +69,30 @@ class Merges:
             self._split[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
         return self._split[token]
 
-    def fits(self, left: int, right: int) -> bool:
-        """Whether BPE leaves ``left`` and ``right`` apart when they meet."""
-        known = self._fits.get((left, right))
-        if known is None:
-            if len(self._fits) > 1_000_000:
-                self._fits.clear()
-            known = self._fits[left, right] = self._border(left, right)
-        return known
 
-    def _border(self, a: int, b: int) -> bool:
+class Borders(dict):
+    """(left, right) to whether BPE leaves the two tokens apart when they meet."""
+
+    def __init__(self, merges: Merges) -> None:
+        super().__init__()
+        self.merges = merges
+
+    def __missing__(self, pair: tuple[int, int]) -> bool:
+        if len(self) > BORDERS:
+            self.clear()
+        self[pair] = apart = self._apart(*pair)
+        return apart
+
+    def _apart(self, a: int, b: int) -> bool:
         # ``before``: the border may be crossed only by a merge that runs
         # earlier than the last one undone.  On equal rank the left one ran first.
-        before = len(self.ranks) + 1
+        m = self.merges
+        before = len(m.ranks) + 1
         while True:
-            made = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            made = m.ranks.get(m.bytes_of[a] + m.bytes_of[b])
             if made is not None and made < before:
                 return False
-            sa, sb = self.split(a), self.split(b)
+            sa, sb = m.split(a), m.split(b)
             if sa is None and sb is None:
                 return True
             if sb is None or (sa is not None and a > b):
@@ -98,22 +105,30 @@ class Prefixes:
     """Last token of every prefix of a growing byte string."""
 
     def __init__(self, merges: Merges, data: bytes = b"") -> None:
-        self.merges, self.data, self.last = merges, bytearray(), []
+        self.merges, self.data, self.last = merges, b"", []
         self.append(data)
 
-    def _last(self, end: int) -> int:
-        m, data = self.merges, self.data
-        ranks, last, fits = m.ranks, self.last, m.fits
-        for start in range(end - 1, max(-1, end - 1 - m.longest[data[end - 1]]), -1):
-            token = ranks.get(bytes(data[start:end]))
-            if token is not None and (start == 0 or fits(last[start - 1], token)):
-                return token
-        raise ValueError("the ranks lack a token of one byte")
+    def _extend(self, end: int) -> None:
+        """Find the last token of the prefix of ``end`` bytes.  Mostly it goes
+        on where the last token of the prefix before began; else suffixes are
+        tried from the shortest on (only one can be valid)."""
+        data, last = self.data, self.last
+        get, fits = self.merges.ranks.get, self.merges.fits
+        begin = end - 1 - len(self.merges.bytes_of[last[-1]]) if last else 0
+        token = get(data[begin:end])
+        if token is None or (begin and not fits[last[begin - 1], token]):
+            for begin in range(end - 1, max(-1, end - 1 - self.merges.longest[data[end - 1]]), -1):
+                token = get(data[begin:end])
+                if token is not None and (not begin or fits[last[begin - 1], token]):
+                    break
+            else:
+                raise ValueError("the ranks lack a token of one byte")
+        last.append(token)
 
     def append(self, more: bytes) -> None:
         self.data += more
         for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+            self._extend(end)
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace bytes ``start:stop`` and return how many last tokens were
@@ -121,11 +136,11 @@ class Prefixes:
         of at most the longest token before it, so after that many equal
         last tokens in a row the old table holds again."""
         tail = self.last[stop:]
-        self.data[start:stop] = new
+        self.data = self.data[:start] + new + self.data[stop:]
         del self.last[start:]
         done, same, window = 0, 0, max(self.merges.longest)
         for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+            self._extend(end)
             done += 1
             old = end - 1 - start - len(new)
             same = same + 1 if old >= 0 and tail[old] == self.last[-1] else 0
@@ -149,7 +164,8 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.merges = Merges(ranks)
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known = Known(self.merges)
+        self._token_bytes = None
         strict = pattern.replace(r"[^\s", rf"[^{WHITE}").replace(r"\S", rf"[^{WHITE}]").replace(r"\s", rf"[{WHITE}]")
         self._any = regex.compile(strict).findall
         fast = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
@@ -159,21 +175,46 @@ class ByteBPE:
         plain = self._plain is not None and PLAIN.match(text)
         return self._plain(text) if plain else self._any(text)
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(Prefixes(self.merges, piece.encode()).tokens())
-        if len(piece) <= CACHE_CHARS:
-            if len(self._known) >= CACHE_WORDS:
-                self._known.clear()
-            self._known[piece] = ids
-        return ids
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers."""
+        return b"".join(map(self._known.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> list[int]:
-        known = self._known.get
-        return list(chain.from_iterable([known(p) or self.piece(p) for p in self.pieces(text)]))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.merges.bytes_of.__getitem__, ids))
 
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids (null: none)."""
+        if self._token_bytes is None:
+            self._token_bytes = pa.array([self.merges.bytes_of.get(i) for i in range(max(self.merges.bytes_of) + 1)], pa.binary())
+        tokens = self._token_bytes.take(ids.flatten())
+        ends = np.append(0, np.cumsum(np.nan_to_num(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)))
+        _, offsets, data = tokens.buffers()
+        starts = np.frombuffer(offsets, np.int32)[tokens.offset + ends] if len(tokens) else np.zeros(len(ids) + 1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(starts.astype(np.int32)), data or pa.py_buffer(b"")])
+
+
+class Known(dict):
+    """Pre-token to its ids, worked out when first met.  Two generations: when
+    the young one is full it becomes the old one, so frequent ones stay."""
+
+    def __init__(self, merges: Merges) -> None:
+        super().__init__()
+        self.merges, self.old = merges, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(Prefixes(self.merges, piece.encode()).tokens(), np.int32).tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
 
 @functools.lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> ByteBPE:
@@ -195,13 +236,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            texts = batch.column(1)
             for start in range(0, batch.num_rows, 256):
-                ids = [bpe.encode(t.as_py() or "") for t in texts[start:start + 256]]
-                decoded = [bpe.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[start:start + 256], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
-                    names=ENCODED.names)
+                some = batch.slice(start, 256)
+                packed = [bpe.packed(t.as_py() or "") for t in some.column(1)]
+                ends = np.append(0, np.cumsum([len(x) // 4 for x in packed])).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([some.column(0), ids, bpe.decode_lists(ids)], names=ENCODED.names)
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, ENCODED)
 
@@ -214,7 +254,6 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = codec(path, pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([bpe.decode(x.as_py() or ()) for x in batch.column(1)], pa.binary())],
-                names=schema.names)
+                [batch.column(0), bpe.decode_lists(batch.column(1))], names=schema.names)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
