@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, merkle, mixing, simhash, tokencounts, tokenfiles, toxicity
+from . import bpe, chat, merkle, mixing, simhash, tokencounts, tokenfiles, topk, toxicity, urlfilter
 from .common import documents, stored
 
 
@@ -25,6 +25,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+    return urlfilter.judge(table(spark, sf_dir, "pages", ["page_id", "url", "html"]), rules)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfiles.write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                                           public_tokenizers.PATTERN, end_id=0)
@@ -46,6 +51,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).unionByName(extra)
+    return chat.read_back(stored(chat.format_chats(turns), "chats"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                             public_tokenizers.PATTERN))
@@ -62,12 +78,16 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_url_filter": op4_url_filter,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_chat": op8_chat,
+    "op9_top_k": op9_top_k,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
     "op1_fingerprints": merkle.FINGERPRINT_SQL,
+    "op9_top_k": topk.TOP_K_SQL,
 }
