@@ -51,6 +51,12 @@ def sized(docs: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of doubles in millionths, the same in whatever order rows come:
+    reruns must agree to the last digit, since rates are rounded."""
+    return F.sum(F.round(x, 6).cast("decimal(38,6)")).cast("double")
+
+
 def targets(sizes: DataFrame, weights: list[float], share: float = 1.0, cap: float = 3.0) -> DataFrame:
     """(key, source_size, n_docs, mean, target) of each source; ``weights``
     repeat over the sources in code point order, null last."""
@@ -66,7 +72,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float = 1.0, cap: flo
     while level != before:              # words for each unit of weight; rises until no more source is capped
         before = level
         over = F.col("weight") * level > limit
-        full, free = table.agg(F.sum(F.when(over, limit).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        full, free = table.agg(exact_sum(F.when(over, limit).otherwise(0.0)), exact_sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
         if free:
             level = max(level, (share * all_words - full) / free)
     return table.select("key", "source_size", "n_docs", (F.col("source_size") / F.col("n_docs")).alias("mean"),
@@ -94,7 +100,7 @@ def duals(sizes: DataFrame, goals: DataFrame, cap: float = 3.0) -> DataFrame:
         r = rate(F.col("lam"), F.col("size"), F.col("mean"), cap)
         words = F.col("n") * F.col("size") * r
         sums = cells.join(state.where("NOT done").select("key", "lam", "mean"), "key").groupBy("key").agg(
-            F.sum(words).alias("words"), F.sum(F.when(r < cap, words * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
+            exact_sum(words).alias("words"), exact_sum(F.when(r < cap, words * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
         step = F.col("lam") - (F.col("words") - F.col("target")) / F.col("slope")
         moved = state.join(sums, "key", "left").withColumns({
             "low": F.when(F.col("words") < F.col("target"), F.col("lam")).otherwise(F.col("low")),
@@ -153,7 +159,7 @@ def copies(sizes: DataFrame, solved: DataFrame, cap: float = 3.0) -> DataFrame:
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
-        block["copies"] = rounded(block["rate"].to_numpy(), block["size"].to_numpy(), cap)
+        block["copies"] = rounded(block["rate"].round(12).to_numpy(), block["size"].to_numpy(), cap)
         return block[["doc_id", "hash", "size", "source_size", "target", "copies"]]
 
     # doc_ids go through pandas as text: a column with nulls would be rounded to floats.
