@@ -35,7 +35,7 @@ def nan_to_null(c: Column) -> Column:
 
 def text_to_double(c: Column) -> Column:
     """Strict text → DOUBLE; NULL when the text is not a number."""
-    trimmed = F.trim(c)
+    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
     return (
         F.when(c.rlike(_DECIMAL_TEXT), trimmed.try_cast("double"))
         .when(c.rlike(_INFINITY_TEXT),

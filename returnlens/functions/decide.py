@@ -1,4 +1,8 @@
-"""Decisions, labels, confidence and risk bands (SC5-SC12) as Columns."""
+"""Decisions, labels, confidence and risk bands (SC5-SC12) as Columns.
+
+A missing probability compares as false everywhere: it is no return and falls
+into the last band of each ladder.
+"""
 
 from __future__ import annotations
 
@@ -72,7 +76,7 @@ def confidence2(p: Column) -> Column:
 
 
 def risk_band(p: Column) -> Column:
-    """SC12: High > 0.7, Medium (0.3, 0.7], Low <= 0.3."""
+    """SC12: High > 0.7, Medium (0.3, 0.7], else Low."""
     return (F.when(p > _d(K.RISK_HIGH), F.lit("High"))
             .when(p > _d(K.RISK_LOW), F.lit("Medium"))
-            .when(p.isNotNull(), F.lit("Low")))
+            .otherwise(F.lit("Low")))

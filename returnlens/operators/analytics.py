@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -25,12 +25,10 @@ def _c(x) -> Column:
 
 
 def class_counts(df: DataFrame, label="actual") -> DataFrame:
-    """AG13: rows per class and the class share (normalised frequency).
-    The share's denominator is a window over the class table (one row per
-    class, so tiny), not over the data."""
+    """AG13: rows per class and the class share (normalised frequency)."""
     counts = df.groupBy(_c(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select("label", "n", F.round(F.col("n") / total, 6).alias("share"))
+    total = counts.agg(F.sum("n").alias("__total"))     # one row
+    return counts.join(total).select("label", "n", F.round(F.col("n") / F.col("__total"), 6).alias("share"))
 
 
 def target_rate(df: DataFrame, label="actual") -> DataFrame:
@@ -125,7 +123,13 @@ def dataset_summary(df: DataFrame, target: str, price: str, rating: str, deliver
 
 def filter_results(df: DataFrame, min_probability: float = 0.0, prediction: str = "All") -> DataFrame:
     """FI1 + FI2: keep rows with Return_Probability >= t and, unless 'All',
-    only predicted returns ('Return') or non-returns ('Not Return')."""
+    only predicted returns ('Return') or non-returns ('Not Return').
+
+    The score passes through a one-element ``explode``: a filter on it stays
+    above, instead of moving into the scoring joins' conditions, where the whole
+    score would be worked out a second time for each joined row."""
+    columns = df.columns
+    df = df.withColumn("Return_Probability", F.explode(F.array("Return_Probability"))).select(*[qcol(c) for c in columns])
     out = df.where(F.col("Return_Probability") >= F.lit(float(min_probability)))
     if prediction == "Return":
         out = out.where(F.col("Prediction") == 1)

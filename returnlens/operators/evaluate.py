@@ -162,8 +162,11 @@ def roc_auc(df: DataFrame, score="score", label="label") -> DataFrame:
     (the Mann-Whitney form); NULL when only one class occurs."""
     counts = materialize(score_counts(df, score, label))
     cum = running_sums(counts, [], "score", ["neg"], descending=False)
-    # negatives strictly below this score = cum_neg - neg
-    twice_u = F.sum(F.col("pos") * (F.lit(2) * (F.col("cum_neg") - F.col("neg")) + F.col("neg")))
+    # negatives strictly below this score = cum_neg - neg; the sum reaches twice
+    # positives x negatives, beyond BIGINT from about five billion rows on
+    pos = F.col("pos").cast("decimal(18,0)")
+    twice_below = (F.lit(2) * F.col("cum_neg") - F.col("neg")).cast("decimal(19,0)")
+    twice_u = F.sum((pos * twice_below).cast("decimal(38,0)"))
     agg = cum.agg(twice_u.alias("u2"), F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total"))
     P, N = F.col("pos_total"), F.col("neg_total")
     return agg.select(

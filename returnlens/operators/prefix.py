@@ -1,141 +1,58 @@
 """Exact running sums over a global order without a single-task window.
 
 A plain ``Window.orderBy(x)`` (no partition) sends every row to one task.
-Here the ordered key is cut into equi-depth ranges ("buckets") whose
-boundaries come from one ``percentile_approx`` sketch pass (bounded: at most
-``n_buckets`` doubles per key column reach the driver); rows get their bucket
-from ML ``Bucketizer`` (a JVM binary search inside whole-stage codegen).  The
-running sum is taken inside ``(group, bucket)`` window partitions, and each
-bucket's offset comes from a table of at most ``groups x buckets`` rows,
-which is broadcast back.
-
-The result is exact whatever the boundaries are — the sketch only balances
-the work.  A value that holds a third of all rows still collapses to one row,
-because callers pass tables with one row per distinct ordered key.  Group
-keys are schema-level (a column name), so their number is bounded by the
-schema, not by the data.
+Here rows are dealt by ranges of (group, ordered key) - Spark samples the
+full keys, whatever their type, so long common prefixes or uneven values do
+not matter - and stored once with the number of their range.  The running sum
+is taken inside (group, range); each range's offset comes from a table with a
+row for each (group, range), whose number follows the session's shuffle
+partitions, not the data.  There is one plan for every size.
+
+A value that holds a third of all rows still collapses to one row, because
+callers pass tables with one row per distinct ordered key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 4096            # boundaries reaching the driver per key: at most this many
-ROWS_PER_BUCKET = 1_000_000   # target rows per window partition
-_INF = float("inf")
-
-
-def string_sort_key(c: Column) -> Column:
-    """A BIGINT that never decreases as the string grows in binary order:
-    the first seven UTF-8 bytes read as a big-endian number."""
-    hexed = F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14)
-    return F.conv(F.rpad(hexed, 14, "0"), 16, 10).cast("bigint")
-
-
-def _splits(q) -> list[float]:
-    inner = sorted({float(v) for v in (q or []) if v is not None and abs(float(v)) != _INF})
-    return [-_INF] + (inner or [0.0]) + [_INF]
-
-
-def _bucket_count(n_rows: int) -> int:
-    return min(MAX_BUCKETS, max(1, -(-int(n_rows) // ROWS_PER_BUCKET)))
-
-
-def add_buckets(df: DataFrame, keys: dict[str, Column], n_buckets: int | None = None) -> DataFrame:
-    """Add one INT bucket column per entry of ``keys`` (name → numeric key
-    expression), cut at approximate quantiles of each key.  Equal keys always
-    share a bucket; buckets increase with the key.
-
-    The bucket count follows the data: about one bucket per
-    ``ROWS_PER_BUCKET`` rows (at most ``MAX_BUCKETS``); ``n_buckets`` fixes
-    it instead.  The row count comes first (cheap on a materialized input),
-    and the sketch job runs only when more than one bucket is needed."""
-    names = list(keys)
-    eff = n_buckets or _bucket_count(df.count())
-    if eff <= 1:
-        return df.select("*", *[F.when(keys[n].isNotNull(), F.lit(0)).alias(n) for n in names])
-    tmp = df.select("*", *[keys[n].cast("double").alias(f"__k_{i}") for i, n in enumerate(names)])
-    probs = [i / eff for i in range(1, eff)]
-    row = tmp.agg(*[F.percentile_approx(f"__k_{i}", probs, max(10_000, 10 * eff)).alias(f"q{i}")
-                    for i in range(len(names))]).collect()[0]
-    bucketizer = Bucketizer(
-        splitsArray=[_splits(row[f"q{i}"]) for i in range(len(names))],
-        inputCols=[f"__k_{i}" for i in range(len(names))],
-        outputCols=[f"__b_{i}" for i in range(len(names))],
-        handleInvalid="keep")
-    out = bucketizer.transform(tmp)
-    return out.select(*[F.col(c) for c in df.columns],
-                      *[F.col(f"__b_{i}").cast("int").alias(n) for i, n in enumerate(names)])
-
-
-def add_group_buckets(df: DataFrame, group_col: str, key: Column, out: str = "bucket") -> DataFrame:
-    """``add_buckets`` with separate boundaries per value of ``group_col`` (a
-    schema-level key such as a column name).  Rows are counted per group
-    first; groups that fit one bucket get bucket 0 in one projection, larger
-    groups are sketched in one job and cut by their own ``Bucketizer``, and
-    the parts are unioned.  Checkpoint ``df`` first: it is read once per
-    large group."""
-    counts = {r[group_col]: int(r["__n"]) for r in
-              df.groupBy(group_col).agg(F.count(F.lit(1)).alias("__n")).collect()}
-    big = {g: _bucket_count(n) for g, n in counts.items() if _bucket_count(n) > 1}
-    small_part = df.where(~F.col(group_col).isin(list(big))) if big else df
-    parts = [small_part.select("*", F.when(key.isNotNull(), F.lit(0)).alias(out))]
-    if big:
-        cap = max(big.values())
-        probs = [i / cap for i in range(1, cap)]
-        stats = {r[group_col]: r["__q"] for r in df.where(F.col(group_col).isin(list(big)))
-                 .groupBy(group_col).agg(F.percentile_approx(key.cast("double"), probs,
-                                                             max(10_000, 10 * cap)).alias("__q")).collect()}
-        for g, eff in big.items():
-            q = stats.get(g) or []
-            if eff < cap and q:
-                q = [q[(j * cap) // eff - 1] for j in range(1, eff)]
-            sub = df.where(F.col(group_col) == F.lit(g)).withColumn("__k", key.cast("double"))
-            b = Bucketizer(splits=_splits(q), inputCol="__k", outputCol="__b",
-                           handleInvalid="keep").transform(sub)
-            parts.append(b.select(*[F.col(c) for c in df.columns], F.col("__b").cast("int").alias(out)))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+from ..session import materialize
+
+RANGE = "__range"
+
+
+def ranged(df: DataFrame, group_cols: Sequence[str], order_col: str) -> DataFrame:
+    """``df`` stored by ranges of (group, order), with the range's number,
+    which never decreases in that order.  Rows without an order value go."""
+    cut = (df.where(F.col(order_col).isNotNull()).repartitionByRange(*group_cols, order_col)
+           .withColumn(RANGE, F.spark_partition_id()))
+    return materialize(cut)
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                 sum_cols: Sequence[str], descending: bool = False,
-                 bucket_col: str | None = None, n_buckets: int | None = None,
-                 prefix: str = "cum_") -> DataFrame:
+                 sum_cols: Sequence[str], descending: bool = False, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<s>`` = sum of ``s`` over the rows of the same group whose
     ``order_col`` comes at or before this row's (ascending or descending).
 
-    ``df`` holds one row per (group, order value).  ``bucket_col`` names an
-    INT column that never decreases with ``order_col`` within a group (see
-    ``add_buckets``); without it the order column itself is bucketed, which
-    suits a single group.  Rows with a NULL bucket are dropped.
-    """
-    if bucket_col is None:
-        df = add_buckets(df, {"_bkt": F.col(order_col)}, n_buckets)
-        bucket_col = "_bkt"
-    data_cols = [c for c in df.columns if c != bucket_col]
-
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w_in = (Window.partitionBy(*group_cols, bucket_col).orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = df.select("*", *[F.sum(s).over(w_in).alias(f"__run_{s}") for s in sum_cols])
-
-    totals = df.groupBy(*group_cols, bucket_col).agg(*[F.sum(s).alias(f"__tot_{s}") for s in sum_cols])
-    border = F.col(bucket_col).desc() if descending else F.col(bucket_col).asc()
-    # At most groups x buckets rows: a small window, even unpartitioned.
-    w_off = Window.partitionBy(*group_cols).orderBy(border) if group_cols else Window.orderBy(border)
-    w_off = w_off.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group_cols, bucket_col, *[
-        F.coalesce(F.sum(f"__tot_{s}").over(w_off), F.lit(0)).alias(f"__off_{s}") for s in sum_cols])
-
-    # offsets has at most groups x buckets rows: a proven bound, so broadcast.
-    joined = running.join(F.broadcast(offsets), [*group_cols, bucket_col], "inner")
-    return joined.select(*[F.col(c) for c in data_cols],
-                         *[(F.col(f"__run_{s}") + F.col(f"__off_{s}")).alias(f"{prefix}{s}")
-                           for s in sum_cols])
+    ``df`` holds one row per (group, order value), as it is or already
+    ``ranged`` by the same columns.  Rows with a NULL order value are dropped."""
+    cut = df if RANGE in df.columns else ranged(df, group_cols, order_col)
+
+    def by(column: str):
+        return F.col(column).desc() if descending else F.col(column).asc()
+
+    inside = Window.partitionBy(*group_cols, RANGE).orderBy(by(order_col)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    running = cut.select("*", *[F.sum(s).over(inside).alias(f"__run_{s}") for s in sum_cols])
+
+    totals = cut.groupBy(*group_cols, RANGE).agg(*[F.sum(s).alias(f"__tot_{s}") for s in sum_cols])
+    before = Window.partitionBy(*group_cols).orderBy(by(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group_cols, RANGE, *[
+        F.coalesce(F.sum(f"__tot_{s}").over(before), F.lit(0)).alias(f"__off_{s}") for s in sum_cols])
+
+    joined = running.join(offsets, [*group_cols, RANGE])
+    return joined.select(*[F.col(c) for c in cut.columns if c != RANGE],
+                         *[(F.col(f"__run_{s}") + F.col(f"__off_{s}")).alias(f"{prefix}{s}") for s in sum_cols])

@@ -32,36 +32,42 @@ def table_counts(df: DataFrame) -> DataFrame:
         "rows", F.lit(len(df.columns)).alias("columns"))
 
 
-def missing_counts(df: DataFrame) -> DataFrame:
-    """AG2 per column: (column, missing), from one aggregate."""
+def missing_counts(df: DataFrame, total: bool = False) -> DataFrame:
+    """AG2 per column: (column, missing), from one aggregate; with ``total``
+    also the whole table's under the name '*'."""
     row = df.agg(*[F.count_if(_is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)])
     pairs = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"))
              for i, c in enumerate(df.columns)]
+    if total:
+        pairs.append(F.struct(F.lit("*").alias("column"), _total(df).alias("missing")))
     return row.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
 
 
+def _total(df: DataFrame) -> Column:
+    return sum((F.col(f"m{i}") for i in range(len(df.columns))), F.lit(0).cast("bigint"))
+
+
 def missing_total(df: DataFrame) -> DataFrame:
     """AG2: missing cells over the whole table."""
-    total = None
-    for c in df.columns:
-        term = F.count_if(_is_missing(df, c))
-        total = term if total is None else total + term
-    return df.agg(total.alias("missing_values"))
+    row = df.agg(*[F.count_if(_is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)])
+    return row.select(_total(df).alias("missing_values"))
 
 
-def quality_issues(df: DataFrame, include_amount: bool = False) -> DataFrame:
-    """AG3 + AG4: negatives in price/cost (and amount) columns; ages below 0
-    or above 120 in age columns.  (check, column, n) for every checked
-    column, from one aggregate."""
+def _quality_checks(df: DataFrame, include_amount: bool) -> list[tuple[str, str, Column]]:
     words = ["price", "cost"] + (["amount"] if include_amount else [])
-    checks: list[tuple[str, str, Column]] = []
-    for c in df.columns:
-        if N.contains_any(c, words):
-            checks.append(("negative_values", c, column_to_double(df, c) < 0))
+    checks = [("negative_values", c, column_to_double(df, c) < 0) for c in df.columns if N.contains_any(c, words)]
     for c in df.columns:
         if N.contains_any(c, ["age"]):
             x = column_to_double(df, c)
             checks.append(("unreasonable_age", c, (x < K.AGE_VALID_RANGE[0]) | (x > K.AGE_VALID_RANGE[1])))
+    return checks
+
+
+def quality_issues(df: DataFrame, include_amount: bool = False) -> DataFrame:
+    """AG3 + AG4: negatives in price/cost (and amount) columns; ages below 0
+    or above 120 in age columns.  (check, column, n) for every checked
+    column, from one aggregate."""
+    checks = _quality_checks(df, include_amount)
     if not checks:
         return df.sparkSession.createDataFrame([], "check string, column string, n bigint")
     row = df.agg(*[F.count_if(cond).alias(f"q{i}") for i, (_, _, cond) in enumerate(checks)])
@@ -71,8 +77,8 @@ def quality_issues(df: DataFrame, include_amount: bool = False) -> DataFrame:
 
 
 def is_empty(df: DataFrame) -> DataFrame:
-    """FI3 as a one-row frame: is_empty, is_valid."""
-    return df.agg(F.count(F.lit(1)).alias("n")).select(
+    """FI3 as a one-row frame: is_empty, is_valid (looks for one row only)."""
+    return df.limit(1).agg(F.count(F.lit(1)).alias("n")).select(
         (F.col("n") == 0).alias("is_empty"), (F.col("n") > 0).alias("is_valid"))
 
 
@@ -80,29 +86,29 @@ def validation_report(df: DataFrame, limit: int = K.TYPE_LIMIT_FLEXIBLE,
                       leakage_mode: str = "substring", target_mode: str = "exact") -> DataFrame:
     """AG5: a long (check, column, value, severity) report.
 
-    Data-level numbers (rows, missing cells, quality issues) come from
-    aggregates; name-level findings (leakage, target, feature types) from
+    Data-level numbers (rows, missing cells, quality issues) come from one
+    aggregate; name-level findings (leakage, target, feature types) from
     the schema and PR13.  An empty table reports only the error.  The
     "ultra" variant is ``limit=20, leakage_mode='keyword',
     target_mode='keyword'`` (its negatives check also covers 'amount').
     """
     spark = df.sparkSession
     schema = "check string, column string, value string, severity string"
-    n = df.count()
-    if n == 0:
+    checks = _quality_checks(df, include_amount=(leakage_mode == "keyword"))
+    missing = [F.count_if(_is_missing(df, c)) for c in df.columns]
+    got = df.agg(F.count(F.lit(1)).alias("n"), sum(missing, F.lit(0).cast("bigint")).alias("missing"),
+                 *[F.count_if(cond).alias(f"q{i}") for i, (_, _, cond) in enumerate(checks)]).collect()[0]
+    if got["n"] == 0:
         return spark.createDataFrame([("empty", None, "Dataset is empty", "error")], schema)
-    rows: list[tuple] = [("rows", None, str(n), "info"), ("columns", None, str(len(df.columns)), "info")]
-    missing = missing_total(df).collect()[0]["missing_values"]
-    rows.append(("missing_values", None, str(missing), "warning" if missing else "info"))
+    rows: list[tuple] = [("rows", None, str(got["n"]), "info"), ("columns", None, str(len(df.columns)), "info"),
+                         ("missing_values", None, str(got["missing"]), "warning" if got["missing"] else "info")]
     for c in N.leakage_columns(df.columns, leakage_mode):
         rows.append(("leakage_column", c, "removed before scoring", "warning"))
     target = (N.find_target_keyword(df.columns) if target_mode == "keyword"
               else N.find_target_exact(df.columns))
     if target:
         rows.append(("target_column", target, "compared with predictions", "warning"))
-    for r in quality_issues(df, include_amount=(leakage_mode == "keyword")).collect():
-        if r["n"]:
-            rows.append((r["check"], r["column"], str(r["n"]), "warning"))
+    rows += [(kind, c, str(got[f"q{i}"]), "warning") for i, (kind, c, _) in enumerate(checks) if got[f"q{i}"]]
     numeric, categorical = feature_types(df, limit, leakage_mode)
     rows.append(("numeric_features", None, str(len(numeric)), "info"))
     rows.append(("categorical_features", None, str(len(categorical)), "info"))

@@ -102,11 +102,12 @@ def detect_types(df: DataFrame, limit: int = K.TYPE_LIMIT_FLEXIBLE,
     return with_kind(type_stats(df, leakage_mode), limit)
 
 
-def with_kind(stats: DataFrame, limit: int) -> DataFrame:
-    """Classify ``type_stats`` rows under a cardinality limit."""
+def with_kind(stats: DataFrame, limit, *more: str) -> DataFrame:
+    """Classify ``type_stats`` rows under a cardinality limit (a number or a
+    column); ``more`` columns are carried along."""
     kind = F.when((F.col("n_numeric") > 0) & (F.col("n_distinct") <= limit), F.lit("numeric")) \
         .otherwise(F.lit("categorical"))
-    return stats.select("column", "n_numeric", "n_distinct", kind.alias("kind"), "position")
+    return stats.select("column", "n_numeric", "n_distinct", kind.alias("kind"), "position", *more)
 
 
 def type_stats(df: DataFrame, leakage_mode: str = "substring") -> DataFrame:

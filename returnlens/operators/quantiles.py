@@ -1,197 +1,45 @@
-"""Exact order statistics (medians) by distributed selection.
+"""Exact order statistics (medians) from running counts.
 
 Input: a (column, value, n) table with one row per distinct non-null value
-of each column.  For every requested 0-based rank, the value at that rank in
-the column's sorted multiset is found without ever sorting a whole column in
-one task:
-
-1. Every open value range ``[lo, hi)`` (first: everything) is summarised in
-   one aggregate: distinct values, rows, and an equi-depth sketch of its
-   distinct values (``percentile_approx``).
-2. A range with at most ``SMALL`` distinct values is finished by a window
-   over just that range — bounded work, whatever the data size.
-3. A larger range is cut at its sketch boundaries (``Bucketizer``, a JVM
-   binary search); the per-bucket row counts (at most ``BUCKETS`` per range)
-   come back to the driver, and each target rank moves to the one bucket
-   that holds it.  Each round shrinks a range about ``BUCKETS``-fold, so
-   100 TB needs three or four rounds over the (persisted) count table.
-
-Only range summaries — a bounded number of numbers per target rank — reach
-the driver.  The answer is exact; the sketch only decides how the work is
-split.
+of each column.  Values are ranked by running sums of their counts over
+ranges (``prefix``), so no task ever holds a whole column, whatever its size;
+the value at a rank is the one whose running count first exceeds it.  Only
+one row for each rank asked for reaches the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 2_000_000
-BUCKETS = 256
-MAX_ROUNDS = 12
-_INF = float("inf")
-
-
-@dataclass
-class _Range:
-    column: str
-    lo: float | None          # inclusive; None = unbounded
-    hi: float | None          # exclusive; None = unbounded
-    base: int                 # rows of the column below lo
-    ranks: list[int] = field(default_factory=list)
-
-    def cond(self) -> Column:
-        c = F.col("column") == F.lit(self.column)
-        if self.lo is not None:
-            c = c & (F.col("value") >= F.lit(self.lo))
-        if self.hi is not None:
-            c = c & (F.col("value") < F.lit(self.hi))
-        return c
-
-
-def rank_values(counts: DataFrame, targets: dict[str, list[int]],
-                distinct: dict[str, int] | None = None) -> dict[tuple[str, int], float]:
-    """Value at each requested rank: ``{(column, rank): value}``.
-
-    ``counts`` has columns column (string), value (double), n (count); ranks
-    must be below the column's row total.  ``distinct`` (column → distinct
-    values), when known, lets small columns skip straight to the final
-    window."""
-    open_ranges = [_Range(c, None, None, 0, sorted(set(r))) for c, r in targets.items() if r]
-    found: dict[tuple[str, int], float] = {}
-    if distinct is not None:
-        small = {i: r for i, r in enumerate(open_ranges) if distinct.get(r.column, 0) <= SMALL}
-        if small:
-            found.update(_finish(_tag(counts, open_ranges), small))
-        open_ranges = [r for i, r in enumerate(open_ranges) if i not in small]
-    rounds = 0
-    while open_ranges:
-        rounds += 1
-        tagged = _tag(counts, open_ranges)
-        probs = [i / BUCKETS for i in range(1, BUCKETS)]
-        stats = {r["rid"]: r for r in tagged.groupBy("rid").agg(
-            F.count(F.lit(1)).alias("d"),
-            F.percentile_approx("value", probs, 8 * BUCKETS).alias("q")).collect()}
-        small = [i for i in range(len(open_ranges))
-                 if stats.get(i) is None or stats[i]["d"] <= SMALL or rounds >= MAX_ROUNDS]
-        big = [i for i in range(len(open_ranges)) if i not in set(small)]
-        if small:
-            found.update(_finish(tagged, {i: open_ranges[i] for i in small}))
-        open_ranges = _narrow(tagged, {i: open_ranges[i] for i in big}, stats) if big else []
-    return found
-
+from .prefix import ranged, running_sums
 
-def _tag(counts: DataFrame, ranges: list[_Range]) -> DataFrame:
-    """Rows of ``counts`` inside any open range, tagged with its index."""
-    rid = None
-    for i, r in enumerate(ranges):
-        rid = F.when(r.cond(), F.lit(i)) if rid is None else rid.when(r.cond(), F.lit(i))
-    return counts.select("value", "n", rid.alias("rid")).where(F.col("rid").isNotNull())
 
-
-def _finish(tagged: DataFrame, ranges: dict[int, _Range]) -> dict[tuple[str, int], float]:
-    """Rank the values of small ranges with a window per range."""
-    w = Window.partitionBy("rid").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    run = (tagged.where(F.col("rid").isin(list(ranges)))
-           .select("rid", "value", "n", F.sum("n").over(w).alias("cum")))
+def rank_values(counts: DataFrame, targets: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """Value at each requested 0-based rank: ``{(column, rank): value}``.
+    Ranks must be below the column's row total."""
     hit = None
-    for i, r in ranges.items():
-        for k in r.ranks:
-            local = k - r.base  # rank inside the range
-            c = (F.col("rid") == i) & (F.col("cum") - F.col("n") <= local) & (F.lit(local) < F.col("cum"))
-            hit = c if hit is None else (hit | c)
-    rows = run.where(hit).collect()  # at most one row per target rank
-    out: dict[tuple[str, int], float] = {}
-    for i, r in ranges.items():
-        mine = [x for x in rows if x["rid"] == i]
-        for k in r.ranks:
-            local = k - r.base
-            for x in mine:
-                if x["cum"] - x["n"] <= local < x["cum"]:
-                    out[(r.column, k)] = x["value"]
-    return out
-
-
-def _narrow(tagged: DataFrame, ranges: dict[int, _Range], stats) -> list[_Range]:
-    """Cut each big range at its sketch boundaries and keep the buckets that
-    hold target ranks."""
-    parts = []
-    splits_of: dict[int, list[float]] = {}
-    for i, r in ranges.items():
-        inner = sorted({float(v) for v in (stats[i]["q"] or []) if v is not None and abs(v) != _INF})
-        splits = [-_INF] + (inner or [0.0]) + [_INF]
-        splits_of[i] = splits
-        sub = tagged.where(F.col("rid") == i)
-        b = Bucketizer(splits=splits, inputCol="value", outputCol="b", handleInvalid="keep").transform(sub)
-        parts.append(b.groupBy("rid", F.col("b").cast("int").alias("b"))
-                     .agg(F.sum("n").alias("rows")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    totals: dict[int, list[tuple[int, int]]] = {}
-    for row in union.collect():  # at most BUCKETS rows per range
-        totals.setdefault(row["rid"], []).append((row["b"], int(row["rows"])))
-    nxt: list[_Range] = []
-    for i, r in ranges.items():
-        splits = splits_of[i]
-        base = r.base
-        by_bucket: dict[int, _Range] = {}
-        for b, rows in sorted(totals.get(i, [])):
-            for k in r.ranks:
-                if base <= k < base + rows:
-                    lo = splits[b] if splits[b] != -_INF else None
-                    hi = splits[b + 1] if splits[b + 1] != _INF else None
-                    lo = r.lo if lo is None or (r.lo is not None and r.lo > lo) else lo
-                    hi = r.hi if hi is None or (r.hi is not None and r.hi < hi) else hi
-                    by_bucket.setdefault(b, _Range(r.column, lo, hi, base)).ranks.append(k)
-            base += rows
-        nxt.extend(by_bucket.values())
-    return nxt
+    for c, ranks in targets.items():
+        for k in sorted(set(ranks)):
+            at = (F.col("column") == c) & (F.col("cum_n") - F.col("n") <= k) & (F.col("cum_n") > k)
+            hit = at if hit is None else hit | at
+    if hit is None:
+        return {}
+    rows = running_sums(counts, ["column"], "value", ["n"]).where(hit).collect()
+    return {(c, k): r["value"] for c, ranks in targets.items() for k in ranks
+            for r in rows if r["column"] == c and r["cum_n"] - r["n"] <= k < r["cum_n"]}
 
 
 def value_counts(long: DataFrame) -> DataFrame:
-    """(column, value, n) from (column, value) pairs, persisted for the
-    selection rounds (recomputed from lineage if an executor is lost)."""
-    return (long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    """(column, value, n) from (column, value) pairs."""
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def medians(long: DataFrame) -> dict[str, float | None]:
+def medians(long: DataFrame) -> dict[str, float]:
     """Exact medians (mean of the two middle values for an even count) per
-    column of a (column, value) table; ``None`` for a column without values."""
-    counts = value_counts(long)
-    try:
-        return _medians(counts)
-    finally:
-        counts.unpersist()
-
-
-def medians_from_counts(weighted: DataFrame) -> dict[str, float | None]:
-    """``medians`` for a (column, value, n) table that may repeat values
-    (re-aggregated and persisted here)."""
-    counts = (weighted.where(F.col("value").isNotNull()).groupBy("column", "value")
-              .agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        return _medians(counts)
-    finally:
-        counts.unpersist()
-
-
-def medians_given(counts: DataFrame, totals: dict[str, int], distinct: dict[str, int]
-                  ) -> dict[str, float | None]:
-    """Medians for a (column, value, n) table unique on (column, value) whose
-    per-column row totals and distinct counts are already known."""
-    targets = {c: [(t - 1) // 2, t // 2] for c, t in totals.items() if t > 0}
-    vals = rank_values(counts, targets, distinct)
-    return {c: (vals[(c, (t - 1) // 2)] + vals[(c, t // 2)]) / 2.0 for c, t in totals.items() if t > 0}
-
-
-def _medians(counts: DataFrame) -> dict[str, float | None]:
-    summary = counts.groupBy("column").agg(F.sum("n").alias("total"),
-                                           F.count(F.lit(1)).alias("d")).collect()
-    return medians_given(counts, {r["column"]: int(r["total"]) for r in summary},
-                         {r["column"]: int(r["d"]) for r in summary})
+    column of a (column, value) table; columns without values are absent."""
+    counts = ranged(value_counts(long), ["column"], "value")
+    totals = {r["column"]: int(r["total"]) for r in
+              counts.groupBy("column").agg(F.sum("n").alias("total")).collect()}
+    vals = rank_values(counts, {c: [(t - 1) // 2, t // 2] for c, t in totals.items()})
+    return {c: (vals[(c, (t - 1) // 2)] + vals[(c, t // 2)]) / 2.0 for c, t in totals.items()}

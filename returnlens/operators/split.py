@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -49,18 +49,15 @@ def split_report(df: DataFrame, label: str = "actual", part: str = "part") -> Da
 
 def class_weights(df: DataFrame, label: str = "actual", with_share: bool = False) -> DataFrame:
     """AG14 (+AG13): balanced weight n / (k * n_c) per class, as (label, n,
-    [share,] weight).  The class table has one row per class, so the window
-    over it is tiny."""
+    [share,] weight)."""
     counts = df.groupBy(qcol(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()
-    total = F.sum("n").over(w)
-    weight = F.round(total / (F.count(F.lit(1)).over(w) * F.col("n")), 6).alias("weight")
-    share = [F.round(F.col("n") / total, 6).alias("share")] if with_share else []
-    return counts.select("label", "n", *share, weight)
+    total = counts.agg(F.sum("n").alias("__total"), F.count(F.lit(1)).alias("__classes"))     # one row
+    weight = F.round(F.col("__total") / (F.col("__classes") * F.col("n")), 6).alias("weight")
+    share = [F.round(F.col("n") / F.col("__total"), 6).alias("share")] if with_share else []
+    return counts.join(total).select("label", "n", *share, weight)
 
 
 def with_class_weight(df: DataFrame, label: str = "actual", weight_col: str = "weight") -> DataFrame:
-    """Attach the AG14 weight to every row (a ``weightCol`` for Spark ML).
-    The weight table is one row per class — a proven bound — so broadcast."""
+    """Attach the AG14 weight to every row (a ``weightCol`` for Spark ML)."""
     w = class_weights(df, label).select(F.col("label").alias("__label"), F.col("weight").alias(weight_col))
-    return (df.join(F.broadcast(w), qcol(label) == F.col("__label"), "left").drop("__label"))
+    return (df.join(w, qcol(label) == F.col("__label"), "left").drop("__label"))

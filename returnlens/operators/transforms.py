@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +19,7 @@ from .. import constants as K
 from ..functions import names as N
 from ..functions.coerce import column_to_double, is_numeric_type, nan_to_null, qcol
 from . import quantiles as Q
-from ..session import materialize
-from .prefix import add_group_buckets, running_sums, string_sort_key
+from .prefix import running_sums
 
 # ---------------------------------------------------------------------------
 # TR1 / TR2 coercion
@@ -116,9 +114,8 @@ def median_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact medians (the mean of the two middle values for an even count)
     as a (column, median) table, one row per column with values.
 
-    Computed by distributed selection (``quantiles.medians``): distinct
-    values are counted once, then only the value ranges holding the middle
-    ranks are narrowed and ranked, so no task ever holds a whole column.
+    Distinct values are counted once and ranked by running counts over value
+    ranges (``quantiles.medians``), so no task ever holds a whole column.
     """
     meds = fit_medians(df, columns, missing=None)
     rows = [(c, meds[c]) for c in columns if meds.get(c) is not None]
@@ -166,7 +163,8 @@ def impute(df: DataFrame, medians: dict[str, float] | None = None,
             filled = F.coalesce(nan_to_null(qcol(c).cast("double")), F.lit(float(medians[c])))
             out.append(filled.cast(dt).alias(c))
         elif c in medians and is_numeric_type(dt):
-            out.append(_int_safe_fill(qcol(c), medians[c], dt).alias(c))
+            # always DOUBLE: the type must not follow this batch's median
+            out.append(F.coalesce(qcol(c).cast("double"), F.lit(float(medians[c]))).alias(c))
         elif c in modes:
             out.append(F.coalesce(qcol(c).cast("string"), F.lit(modes[c])).alias(c))
         else:
@@ -174,14 +172,6 @@ def impute(df: DataFrame, medians: dict[str, float] | None = None,
     return df.select(*out)
 
 
-def _int_safe_fill(c: Column, value: float, dt: T.DataType) -> Column:
-    """An integer column filled with a fractional median becomes DOUBLE (as
-    it does in pandas); a whole median keeps the integer type."""
-    if float(value).is_integer():
-        return F.coalesce(c, F.lit(int(value)).cast(dt))
-    return F.coalesce(c.cast("double"), F.lit(float(value)))
-
-
 # ---------------------------------------------------------------------------
 # TR9 scaling
 # ---------------------------------------------------------------------------
@@ -217,17 +207,14 @@ def scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
 # TR10 / TR11 label encoding
 # ---------------------------------------------------------------------------
 
-BROADCAST_ROWS = 1_000_000
-
 
 def fit_label_encoder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """TR10 fit: (column, value, code) with codes 0..k-1 in sorted order.
 
-    Dense ranks over distinct values use the bucketed running sum, so a
-    column with many distinct values is never ranked in one task."""
-    distinct = materialize(_long_values(df, columns, as_text=True).distinct()).withColumn("one", F.lit(1))
-    bucketed = add_group_buckets(distinct, "column", string_sort_key(F.col("value")))
-    ranked = running_sums(bucketed, ["column"], "value", ["one"], bucket_col="bucket")
+    Dense ranks over distinct values are running sums over ranges of the full
+    text, so a column with many distinct values is never ranked in one task."""
+    distinct = _long_values(df, columns, as_text=True).distinct().withColumn("one", F.lit(1))
+    ranked = running_sums(distinct, ["column"], "value", ["one"])
     return ranked.select("column", "value", (F.col("cum_one") - 1).cast("int").alias("code"))
 
 
@@ -236,18 +223,12 @@ def label_encode(df: DataFrame, encoder: DataFrame, columns: Sequence[str],
     """TR10/TR11 apply: replace each listed column by its code.
 
     ``unseen='null'`` leaves unknown values NULL; ``unseen='first'`` gives
-    them code 0, the first class in sorted order.  The encoder side is
-    broadcast only when its measured row count is under a fixed bound;
-    otherwise it is a shuffle join.
-    """
-    sizes = {r["column"]: r["k"] for r in
-             encoder.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    them code 0, the first class in sorted order.  The planner decides by the
+    encoder's measured size whether to broadcast it."""
     out = df
     for c in columns:
         enc = (encoder.where(F.col("column") == c)
                .select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__code_{c}")))
-        if sizes.get(c, 0) <= BROADCAST_ROWS:
-            enc = F.broadcast(enc)
         out = out.join(enc, qcol(c).cast("string") == F.col(f"__v_{c}"), "left")
         code = F.col(f"__code_{c}")
         if unseen == "first":
@@ -317,103 +298,56 @@ def standardise(df: DataFrame, keep: Sequence[str] = (), protect: Sequence[str]
 # ---------------------------------------------------------------------------
 
 
-def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, txt, num, n): every distinct cell of the listed columns with
-    its text form (text columns only), its number (NULL when it does not
-    convert) and how often it occurs; missing cells count under (NULL,
-    NULL).  One pass over ``df``; persisted, because the fill statistics all
-    read it (recomputed from lineage if an executor is lost; the caller
-    unpersists)."""
-    items = []
-    for c in columns:
-        dt = df.schema[c].dataType
-        txt = qcol(c).cast("string") if not is_numeric_type(dt) else F.lit(None).cast("string")
-        items.append(F.struct(F.lit(c).alias("column"), txt.alias("txt"),
-                              column_to_double(df, c).alias("num")))
-    long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
-    return (long.groupBy("column", "txt", "num").agg(F.count(F.lit(1)).alias("n"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+def cell_gaps(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """column → (missing cells, cells that are not numbers), one aggregate."""
+    aggs = []
+    for i, c in enumerate(columns):
+        number = column_to_double(df, c)
+        missing = number.isNull() if is_numeric_type(df.schema[c].dataType) else qcol(c).isNull()
+        aggs += [F.count_if(missing).alias(f"m{i}"), F.count_if(~missing & number.isNull()).alias(f"f{i}")]
+    row = df.agg(*aggs).collect()[0]
+    return {c: (row[f"m{i}"], row[f"f{i}"]) for i, c in enumerate(columns)}
 
 
-def fit_fill_statistics(df: DataFrame, columns: Sequence[str], per_cell: bool = False,
-                        skip_complete: bool = False
+def fit_fill_statistics(df: DataFrame, columns: Sequence[str], per_cell: bool = False
                         ) -> tuple[list[str], dict[str, float], dict[str, str]]:
-    """Batch fill statistics from one scan of ``df``: (numeric columns, their
-    medians, modes of the rest).
+    """Batch fill statistics: (numeric columns, medians of those with gaps,
+    modes of the others with gaps).
 
     Numeric columns are the numeric types and the text columns whose every
     cell converts (TR2); with ``per_cell`` every column is coerced cell by
-    cell (TR1) and non-numbers count as gaps.  With ``skip_complete`` only
-    columns that have gaps get a statistic (a fill changes nothing
-    elsewhere).  One profile pass, one summary aggregate over the profile,
-    then the median selection."""
+    cell (TR1) and non-numbers count as gaps.  One aggregate finds the gaps;
+    only columns that have some are counted by value (a fill changes nothing
+    elsewhere), so identifiers are never grouped."""
     if not columns:
         return [], {}, {}
-    prof = column_profile(df, columns)
-    try:
-        txt, num, n = F.col("txt"), F.col("num"), F.col("n")
-        missing = txt.isNull() & num.isNull()
-        best = F.min_by(F.when(txt.isNotNull(), txt),
-                        F.when(txt.isNotNull(), F.struct((-n).alias("neg_n"), txt)))
-        summary = {r["column"]: r for r in prof.groupBy("column").agg(
-            F.sum(F.when(txt.isNotNull() & num.isNull(), n).otherwise(0)).alias("failing"),
-            F.sum(F.when(missing, n).otherwise(0)).alias("missing"),
-            F.count_if(num.isNotNull()).alias("d"),
-            F.sum(F.when(num.isNotNull(), n).otherwise(0)).alias("total"),
-            best.alias("mode")).collect()}
-
-        def stat(c, key):
-            return int(summary[c][key] or 0) if c in summary else 0
-
-        if per_cell:
-            numeric = list(columns)
-        else:
-            numeric = [c for c in columns if is_numeric_type(df.schema[c].dataType) or
-                       (isinstance(df.schema[c].dataType, T.StringType) and stat(c, "failing") == 0)]
-        other = [c for c in columns if c not in set(numeric)]
-
-        def gaps(c):
-            return stat(c, "missing") + (stat(c, "failing") if per_cell else 0)
-
-        want_median = [c for c in numeric if not skip_complete or gaps(c) > 0]
-        want_mode = [c for c in other if not skip_complete or gaps(c) > 0]
-        medians: dict[str, float] = {}
-        if want_median:
-            long = (prof.where(F.col("column").isin(want_median) & num.isNotNull())
-                    .select("column", num.alias("value"), "n"))
-            if all(is_numeric_type(df.schema[c].dataType) for c in want_median):
-                # (column, num) is unique for numeric types: the profile is the count table
-                known = [c for c in want_median if stat(c, "total") > 0]
-                got = Q.medians_given(long, {c: stat(c, "total") for c in known},
-                                      {c: stat(c, "d") for c in known})
-            else:
-                got = Q.medians_from_counts(long)
-            medians = {c: (got[c] if got.get(c) is not None else 0.0) for c in want_median}
-        modes = {c: (summary[c]["mode"] if c in summary and summary[c]["mode"] is not None else "Unknown")
-                 for c in want_mode}
-    finally:
-        prof.unpersist()
+    gaps = cell_gaps(df, columns)
+    if per_cell:
+        numeric = list(columns)
+    else:
+        numeric = [c for c in columns if is_numeric_type(df.schema[c].dataType) or
+                   (isinstance(df.schema[c].dataType, T.StringType) and gaps[c][1] == 0)]
+    fill = [c for c in columns if gaps[c][0] or (per_cell and gaps[c][1])]
+    medians = fit_medians(df, [c for c in fill if c in numeric])
+    modes = fit_modes(df, [c for c in fill if c not in numeric])
     return numeric, medians, modes
 
 
 def scoring_fills(df: DataFrame, leakage_mode: str = "substring",
-                  only: Sequence[str] | None = None, skip_complete: bool = False
-                  ) -> tuple[dict[str, Column], list[str], list[str]]:
+                  only: Sequence[str] | None = None) -> tuple[dict[str, Column], list[str], list[str]]:
     """TR15 as expressions over ``df``: for every non-leakage column, the
     prepared value (numeric → DOUBLE with gaps at the batch median; other →
     text with gaps at the batch mode).
 
     Returns (column → Column, leakage columns dropped, numeric columns).  The
-    statistics come from one scan (``fit_fill_statistics``); the fills are
-    row-local, so callers can keep every input column alongside.  ``only``
-    limits the work to the columns a caller will read; ``skip_complete``
-    leaves columns without gaps as they are (coerced, not filled).
+    fills are row-local, so callers can keep every input column alongside.
+    ``only`` limits the work to the columns a caller will read.
     """
     leakage = N.leakage_columns(df.columns, leakage_mode)
     remaining = [c for c in df.columns if c not in set(leakage)]
     if only is not None:
         remaining = [c for c in remaining if c in set(only)]
-    numeric, medians, modes = fit_fill_statistics(df, remaining, skip_complete=skip_complete)
+    numeric, medians, modes = fit_fill_statistics(df, remaining)
     fills: dict[str, Column] = {}
     for c in remaining:
         if c in medians:

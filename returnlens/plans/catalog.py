@@ -27,7 +27,7 @@ from ..operators import split as SP
 from ..operators import transforms as TR
 from ..sources.tables import table
 from . import scoring as S
-from .views import order_lines, order_lines_with_dates
+from .views import order_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -185,14 +185,10 @@ def q_tuned_decisions(spark, sf_dir):
     scored = canon.select(R.clamp(R.propensity("production", feats)).alias("p"), "target")
     t = EV.best_threshold(scored, "p", "target")
     out = S.score_with_probability(scored, F.col("p"), t, bands="distance")
-    # Lines without a score are counted out in the aggregate (a row filter
-    # on p would be pushed into the joins; see EV.score_counts).
-    known = F.col("Return_Probability").isNotNull()
-    return (out.groupBy("Prediction", "Prediction_Label", "Confidence_Level").agg(
-        F.count("Return_Probability").alias("n"),
-        F.sum(F.when(known, F.col("target"))).cast("bigint").alias("returns"),
-        F.lit(t).cast("double").alias("threshold"))
-        .where(F.col("n") > 0))
+    # A line without a score is no return: the comparison is false.
+    return out.groupBy("Prediction", "Prediction_Label", "Confidence_Level").agg(
+        F.count(F.lit(1)).alias("n"), F.count("Return_Probability").alias("scored"),
+        F.sum("target").cast("bigint").alias("returns"), F.lit(t).cast("double").alias("threshold"))
 
 
 @query("class_weights")
@@ -243,9 +239,7 @@ def q_distinct_counts(spark, sf_dir):
 @query("missing_report")
 def q_missing_report(spark, sf_dir):
     """AG2 per column, with the table total as an extra row."""
-    df = order_lines(spark, sf_dir)
-    total = PF.missing_total(df).select(F.lit("*").alias("column"), F.col("missing_values").alias("missing"))
-    return PF.missing_counts(df).unionByName(total)
+    return PF.missing_counts(order_lines(spark, sf_dir), total=True)
 
 
 @query("quality_report")
@@ -300,6 +294,23 @@ def q_csv_round_trip(spark, sf_dir):
         F.round(F.sum("Return_Probability"), 6).alias("probability_sum"))
 
 
+@query("csv_quoted_round_trip")
+def q_csv_quoted_round_trip(spark, sf_dir):
+    """IO2 then IO1 on text with quotes, commas, line breaks and spaces."""
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FS
+    cu = table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
+    note = F.concat(F.lit(' "'), "c_name", F.lit('", '), "c_mktsegment", F.lit("\nline 2, ""\\ end"),
+                    F.when(F.col("c_custkey") % 3 == 0, F.lit('"')).otherwise(F.lit(" ")))
+    text = cu.select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 5 > 0, note).alias("note"), "c_acctbal")
+    path = os.path.join(ensure_checkpoint_dir(spark), "csv", uuid.uuid4().hex)
+    FS.write_csv(text, path)
+    back = FS.read_csv(spark, path, "c_custkey long, c_mktsegment string, note string, c_acctbal double", multi_line=True)
+    return back.select("c_custkey", "c_mktsegment", "note", F.length("note").alias("note_length"), "c_acctbal")
+
+
 # ---------------------------------------------------------------------------
 # PR: projections and type detection
 # ---------------------------------------------------------------------------
@@ -308,11 +319,9 @@ def q_csv_round_trip(spark, sf_dir):
 @query("detect_types")
 def q_detect_types(spark, sf_dir):
     """PR13 with both cardinality limits (10 flexible, 20 ultra)."""
-    from ..session import materialize
-    stats = materialize(PR.type_stats(order_lines(spark, sf_dir)))  # one distinct-count job
-    a = PR.with_kind(stats, K.TYPE_LIMIT_FLEXIBLE).withColumn("type_limit", F.lit(K.TYPE_LIMIT_FLEXIBLE))
-    b = PR.with_kind(stats, K.TYPE_LIMIT_ULTRA).withColumn("type_limit", F.lit(K.TYPE_LIMIT_ULTRA))
-    return a.unionByName(b)
+    stats = PR.type_stats(order_lines(spark, sf_dir))
+    limits = F.explode(F.array(F.lit(K.TYPE_LIMIT_FLEXIBLE), F.lit(K.TYPE_LIMIT_ULTRA)))
+    return PR.with_kind(stats.withColumn("type_limit", limits), F.col("type_limit"), "type_limit")
 
 
 @query("drop_leakage")
@@ -324,30 +333,62 @@ def q_drop_leakage(spark, sf_dir):
     return df.select(*kept, TR.binarise_target(F.col(target), df.schema[target].dataType).alias("target"))
 
 
+@query("drop_identifiers")
+def q_drop_identifiers(spark, sf_dir):
+    """PR1 on a table that has the identifiers under their fixed names."""
+    df = order_lines(spark, sf_dir).select(
+        F.col("order_id").alias("Order_ID"), F.col("customer_id").alias("Customer_ID"), "line_no", "discount", "shipping_method")
+    return PR.drop_identifiers(df)
+
+
+@query("replace_stale_results")
+def q_replace_stale_results(spark, sf_dir):
+    """PR12: scoring a table that was scored before replaces its results."""
+    stale = order_lines(spark, sf_dir).withColumns({
+        "Prediction": F.lit(9), "Confidence_Level": F.lit("old"), "Return_Probability": F.lit(0.123)})
+    return _rows(S.score_plain(stale))
+
+
+@query("canonical_partial_names")
+def q_canonical_partial_names(spark, sf_dir):
+    """PR7 + PR8 on names that are not aliases but contain one."""
+    df = order_lines(spark, sf_dir).select(
+        F.col("product_category").alias("main_product_category_name"), F.col("item_price").alias("net_item_price_eur"),
+        F.col("customer_age").alias("the_customer_age_years"), F.col("product_rating").alias("mean_product_rating_stars"))
+    return PR.to_canonical(df).select("product_category", "product_price", "customer_age", "product_rating",
+                                      "return_history_rate", "purchase_history_count")
+
+
+@query("scoring_columns_fallback")
+def q_scoring_columns_fallback(spark, sf_dir):
+    """PR10 where no name is relevant: the first columns with numbers."""
+    df = order_lines(spark, sf_dir).select("payment_method", "order_quantity", "shipping_method", "discount", "line_no")
+    return df.select(*PR.scoring_columns(df))
+
+
 @query("filtered_results")
 def q_filtered_results(spark, sf_dir):
-    """FI1 + FI2 + PR11 + PR12: confident predicted returns, display columns.
-    As in an interactive session, the scored table is stored once (a
-    checkpoint in the shared folder) and the filters read the stored result;
-    they are then plain scan predicates instead of conditions inside the
-    scoring joins."""
-    from ..session import materialize
-    scored = materialize(S.score_production(order_lines(spark, sf_dir)))
+    """FI1 + FI2 + PR11 + PR12: confident predicted returns, display columns."""
+    scored = S.score_production(order_lines(spark, sf_dir))
     return PR.display_columns(AN.filter_results(scored, 0.6, "Return"), 10)
 
 
 @query("row_validation")
 def q_row_validation(spark, sf_dir):
-    """FI4: record checks over every line, with the raw extended price as the
-    price and the raw ship-minus-order days as the delivery time."""
-    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_extendedprice", "l_shipdate"])
+    """FI4: all six record checks over every line, on raw values that really
+    leave their ranges: the extended price, ship minus order days, a rating up to
+    6 from the part's size, a rate up to 1.2 from the discount."""
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate", "l_discount"])
     od = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
-    base = li.join(od, li.l_orderkey == od.o_orderkey).select(
-        F.col("l_extendedprice").alias("price"),
-        (F.lit(18) + F.col("o_custkey") % 63).cast("int").alias("age"),
-        F.datediff(F.col("l_shipdate"), F.col("o_orderdate")).alias("delivery_days"))
-    checked = PF.row_errors(base, {"Product_Price": "price", "Customer_Age": "age",
-                                   "Delivery_Time": "delivery_days"})
+    pa = table(spark, sf_dir, "part", ["p_partkey", "p_size"])
+    base = li.join(od, li.l_orderkey == od.o_orderkey).join(pa, li.l_partkey == pa.p_partkey).select(
+        (F.col("l_extendedprice") - 2000).alias("price"),
+        (F.lit(10) + F.col("o_custkey") % 63).cast("int").alias("age"),
+        (F.col("p_size") % 13 / F.lit(2.0)).alias("rating"),
+        F.datediff(F.col("l_shipdate"), F.col("o_orderdate")).alias("delivery_days"),
+        (F.round(F.col("l_discount") * 100) * 12 / F.lit(100.0)).alias("rate"))
+    checked = PF.row_errors(base, {"Product_Price": "price", "Customer_Age": "age", "Product_Rating": "rating",
+                                   "Delivery_Time": "delivery_days", "Return_History_Rate": "rate"})
     return (checked.select(F.explode_outer("errors").alias("error"))
             .groupBy("error").agg(F.count(F.lit(1)).alias("n")))
 
@@ -383,8 +424,7 @@ def q_coerce_cells(spark, sf_dir):
 def q_round_half_even(spark, sf_dir):
     """TR16: ratings rounded to whole stars, half to even (2.5 → 2, 3.5 → 4)."""
     df = order_lines(spark, sf_dir)
-    return (df.where(F.col("product_rating").isNotNull())
-            .groupBy(F.col("product_rating").alias("rating"),
+    return (df.groupBy(F.col("product_rating").alias("rating"),
                      TR.round_half_even(F.col("product_rating"), 0).alias("rounded"))
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -396,6 +436,40 @@ def q_relevant_columns(spark, sf_dir):
     return PR.select_relevant(order_lines(spark, sf_dir))
 
 
+@query("clip_ranges")
+def q_clip_ranges(spark, sf_dir):
+    """TR3 on values that leave their ranges on both sides."""
+    df = order_lines(spark, sf_dir).select(
+        "order_id", "line_no", (F.col("item_price") * 20 - 200).alias("product_price"), (F.col("customer_age") * 2 - 30).alias("customer_age"),
+        (F.col("order_quantity") * 4 - 20).alias("order_quantity"), (F.col("discount") * 15 - 10).alias("discount"),
+        (F.col("delivery_days") * 2 - 5).alias("delivery_time"), (F.col("product_rating") * 1.5 - 1).alias("product_rating"))
+    return TR.clip_ranges(df)
+
+
+@query("clean_categories")
+def q_clean_categories(spark, sf_dir):
+    """TR4 on categories with missing cells and the text 'nan'."""
+    df = order_lines(spark, sf_dir).select(*[_with_gaps(c).alias(c) for c in ("shipping_method", "payment_method")])
+    return (TR.clean_categories(df, ["shipping_method", "payment_method"])
+            .groupBy("shipping_method", "payment_method").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _with_gaps(c: str) -> F.Column:
+    """A category with cells missing, and some that say 'nan'."""
+    mark = (F.col("order_id") + F.length(c)) % 7
+    return F.when(mark == 0, F.lit(None)).when(mark == 1, F.lit("nan")).otherwise(F.col(c))
+
+
+@query("impute_mode_apply")
+def q_impute_mode_apply(spark, sf_dir):
+    """TR8: modes fitted on the lines of even orders, frozen, and filled into
+    all lines."""
+    df = order_lines(spark, sf_dir).select(
+        "order_id", *[F.when((F.col("order_id") + F.length(c)) % 7 > 0, F.col(c)).alias(c) for c in ("shipping_method", "payment_method")])
+    modes = TR.fit_modes(df.where(F.col("order_id") % 2 == 0), ["shipping_method", "payment_method"])
+    return TR.impute(df, modes=modes).groupBy("shipping_method", "payment_method").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("canonical_orders")
 def q_canonical_orders(spark, sf_dir):
     """TR14 (PR2, PR4, PR6-PR8, TR1, TR3, TR4): per canonical column
@@ -478,7 +552,7 @@ def q_label_encode_unseen(spark, sf_dir):
     nations; nations no supplier has get code 0 (the first class)."""
     sup = table(spark, sf_dir, "supplier", ["s_nationkey"])
     na = table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
-    supplier_nations = sup.join(F.broadcast(na), sup.s_nationkey == na.n_nationkey).select(
+    supplier_nations = sup.join(na, sup.s_nationkey == na.n_nationkey).select(
         F.col("n_name").alias("customer_location"))
     enc = TR.fit_label_encoder(supplier_nations, ["customer_location"])
     lines = order_lines(spark, sf_dir).select("customer_location")
@@ -532,8 +606,11 @@ def q_format_rates(spark, sf_dir):
 def q_customer_history(spark, sf_dir):
     """X1: each line with the customer's orders, lines and return rate from
     strictly earlier order dates."""
-    lines = _actual(order_lines_with_dates(spark, sf_dir)).select(
-        "order_id", "line_no", "customer_id", "order_date", "actual")
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag"])
+    od = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    lines = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("o_custkey").alias("customer_id"),
+        F.to_date("o_orderdate").alias("order_date"), (F.col("l_returnflag") == "R").cast("int").alias("actual"))
     h = HI.with_history(lines)
     return h.select("order_id", "line_no", "prior_orders", "prior_lines",
                     F.round("prior_return_rate", 6).alias("prior_return_rate"))

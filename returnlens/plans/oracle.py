@@ -371,15 +371,19 @@ FROM prod WHERE p >= 0.6 AND pred = 1""")
 
 ORACLE["row_validation"] = """
 WITH b AS (
-  SELECT l_extendedprice AS price, 18 + o_custkey % 63 AS age,
-         date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  SELECT l_extendedprice - 2000 AS price, 10 + o_custkey % 63 AS age, p_size % 13 / 2.0 AS rating,
+         date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d,
+         round(l_discount * 100) * 12 / 100.0 AS rate
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 e AS (
   SELECT 'Product price must be greater than 0' AS error FROM b WHERE price <= 0
   UNION ALL SELECT 'Product price seems unusually high' FROM b WHERE price > 10000
   UNION ALL SELECT 'Customer age must be between 18 and 100' FROM b WHERE age < 18 OR age > 100
-  UNION ALL SELECT 'Product rating must be between 1 and 5' FROM b
+  UNION ALL SELECT 'Product rating must be between 1 and 5' FROM b WHERE rating < 1 OR rating > 5
   UNION ALL SELECT 'Delivery time must be between 1 and 30 days' FROM b WHERE d < 1 OR d > 30
+  UNION ALL SELECT 'Return history rate must be between 0 and 1' FROM b WHERE rate < 0 OR rate > 1
+  UNION ALL SELECT NULL FROM b WHERE price > 0 AND price <= 10000 AND age BETWEEN 18 AND 100
+    AND rating BETWEEN 1 AND 5 AND d BETWEEN 1 AND 30 AND rate BETWEEN 0 AND 1
 )
 SELECT error, COUNT(*) AS n FROM e GROUP BY 1"""
 
@@ -532,7 +536,7 @@ FROM scored GROUP BY 1""")
 
 ORACLE["round_half_even"] = with_order_lines("""
 SELECT product_rating AS rating, round_even(product_rating, 0) AS rounded, COUNT(*) AS n
-FROM order_lines WHERE product_rating IS NOT NULL GROUP BY 1, 2""")
+FROM order_lines GROUP BY 1, 2""")
 
 ORACLE["relevant_columns"] = with_order_lines(
     "SELECT item_price, customer_age, delivery_days, product_rating FROM order_lines")
@@ -540,9 +544,8 @@ ORACLE["relevant_columns"] = with_order_lines(
 ORACLE["tuned_decisions"] = with_order_lines(f"""
 WITH {_CANON_CTE},
 sc AS (SELECT {_PROP_CLAMPED} AS p, target FROM canon),
-s AS (SELECT * FROM sc WHERE p IS NOT NULL),
 c AS (SELECT p AS score, CAST(SUM(target) AS BIGINT) AS pos, CAST(SUM(1 - target) AS BIGINT) AS neg
-      FROM s GROUP BY 1),
+      FROM sc WHERE p IS NOT NULL GROUP BY 1),
 t AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM c),
 roc AS (
   SELECT score,
@@ -552,11 +555,58 @@ roc AS (
 j AS (SELECT score, tps / CAST(P AS DOUBLE) - fps / CAST(N AS DOUBLE) AS j FROM roc, t),
 best AS (SELECT CASE WHEN j > 0 THEN score END AS thr FROM j ORDER BY j DESC, score DESC LIMIT 1),
 d AS (
-  SELECT s.*, thr, CASE WHEN thr IS NOT NULL AND p >= thr THEN 1 ELSE 0 END AS pred,
+  SELECT sc.*, thr, CASE WHEN thr IS NOT NULL AND p >= thr THEN 1 ELSE 0 END AS pred,
          abs(p - COALESCE(thr, 0.5)) AS dist
-  FROM s, best)
+  FROM sc, best)
 SELECT pred AS Prediction, CASE WHEN pred = 1 THEN 'Return' ELSE 'Not Return' END AS Prediction_Label,
   CASE WHEN dist < 0.1 THEN 'Very High' WHEN dist < 0.2 THEN 'High' WHEN dist < 0.3 THEN 'Medium-High'
        WHEN dist < 0.4 THEN 'Medium' WHEN dist < 0.5 THEN 'Medium-Low' ELSE 'Low' END AS Confidence_Level,
-  COUNT(*) AS n, CAST(SUM(target) AS BIGINT) AS returns, MAX(thr) AS threshold
+  COUNT(*) AS n, COUNT(p) AS scored, CAST(SUM(target) AS BIGINT) AS returns, MAX(thr) AS threshold
 FROM d GROUP BY 1, 2, 3""")
+
+ORACLE["csv_quoted_round_trip"] = """
+WITH t AS (SELECT *, CASE WHEN c_custkey % 5 > 0 THEN
+  ' "' || c_name || '", ' || c_mktsegment || chr(10) || 'line 2, ' || chr(92) || ' end'
+  || CASE WHEN c_custkey % 3 = 0 THEN '"' ELSE ' ' END END AS note FROM customer)
+SELECT c_custkey, c_mktsegment, note, length(note) AS note_length, c_acctbal FROM t"""
+
+ORACLE["drop_identifiers"] = with_order_lines("SELECT line_no, discount, shipping_method FROM order_lines")
+
+ORACLE["replace_stale_results"] = ORACLE["rule_score_plain_rows"]
+
+ORACLE["canonical_partial_names"] = with_order_lines("""
+SELECT product_category, item_price AS product_price, customer_age, product_rating,
+       0.1::DOUBLE AS return_history_rate, 5.0::DOUBLE AS purchase_history_count FROM order_lines""")
+
+ORACLE["scoring_columns_fallback"] = with_order_lines("SELECT order_quantity, discount, line_no FROM order_lines")
+
+_OUT = {"product_price": "item_price * 20 - 200", "customer_age": "customer_age * 2 - 30", "order_quantity": "order_quantity * 4 - 20",
+        "discount": "discount * 15 - 10", "delivery_time": "delivery_days * 2 - 5", "product_rating": "product_rating * 1.5 - 1"}
+_LIMITS = {"product_price": (1, 1000), "customer_age": (18, 100), "order_quantity": (1, 100), "discount": (0, 100),
+           "delivery_time": (1, 30), "product_rating": (1, 5)}
+ORACLE["clip_ranges"] = with_order_lines("SELECT order_id, line_no, " + ", ".join(
+    f"CASE WHEN {x} IS NULL THEN NULL ELSE LEAST(GREATEST({x}, {_LIMITS[c][0]}), {_LIMITS[c][1]}) END AS {c}"
+    for c, x in _OUT.items()) + " FROM order_lines")
+
+
+def _gaps(c: str, nan: bool) -> str:
+    mark = f"(order_id + length({c})) % 7"
+    return f"CASE WHEN {mark} = 0 THEN NULL" + (f" WHEN {mark} = 1 THEN 'nan'" if nan else "") + f" ELSE {c} END AS {c}"
+
+
+ORACLE["clean_categories"] = with_order_lines(f"""
+WITH g AS (SELECT {_gaps('shipping_method', True)}, {_gaps('payment_method', True)} FROM order_lines)
+SELECT CASE WHEN shipping_method IS NULL OR shipping_method = 'nan' THEN 'Unknown' ELSE shipping_method END AS shipping_method,
+       CASE WHEN payment_method IS NULL OR payment_method = 'nan' THEN 'Unknown' ELSE payment_method END AS payment_method, COUNT(*) AS n
+FROM g GROUP BY 1, 2""")
+
+
+def _mode(c: str) -> str:
+    return f"(SELECT {c} FROM g WHERE order_id % 2 = 0 AND {c} IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
+
+
+ORACLE["impute_mode_apply"] = with_order_lines(f"""
+WITH g AS (SELECT order_id, {_gaps('shipping_method', False)}, {_gaps('payment_method', False)} FROM order_lines)
+SELECT coalesce(shipping_method, {_mode('shipping_method')}) AS shipping_method,
+       coalesce(payment_method, {_mode('payment_method')}) AS payment_method, COUNT(*) AS n
+FROM g GROUP BY 1, 2""")

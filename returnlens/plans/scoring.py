@@ -68,7 +68,7 @@ def quick_probability(df: DataFrame, numeric_fallback: bool = True) -> Column:
     chosen = scoring_columns(base, numeric_fallback=numeric_fallback)
     # a median only fills gaps: complete columns need none (one profile pass)
     scored = [c for c in chosen if N.plain_family(c) is not None]
-    _, medians, _ = TR.fit_fill_statistics(base, scored, per_cell=True, skip_complete=True)
+    _, medians, _ = TR.fit_fill_statistics(base, scored, per_cell=True)
     filled = [(c, F.coalesce(column_to_double(base, c), F.lit(float(medians[c])))
                if c in medians else column_to_double(base, c)) for c in chosen]
     return R.clamp(R.plain_rule_score(filled))
@@ -91,7 +91,7 @@ def production_probability(df: DataFrame) -> Column:
     leak = set(N.leakage_columns(base.columns, "substring"))
     used = [c for c in base.columns if c not in leak
             and any(N.contains_any(c, words) for words, _ in K.PRODUCTION_RULES)]
-    fills, _, numeric = TR.scoring_fills(base, only=used, skip_complete=True)
+    fills, _, numeric = TR.scoring_fills(base, only=used)
     cols = [(c, fills[c] if c in numeric else text_to_double(fills[c])) for c in used]
     return R.clamp(R.production_rule_score(cols))
 

@@ -44,11 +44,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) is a scratch folder created and registered.
+    on a local master (tests) is a scratch folder created and registered.  On
+    a cluster a folder of the driver's machine would lose data: an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="returnlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -56,14 +59,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+#: Folders that ``materialize`` has written and ``release`` has not deleted yet.
+_STORED: list[str] = []
+
+
 def materialize(df):
     """Write ``df`` as a Parquet table in the shared checkpoint folder and
     return a frame that reads it back.  The plan runs once; the table
     survives executor loss and cuts the lineage, so later jobs read it
     (with column pruning and pushed filters) instead of recomputing the
-    plan that produced it."""
+    plan that produced it.  ``release`` deletes such tables."""
     import uuid
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _STORED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written so far, once the
+    frames read from them are no longer needed; returns their number."""
+    jvm, n = spark.sparkContext._jvm, len(_STORED)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

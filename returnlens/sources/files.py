@@ -1,9 +1,11 @@
 """File sources and sinks (IO1, IO2).
 
-CSV is read with a header and, by default, an explicit schema (schema
-inference costs an extra pass over the data).  The usual NA tokens become
-NULL, and NaN in floating columns becomes NULL, matching how the reference's
-CSV reader treats missing cells.  Parquet is the default sink.
+CSV follows the common dialect on both sides: fields are quoted with ``"``,
+a quote inside a field is doubled, line breaks inside a field are kept.  The
+usual NA tokens become NULL, and NaN in floating columns becomes NULL, matching
+how the reference's CSV reader treats missing cells.  Records or cells that
+cannot be read raise an error, or are counted when asked for; none vanishes.
+Parquet is the default sink.
 """
 
 from __future__ import annotations
@@ -20,16 +22,29 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             infer: bool = False) -> DataFrame:
-    """IO1: CSV with header; NA tokens and NaN → NULL.  Without a schema the
-    columns are read as text (``infer=True`` samples types instead)."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif infer:
-        reader = reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return normalise_missing(df)
+             multi_line: bool = False, bad_cells: str = "raise") -> DataFrame:
+    """IO1: CSV with header; NA tokens and NaN → NULL.
+
+    Every field is read as text; with a ``schema`` it is then cast.  A record
+    with the wrong number of fields raises.  A cell that does not fit its type
+    raises (``bad_cells='raise'``) or becomes NULL and is counted in an extra
+    INT column ``bad_cells`` (``bad_cells='count'``).  ``multi_line`` allows
+    line breaks inside quoted fields; a file is then one task, so large tables
+    should come in many files."""
+    reader = (spark.read.option("header", True).option("mode", "FAILFAST").option("quote", '"').option("escape", '"')
+              .option("multiLine", multi_line))
+    if schema is None:
+        return normalise_missing(reader.csv(path))
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    text = normalise_missing(reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path))
+    if bad_cells == "raise":
+        return normalise_missing(text.select(*[qcol(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
+    if bad_cells != "count":
+        raise ValueError(bad_cells)
+    bad = sum(((qcol(f.name).isNotNull() & qcol(f.name).try_cast(f.dataType).isNull()).cast("int") for f in schema.fields), F.lit(0))
+    return normalise_missing(text.select(*[qcol(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields],
+                                         bad.alias("bad_cells")))
 
 
 def normalise_missing(df: DataFrame) -> DataFrame:
@@ -48,8 +63,9 @@ def normalise_missing(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """IO2: CSV with header, one file per task (no single-writer funnel).
-    Text is written exactly (Spark's writer would trim surrounding spaces)."""
-    (df.write.mode(mode).option("header", True)
+    Text is written exactly (Spark's writer would trim surrounding spaces);
+    quotes inside a field are doubled, as other CSV readers expect."""
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 

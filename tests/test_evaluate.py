@@ -78,3 +78,15 @@ def test_summary_and_distribution(spark):
     assert d["share_above"] == 0.25 and d["share_below"] == 0.5
     q = EV.probability_distribution(df, variant="quick").collect()[0]
     assert q["share_below"] == 0.75
+
+
+def test_auc_over_billions_of_rows(spark, monkeypatch):
+    """Counts as they come from billions of scored rows must not overflow."""
+    from returnlens.operators import evaluate as E
+    counts = spark.createDataFrame([(0.1, 1_000_000_000, 5_000_000_000), (0.5, 500_000_000, 3_000_000_000), (0.9, 1_500_000_000, 1_000_000_000)],
+                                   "score double, pos bigint, neg bigint")
+    monkeypatch.setattr(E, "score_counts", lambda *a: counts)
+    r = E.roc_auc(counts, "score", "pos").collect()[0]
+    rows = [(0.1, 10, 50), (0.5, 5, 30), (0.9, 15, 10)]
+    want = sum(p * n * (1.0 if s > t else 0.5 if s == t else 0.0) for s, p, _ in rows for t, _, n in rows) / (30 * 90)
+    assert abs(r["auc"] - want) < 1e-12 and r["positives"] == 3_000_000_000

@@ -1,5 +1,5 @@
-"""Exact medians and bucketed running sums against brute force, including a
-hot value holding a third of the rows and the multi-round narrowing path."""
+"""Exact medians and running sums over ranges against brute force, including
+a hot value holding a third of the rows."""
 
 from __future__ import annotations
 
@@ -32,22 +32,10 @@ def test_medians_match_python(spark):
     assert got["b"] == statistics.median([b for _, b in data if b is not None])
 
 
-def test_narrowing_rounds_are_exact(spark, monkeypatch):
-    data = _data(5000, seed=3)
-    df = spark.createDataFrame(data, "a double, b double")
-    monkeypatch.setattr(Q, "SMALL", 40)      # force several narrowing rounds
-    monkeypatch.setattr(Q, "BUCKETS", 8)
-    got = TR.fit_medians(df, ["a", "b"])
-    assert got["a"] == statistics.median([a for a, _ in data])
-    assert got["b"] == statistics.median([b for _, b in data if b is not None])
-
-
-def test_rank_values_every_rank(spark, monkeypatch):
+def test_rank_values_every_rank(spark):
     vals = [float(v) for v in [5, 1, 1, 1, 9, 3, 3, 7, 2, 8, 8, 8, 8]]
     long = spark.createDataFrame([("x", v) for v in vals], "column string, value double")
     counts = Q.value_counts(long)
-    monkeypatch.setattr(Q, "SMALL", 2)
-    monkeypatch.setattr(Q, "BUCKETS", 3)
     got = Q.rank_values(counts, {"x": list(range(len(vals)))})
     assert [got[("x", k)] for k in range(len(vals))] == sorted(vals)
 
@@ -56,21 +44,31 @@ def test_running_sums_equal_plain_window(spark):
     rnd = random.Random(1)
     rows = [(float(s), rnd.randint(0, 5), rnd.randint(0, 5)) for s in rnd.sample(range(100000), 2000)]
     df = spark.createDataFrame(rows, "score double, pos int, neg int")
-    got = running_sums(df, [], "score", ["pos", "neg"], descending=True, n_buckets=16)
+    got = running_sums(df, [], "score", ["pos", "neg"], descending=True)
     w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("score", F.sum("pos").over(w).alias("cum_pos"), F.sum("neg").over(w).alias("cum_neg"))
     assert sorted(got.select("score", "cum_pos", "cum_neg").collect()) == sorted(want.collect())
 
 
-def test_label_codes_with_many_buckets(spark, monkeypatch):
-    from returnlens.operators import prefix as P
-    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 7)     # force several buckets per column
+def test_label_codes_with_long_common_prefixes(spark):
     rnd = random.Random(4)
-    words = ["w%03d" % rnd.randint(0, 400) for _ in range(300)]
-    nums = [str(rnd.randint(0, 50)) for _ in range(300)]
+    words = ["Customer#%012d" % rnd.randint(0, 4000) for _ in range(3000)]
+    nums = [str(rnd.randint(0, 50)) for _ in range(3000)]
     df = spark.createDataFrame(list(zip(words, nums)), "a string, b string")
     enc = TR.fit_label_encoder(df, ["a", "b"])
     got = {(r["column"], r["value"]): r["code"] for r in enc.collect()}
     for col, vals in (("a", words), ("b", nums)):
         for code, v in enumerate(sorted(set(vals))):
             assert got[(col, v)] == code
+
+
+def test_ranges_split_values_that_share_a_prefix(spark):
+    from returnlens.operators.prefix import RANGE, ranged
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([("c", "Customer#%09d" % i, 1) for i in range(2000)], "column string, value string, n int")
+        sizes = [r["count"] for r in ranged(df, ["column"], "value").groupBy(RANGE).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) >= 3 and max(sizes) < 1500
