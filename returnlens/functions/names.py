@@ -6,6 +6,7 @@ are DataFrame projections.  Only schema names are involved, never data.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from .. import constants as K
@@ -28,6 +29,13 @@ def contains_any(name: str, words: Iterable[str]) -> bool:
     return any(w in low for w in words)
 
 
+def contains_word(name: str, words: Iterable[str]) -> bool:
+    """Like ``contains_any`` for whole words: 'age' is in 'customer_age' but
+    not in 'percentage'."""
+    parts = re.split(r"[^a-z0-9]+", name.lower())
+    return any(w in parts for w in words)
+
+
 def leakage_columns(columns: Sequence[str], mode: str = "substring") -> list[str]:
     """PR2 (``substring``: the 12-name list) or PR3 (``keyword``: 10 broad words)."""
     words = K.LEAKAGE_SUBSTRINGS if mode == "substring" else K.LEAKAGE_KEYWORDS
@@ -82,9 +90,11 @@ def map_canonical(columns: Sequence[str]) -> dict[str, str]:
     return mapping
 
 
-def relevant_columns(columns: Sequence[str], limit: int | None = None) -> list[str]:
-    """PR9: names containing one of the relevant words (first ``limit``)."""
-    out = [c for c in columns if contains_any(c, K.RELEVANT_WORDS)]
+def relevant_columns(columns: Sequence[str], limit: int | None = None, word_match: bool = False) -> list[str]:
+    """PR9: names containing one of the relevant words (first ``limit``), with
+    ``word_match`` only as a whole word."""
+    found = contains_word if word_match else contains_any
+    out = [c for c in columns if found(c, K.RELEVANT_WORDS)]
     return out if limit is None else out[:limit]
 
 

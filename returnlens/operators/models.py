@@ -4,8 +4,10 @@ TR13, AG22, IO3, IO4) on Spark ML.
 Preparation uses the library's exact, frozen statistics (median / mode
 imputation, population-std scaling) as one projection in front of a Spark ML
 ``Pipeline`` of ``StringIndexer`` → ``OneHotEncoder`` → ``VectorAssembler`` →
-classifier.  Fitting is distributed by Spark ML; only bounded statistics and
-the fitted trees / coefficients live on the driver.
+classifier.  It is fitted on the rows a model is fitted on, inside every
+cross-validation fold too.  Fitting is distributed by Spark ML; only bounded
+statistics and the fitted trees / coefficients live on the driver, and a
+categorical column with more than ``MAX_CATEGORIES`` values is refused.
 
 Unknown categories: ``StringIndexer(handleInvalid='keep')`` gives them the
 last index and ``OneHotEncoder(dropLast=True)`` drops exactly that slot, so
@@ -14,23 +16,44 @@ an unseen or missing category encodes as all zeros (TR12).
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.coerce import qcol
+from ..session import materialize
 from . import evaluate as EV
+from . import split as SP
 from . import transforms as TR
 
+#: Distinct values a categorical feature may have: each is a slot of the feature vector.
+MAX_CATEGORIES = 10_000
+
+# FIXED VALUES - the grids that are searched (ML4): 24 + 12 + 6 candidates.
+# A missing depth limit is Spark's deepest, 30; C is the inverse strength.
+GRIDS: dict[str, dict[str, list]] = {
+    "rf": {"numTrees": [100, 200], "maxDepth": [10, 15, 30], "minSplit": [2, 5], "minInstancesPerNode": [1, 2]},
+    "gbt": {"maxIter": [100, 200], "stepSize": [0.01, 0.1], "maxDepth": [3, 6, 30]},
+    "lr": {"C": [0.1, 1.0, 10.0], "penalty": ["l1", "l2"]},
+}
+# FIXED VALUES - settings of the three production models (ML1-ML3).
+PRODUCTION: dict[str, dict] = {
+    "gbt": {"maxIter": 200, "stepSize": 0.1, "maxDepth": 6, "minSplit": 5, "minInstancesPerNode": 2, "subsamplingRate": 0.8},
+    "rf": {"numTrees": 200, "maxDepth": 10, "minSplit": 5, "minInstancesPerNode": 2},
+    "lr": {"maxIter": 1000, "C": 1.0},
+}
+BALANCED = {"rf", "lr"}     # the kinds that are fitted with balanced class weights
+
 
 @dataclass
 class Prep:
@@ -82,32 +105,41 @@ def apply_prep(df: DataFrame, prep: Prep) -> DataFrame:
     return df.select(*out)
 
 
-def classifier(kind: str, label: str = "label", weight: str | None = None, **params):
-    """ML1-ML3 with the reference's settings as defaults."""
+# Parameters of each kind and their defaults.  ``minSplit``, the fewest rows a
+# node needs to be cut, is met through Spark's fewest rows of a child: a cut of
+# m rows leaves a child of at most m / 2.
+_DEFAULTS: dict[str, dict] = {
+    "lr": {"maxIter": 1000, "regParam": 0.0, "elasticNetParam": 0.0, "C": None, "penalty": "l2", "tol": 1e-6},
+    "rf": {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 1, "minSplit": 2, "seed": K.SPLIT_SEED},
+    "gbt": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 1, "minSplit": 2,
+            "seed": K.SPLIT_SEED},
+}
+
+
+def classifier(kind: str, label: str = "label", weight: str | None = None, n_rows: int | None = None, **params):
+    """ML1-ML3 with the reference's settings as defaults; unknown parameters
+    are refused.  ``C`` needs ``n_rows``, the rows fitted on."""
+    if kind not in _DEFAULTS:
+        raise ValueError(kind)
+    unknown = set(params) - set(_DEFAULTS[kind])
+    if unknown:
+        raise ValueError(f"{kind} has no parameter {sorted(unknown)}")
+    p = _DEFAULTS[kind] | params
     common = dict(featuresCol="features", labelCol=label)
     if kind == "lr":
-        lr = LogisticRegression(maxIter=params.get("maxIter", 1000), regParam=params.get("regParam", 0.0),
-                                elasticNetParam=params.get("elasticNetParam", 0.0),
-                                standardization=False, **common)
-        if weight:
-            lr.setWeightCol(weight)
-        return lr
-    if kind == "rf":
-        rf = RandomForestClassifier(numTrees=params.get("numTrees", 100), maxDepth=params.get("maxDepth", 10),
-                                    minInstancesPerNode=params.get("minInstancesPerNode", 1),
-                                    seed=params.get("seed", K.SPLIT_SEED), **common)
-        if weight:
-            rf.setWeightCol(weight)
-        return rf
-    if kind == "gbt":
-        gbt = GBTClassifier(maxIter=params.get("maxIter", 200), maxDepth=params.get("maxDepth", 6),
-                            stepSize=params.get("stepSize", 0.1),
-                            subsamplingRate=params.get("subsamplingRate", 0.8),
-                            seed=params.get("seed", K.SPLIT_SEED), **common)
-        if weight:
-            gbt.setWeightCol(weight)
-        return gbt
-    raise ValueError(kind)
+        reg, net = p["regParam"], p["elasticNetParam"]
+        if p["C"] is not None:
+            if n_rows is None:
+                raise ValueError("C needs the number of rows")
+            reg, net = lr_reg_param(p["C"], n_rows), {"l1": 1.0, "l2": 0.0}[p["penalty"]]
+        model = LogisticRegression(maxIter=p["maxIter"], regParam=reg, elasticNetParam=net, tol=p["tol"],
+                                   standardization=False, **common)
+    else:
+        leaf = max(p["minInstancesPerNode"], 1 if p["minSplit"] <= 3 else p["minSplit"] // 2)
+        trees = dict(maxDepth=p["maxDepth"], minInstancesPerNode=leaf, seed=p["seed"], **common)
+        model = RandomForestClassifier(numTrees=p["numTrees"], **trees) if kind == "rf" else \
+            GBTClassifier(maxIter=p["maxIter"], stepSize=p["stepSize"], subsamplingRate=p["subsamplingRate"], **trees)
+    return model.setWeightCol(weight) if weight else model
 
 
 def lr_reg_param(C: float, n_rows: int) -> float:
@@ -118,22 +150,41 @@ def lr_reg_param(C: float, n_rows: int) -> float:
     return 1.0 / (C * n_rows)
 
 
+def choose(table: DataFrame, prefer: str | None = None) -> str:
+    """ML6: of the rows (split, f1) in their order, the name with the best F1.
+    Ties keep the earlier one, unless ``prefer`` ties for best (the
+    fixed-schema trainer lets the random forest win ties)."""
+    best_name, best_f1 = None, None
+    for r in table.select("split", "f1").collect():     # one row per candidate
+        if best_f1 is None or r["f1"] > best_f1 or (r["split"] == prefer and r["f1"] == best_f1):
+            best_name, best_f1 = r["split"], r["f1"]
+    return best_name
+
+
+def compare_scores(df: DataFrame, scores: Sequence[str], label: str, threshold: float) -> DataFrame:
+    """(split, tn, fp, fn, tp, ..., f1) of each score column of ``df`` at a
+    fixed threshold, in the order given, from one aggregate."""
+    cells = []
+    for i, c in enumerate(scores):
+        got, real = F.col(c) >= threshold, F.col(label) == 1
+        cells += [F.count_if(~real & ~got).alias(f"tn{i}"), F.count_if(~real & got).alias(f"fp{i}"),
+                  F.count_if(real & ~got).alias(f"fn{i}"), F.count_if(real & got).alias(f"tp{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("split"), *[F.col(f"{k}{i}").alias(k) for k in ("tn", "fp", "fn", "tp")])
+                     for i, c in enumerate(scores)])
+    return EV.metrics_from_confusion(df.agg(*cells).select(F.explode(rows).alias("r")).select("r.*"), ("split",))
+
+
 def select_model(candidates: list[tuple[str, "FittedModel"]], df: DataFrame, label: str,
                  prefer: str | None = None) -> tuple[str, "FittedModel", DataFrame]:
     """ML6: the candidate with the best F1 on ``df`` at its own threshold.
-    Ties keep the earlier candidate, unless ``prefer`` names one that ties
-    for best (the fixed-schema trainer lets the random forest win ties).
     Returns (name, model, per-candidate metrics)."""
-    reports = [evaluate_model(m, df, label, name) for name, m in candidates]
-    table = reports[0]
-    for r in reports[1:]:
-        table = table.unionByName(r)
-    f1 = {r["split"]: r["f1"] for r in table.select("split", "f1").collect()}  # one row per candidate
-    best_name, best_f1 = None, None
-    for name, _ in candidates:
-        if best_f1 is None or f1[name] > best_f1 or (name == prefer and f1[name] == best_f1):
-            best_name, best_f1 = name, f1[name]
-    return best_name, dict(candidates)[best_name], table
+    table = None
+    for name, m in candidates:
+        report = evaluate_model(m, df, label, name)
+        table = report if table is None else table.unionByName(report)
+    table = materialize(table.coalesce(1))      # one row per candidate, in order
+    best = choose(table, prefer)
+    return best, dict(candidates)[best], table
 
 
 def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str], clf) -> Pipeline:
@@ -180,27 +231,43 @@ def _rename(prep: Prep, prefix: str) -> Prep:
                 {prefix + k: v for k, v in prep.scaler.items()})
 
 
+def bounded(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
+    """At most ``max_rows`` labelled rows to fit on, those with the smallest
+    key hashes (a documented bound: trees cost many passes)."""
+    return df.orderBy(SP.key_hash(keys), *[qcol(k) for k in keys], *[qcol(c) for c in df.columns if c not in keys]).limit(max_rows)
+
+
+def check_categories(df: DataFrame, categorical: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
+    """Refuse a column whose values would not fit the driver and the vector."""
+    for c in categorical:
+        if df.select(qcol(c)).distinct().limit(limit + 1).count() > limit:
+            raise ValueError(f"{c} has more than {limit} categories")
+
+
 def fit(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str,
         kind: str = "rf", weight: str | None = None, threshold: str | float | None = 0.5,
-        tune_on: DataFrame | None = None, **params) -> FittedModel:
-    """Fit preparation + pipeline on ``df``.  ``threshold='youden'`` tunes
-    the cut (AG12) on ``tune_on`` (a validation table; the training table
-    when not given)."""
-    prep = fit_prep(df, numeric, categorical)
+        tune_on: DataFrame | None = None, balanced: bool = False, prep: Prep | None = None, **params) -> FittedModel:
+    """Fit preparation (unless ``prep``, fitted on the same rows, is given) and
+    pipeline on ``df``.  ``balanced`` weighs classes
+    equally (AG14).  ``threshold='youden'`` tunes the cut (AG12) on ``tune_on``,
+    a validation table."""
+    if threshold == "youden" and tune_on is None:
+        raise ValueError("a threshold is tuned on rows the model is not fitted on: give tune_on")
+    if prep is None:
+        check_categories(df, categorical)
+        prep = fit_prep(df, numeric, categorical)
     feats = list(numeric) + list(categorical)
+    if balanced:
+        df, weight = SP.with_class_weight(df, label, "__weight"), "__weight"
     renamed = df.select(*[F.col(c).alias(f"m__{c}") for c in feats], F.col(label).cast("double").alias("label"),
                         *([F.col(weight).alias("weight")] if weight else []))
     model_prep = _rename(prep, "m__")
+    n_rows = df.count() if params.get("C") is not None else None
     pipe = feature_pipeline(model_prep.numeric, model_prep.categorical,
-                            classifier(kind, "label", "weight" if weight else None, **params))
+                            classifier(kind, "label", "weight" if weight else None, n_rows, **params))
     fitted = pipe.fit(apply_prep(renamed, model_prep))
     model = FittedModel(prep, fitted, kind, None, label)
-    if threshold == "youden":
-        tune = tune_on if tune_on is not None else df
-        scored = model.score(tune)
-        model.threshold = EV.best_threshold(scored, "p", label)
-    else:
-        model.threshold = threshold
+    model.threshold = EV.best_threshold(model.score(tune_on), "p", label) if threshold == "youden" else threshold
     return model
 
 
@@ -244,36 +311,91 @@ def _slot_names(model: FittedModel) -> list[str]:
     return names
 
 
+def candidates(grid: dict[str, list] | None) -> list[dict]:
+    """All parameter combinations of a grid, in the order of its lists."""
+    grid = grid or {}
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+
+
 def cross_validate(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str,
                    kind: str = "rf", grid: dict | None = None, fold_col: str = "fold",
-                   metric: str = "f1", parallelism: int = 2, **params) -> DataFrame:
+                   metric: str = "f1", parallelism: int = 4, balanced: bool = False, **params) -> DataFrame:
     """ML4 / ML5: k-fold cross-validation over a parameter grid, folds from
-    ``fold_col`` (SO4).  Returns (params, mean, std) per candidate."""
-    prep = fit_prep(df, numeric, categorical)
-    feats = list(numeric) + list(categorical)
-    model_prep = _rename(prep, "m__")
-    data = apply_prep(df.select(*[F.col(c).alias(f"m__{c}") for c in feats],
-                                F.col(label).cast("double").alias("label"),
-                                F.col(fold_col).cast("int").alias("fold")), model_prep)
-    clf = classifier(kind, "label", None, **params)
-    pipe = feature_pipeline(model_prep.numeric, model_prep.categorical, clf)
-    builder = ParamGridBuilder()
-    for pname, values in (grid or {}).items():
-        builder = builder.addGrid(clf.getParam(pname), values)
-    maps = builder.build()
-    if metric == "f1":
-        ev = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
-    else:
-        ev = MulticlassClassificationEvaluator(metricName=metric)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
-                        parallelism=parallelism)
-    cvm = cv.fit(data)
+    ``fold_col`` (SO4).  Preparation, class weights and model are fitted on the
+    other folds only.  (params, fold, score) per candidate and fold; fits run
+    side by side, ``parallelism`` at a time."""
     spark = df.sparkSession
-    rows = []
-    for pm, mean, std in zip(maps, cvm.avgMetrics, cvm.stdMetrics):
-        desc = json.dumps({p.name: v for p, v in pm.items()}, sort_keys=True)
-        rows.append((desc, float(mean), float(std)))
-    return spark.createDataFrame(rows, "params string, mean double, std double")
+    df = materialize(df)
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())      # k values
+    check_categories(df, categorical)
+    preps = {f: fit_prep(df.where(F.col(fold_col) != f), numeric, categorical) for f in folds}
+    tasks = [(c, f) for c in candidates(grid) for f in folds]
+
+    def run(task):
+        choice, fold = task
+        model = fit(df.where(F.col(fold_col) != fold), numeric, categorical, label, kind, balanced=balanced, prep=preps[fold],
+                    **params, **choice)
+        score = evaluate_model(model, df.where(F.col(fold_col) == fold), label).collect()[0][metric]
+        return json.dumps(choice, sort_keys=True), int(fold), float(score)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = list(pool.map(run, tasks))
+    return spark.createDataFrame(rows, "params string, fold int, score double")
+
+
+def grid_search(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str,
+                grids: dict[str, dict] | None = None, fold_col: str = "fold", **more) -> DataFrame:
+    """ML4 over several kinds of model: (kind, params, mean, std, rank) by mean
+    F1; ties keep the earlier candidate.  Defaults to all 42 candidates."""
+    grids = GRIDS if grids is None else grids
+    parts, order = [], {}
+    for kind, grid in grids.items():
+        for c in candidates(grid):
+            order[kind, json.dumps(c, sort_keys=True)] = len(order)
+        parts.append(cross_validate(df, numeric, categorical, label, kind, grid, fold_col, balanced=kind in BALANCED, **more)
+                     .withColumn("kind", F.lit(kind)))
+    scores = parts[0]
+    for p in parts[1:]:
+        scores = scores.unionByName(p)
+    table = scores.groupBy("kind", "params").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")).collect()
+    ranked = sorted(table, key=lambda r: (-r["mean"], order[r["kind"], r["params"]]))
+    return df.sparkSession.createDataFrame(
+        [(r["kind"], r["params"], r["mean"], r["std"], i + 1) for i, r in enumerate(ranked)],
+        "kind string, params string, mean double, std double, rank int")
+
+
+def train_test_report(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, keys: Sequence[str],
+                      kind: str, folds: int = 5, **params) -> tuple[FittedModel, DataFrame]:
+    """ML7: a model fitted on the train part of ``df`` (column ``part``) and its
+    report: for each part the metrics, the probabilities' distribution, and for
+    the train part the mean and spread of cross-validated accuracy."""
+    train, test = df.where(F.col("part") == "train"), df.where(F.col("part") == "test")
+    model = fit(train, numeric, categorical, label, kind, balanced=kind in BALANCED, **params)
+    cv = cross_validate(SP.assign_folds(train, keys, folds), numeric, categorical, label, kind, metric="accuracy",
+                        balanced=kind in BALANCED, **params).agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()[0]
+    parts = []
+    for name, rows in (("train", train), ("test", test)):
+        spread = EV.probability_distribution(model.score(rows), "p")
+        parts.append(evaluate_model(model, rows, label, name).join(spread).select(
+            F.lit(kind).alias("kind"), "*", F.lit(cv["m"] if name == "train" else None).cast("double").alias("cv_accuracy"),
+            F.lit(2 * cv["s"] if name == "train" else None).cast("double").alias("cv_spread")))
+    return model, parts[0].unionByName(parts[1])
+
+
+def one_hot_sums(model: FittedModel, df: DataFrame) -> DataFrame:
+    """TR12 / TR13: (column, value, n) - rows of ``df`` in each one-hot slot of
+    a fitted model, and under NULL those without a slot (unknown values)."""
+    feats = model.prep.numeric + model.prep.categorical
+    prepared = apply_prep(df.select(*[F.col(c).alias(f"m__{c}") for c in feats]), _rename(model.prep, "m__"))
+    coded = PipelineModel(model.pipeline.stages[:-1]).transform(prepared)
+    labels = next(st for st in model.pipeline.stages if hasattr(st, "labelsArray")).labelsArray
+    items = []
+    for c, values in zip(model.prep.categorical, labels):
+        slots = vector_to_array(F.col(f"m__{c}__ohe"))
+        at = F.array_position(slots, 1.0)       # 0 where all slots are zero
+        items.append(F.struct(F.lit(c).alias("column"), F.get(F.lit(list(values)), (at - 1).cast("int")).alias("value")))
+    return (coded.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
+            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
 # ---------------------------------------------------------------------------

@@ -57,10 +57,10 @@ def to_canonical(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def select_relevant(df: DataFrame, limit: int | None = None) -> DataFrame:
+def select_relevant(df: DataFrame, limit: int | None = None, word_match: bool = False) -> DataFrame:
     """PR9: columns whose name has a relevant word (price, cost, amount, age,
     rating, score, time, day)."""
-    return df.select(*[qcol(c) for c in N.relevant_columns(df.columns, limit)])
+    return df.select(*[qcol(c) for c in N.relevant_columns(df.columns, limit, word_match)])
 
 
 def scoring_columns(df: DataFrame, numeric_fallback: bool = True) -> list[str]:

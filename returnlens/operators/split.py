@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.coerce import qcol
+from ..session import materialize
 
 
 def key_hash(keys: Sequence[str], seed: int = K.SPLIT_SEED) -> Column:
@@ -36,6 +37,26 @@ def split_train_test(df: DataFrame, keys: Sequence[str], seed: int = K.SPLIT_SEE
     return df.withColumn("part", F.when(h < test_percent, F.lit("test")).otherwise(F.lit("train")))
 
 
+def split_stratified(df: DataFrame, keys: Sequence[str], label: str, seed: int = K.SPLIT_SEED,
+                     test_percent: int = K.TEST_PERCENT) -> DataFrame:
+    """SO3 with exact shares: of each class the ``test_percent`` % of rows with
+    the smallest key hashes are 'test' (rows with equal keys stay together).
+
+    The cut of each class is an order statistic of its hashes, found by running
+    counts over ranges, so a class of any size is never ranked in one task.
+    Classes are few: one literal each."""
+    from .quantiles import rank_values
+    marked = df.select(qcol(label).cast("string").alias("column"), key_hash(keys, seed).cast("double").alias("value"))
+    counts = materialize(marked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    totals = {r["column"]: int(r["n"]) for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect() if r["column"] is not None}
+    wanted = {c: [n * test_percent // 100 - 1] for c, n in totals.items() if n * test_percent >= 100}
+    cuts = rank_values(counts, wanted)
+    test = F.lit(False)
+    for (c, _), cut in sorted(cuts.items()):
+        test = test | ((qcol(label).cast("string") == c) & (key_hash(keys, seed) <= int(cut)))
+    return df.withColumn("part", F.when(test, F.lit("test")).otherwise(F.lit("train")))
+
+
 def assign_folds(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = K.SPLIT_SEED) -> DataFrame:
     """SO4: add ``fold`` in 0..k-1 (usable as a CrossValidator ``foldCol``)."""
     return df.withColumn("fold", (key_hash(keys, seed) % k).cast("int"))

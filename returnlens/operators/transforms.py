@@ -258,8 +258,8 @@ def binarise_target(c: Column, dtype: T.DataType) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def standardise(df: DataFrame, keep: Sequence[str] = (), protect: Sequence[str] = ()
-                ) -> tuple[DataFrame, dict[str, str], str | None]:
+def standardise(df: DataFrame, keep: Sequence[str] = (), protect: Sequence[str] = (),
+                drop_null_target: bool = False) -> tuple[DataFrame, dict[str, str], str | None]:
     """TR14: leakage drop → target → name mapping → defaults → coercion and
     clipping → category clean-up → binarised target, as one projection.
 
@@ -267,12 +267,15 @@ def standardise(df: DataFrame, keep: Sequence[str] = (), protect: Sequence[str]
     has the 12 canonical features (numeric as DOUBLE), ``target`` (INT) when
     a target was found, and any ``keep`` columns first.  ``protect`` lists
     columns that must not be removed as leakage (the reference removes
-    return_history_rate; protecting it keeps the feature).
+    return_history_rate; protecting it keeps the feature).  A missing target
+    counts as 0; with ``drop_null_target`` such rows go instead.
     """
     cols = list(df.columns)
     N.check_unambiguous(cols)
     leakage = [c for c in N.leakage_columns(cols, "substring") if c not in protect]
     target = N.find_target_exact(cols)
+    if target and drop_null_target:
+        df = df.where(qcol(target).isNotNull())
     dropped = set(leakage) | ({target} if target else set())
     remaining = [c for c in cols if c not in dropped]
     mapping = N.map_canonical(remaining)

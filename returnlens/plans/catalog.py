@@ -3,8 +3,8 @@
 Each query reads the driver tables over their whole extent — through the
 ``order_lines`` view, or the line-item stream — and runs one library
 operator or a composition of them.  ``plans.oracle`` holds the equivalent
-DuckDB SQL under the same names; model fits have none (checked on rows and
-by their own tests).
+DuckDB SQL under the same names; only the comparison of fitted models has
+none (checked on rows and by its own tests).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import formats as FM
 from ..functions import rules as R
 from ..functions.coerce import column_to_double
 from ..operators import analytics as AN
@@ -573,6 +574,13 @@ def q_split(spark, sf_dir):
     return SP.split_report(df, "actual", "part")
 
 
+@query("split_stratified")
+def q_split_stratified(spark, sf_dir):
+    """SO3 with exact shares of each class."""
+    df = SP.split_stratified(_actual(order_lines(spark, sf_dir)), ["order_id", "line_no"], "actual")
+    return SP.split_report(df, "actual", "part")
+
+
 @query("folds_5")
 def q_folds(spark, sf_dir):
     df = SP.assign_folds(_actual(order_lines(spark, sf_dir)), ["order_id", "line_no"], 5)
@@ -591,12 +599,23 @@ def q_format_rates(spark, sf_dir):
     scored = S.score_production(order_lines(spark, sf_dir))
     g = scored.groupBy("shipping_method").agg(F.avg(F.col("Prediction").cast("double")).alias("rate"),
                                               F.avg("Return_Probability").alias("mean_p"))
-    return g.select("shipping_method",
-                    F.format_string("%.2f%%", F.col("rate") * 100).alias("return_rate"),
-                    F.format_string("%.3f", F.col("mean_p")).alias("avg_probability"),
+    return g.select("shipping_method", FM.percent(F.col("rate")).alias("return_rate"),
+                    FM.fixed(F.col("mean_p"), 3).alias("avg_probability"),
                     F.round("rate", 6).alias("rate"), F.round("mean_p", 6).alias("mean_p"))
 
 
+@query("format_summary")
+def q_format_summary(spark, sf_dir):
+    """SF1: the dataset summary as display text: counts, rate, money, days."""
+    return order_lines(spark, sf_dir).agg(
+        FM.thousands(F.count(F.lit(1))).alias("total_records"),
+        FM.percent(F.avg((F.col("return_status") == "Returned").cast("double"))).alias("return_rate"),
+        FM.money(F.avg("item_price")).alias("avg_price"),
+        FM.money(F.round(F.sum("item_price"), 2), thousands=True).alias("total_price"),
+        FM.fixed(F.avg("product_rating"), 1).alias("avg_rating"),
+        FM.days(F.avg("delivery_days")).alias("avg_delivery_time"))
+
+
 # ---------------------------------------------------------------------------
 # X1 / X2 extensions
 # ---------------------------------------------------------------------------
@@ -618,16 +637,15 @@ def q_customer_history(spark, sf_dir):
 
 @query("stream_window_rates")
 def q_stream_window_rates(spark, sf_dir):
-    """X2: line items as a stream, scored with frozen batch medians, counted
-    per 30-day order-date window."""
+    """X2: order lines arrive in four slices of order dates and are scored as a
+    stream with frozen batch medians; counts per 30-day window are appended to a
+    Parquet table as the watermark closes windows."""
     from ..streaming import stream as ST
-    medians = ST.stream_medians(spark, sf_dir)
-    scored = ST.score_stream(ST.order_lines_stream(spark, sf_dir), medians)
-    return ST.run_available(ST.windowed_rates(scored, watermark=None), output_mode="complete")
+    return ST.arriving_window_rates(spark, sf_dir, slices=4)
 
 
 # ---------------------------------------------------------------------------
-# ML: models (no SQL oracle)
+# ML: models.  SQL cannot fit them; what they must satisfy is compared.
 # ---------------------------------------------------------------------------
 
 _NUM = ["product_price", "order_quantity", "customer_age", "discount", "delivery_time", "product_rating"]
@@ -644,21 +662,53 @@ def _model_table(spark, sf_dir) -> DataFrame:
     return materialize(SP.split_train_test(canon, ["order_id", "line_no"]))
 
 
+FIT_ROWS = 5_000    # labelled rows that tree models are fitted on
+
+
 @query("model_train_evaluate")
 def q_model_train_evaluate(spark, sf_dir):
-    """ML1 + ML6 + ML7 + SC13: logistic regression on the canonical
-    features, Youden threshold tuned on the training part, metrics on both."""
+    """ML1 + ML7 + SC13: balanced logistic regression fitted on four folds of
+    the train part, its threshold tuned on the fifth, evaluated on train and
+    test rows: rows and returns as its confusion cells count them, and whether
+    each metric is a share."""
     data = _model_table(spark, sf_dir)
     train, test = data.where(F.col("part") == "train"), data.where(F.col("part") == "test")
-    model = ML.fit(train, _NUM, _CAT, "target", kind="lr", threshold="youden", maxIter=100)
-    return ML.evaluate_model(model, train, "target", "train").unionByName(
-        ML.evaluate_model(model, test, "target", "test"))
+    folds = SP.assign_folds(train, ["order_id", "line_no"], 5)
+    model = ML.fit(folds.where("fold > 0"), _NUM, _CAT, "target", kind="lr", threshold="youden",
+                   tune_on=folds.where("fold = 0"), balanced=True, C=1.0, maxIter=100)
+    report = ML.evaluate_model(model, train, "target", "train").unionByName(ML.evaluate_model(model, test, "target", "test"))
+    shares = F.array("accuracy", "precision", "recall", "f1", "auc")
+    return report.select("split", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
+                         (F.col("fn") + F.col("tp")).alias("returns"),
+                         F.forall(shares, lambda x: (x >= 0) & (x <= 1)).cast("int").alias("metrics_are_shares"))
+
+
+@query("lr_mean_probability")
+def q_lr_mean_probability(spark, sf_dir):
+    """ML1 + SC13 + AG14: without a penalty, logistic regression's mean
+    probability is the mean target of the rows it is fitted on; with balanced
+    weights the weighted mean is one half."""
+    train = _model_table(spark, sf_dir).where(F.col("part") == "train")
+    plain = ML.fit(train, _NUM, _CAT, "target", kind="lr", maxIter=100).score(train)
+    even = SP.with_class_weight(ML.fit(train, _NUM, _CAT, "target", kind="lr", maxIter=100, balanced=True).score(train), "target")
+    return (plain.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("p"), 3).alias("mean_probability"))
+            .join(even.agg(F.round(F.sum(F.col("p") * F.col("weight")) / F.sum("weight"), 3).alias("balanced_mean"))))
+
+
+@query("one_hot_sums")
+def q_one_hot_sums(spark, sf_dir):
+    """TR12 + TR13: a column transformer fitted on lines with some shipping
+    methods, applied to all: rows in each slot, unknown values in none."""
+    canon, _, _ = _canonical(spark, sf_dir)
+    seen = ML.bounded(canon.where("shipping_method < '4'"), ["order_id", "line_no"], FIT_ROWS)
+    model = ML.fit(seen, _NUM, ["shipping_method", "payment_method"], "target", kind="lr", maxIter=1)
+    return ML.one_hot_sums(model, canon)
 
 
 @query("model_persistence")
 def q_model_persistence(spark, sf_dir):
-    """IO3 + IO4: fit, save under the shared checkpoint folder, load, and
-    report the model info; the loaded model scores the test part."""
+    """IO3 + IO4: fit, save under the shared checkpoint folder, load: the
+    loaded model scores every row of the test part as the fitted one did."""
     import os
     import uuid
     from ..session import ensure_checkpoint_dir
@@ -666,26 +716,57 @@ def q_model_persistence(spark, sf_dir):
     model = ML.fit(data.where(F.col("part") == "train"), _NUM, _CAT, "target", kind="lr", maxIter=50)
     path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
     ML.save(model, path)
-    loaded = ML.load(path)
-    scored = loaded.score(data.where(F.col("part") == "test"))
-    n = scored.agg(F.count("p").alias("scored")).collect()[0]["scored"]
-    return ML.model_info(path).select("*", F.lit(n).cast("bigint").alias("scored_rows"))
+    both = ML.load(path).score(model.score(data.where(F.col("part") == "test"), "p"), "again")
+    scored = both.agg(F.count("p").alias("scored_rows"), F.count_if(~F.col("p").eqNullSafe(F.col("again"))).alias("differing_rows"))
+    return ML.model_info(path).join(scored)
 
 
 @query("cross_validation")
 def q_cross_validation(spark, sf_dir):
-    """ML4 + ML5 + SO4: 3-fold cross-validated F1 of logistic regression
-    over a two-point regularisation grid."""
-    data = SP.assign_folds(_model_table(spark, sf_dir).where(F.col("part") == "train"),
-                           ["order_id", "line_no"], 3)
-    return ML.cross_validate(data, _NUM, _CAT, "target", kind="lr",
-                             grid={"regParam": [0.0, 0.01]}, maxIter=50)
+    """ML4 + ML5 + SO4: the whole logistic regression grid (6 candidates) over
+    5 folds of the train part, preparation and weights fitted inside each fold,
+    on at most ``FIT_ROWS`` labelled rows: fits and shares among the scores."""
+    data = ML.bounded(_model_table(spark, sf_dir).where(F.col("part") == "train"), ["order_id", "line_no"], FIT_ROWS)
+    scores = ML.cross_validate(SP.assign_folds(data, ["order_id", "line_no"], 5), _NUM, _CAT, "target", kind="lr",
+                               grid=ML.GRIDS["lr"], balanced=True, maxIter=50)
+    return scores.groupBy("fold").agg(F.count_distinct("params").alias("candidates"),
+                                      F.count_if(F.col("score").between(0, 1)).alias("scores"))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    """ML2 + AG22: random forest importances, top 10."""
+    """ML2 + AG22: a random forest (100 trees, depth 10) on at most ``FIT_ROWS``
+    labelled rows; its importances are one share for each feature."""
+    data = ML.bounded(_model_table(spark, sf_dir).where(F.col("part") == "train"), ["order_id", "line_no"], FIT_ROWS)
+    model = ML.fit(data, _NUM, _CAT, "target", kind="rf", balanced=True, numTrees=100, maxDepth=10)
+    top = ML.feature_importance(model, 10)
+    return top.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 4).alias("total"),
+                   F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+@query("selection_ties")
+def q_selection_ties(spark, sf_dir):
+    """ML6: the choice among score columns of a table by F1 at fixed
+    thresholds; two are equal, and the earlier or the preferred one wins."""
+    canon, _, _ = _canonical(spark, sf_dir)
+    rating, price = F.coalesce("product_rating", F.lit(3.0)), F.coalesce("product_price", F.lit(0.0))
+    scored = canon.select("target", (rating / 5).alias("rating"), (1 - rating / 5).alias("low_rating"),
+                          (price / 1000).alias("price"), (rating / 5).alias("rating_again"))
+    table = ML.compare_scores(scored, ["price", "rating", "low_rating", "rating_again"], "target", 0.5)
+    return table.withColumns({"chosen": F.lit(ML.choose(table)), "preferred": F.lit(ML.choose(table, prefer="rating_again"))})
+
+
+@query("model_selection")
+def q_model_selection(spark, sf_dir):
+    """ML1-ML3 + ML6 + ML7: boosted trees, random forest and logistic
+    regression with their production settings, fitted on at most ``FIT_ROWS``
+    labelled rows, compared on the whole test part; thresholds are tuned on a
+    fold of those rows that is left out of the fits."""
     data = _model_table(spark, sf_dir)
-    model = ML.fit(data.where(F.col("part") == "train"), _NUM, _CAT, "target", kind="rf",
-                   numTrees=20, maxDepth=6)
-    return ML.feature_importance(model, 10)
+    part = ML.bounded(data.where(F.col("part") == "train"), ["order_id", "line_no"], FIT_ROWS)
+    folds = SP.assign_folds(part, ["order_id", "line_no"], 5)
+    models = [(kind, ML.fit(folds.where("fold > 0"), _NUM, _CAT, "target", kind=kind, threshold="youden",
+                            tune_on=folds.where("fold = 0"), balanced=kind in ML.BALANCED, **ML.PRODUCTION[kind]))
+              for kind in ("rf", "gbt", "lr")]
+    best, _, table = ML.select_model(models, data.where(F.col("part") == "test"), "target")
+    return table.withColumn("chosen", (F.col("split") == best).cast("int"))

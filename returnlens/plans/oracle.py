@@ -610,3 +610,61 @@ WITH g AS (SELECT order_id, {_gaps('shipping_method', False)}, {_gaps('payment_m
 SELECT coalesce(shipping_method, {_mode('shipping_method')}) AS shipping_method,
        coalesce(payment_method, {_mode('payment_method')}) AS payment_method, COUNT(*) AS n
 FROM g GROUP BY 1, 2""")
+
+_PART = f"CASE WHEN {_HASH} % 100 < 20 THEN 'test' ELSE 'train' END"
+
+ORACLE["split_stratified"] = with_order_lines(f"""
+WITH h AS (SELECT {_ACTUAL} AS label, {_HASH} AS h FROM order_lines),
+n AS (SELECT label, COUNT(*) * 20 // 100 AS k FROM h GROUP BY 1),
+r AS (SELECT label, h, row_number() OVER (PARTITION BY label ORDER BY h) AS i FROM h),
+cut AS (SELECT r.label, h AS cut FROM r JOIN n ON r.label = n.label AND i = k)
+SELECT h.label, CASE WHEN h.h <= cut THEN 'test' ELSE 'train' END AS part, COUNT(*) AS n
+FROM h LEFT JOIN cut ON h.label = cut.label GROUP BY 1, 2""")
+
+ORACLE["format_summary"] = with_order_lines(f"""
+SELECT format('{{:,}}', COUNT(*)) AS total_records, printf('%.2f%%', avg(({_ACTUAL})::DOUBLE) * 100) AS return_rate,
+       '$' || printf('%.2f', avg(item_price)) AS avg_price,
+       '$' || format('{{:,}}', CAST(floor(round(SUM(item_price), 2)) AS BIGINT))
+           || substr(printf('%.2f', round(SUM(item_price), 2) - floor(round(SUM(item_price), 2))), 2) AS total_price,
+       printf('%.1f', avg(product_rating)) AS avg_rating, printf('%.1f', avg(delivery_days)) || ' days' AS avg_delivery_time
+FROM order_lines""")
+
+# What fitted models must satisfy, whatever their coefficients.
+ORACLE["model_train_evaluate"] = with_order_lines(f"""
+WITH {_CANON_CTE}
+SELECT {_PART} AS split, COUNT(*) AS rows, CAST(SUM(target) AS BIGINT) AS returns, 1 AS metrics_are_shares FROM canon GROUP BY 1""")
+
+ORACLE["lr_mean_probability"] = with_order_lines(f"""
+WITH {_CANON_CTE}
+SELECT COUNT(*) AS rows, round(avg(target), 3) AS mean_probability, 0.5::DOUBLE AS balanced_mean FROM canon WHERE {_PART} = 'train'""")
+
+ORACLE["one_hot_sums"] = with_order_lines("""
+SELECT 'shipping_method' AS "column", CASE WHEN shipping_method < '4' THEN shipping_method END AS value, COUNT(*) AS n
+FROM order_lines GROUP BY 1, 2
+UNION ALL
+SELECT 'payment_method', CASE WHEN payment_method IN (SELECT payment_method FROM order_lines WHERE shipping_method < '4')
+       THEN payment_method END, COUNT(*) FROM order_lines GROUP BY 1, 2""")
+
+ORACLE["model_persistence"] = with_order_lines(f"""
+SELECT 'lr' AS model_type, 0.5::DOUBLE AS threshold, 6 AS numeric_features, 4 AS categorical_features, 'target' AS target,
+       COUNT(*) AS scored_rows, 0 AS differing_rows FROM order_lines WHERE {_PART} = 'test'""")
+
+ORACLE["cross_validation"] = with_order_lines(f"SELECT {_HASH} % 5 AS fold, 6 AS candidates, 6 AS scores FROM order_lines GROUP BY 1")
+
+ORACLE["feature_importance"] = with_order_lines(
+    "SELECT 10 AS features, 1.0::DOUBLE AS total, 0 AS negative FROM order_lines LIMIT 1")
+
+_SCORES = {"price": "coalesce(product_price, 0) / 1000", "rating": "coalesce(product_rating, 3) / 5",
+           "low_rating": "1 - coalesce(product_rating, 3) / 5", "rating_again": "coalesce(product_rating, 3) / 5"}
+ORACLE["selection_ties"] = with_order_lines(f"""
+WITH {_CANON_CTE},
+c AS ({" UNION ALL ".join(f"""SELECT {i} AS i, '{c}' AS split, COUNT(*) FILTER (WHERE target = 0 AND NOT ({x} >= 0.5)) AS tn,
+  COUNT(*) FILTER (WHERE target = 0 AND {x} >= 0.5) AS fp, COUNT(*) FILTER (WHERE target = 1 AND NOT ({x} >= 0.5)) AS fn,
+  COUNT(*) FILTER (WHERE target = 1 AND {x} >= 0.5) AS tp FROM canon""" for i, (c, x) in enumerate(_SCORES.items()))}),
+m AS (SELECT i, split, tn, fp, fn, tp, round((tp + tn)::DOUBLE / (tn + fp + fn + tp), 6) AS accuracy,
+  round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2.0 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c),
+best AS (SELECT split AS chosen, f1 AS top FROM m ORDER BY f1 DESC, i LIMIT 1)
+SELECT m.* EXCLUDE (i), chosen,
+  CASE WHEN (SELECT f1 FROM m WHERE split = 'rating_again') = top THEN 'rating_again' ELSE chosen END AS preferred
+FROM m, best""")

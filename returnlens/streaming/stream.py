@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,26 +22,22 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.coerce import column_to_double
 from ..plans.scoring import decorate
-from ..plans.views import LINEITEM_COLUMNS, ORDER_LINES_COLUMNS, order_lines_from, scans
-from ..session import ensure_checkpoint_dir
-from ..sources.tables import table_path
-
-
-def order_lines_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Line items read as a file stream, joined to the static dimension
-    tables (stream-static joins), in the ``order_lines`` shape plus
-    ``order_date`` and ``order_ts`` (event time)."""
-    path = table_path(sf_dir, "lineitem")
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    if os.path.isfile(path):
-        # A file stream watches a folder; for a single-file table, watch a
-        # one-file glob in its folder (a landing folder is used as is).
-        reader = reader.option("basePath", os.path.dirname(path))
-        path = path[:-1] + "[" + path[-1] + "]"
-    li = reader.parquet(path).select(*LINEITEM_COLUMNS)
-    s = scans(spark, sf_dir)
-    return order_lines_from(li, s["orders"], s["customer"], s["nation"], s["part"])
+from ..plans.views import ORDER_LINES_COLUMNS, order_lines_with_dates
+from ..session import ensure_checkpoint_dir, materialize
+
+
+def lines_stream(spark: SparkSession, folder: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of joined order lines from a landing folder of Parquet files:
+    the tables are joined once, where lines land, not in every micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(folder)
+
+
+def land(lines: DataFrame, folder: str) -> None:
+    """Append joined lines to a landing folder."""
+    lines.write.mode("append").parquet(folder)
 
 
 def frozen_quick_probability(df: DataFrame, medians: dict[str, float]) -> Column:
@@ -73,24 +70,9 @@ def windowed_rates(scored: DataFrame, ts: str = "order_ts", window: str = "30 da
                     "lines", "predicted_returns", "actual_returns"))
 
 
-def run_available(df: DataFrame, output_mode: str = "append", name: str | None = None) -> DataFrame:
-    """Run a streaming frame over everything available now, into a memory
-    table, and return that table.  Progress is checkpointed under the
-    session's shared checkpoint folder, so a restarted job resumes."""
-    spark = df.sparkSession
-    name = name or f"rl_{uuid.uuid4().hex[:12]}"
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
-    q = (df.writeStream.format("memory").queryName(name).outputMode(output_mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
-
-
 def run_to_parquet(df: DataFrame, path: str, name: str | None = None,
                    available_now: bool = True):
-    """Append a streaming frame to a Parquet table (the sink for unbounded
-    outputs such as scored rows; the memory sink suits bounded ones such as
-    per-window counts).  Exactly-once through the checkpoint folder under
+    """Append a streaming frame to a Parquet table.  Exactly-once through the checkpoint folder under
     ``spark.checkpoint.dir``.  Returns the query (already finished when
     ``available_now``)."""
     spark = df.sparkSession
@@ -104,11 +86,37 @@ def run_to_parquet(df: DataFrame, path: str, name: str | None = None,
     return q
 
 
-def stream_medians(spark: SparkSession, sf_dir: str) -> dict[str, float]:
-    """Fit the SC2 medians on the batch view (the frozen statistics)."""
+def stream_medians(lines: DataFrame) -> dict[str, float]:
+    """Fit the SC2 medians on a batch of lines (the frozen statistics)."""
     from ..operators.projections import scoring_columns
     from ..operators.transforms import fit_medians
-    from ..plans.views import order_lines
-    base = order_lines(spark, sf_dir)
-    return fit_medians(base, scoring_columns(base.select(*ORDER_LINES_COLUMNS)))
-
+    return fit_medians(lines, scoring_columns(lines.select(*ORDER_LINES_COLUMNS)))
+
+
+def arriving_window_rates(spark: SparkSession, sf_dir: str, slices: int = 4, watermark: str = "60 days") -> DataFrame:
+    """X2 as a job that is started again whenever lines have arrived.
+
+    Lines are joined once and land in ``slices`` slices of order dates.  After
+    each the stream runs over what is new and goes on from its checkpoint; state
+    is a row for each window that the watermark has not closed yet, and closed
+    windows are appended to a Parquet table.  Lines later than the watermark
+    would be left out; within a slice order does not matter.  A last row far
+    ahead closes the windows that remain."""
+    lines = materialize(order_lines_with_dates(spark, sf_dir))
+    medians = stream_medians(lines)
+    lo, hi = lines.agg(F.min("order_date"), F.max("order_date")).first()
+    home = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    landing, out = os.path.join(home, "landing"), os.path.join(home, "rates")
+    if lo is None:
+        return spark.createDataFrame([], "window_start_day bigint, lines bigint, predicted_returns bigint, actual_returns bigint")
+    days = (hi - lo).days + 1
+    place = F.floor(F.datediff("order_date", F.lit(lo)) * slices / days)
+    last = (hi - date(1970, 1, 1)).days
+    far = spark.range(1).select(*[(F.timestamp_seconds(F.lit((last + 3650) * 86400)) if c == "order_ts" else F.lit(None).cast(t)).alias(c)
+                                  for c, t in lines.dtypes])
+    for part in [lines.where(place == i) for i in range(slices)] + [far, far]:
+        land(part, landing)
+        rates = windowed_rates(score_stream(lines_stream(spark, landing, lines.schema), medians), watermark=watermark)
+        run_to_parquet(rates, out, os.path.basename(home))
+    closed = spark.read.schema(rates.schema).parquet(out)
+    return closed.where(F.col("window_start_day") <= last)

@@ -40,7 +40,8 @@ def labelled(spark):
 def test_model_learns_propensity_labels(spark, labelled):
     train = labelled.where(F.col("part") == "train")
     test = labelled.where(F.col("part") == "test")
-    model = ML.fit(train, NUM, CAT, "y", kind="lr", threshold="youden", maxIter=50)
+    folds = SP.assign_folds(train, ["order_id", "line_no"], 5)
+    model = ML.fit(folds.where("fold > 0"), NUM, CAT, "y", kind="lr", threshold="youden", tune_on=folds.where("fold = 0"), maxIter=50)
     auc = EV.roc_auc(model.score(test), "p", "y").collect()[0]["auc"]
     assert auc > 0.6
     assert model.threshold is None or 0.0 < model.threshold < 1.0
@@ -94,3 +95,44 @@ def test_model_selection_tie_rules(spark, labelled):
     name, _, _ = ML.select_model([("lr", m), ("rf", m)], test, "y", prefer="rf")
     assert name == "rf"                                 # the preferred one wins ties
     assert ML.lr_reg_param(1.0, 1000) == 0.001
+
+
+def test_unknown_parameters_are_refused():
+    for kind, bad in (("lr", "numTrees"), ("rf", "C"), ("gbt", "minInstances")):
+        with pytest.raises(ValueError):
+            ML.classifier(kind, **{bad: 1})
+    with pytest.raises(ValueError):
+        ML.classifier("lr", C=1.0)
+    assert ML.classifier("gbt", minInstancesPerNode=2).getMinInstancesPerNode() == 2
+    lr = ML.classifier("lr", n_rows=200, C=0.1, penalty="l1")
+    assert abs(lr.getRegParam() - 0.05) < 1e-12 and lr.getElasticNetParam() == 1.0
+
+
+def test_grid_has_the_42_candidates():
+    assert {k: len(ML.candidates(g)) for k, g in ML.GRIDS.items()} == {"rf": 24, "gbt": 12, "lr": 6}
+
+
+def test_grid_search_ranks_candidates_and_fits_inside_folds(spark, labelled, monkeypatch):
+    train = SP.assign_folds(ML.bounded(labelled, ["order_id", "line_no"], 600), ["order_id", "line_no"], 2)
+    fitted_on = []
+    prep = ML.fit_prep
+    monkeypatch.setattr(ML, "fit_prep", lambda df, *a, **k: fitted_on.append(df.count()) or prep(df, *a, **k))
+    out = ML.grid_search(train, NUM, CAT, "y", {"lr": {"C": [0.1, 10.0], "penalty": ["l2"]}, "rf": {"numTrees": [3], "maxDepth": [2]}})
+    got = out.orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3] and [r["mean"] for r in got] == sorted((r["mean"] for r in got), reverse=True)
+    assert len(fitted_on) == 4 and all(0 < n < 600 for n in fitted_on)
+
+
+def test_train_test_report(spark, labelled):
+    _, report = ML.train_test_report(ML.bounded(labelled, ["order_id", "line_no"], 600), NUM, CAT, "y", ["order_id", "line_no"], "lr",
+                                     folds=2, maxIter=20)
+    got = {r["split"]: r for r in report.collect()}
+    assert set(got) == {"train", "test"} and 0 <= got["train"]["cv_accuracy"] <= 1 and got["test"]["cv_accuracy"] is None
+    assert got["test"]["probability_min"] <= got["test"]["probability_mean"] <= got["test"]["probability_max"]
+
+
+def test_too_many_categories_are_refused(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(30)], "c string")
+    with pytest.raises(ValueError):
+        ML.check_categories(df, ["c"], 29)
+    ML.check_categories(df, ["c"], 30)

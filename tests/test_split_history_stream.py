@@ -53,39 +53,53 @@ def test_history_matches_brute_force_with_a_hot_customer(spark):
             assert r["prior_return_rate"] is None
 
 
-def test_stream_scoring_matches_batch(spark):
-    medians = ST.stream_medians(spark, SF_SMALL)
-    stream = ST.order_lines_stream(spark, SF_SMALL)
-    scored = ST.run_available(ST.score_stream(stream, medians).select(
-        "order_id", "line_no", "Return_Probability", "Prediction"))
+@pytest.fixture
+def landed(spark, tmp_path):
+    """Joined lines in a landing folder of four files, and the same as a batch."""
     batch = order_lines_with_dates(spark, SF_SMALL)
+    for i in range(4):
+        ST.land(batch.where(F.col("order_id") % 4 == i).coalesce(1), str(tmp_path / "landing"))
+    return ST.lines_stream(spark, str(tmp_path / "landing"), batch.schema, 1), batch, str(tmp_path / "out")
+
+
+def test_stream_scoring_matches_batch(spark, landed):
+    stream, batch, out = landed
+    medians = ST.stream_medians(batch)
+    ST.run_to_parquet(ST.score_stream(stream, medians).select("order_id", "line_no", "Return_Probability", "Prediction"), out)
     want = batch.select("order_id", "line_no", ST.frozen_quick_probability(batch, medians).alias("p"))
-    assert rows(scored, "order_id", "line_no", "Return_Probability") == rows(want, "order_id", "line_no", "p")
+    assert rows(spark.read.parquet(out), "order_id", "line_no", "Return_Probability") == rows(want, "order_id", "line_no", "p")
+
+
+def test_micro_batches_do_not_read_the_static_tables(spark, landed):
+    """Four files, one a micro-batch: the lines were joined before they landed."""
+    stream, batch, out = landed
+    q = ST.run_to_parquet(ST.score_stream(stream, ST.stream_medians(batch)), out)
+    assert sum(p.numInputRows > 0 for p in q.recentProgress) == 4
+    assert "orders.parquet" not in q._jsq.explainInternal(True)
 
 
-def test_windowed_rates_with_watermark(spark):
-    stream = ST.order_lines_stream(spark, SF_SMALL)
-    scored = ST.score_stream(stream, ST.stream_medians(spark, SF_SMALL))
-    out = ST.run_available(ST.windowed_rates(scored, window="30 days", watermark="60 days"),
-                           output_mode="append")
-    # append mode emits only windows closed by the watermark; each is complete
-    batch = ST.run_available(ST.windowed_rates(scored, watermark=None), output_mode="complete")
-    closed = {r["window_start_day"]: r["lines"] for r in out.collect()}
-    full = {r["window_start_day"]: r["lines"] for r in batch.collect()}
-    assert closed and all(full[k] == v for k, v in closed.items())
+def test_windowed_rates_emit_only_closed_windows(spark, landed):
+    stream, batch, out = landed
+    scored = ST.score_stream(stream, ST.stream_medians(batch))
+    ST.run_to_parquet(ST.windowed_rates(scored, window="30 days", watermark="4000 days"), out)
+    assert spark.read.parquet(out).count() == 0          # nothing is 4000 days late: no window is closed
+
+
+def test_arriving_slices_give_all_windows(spark):
+    got = ST.arriving_window_rates(spark, SF_SMALL, slices=3)
+    batch = order_lines_with_dates(spark, SF_SMALL)
+    day = F.floor(F.unix_seconds("order_ts") / 86400)
+    want = batch.groupBy((F.floor(day / 30) * 30).alias("d")).count()
+    assert rows(got, "window_start_day", "lines") == rows(want, "d", "count")
 
 
 def test_score_stream_rejects_batch(spark):
-    import pytest
     with pytest.raises(ValueError):
         ST.score_stream(spark.createDataFrame([(1.0,)], "item_price double"), {"item_price": 1.0})
 
 
-def test_scored_stream_to_parquet(spark):
-    import os
-    import tempfile
-    out = os.path.join(tempfile.mkdtemp(prefix="rl-stream-"), "scored")
-    medians = ST.stream_medians(spark, SF_SMALL)
-    ST.run_to_parquet(ST.score_stream(ST.order_lines_stream(spark, SF_SMALL), medians)
-                      .select("order_id", "line_no", "Prediction"), out)
-    assert spark.read.parquet(out).count() == order_lines_with_dates(spark, SF_SMALL).count()
+def test_stratified_split_has_exact_shares(spark):
+    df = spark.createDataFrame([(i, 1 if i % 7 == 0 else 0) for i in range(1000)] + [(5000, 2)], "id int, y int")
+    out = SP.split_stratified(df, ["id"], "y")
+    got = {(r["label"], r["part"]): r["n"] for r in SP.split_report(out, "y").collect()}
+    assert got == {(1, "test"): 28, (1, "train"): 115, (0, "test"): 171, (0, "train"): 686, (2, "train"): 1}
