@@ -115,3 +115,26 @@ def test_ambiguous_names_are_rejected():
     import pytest
     with pytest.raises(ValueError):
         N.check_unambiguous(["Price", "price"])
+
+
+def test_sign_of_infinity_after_any_white_space(spark):
+    from returnlens.functions.coerce import text_to_double
+    texts = ["\t-inf", "\n -Infinity\t", "\tinf", " 1", "\t2.5\n"]
+    got = [r["v"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text_to_double(F.col("t")).alias("v")).collect()]
+    assert got == [-math.inf, -math.inf, math.inf, None, 2.5]
+
+
+def test_display_formats(spark):
+    from returnlens.functions import formats as FM
+    r = spark.range(1).select(FM.percent(F.lit(0.1234)), FM.money(F.lit(1234.5)), FM.money(F.lit(1234.5), True), FM.thousands(F.lit(1234567)),
+                              FM.days(F.lit(3.25)), FM.fixed(F.lit(2.0), 3)).first()
+    assert list(r) == ["12.34%", "$1234.50", "$1,234.50", "1,234,567", "3.3 days", "2.000"]
+
+
+def test_word_match_and_null_targets(spark):
+    from returnlens.functions import names as N
+    from returnlens.operators import transforms as TR
+    assert N.relevant_columns(["percentage", "customer_age", "languages"], word_match=True) == ["customer_age"]
+    assert N.relevant_columns(["percentage", "customer_age", "color"]) == ["percentage", "customer_age"]
+    df = spark.createDataFrame([(1.0, "yes"), (2.0, None), (3.0, "no")], "price double, returned string")
+    assert TR.standardise(df)[0].count() == 3 and TR.standardise(df, drop_null_target=True)[0].count() == 2

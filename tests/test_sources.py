@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from returnlens.sources import files as FS
 
 
@@ -34,3 +36,39 @@ def test_csv_without_schema_reads_text(spark):
     df = FS.read_csv(spark, src)
     assert dict(df.dtypes) == {"a": "string", "b": "string"}
     assert [r["a"] for r in df.collect()] == ["1", None]
+
+
+CSV_SCHEMA = "id long, note string, x double"
+
+
+def test_csv_quotes_commas_and_line_breaks(spark, tmp_path):
+    import csv
+
+    rows_in = [(1, 'say "hi", ok', 1.5), (2, "two\nlines", None), (3, " spaces ", -2.0), (4, "back\\slash \\", 0.0), (5, None, 1.0)]
+    df = spark.createDataFrame(rows_in, CSV_SCHEMA)
+    FS.write_csv(df.coalesce(1), str(tmp_path / "own"))
+    back = FS.read_csv(spark, str(tmp_path / "own"), CSV_SCHEMA, multi_line=True)
+    assert sorted(tuple(r) for r in back.collect()) == rows_in
+    part = next((tmp_path / "own").glob("*.csv"))
+    with open(part, newline="") as f:            # what another reader sees
+        seen = list(csv.reader(f))
+    assert seen[0] == ["id", "note", "x"] and [r[1] for r in seen[1:]] == [r[1] or "" for r in rows_in]
+    with open(tmp_path / "theirs.csv", "w", newline="") as f:
+        csv.writer(f).writerows([["id", "note", "x"], *[[a, b, c] for a, b, c in rows_in]])
+    back = FS.read_csv(spark, str(tmp_path / "theirs.csv"), CSV_SCHEMA, multi_line=True)
+    assert sorted(tuple(r) for r in back.collect()) == rows_in
+
+
+def test_csv_unreadable_cells_raise_or_are_counted(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("id,note,x\n1,a,NA\nzwei,b,2.0\n3,c,x\n")
+    path = str(tmp_path / "bad.csv")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        FS.read_csv(spark, path, CSV_SCHEMA).collect()
+    got = FS.read_csv(spark, path, CSV_SCHEMA, bad_cells="count").collect()
+    assert sorted((r["note"], r["id"], r["x"], r["bad_cells"]) for r in got) == [("a", 1, None, 0), ("b", None, 2.0, 1), ("c", 3, None, 1)]
+
+
+def test_csv_records_of_wrong_length_raise(spark, tmp_path):
+    (tmp_path / "short.csv").write_text("id,note,x\n1,a,1.0\n2,b\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        FS.read_csv(spark, str(tmp_path / "short.csv"), CSV_SCHEMA).collect()
