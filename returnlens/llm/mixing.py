@@ -110,7 +110,7 @@ def duals(sizes: DataFrame, goals: DataFrame, cap: float = 3.0) -> DataFrame:
         state = stored(moved.withColumn("done", now_done).withColumn(
             "lam", F.when(F.col("done"), F.col("lam")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2))
             .select(*state.columns), "duals")
-    return goals.join(state.select("key", "lam"), "key", "left")
+    return stored(goals.join(state.select("key", "lam"), "key", "left"), "rates")
 
 
 def rounded(rates: np.ndarray, sizes: np.ndarray, cap: float) -> np.ndarray:
@@ -162,8 +162,10 @@ def copies(sizes: DataFrame, solved: DataFrame, cap: float = 3.0) -> DataFrame:
         block["copies"] = rounded(block["rate"].round(12).to_numpy(), block["size"].to_numpy(), cap)
         return block[["doc_id", "hash", "size", "source_size", "target", "copies"]]
 
+    # Dealt anew by block: a join on the source has all of a source's blocks in one place.
     # doc_ids go through pandas as text: a column with nulls would be rounded to floats.
-    return (rated.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("key", "block").applyInPandas(run, schema)
+    return (rated.withColumn("doc_id", F.col("doc_id").cast("string")).repartition("key", "block")
+            .groupBy("key", "block").applyInPandas(run, schema)
             .withColumn("doc_id", F.col("doc_id").cast("bigint")))
 
 
