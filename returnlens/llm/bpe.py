@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\u00c0-\u017f\u2010-\u2027]*\Z")
 #: Pre-tokens that a worker remembers (twice, in two generations), the longest
 #: one remembered, and the borders between tokens it remembers.
-CACHE_WORDS, CACHE_CHARS, BORDERS = 400_000, 64, 400_000
+CACHE_WORDS, CACHE_CHARS, BORDERS = 250_000, 64, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -108,27 +109,28 @@ class Prefixes:
         self.merges, self.data, self.last = merges, b"", []
         self.append(data)
 
-    def _extend(self, end: int) -> None:
-        """Find the last token of the prefix of ``end`` bytes.  Mostly it goes
-        on where the last token of the prefix before began; else suffixes are
-        tried from the shortest on (only one can be valid)."""
-        data, last = self.data, self.last
-        get, fits = self.merges.ranks.get, self.merges.fits
-        begin = end - 1 - len(self.merges.bytes_of[last[-1]]) if last else 0
-        token = get(data[begin:end])
-        if token is None or (begin and not fits[last[begin - 1], token]):
-            for begin in range(end - 1, max(-1, end - 1 - self.merges.longest[data[end - 1]]), -1):
-                token = get(data[begin:end])
-                if token is not None and (not begin or fits[last[begin - 1], token]):
-                    break
-            else:
-                raise ValueError("the ranks lack a token of one byte")
-        last.append(token)
+    def _grow(self, ends: Iterable[int]) -> None:
+        """Find the last tokens of the prefixes of ``ends`` bytes, the next ones
+        in order.  Mostly a last token goes on where the one of the prefix before
+        began; else suffixes are tried from the shortest on (only one can be
+        valid)."""
+        data, last, m = self.data, self.last, self.merges
+        get, fits, longest, bytes_of = m.ranks.get, m.fits, m.longest, m.bytes_of
+        for end in ends:
+            begin = end - 1 - len(bytes_of[last[-1]]) if last else 0
+            token = get(data[begin:end])
+            if token is None or (begin and not fits[last[begin - 1], token]):
+                for begin in range(end - 1, max(-1, end - 1 - longest[data[end - 1]]), -1):
+                    token = get(data[begin:end])
+                    if token is not None and (not begin or fits[last[begin - 1], token]):
+                        break
+                else:
+                    raise ValueError("the ranks lack a token of one byte")
+            last.append(token)
 
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self._extend(end)
+        self._grow(range(len(self.last) + 1, len(self.data) + 1))
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace bytes ``start:stop`` and return how many last tokens were
@@ -140,7 +142,7 @@ class Prefixes:
         del self.last[start:]
         done, same, window = 0, 0, max(self.merges.longest)
         for end in range(start + 1, len(self.data) + 1):
-            self._extend(end)
+            self._grow((end,))
             done += 1
             old = end - 1 - start - len(new)
             same = same + 1 if old >= 0 and tail[old] == self.last[-1] else 0
@@ -207,7 +209,7 @@ class Known(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = np.array(Prefixes(self.merges, piece.encode()).tokens(), np.int32).tobytes()
+            ids = array("i", Prefixes(self.merges, piece.encode()).tokens()).tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.old = dict(self)
