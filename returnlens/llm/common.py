@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,22 @@ def stored(df: DataFrame, kind: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def on_workers(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``query`` (spark, ...) with this package's folder on the Python path of
+    the workers, where it is not installed there."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if home not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+        return query(spark, *args)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", ["doc_id", "text"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import bpe, chat, merkle, mixing, simhash, tokencounts, tokenfiles, topk, toxicity, urlfilter
-from .common import documents, stored
+from .common import documents, on_workers, stored
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,7 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_byte_bpe": op10_byte_bpe,
 }
+QUERIES = {name: on_workers(query) for name, query in QUERIES.items()}
 
 ORACLE: dict[str, str] = {
     "op1_fingerprints": merkle.FINGERPRINT_SQL,
