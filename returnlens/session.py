@@ -63,7 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _STORED: list[str] = []
 
 
-def materialize(df):
+def materialize(df, kind: str = "tables"):
     """Write ``df`` as a Parquet table in the shared checkpoint folder and
     return a frame that reads it back.  The plan runs once; the table
     survives executor loss and cuts the lineage, so later jobs read it
@@ -71,7 +71,7 @@ def materialize(df):
     plan that produced it.  ``release`` deletes such tables."""
     import uuid
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    path = os.path.join(ensure_checkpoint_dir(spark), kind, uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
