@@ -10,7 +10,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources.tables import table
 
 
@@ -19,12 +19,10 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "llm", f"{kind}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, kind: str, **options: str) -> DataFrame:
+def stored(df: DataFrame, kind: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: the plan
     runs once, later jobs and retries read the files."""
-    path = shared_path(df.sparkSession, kind)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, os.path.join("llm", kind))
 
 
 def on_workers(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
