@@ -35,7 +35,7 @@ WORD = re.compile(r"[^\W\d_]+")
 GRADES = 3
 #: A telling word is this much more frequent in toxic documents, by that many
 #: standard errors, and in so many of them.
-LIFT, ERRORS, LEAST = 2.0, 4.0, 3
+LIFT, ERRORS, LEAST = 10.0, 5.0, 3
 RIDGE = 0.02
 REJECT = 0.4
 
