@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .template import Template
+from .template import ESCAPE, Template
 
 #: Marks turns by control strings; what belongs to other formats is escaped in texts as well.
 TURNS = (
@@ -141,3 +141,21 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     return (formatted.select("conv_id", "chunk", "formatted", "learned").repartition("conv_id")
             .sortWithinPartitions("conv_id", "chunk").mapInArrow(run, schema))
+
+
+def _escapes(column: str) -> str:
+    """Characters that escaping adds to a column, in SQL."""
+    marks = [*Template(TURNS).controls, ESCAPE]
+    return " + ".join(f"(length({column}) - length(replace({column}, '{m}', ''))) // {len(m)}" for m in marks)
+
+
+CHATS_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i))
+SELECT conv_id, COUNT(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(SUM(length('<|turn|><|text|><|end|>') + length(role) + length(text) + {_escapes('role')} + {_escapes('text')}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

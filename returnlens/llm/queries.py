@@ -90,5 +90,6 @@ QUERIES = {name: on_workers(query) for name, query in QUERIES.items()}
 
 ORACLE: dict[str, str] = {
     "op1_fingerprints": merkle.FINGERPRINT_SQL,
+    "op8_chat": chat.CHATS_SQL,
     "op9_top_k": topk.TOP_K_SQL,
 }
