@@ -149,14 +149,6 @@ CLIP_RANGES: dict[str, tuple[float, float]] = {
     "product_rating": (1, 5),
 }
 
-# Fixed-schema (root) feature list and its categorical subset (TR10, TR13).
-ROOT_FEATURES = [
-    "Product_Category", "Product_Price", "Customer_Age", "Customer_Location",
-    "Purchase_History_Count", "Return_History_Rate", "Delivery_Time", "Payment_Method",
-    "Discount_Applied", "Product_Rating",
-]
-ROOT_CATEGORICAL = ["Product_Category", "Customer_Location", "Payment_Method"]
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — scoring rules
 # ---------------------------------------------------------------------------

@@ -233,8 +233,10 @@ def _rename(prep: Prep, prefix: str) -> Prep:
 
 def bounded(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
     """At most ``max_rows`` labelled rows to fit on, those with the smallest
-    key hashes (a documented bound: trees cost many passes)."""
-    return df.orderBy(SP.key_hash(keys), *[qcol(k) for k in keys], *[qcol(c) for c in df.columns if c not in keys]).limit(max_rows)
+    key hashes (a documented bound: trees cost many passes), stored once."""
+    return materialize(df.orderBy(SP.key_hash(keys), *[qcol(k) for k in keys],
+                                  *[qcol(c) for c in df.columns if c not in keys])
+                       .limit(max_rows))
 
 
 def check_categories(df: DataFrame, categorical: Sequence[str], limit: int = MAX_CATEGORIES) -> None:

@@ -198,6 +198,26 @@ def q_class_weights(spark, sf_dir):
     return SP.class_weights(_actual(order_lines(spark, sf_dir)), "actual", with_share=True)
 
 
+@query("class_counts")
+def q_class_counts(spark, sf_dir):
+    """AG13: rows and share of each class beside the target rate."""
+    df = _actual(order_lines(spark, sf_dir))
+    return AN.class_counts(df, "actual").join(AN.target_rate(df, "actual"))
+
+
+@query("actual_vs_predicted")
+def q_actual_vs_predicted(spark, sf_dir):
+    """AG21: mean actual return rate beside the mean predicted rate."""
+    return EV.actual_vs_predicted(_production(spark, sf_dir))
+
+
+@query("top_rows")
+def q_top_rows(spark, sf_dir):
+    """SO1 + SO2: the twenty dearest lines."""
+    df = order_lines(spark, sf_dir).select("item_price", "order_id", "line_no")
+    return AN.top_rows(df, 20, F.col("item_price").desc_nulls_last(), F.col("order_id"), F.col("line_no"))
+
+
 @query("top_categories")
 def q_top_categories(spark, sf_dir):
     """AG15: five most frequent product categories."""
@@ -258,7 +278,7 @@ def q_quality_report(spark, sf_dir):
 def q_table_counts(spark, sf_dir):
     """AG1 + FI3: rows, columns, and the empty-table check."""
     df = order_lines(spark, sf_dir)
-    return PF.table_counts(df).select("rows", "columns", (F.col("rows") == 0).cast("int").alias("is_empty"))
+    return PF.table_counts(df).join(PF.is_empty(df).select(F.col("is_empty").cast("int").alias("is_empty")))
 
 
 @query("validation_report")
@@ -295,6 +315,20 @@ def q_csv_round_trip(spark, sf_dir):
         F.round(F.sum("Return_Probability"), 6).alias("probability_sum"))
 
 
+@query("parquet_round_trip")
+def q_parquet_round_trip(spark, sf_dir):
+    """IO2, Parquet form: scored lines in folders by band, read back by band."""
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FS
+    scored = S.score_plain(order_lines(spark, sf_dir)).select("order_id", "Prediction", "Confidence_Level")
+    path = os.path.join(ensure_checkpoint_dir(spark), "parquet", uuid.uuid4().hex)
+    FS.write_parquet(scored, path, partition_by=["Confidence_Level"])
+    return spark.read.parquet(path).groupBy("Confidence_Level").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("Prediction").cast("bigint").alias("predicted_returns"))
+
+
 @query("csv_quoted_round_trip")
 def q_csv_quoted_round_trip(spark, sf_dir):
     """IO2 then IO1 on text with quotes, commas, line breaks and spaces."""
@@ -421,6 +455,17 @@ def q_coerce_cells(spark, sf_dir):
     return row.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
 
 
+@query("coerce_columns")
+def q_coerce_columns(spark, sf_dir):
+    """TR2 on text forms: only columns whose every cell converts change."""
+    df = order_lines(spark, sf_dir).select(
+        F.concat(F.lit("\t"), F.col("order_quantity").cast("string")).alias("quantity_text"), F.col("item_price").cast("string").alias("price_text"),
+        F.when(F.col("order_id") % 2 == 0, F.col("discount").cast("string")).otherwise(F.lit("none")).alias("half_text"), "shipping_method")
+    out = TR.coerce_columns(df)
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.count(c).alias("n")) for c, t in out.dtypes])
+    return out.agg(items.alias("a")).select(F.explode("a").alias("kv")).select("kv.*")
+
+
 @query("round_half_even")
 def q_round_half_even(spark, sf_dir):
     """TR16: ratings rounded to whole stars, half to even (2.5 → 2, 3.5 → 4)."""

@@ -668,3 +668,26 @@ best AS (SELECT split AS chosen, f1 AS top FROM m ORDER BY f1 DESC, i LIMIT 1)
 SELECT m.* EXCLUDE (i), chosen,
   CASE WHEN (SELECT f1 FROM m WHERE split = 'rating_again') = top THEN 'rating_again' ELSE chosen END AS preferred
 FROM m, best""")
+
+ORACLE["class_counts"] = with_order_lines(f"""
+WITH c AS (SELECT {_ACTUAL} AS label, COUNT(*) AS n FROM order_lines GROUP BY 1)
+SELECT label, n, round(n / CAST(SUM(n) OVER () AS DOUBLE), 6) AS share,
+       (SELECT round(avg(({_ACTUAL})::DOUBLE), 6) FROM order_lines) AS target_rate, (SELECT COUNT(*) FROM order_lines) AS rows
+FROM c""")
+
+ORACLE["actual_vs_predicted"] = with_order_lines(f"""
+WITH {_PROD_CTE}
+SELECT round(avg(actual::DOUBLE), 6) AS actual_rate, round(avg(pred::DOUBLE), 6) AS predicted_rate FROM prod""")
+
+ORACLE["top_rows"] = with_order_lines(
+    "SELECT item_price, order_id, line_no FROM order_lines ORDER BY item_price DESC NULLS LAST, order_id, line_no LIMIT 20")
+
+ORACLE["coerce_columns"] = with_order_lines("""
+SELECT 'quantity_text' AS "column", 'double' AS type, COUNT(order_quantity) AS n FROM order_lines
+UNION ALL SELECT 'price_text', 'double', COUNT(item_price) FROM order_lines
+UNION ALL SELECT 'half_text', 'string', COUNT(*) - COUNT(*) FILTER (WHERE order_id % 2 = 0 AND discount IS NULL) FROM order_lines
+UNION ALL SELECT 'shipping_method', 'string', COUNT(shipping_method) FROM order_lines""")
+
+ORACLE["parquet_round_trip"] = with_order_lines(f"""
+WITH {_scored(_PLAIN_P, _BANDS6)}
+SELECT band AS Confidence_Level, COUNT(*) AS n, CAST(SUM(pred) AS BIGINT) AS predicted_returns FROM scored GROUP BY 1""")
