@@ -8,11 +8,14 @@
    tenfold a letter).
 3. Multinomial naive Bayes scores the words of host and path.  Its classes are
    taught by seed words: a URL whose host has one is blocked, all others allowed;
-   the word counts of both classes run over all pages.
+   the word counts of both classes run over all pages, and every word is scored
+   by its counts.
 
 Counts are pre-aggregated Spark jobs; what tasks get is the ``max_words`` most
-frequent words of each model, a stated bound.  Segmentation is row-local with a
-bounded cache, so a host with a third of all pages is cut once a worker.
+frequent words of each model, a stated bound.  The class counts of all other
+words are stored and joined with the rows that hold them.  Segmentation is
+row-local with a bounded cache, so a host with a third of all pages is cut once
+a worker.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, no
 rule and the class of the larger prior; repeated rows are judged each; pages
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -113,30 +116,39 @@ def unigrams(pages: DataFrame, seeds: list[str], max_words: int) -> Unigrams:
 
 
 class Bayes:
-    """Multinomial naive Bayes with add-one smoothing; classes allow, block."""
+    """Multinomial naive Bayes with add-one smoothing; classes allow, block.
+    It holds the counts of the most frequent words; those of others come with
+    the row that is scored."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], sums: tuple[int, int], n_words: int, docs: tuple[int, int]) -> None:
         bottom = [math.log(s + n_words + 1) for s in sums]
         prior = [math.log((d + 1) / (sum(docs) + 2)) for d in docs]
         #: Log odds of block over allow.
         self.prior = prior[1] - prior[0]
-        self.odds = {w: math.log(b + 1) - math.log(a + 1) + bottom[0] - bottom[1] for w, (a, b) in counts.items()}
         self.unseen = bottom[0] - bottom[1]
+        self.odds = {w: self.log_odds(a, b) for w, (a, b) in counts.items()}
 
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + math.fsum(self.odds.get(t, self.unseen) for t in tokens)
+    def log_odds(self, a: int, b: int) -> float:
+        return math.log(b + 1) - math.log(a + 1) + self.unseen
+
+    def score(self, tokens: list[str], rare: Iterable[dict] = ()) -> float:
+        """``rare``: (w, a, b) of the tokens that the model doesn't hold."""
+        others = {r["w"]: self.log_odds(r["a"], r["b"]) for r in rare}
+        return self.prior + math.fsum(self.odds[t] if t in self.odds else others.get(t, self.unseen) for t in tokens)
 
 
 def with_tokens(urls: DataFrame, model: Unigrams) -> DataFrame:
-    """``urls`` (host, path) and their tokens."""
+    """``urls`` (page_id, host, path) and their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model_.tokens(h.as_py(), p.as_py()) for h, p in zip(batch.column(0), batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=["host", "path", "tokens"])
+            found = [model_.tokens(h.as_py(), p.as_py()) for h, p in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))],
+                                             names=["page_id", "host", "path", "tokens"])
 
     model_ = _Shipped(model)
-    return urls.select("host", "path").mapInArrow(run, "host string, path string, tokens array<string>")
+    return urls.selectExpr("CAST(page_id AS BIGINT) page_id", "host", "path").mapInArrow(
+        run, "page_id bigint, host string, path string, tokens array<string>")
 
 
 class _Shipped:
@@ -155,36 +167,59 @@ class _Shipped:
         return self._model.tokens(host, path)
 
 
-def fit_bayes(tokens: DataFrame, seeds: list[str], max_words: int) -> Bayes:
-    """Model from (tokens) of all URLs, taught by the seed words of hosts."""
-    taught = tokens.withColumn("bad", F.arrays_overlap("tokens", F.lit([f"h:{s}" for s in seeds])).cast("int"))
-    docs = taught.agg(F.count_if(F.col("bad") == 0), F.count_if(F.col("bad") == 1)).first()
-    counts = taught.select("bad", F.explode("tokens").alias("w")).groupBy("w").agg(
+def taught(tokens: DataFrame, seeds: list[str]) -> DataFrame:
+    """``tokens`` and whether seed words of the host teach the row as block."""
+    return tokens.withColumn("bad", F.arrays_overlap("tokens", F.lit([f"h:{s}" for s in seeds])).cast("int"))
+
+
+def word_counts(tokens: DataFrame, seeds: list[str]) -> DataFrame:
+    """(w, a, b): how often each word of (tokens) is in allow and in block."""
+    return taught(tokens, seeds).select("bad", F.explode("tokens").alias("w")).groupBy("w").agg(
         F.count_if(F.col("bad") == 0).alias("a"), F.count_if(F.col("bad") == 1).alias("b"))
+
+
+def most_frequent(counts: DataFrame, max_words: int) -> DataFrame:
+    return counts.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(max_words)
+
+
+def fit_bayes(tokens: DataFrame, seeds: list[str], max_words: int, counts: DataFrame | None = None) -> Bayes:
+    """Model from (tokens) of all URLs, taught by the seed words of hosts;
+    ``counts``: their ``word_counts``, where these are stored."""
+    counts = word_counts(tokens, seeds) if counts is None else counts
+    docs = taught(tokens, seeds).agg(F.count_if(F.col("bad") == 0), F.count_if(F.col("bad") == 1)).first()
     sums = counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(max_words).collect()
+    top = most_frequent(counts, max_words).collect()
     return Bayes({r.w: (r.a, r.b) for r in top}, (sums[0], sums[1]), sums[2], (docs[0], docs[1]))
 
 
+def rare_counts(rows: DataFrame, counts: DataFrame, max_words: int) -> DataFrame:
+    """(row, rare): the counts of each row's words beyond the ``max_words`` most
+    frequent.  Such a word is at most one in ``max_words`` of all tokens, so no
+    key of the join is hot; the broadcast is ``max_words`` short rows."""
+    words = rows.select("row", F.explode(F.array_distinct("tokens")).alias("w"))
+    return (words.join(F.broadcast(most_frequent(counts, max_words).select("w")), "w", "left_anti").join(counts, "w")
+            .groupBy("row").agg(F.collect_list(F.struct("w", "a", "b")).alias("rare")))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: list[str] = SEEDS, max_words: int = 50_000) -> DataFrame:
     """(page_id, host, path, rule, verdict, words, score) of each page
     (page_id, url, html).  ``score``: log odds of block over allow."""
     from .common import stored
 
     words = unigrams(pages, seeds, max_words)
-    urls = parsed(pages.select("page_id", "url"))
-    bayes = fit_bayes(stored(with_tokens(urls, words).select("tokens"), "url-tokens"), seeds, max_words)
-    segment = _Shipped(words)
+    rows = stored(with_tokens(parsed(pages.select("page_id", "url")), words).withColumn("row", F.monotonically_increasing_id()), "url-tokens")
+    counts = stored(word_counts(rows, seeds), "url-words")
+    bayes = fit_bayes(rows, seeds, max_words, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [segment.tokens(h.as_py(), p.as_py()) for h, p in zip(batch.column(1), batch.column(2))]
+            tokens, rare = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([" ".join(t[2:] for t in x) for x in tokens], pa.string()),
-                 pa.array(np.array([bayes.score(x) for x in tokens], float))],
+                [*batch.columns[:3], pa.array([" ".join(t[2:] for t in x) for x in tokens], pa.string()),
+                 pa.array(np.array([bayes.score(x, r or ()) for x, r in zip(tokens, rare)], float))],
                 names=["page_id", "host", "path", "words", "score"])
 
-    scored = urls.selectExpr("CAST(page_id AS BIGINT) page_id", "host", "path").mapInArrow(
+    scored = rows.join(rare_counts(rows, counts, max_words), "row", "left").select("page_id", "host", "path", "tokens", "rare").mapInArrow(
         run, "page_id bigint, host string, path string, words string, score double")
     rule, verdict = by_rule(rules)
     return scored.select("page_id", "host", "path", rule.alias("rule"),

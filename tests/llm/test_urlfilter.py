@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from collections import Counter
 
 from returnlens.llm import queries
 from returnlens.llm import urlfilter as U
@@ -79,6 +80,22 @@ def test_bayes_equals_its_formula(spark):
     assert math.isclose(b.score(["p:en", "h:casino"]), want)
 
 
+def test_rare_words_are_scored_by_their_counts(spark):
+    urls = ["http://casino.test/win"] * 3 + ["http://news.test/report/quiet"] * 40 + ["http://news.test/report/garden/meadow"] * 9
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    rows = U.judge(df, [], ["casino"], max_words=3).collect()
+    tokens = {r.page_id: [f"h:{w}" for w in r.words.split()[:2]] + [f"p:{w}" for w in r.words.split()[2:]] for r in rows}
+    bad = {i: "h:casino" in t for i, t in tokens.items()}
+    counts = {c: Counter(w for i, t in tokens.items() if bad[i] is c for w in t) for c in (False, True)}
+    n_words = len(counts[False] | counts[True])
+    chance = lambda w, c: math.log((counts[c][w] + 1) / (counts[c].total() + n_words + 1))
+    prior = math.log((sum(bad.values()) + 1) / (len(urls) - sum(bad.values()) + 1))
+    assert len(rows) == len(urls) and sum(bad.values()) == 3 and n_words == 8
+    for r in rows:
+        assert math.isclose(r.score, prior + math.fsum(chance(w, True) - chance(w, False) for w in tokens[r.page_id]))
+        assert r.verdict == ("block" if "casino" in r.host else "allow")
+
+
 def test_query_blocks_spam_hosts_and_keeps_others(spark):
     rows = [r for r in queries.op4_url_filter(spark, SF_MID).collect() if r.rule is None]
     bad = [r for r in rows if any(s in r.host for s in ("casino", "pills", "bets", "ads-", "spam", "adult"))]
