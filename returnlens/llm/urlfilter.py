@@ -40,8 +40,10 @@ SEEDS = ["adult", "ads", "adserver", "bet", "bets", "betting", "casino", "porn",
          "viagra", "spam", "loans", "lottery", "jackpot", "warez", "malware", "phishing", "scam"]
 LETTERS = re.compile(r"[a-z]+|[0-9]+")
 LONGEST = 24
-#: Times that a seed word counts as seen, so that it is known to segmentation.
-SEED_COUNT = 100
+#: Share of all words that a seed word has at least, so that segmentation knows
+#: it however many pages there are: it is not cut into two words, such as se and
+#: x, whose shares have a smaller product.
+SEED_SHARE = 1e-4
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -102,6 +104,12 @@ class Unigrams:
         return [f"h:{w}" for w in self.words(host)] + [f"p:{w}" for w in self.words(path.lower())]
 
 
+def with_seeds(counts: dict[str, int], seeds: list[str]) -> dict[str, int]:
+    """``counts``, with at least ``SEED_SHARE`` of them for each seed word."""
+    least = math.ceil(SEED_SHARE * max(1, sum(counts.values())))
+    return counts | {s: max(counts.get(s, 0), least) for s in seeds}
+
+
 def unigrams(pages: DataFrame, seeds: list[str], max_words: int) -> Unigrams:
     """Model from the titles and URLs of ``pages`` (url, html).  Of hosts only
     what hyphens have cut and the last label count: others may be several words."""
@@ -111,8 +119,7 @@ def unigrams(pages: DataFrame, seeds: list[str], max_words: int) -> Unigrams:
     words = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
     top = (parsed(pages).select(words.alias("w")).where(F.length("w") <= LONGEST).groupBy("w").count()
            .orderBy(F.desc("count"), "w").limit(max_words).collect())
-    counts = {r.w: r["count"] for r in top}
-    return Unigrams(counts | {s: counts.get(s, 0) + SEED_COUNT for s in seeds})
+    return Unigrams(with_seeds({r.w: r["count"] for r in top}, seeds))
 
 
 class Bayes:

@@ -96,6 +96,13 @@ def test_rare_words_are_scored_by_their_counts(spark):
         assert r.verdict == ("block" if "casino" in r.host else "allow")
 
 
+def test_seed_words_are_cut_alike_at_any_size(spark):
+    title = "se " * 10 + "x " * 2 + "hot " * 5 + "live " * 5 + "the " * 978
+    for rows, times in ((1, 1), (100, 100)):            # 10 ** 3 and 10 ** 7 words
+        pages = spark.range(rows).selectExpr("'http://a.test/' AS url", f"'<title>' || repeat('{title}', {times}) || '</title>' AS html")
+        assert U.unigrams(pages, ["sex"], 100).words("hotsexlive") == ["hot", "sex", "live"]
+
+
 def test_query_blocks_spam_hosts_and_keeps_others(spark):
     rows = [r for r in queries.op4_url_filter(spark, SF_MID).collect() if r.rule is None]
     bad = [r for r in rows if any(s in r.host for s in ("casino", "pills", "bets", "ads-", "spam", "adult"))]
