@@ -8,9 +8,10 @@ tokenizer library and remembered.  No pre-token is ever shuffled: each task
 sends only a bounded summary of its frequent pre-tokens.
 
 Texts are cut as the tokenizer's own normalizer and splitter do.  A text with
-characters outside plain Latin ranges, or with a special token's string, is
-encoded as a whole by the library, so special strings, composed characters and
-rare white space are handled as its defaults do.
+characters outside ``PLAIN`` (most alphabets, Chinese, Japanese, Korean, symbols;
+no combining marks), or with a special token's string, is encoded as a whole by
+the library, so special strings, composed characters and rare white space are
+handled as its defaults do.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; repeated rows are
 counted each; extra columns are not read; an empty table gives no rows.
@@ -34,8 +35,19 @@ from pyspark.sql import types as T
 
 from .common import rows_of
 
-#: Characters that NFC leaves alone and that lower-case one by one.
-PLAIN = re.compile(r"[\t-\r\x20-\x7f\u00c0-\u012f\u0131-\u017f\u2010-\u2027]*\Z")
+#: Characters that NFC leaves alone beside any other of them, that lower-case one
+#: by one and that Python and the tokenizer library hold for the same kind (letter,
+#: number, white space, other): Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic,
+#: Devanagari, Thai, Georgian; punctuation and symbols; Chinese, Japanese, Korean;
+#: emoji.  Combining marks, capital sigma and numbers that aren't digits are out.
+PLAIN = re.compile(
+    r"[\t-\r\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f"
+    r"\u0370-\u0373\u0375-\u037d\u037f-\u0386\u0388-\u03a2\u03a4-\u03ff\u0400-\u0482\u0488-\u052f\u0531-\u058f"
+    r"\u05d0-\u05ea\u060c-\u060f\u061b-\u064a\u0660-\u066f\u0671-\u06d5\u06ee-\u06ff"
+    r"\u0904-\u093b\u093d-\u094c\u094e-\u0950\u0955-\u0957\u0960-\u097f\u0e01-\u0e37\u0e3b-\u0e47\u0e4c-\u0e5b\u10d0-\u10ff\u1e00-\u1eff"
+    r"\u2002-\u206f\u20a0-\u20bf\u2100-\u2125\u2127-\u2129\u212c-\u214f\u2190-\u2328\u232b-\u23ff\u2500-\u2775\u2794-\u27bf"
+    r"\u3000-\u3006\u3008-\u3020\u3030-\u3037\u303b-\u3098\u309b-\u30ff\u3400-\u4db5\u4e00-\u9fa5\uac00-\ud7a3"
+    r"\ufe0e\ufe0f\uff01-\uff9f\U0001f300-\U0001f6ff\U0001f900-\U0001f9ff]*\Z")
 WORD_CHARS = 64
 #: Pre-tokens that a task keeps while it counts, and that it reports.
 SUMMARY_WORDS, REPORTED = 60_000, 2_048
@@ -110,10 +122,10 @@ class CompactTable:
 
     def __init__(self, words: list[str], lengths: list[int]) -> None:
         self.words = "\n".join(words).encode()
-        self.lengths = np.array(lengths, np.uint8).tobytes()
+        self.lengths = np.array(lengths, np.uint16).tobytes()       # up to 4 a character
 
     def unpacked(self) -> dict[str, int]:
-        return dict(zip(self.words.decode().split("\n"), self.lengths)) if self.lengths else {}
+        return dict(zip(self.words.decode().split("\n"), np.frombuffer(self.lengths, np.uint16).tolist())) if self.lengths else {}
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, table_words: int = 16_384) -> DataFrame:

@@ -148,3 +148,19 @@ def test_token_files_empty_table_and_repeats(spark, tmp_path):
     got = sorted((r.start, -1 if r.doc_id is None else r.doc_id) for r in
                  tokenfiles.placed(tokenfiles.read_token_files(spark, out)).collect())
     assert got == [(0, -1), (2, 1), (3, 5), (5, 5)]
+
+
+def test_other_alphabets_are_looked_up_and_counted_as_the_library_does(spark):
+    pre = tokencounts.pretokens(P.path("word_bpe_49k.json"))
+    plain = [c for i in range(0x20000) if not 0xd800 <= i < 0xe000 and tokencounts.PLAIN.match(c := chr(i))]
+    texts = [f"a{c}b1{c}2 {c}{c}!{c}'s" for c in plain]
+    rng = random.Random(7)
+    texts += ["".join(rng.choices(plain, k=40)) + " é" for _ in range(5_000)]
+    said = ["Привет, «мир» № 5!", "καλημέρα κόσμε", "שלום עולם", "مرحبا بالعالم", "日本語、テスト。한국어 中文", "a\u00a0b 20 €", "🙂" * 64]
+    cut = [pre.words(t) for t in texts + said]
+    assert None not in cut and len(plain) > 40_000
+    known = dict(zip(words := sorted({w for c in cut for w in c}), pre.lengths(words)))
+    assert [sum(known[w] for w in c) for c in cut] == pre.lengths(texts + said)
+    got = tokencounts.count_tokens(docs_of(spark, said * 3), P.path("word_bpe_49k.json"))
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == dict(enumerate(pre.lengths(said) * 3))
+    assert {r.word for r in tokencounts.frequent_pretokens(docs_of(spark, said), P.path("word_bpe_49k.json")).collect()} >= {"привет", "κόσμε", "€"}
