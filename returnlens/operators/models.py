@@ -189,19 +189,21 @@ def select_model(candidates: list[tuple[str, "FittedModel"]], df: DataFrame, lab
 
 def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str], clf) -> Pipeline:
     """TR12 + TR13: one-hot categorical branch + numeric branch → vector."""
-    idx = [f"{c}__idx" for c in categorical]
-    ohe = [f"{c}__ohe" for c in categorical]
-    stages = []
-    if categorical:
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
-    stages.append(VectorAssembler(inputCols=list(numeric) + ohe, outputCol="features",
+    stages = one_hot_stages(categorical) if categorical else []
+    stages.append(VectorAssembler(inputCols=list(numeric) + [f"{c}__ohe" for c in categorical], outputCol="features",
                                   handleInvalid="keep"))
     stages.append(clf)
     return Pipeline(stages=stages)
 
 
+def one_hot_stages(categorical: Sequence[str]) -> list:
+    """TR12: indexer and encoder of the categorical columns."""
+    idx = [f"{c}__idx" for c in categorical]
+    ohe = [f"{c}__ohe" for c in categorical]
+    return [StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
+            OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
+
+
 def probability_column(scored: DataFrame, name: str = "p") -> DataFrame:
     """SC13: the positive-class probability as a DOUBLE column."""
     return scored.withColumn(name, vector_to_array(F.col("probability")).getItem(1))
@@ -384,15 +386,21 @@ def train_test_report(df: DataFrame, numeric: Sequence[str], categorical: Sequen
     return model, parts[0].unionByName(parts[1])
 
 
-def one_hot_sums(model: FittedModel, df: DataFrame) -> DataFrame:
+def fit_one_hot(df: DataFrame, categorical: Sequence[str]) -> tuple[Prep, PipelineModel]:
+    """TR12: filling, indexer and encoder fitted on all rows of ``df``."""
+    check_categories(df, categorical)
+    prep = fit_prep(df, [], categorical)
+    filled = apply_prep(df.select(*[F.col(c).alias(f"m__{c}") for c in categorical]), _rename(prep, "m__"))
+    return prep, Pipeline(stages=one_hot_stages([f"m__{c}" for c in categorical])).fit(filled)
+
+
+def one_hot_sums(prep: Prep, encoder: PipelineModel, df: DataFrame) -> DataFrame:
     """TR12 / TR13: (column, value, n) - rows of ``df`` in each one-hot slot of
-    a fitted model, and under NULL those without a slot (unknown values)."""
-    feats = model.prep.numeric + model.prep.categorical
-    prepared = apply_prep(df.select(*[F.col(c).alias(f"m__{c}") for c in feats]), _rename(model.prep, "m__"))
-    coded = PipelineModel(model.pipeline.stages[:-1]).transform(prepared)
-    labels = next(st for st in model.pipeline.stages if hasattr(st, "labelsArray")).labelsArray
+    a fitted encoder, and under NULL those without a slot (unknown values)."""
+    coded = encoder.transform(apply_prep(df.select(*[F.col(c).alias(f"m__{c}") for c in prep.categorical]), _rename(prep, "m__")))
+    labels = encoder.stages[0].labelsArray
     items = []
-    for c, values in zip(model.prep.categorical, labels):
+    for c, values in zip(prep.categorical, labels):
         slots = vector_to_array(F.col(f"m__{c}__ohe"))
         at = F.array_position(slots, 1.0)       # 0 where all slots are zero
         items.append(F.struct(F.lit(c).alias("column"), F.get(F.lit(list(values)), (at - 1).cast("int")).alias("value")))

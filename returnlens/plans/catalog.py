@@ -742,12 +742,13 @@ def q_lr_mean_probability(spark, sf_dir):
 
 @query("one_hot_sums")
 def q_one_hot_sums(spark, sf_dir):
-    """TR12 + TR13: a column transformer fitted on lines with some shipping
-    methods, applied to all: rows in each slot, unknown values in none."""
+    """TR12 + TR13: an encoder fitted on all lines with some shipping methods,
+    applied to all lines: rows in each slot, unknown values in none."""
+    from ..session import materialize
     canon, _, _ = _canonical(spark, sf_dir)
-    seen = ML.bounded(canon.where("shipping_method < '4'"), ["order_id", "line_no"], FIT_ROWS)
-    model = ML.fit(seen, _NUM, ["shipping_method", "payment_method"], "target", kind="lr", maxIter=1)
-    return ML.one_hot_sums(model, canon)
+    lines = materialize(canon.select("shipping_method", "payment_method"))
+    prep, encoder = ML.fit_one_hot(lines.where("shipping_method < '4'"), ["shipping_method", "payment_method"])
+    return ML.one_hot_sums(prep, encoder, lines)
 
 
 @query("model_persistence")

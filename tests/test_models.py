@@ -136,3 +136,12 @@ def test_too_many_categories_are_refused(spark):
     with pytest.raises(ValueError):
         ML.check_categories(df, ["c"], 29)
     ML.check_categories(df, ["c"], 30)
+
+
+def test_one_hot_categories_come_from_all_lines(spark, monkeypatch):
+    from returnlens.plans import catalog
+    monkeypatch.setattr(catalog, "FIT_ROWS", 1)
+    seen = order_lines(spark, SF_MID).where("shipping_method < '4'")
+    got = {(r["column"], r["value"]) for r in catalog.q_one_hot_sums(spark, SF_MID).collect()}
+    for c in ("shipping_method", "payment_method"):
+        assert {v for k, v in got if k == c and v is not None} == {r[0] for r in seen.select(c).distinct().collect()}
