@@ -15,10 +15,13 @@ Shards and blocks have a fixed size, so a task's memory does not grow with the
 tables; their number does.  The only broadcast is one short row for each length
 of vectors (n lengths take a table of at least n * n / 2 components).
 
+Scores are exact 64-bit integers.  Vectors with a norm of ``LARGE`` or more, whose
+scores might not be, meet all others outside the bounds: the product of the two
+norms, or else Python integers, tell which scores fit.
+
 Edge cases: vectors that are null, empty or hold null or non-finite components
-take no part, nor do components too large for exact 64-bit scores (over
-2^62 / dimensions for the product of two); only vectors of equal length are
-compared; repeated rows (same id, same vector) count once; of several vectors
+take no part, nor do those whose quantised components leave 64 bits, nor pairs
+whose score does; only vectors of equal length are compared; repeated rows (same id, same vector) count once; of several vectors
 with one id each asks for itself, and none is another's candidate; ties go to the smaller id; a null id is no candidate; empty
 tables give no rows; other columns are not read.
 """
@@ -36,13 +39,15 @@ from pyspark.sql import functions as F
 SHARD, BLOCK, TOGETHER = 1_024, 2_048, 64
 #: Dimensions added between two rounds of bounds.
 STEP = 16
+#: Two norms below this have a product, and so every partial score, below 2^62.
+LARGE = 2.0**31
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v, dims): integer vectors of the rows that take part."""
     v = F.transform("embedding", lambda x: x.cast("double") * scale)
     good = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    small = F.forall("v", lambda x: F.abs(x) < F.sqrt(F.lit(2.0**62) / F.size("v")) - 1)
+    small = F.forall("v", lambda x: F.abs(x) < 2.0**63)
     return (vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & good)
             .select("vec_id", v.alias("v")).where(small)
             .select("vec_id", F.transform("v", lambda x: F.floor(x).cast("bigint")).alias("v"), F.size("v").alias("dims")))
@@ -94,6 +99,29 @@ class Shard:
                 yield lo + i, self.ids[alive[others[first]]], s[first]
 
 
+def best_of(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``Shard.best``, for vectors of any norm; a query may come twice, with
+    its best k of ordinary candidates and of others."""
+    norms, asked = (np.sqrt((x.astype(float) ** 2).sum(1)) for x in (vectors, queries))
+    plain, asks = np.nonzero(norms < LARGE)[0], np.nonzero(asked < LARGE)[0]
+    if len(plain) and len(asks):
+        for i, found, score in Shard(ids[plain], vectors[plain]).best(own[asks], queries[asks], k):
+            yield asks[i], found, score
+    large = np.nonzero(norms >= LARGE)[0]
+    for i in range(len(queries)):
+        some = large if asked[i] < LARGE else np.arange(len(ids))
+        if not len(some):
+            continue
+        score = vectors[some] @ queries[i]                      # modulo 2^64, so right where the score fits
+        fits = ids[some] != own[i]
+        q = queries[i].tolist()
+        for j in np.nonzero(fits & (norms[some] * asked[i] >= 2.0**62))[0]:
+            fits[j] = -2**63 <= sum(a * b for a, b in zip(vectors[some[j]].tolist(), q)) < 2**63
+        some, score = some[fits], score[fits]
+        first = np.argsort(~score, kind="stable")[:k]           # ~ descends and, unlike -, never overflows
+        yield i, ids[some[first]], score[first]
+
+
 def _vectors(column: pa.ListArray, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
@@ -123,7 +151,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256) -> Da
         ids = table.column("vec_id").to_numpy()
         v = _vectors(table.column("v").combine_chunks(), key[0].as_py()["dims"])
         marks = table.column("mark").to_numpy()[asks]
-        found = list(Shard(ids[~asks], v[~asks]).best(ids[asks], v[asks], k)) if asks.any() and not asks.all() else []
+        found = list(best_of(ids[~asks], v[~asks], ids[asks], v[asks], k)) if asks.any() and not asks.all() else []
         at = np.repeat(np.array([x[0] for x in found], int), [len(x[1]) for x in found])
         columns = [ids[asks][at], marks[at], *(np.concatenate([x[i] for x in found]) if found else np.zeros(0, int) for i in (1, 2))]
         return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("query_id", "mark", "vec_id", "score"), columns)})

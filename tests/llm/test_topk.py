@@ -70,3 +70,18 @@ def test_large_values_are_exact(spark):
     rows = [(i, [float((i * 7919) % 1000 * 2**20), float(i)]) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     assert run(df, scale=1) == slow([(i, [int(x) for x in v]) for i, v in rows])
+
+
+def test_large_vectors_take_part_where_their_scores_fit(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-128, 129, 64).tolist()) for i in range(120)]
+    for i, x in ((7, 2_560_000_000), (50, 2_560_000_000), (51, -2**50), (52, 2**62), (100, 2**40), (101, 2**62), (102, -2**63 + 1024)):
+        rows[i][1][i % 3] = x
+    rows[60][1][:3] = rows[61][1][:3] = [0, 0, 0]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id bigint, embedding array<double>")
+    want = set()
+    for qi, q in rows[::50]:
+        scores = [(-s, ci) for ci, c in rows if ci != qi and -2**63 <= (s := sum(a * b for a, b in zip(q, c))) < 2**63]
+        want |= {(qi, rank, ci, -s) for rank, (s, ci) in enumerate(sorted(scores)[:5], 1)}
+    assert run(df) == want
+    assert {ci for _, _, ci, _ in want} & {7, 50, 51, 52, 100, 101, 102}
