@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, chat, merkle, mixing, simhash, tokencounts, tokenfiles, topk, toxicity, urlfilter
+from . import bpe, chat, merkle, mixing, simhash, spelling, tokencounts, tokenfiles, topk, toxicity, urlfilter
 from .common import documents, on_workers, stored
 
 
@@ -74,6 +74,11 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(documents(spark, sf_dir), least_length=5, least_count=3, damage_every=97)
+    return spelling.spelling_variants(words, ratio=2)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_top_k": op9_top_k,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_spelling": op13_spelling,
 }
 QUERIES = {name: on_workers(query) for name, query in QUERIES.items()}
 
