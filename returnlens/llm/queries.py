@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, chat, merkle, mixing, simhash, spelling, tokencounts, tokenfiles, topk, toxicity, urlfilter
+from . import bpe, chat, collocations, merkle, mixing, simhash, spelling, tokencounts, tokenfiles, topk, toxicity, urlfilter
 from .common import documents, on_workers, stored
 
 
@@ -74,6 +74,10 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", ["lang", "text"]), max_words=3, min_count=10, absorb_percent=50, top=2000)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.word_counts(documents(spark, sf_dir), least_length=5, least_count=3, damage_every=97)
     return spelling.spelling_variants(words, ratio=2)
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_top_k": op9_top_k,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_collocations": op11_collocations,
     "op13_spelling": op13_spelling,
 }
 QUERIES = {name: on_workers(query) for name, query in QUERIES.items()}
@@ -98,4 +103,5 @@ ORACLE: dict[str, str] = {
     "op1_fingerprints": merkle.FINGERPRINT_SQL,
     "op8_chat": chat.CHATS_SQL,
     "op9_top_k": topk.TOP_K_SQL,
+    "op11_collocations": collocations.COLLOCATIONS_SQL,
 }
