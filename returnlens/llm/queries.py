@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, chat, collocations, merkle, mixing, simhash, spelling, tokencounts, tokenfiles, topk, toxicity, urlfilter
+from . import bpe, chat, collocations, merkle, minhash, mixing, simhash, spelling, tokencounts, tokenfiles, topk, toxicity, urlfilter
 from .common import documents, on_workers, stored
 
 
@@ -78,6 +78,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents", ["lang", "text"]), max_words=3, min_count=10, absorb_percent=50, top=2000)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle=5, percent=85)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.word_counts(documents(spark, sf_dir), least_length=5, least_count=3, damage_every=97)
     return spelling.spelling_variants(words, ratio=2)
@@ -95,6 +99,7 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_collocations": op11_collocations,
+    "op12_minhash": op12_minhash,
     "op13_spelling": op13_spelling,
 }
 QUERIES = {name: on_workers(query) for name, query in QUERIES.items()}
