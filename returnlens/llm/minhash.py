@@ -7,20 +7,21 @@
 2. ``buckets``: a signature is cut into bands of ``ROWS`` minima; nodes that agree
    in a band share its bucket.  With 32 bands of 4 a pair at similarity 0.85 meets
    in none with a chance of 6e-11.
-3. Candidates are pairs of a bucket's member and one of its *pivots*, verified
-   first by the signatures (``floor`` leaves out a pair at the threshold with a
-   chance of 1e-10), then on the full sets of shingles.  The first pivot is the
-   bucket's smallest node, the same one in most bands of a group of near copies.
-   Confirmed links make components; buckets within one component are done.
-4. Buckets with several components left, whose pairs have not all been tried, go
-   on with about 16, 256, ... pivots until each member is a pivot or one component
-   holds all.  Pairs within a component are never compared.  So a group of copies
-   costs a few comparisons a member, not a square, and no pair is left untried
-   that could still join two components.
-5. ``components``: alternating large and small stars, tables in the shared folder.
-
-Members of a bucket, and of a pivot, are dealt into groups of about ``GROUP``, with
-the pivots sent to each, so no bucket lands in one task.
+3. First every member of a bucket is a candidate with the bucket's smallest node,
+   the same one in most bands.  Candidates are verified by the signatures
+   (``floor_of`` leaves out a pair at the threshold with a chance of 1e-10), then on
+   the full sets.  Confirmed links make components; a bucket within one is done.
+4. Members of buckets still open are candidates with a medoid, the node most like
+   the others: in a cloud of near copies it is the text that they were made from,
+   and joins most of them.
+5. In buckets that are open even then, those outside the bucket's main component
+   are compared with all its members, by signature and full set, in blocks.  A pair
+   is compared in its first common band only, and only links leave the task.  So
+   every pair that shares a bucket is linked, refuted or within one component.
+6. ``components``: alternating large and small stars, tables in the shared folder.
+
+Members of a bucket, or of a pivot, are dealt into groups of about ``group``, so no
+bucket lands in one task.
 
 Edge cases: null and empty texts, and those without words, have the empty set, no
 links and themselves as component; fewer words than a shingle are one shingle;
@@ -33,8 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import islice
-from typing import NamedTuple
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +56,10 @@ NO_ID = 2**63 - 1
 BLOCK = 2_048
 
 
-class Settings(NamedTuple):
-    """How groups are cut; results don't depend on them."""
-
-    #: Members that meet a pivot, or a bucket's pivots, in one group.
-    group: int = 512
-    #: Pivots of the second round, and by how much each later one has more.
-    pivots: int = 16
-    more: int = 16
+#: Members of a bucket or of a pivot that meet in one group.
+GROUP = 256
+#: Members of a group that the others are likened to when its medoid is chosen.
+LIKENED = 64
 
 
 def shingles(text: str | None, size: int) -> set[bytes]:
@@ -74,6 +70,21 @@ def shingles(text: str | None, size: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(size)))))
 
 
+def hash_set(text: str | None, size: int) -> np.ndarray:
+    """Ascending hashes of the distinct shingles."""
+    found = shingles(text, size)
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets have ``percent`` of their union in common."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Minima of all functions over ``hashes`` (64 bits each)."""
     least = np.full(HASHES, 2**64 - 1, np.uint64)
@@ -89,15 +100,13 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     columns = ["doc_id", "text_hash", "n_shingles", "key", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             counts, keys, sigs = [], [], []
             for text in batch.column(2):
-                found = shingles(text.as_py(), size)
-                counts.append(len(found))
-                hashes = np.sort(np.fromiter(map(digest, found), np.uint64, len(found)))
-                keys.append(xxhash.xxh3_128_digest(hashes) if found else None)
-                sigs.append(signature(hashes).tobytes() if found else None)
+                hashes = hash_set(text.as_py(), size)
+                counts.append(len(hashes))
+                keys.append(xxhash.xxh3_128_digest(hashes) if len(hashes) else None)
+                sigs.append(signature(hashes).tobytes() if len(hashes) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
                                               pa.array(sigs, pa.binary())], names=columns)
 
@@ -106,10 +115,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, key): the bands of ``nodes`` (key, sig)."""
+    """(bucket, band, key): the bands of ``nodes`` (key, sig)."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     return nodes.select("key", "sig", band).select(
-        F.xxhash64("band", F.expr(f"substring(sig, {4 * ROWS} * band + 1, {4 * ROWS})")).alias("bucket"), "key")
+        F.xxhash64("band", F.expr(f"substring(sig, {4 * ROWS} * band + 1, {4 * ROWS})")).alias("bucket"), "band", "key")
 
 
 def floor_of(percent: int) -> int:
@@ -152,24 +161,21 @@ def _pairs(found: Iterator[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*some)], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, group: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets, from ``texts`` (key, text), have at
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, group: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose full sets, from ``sets`` (key, set), have at
     least ``percent`` of their union in common."""
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / group).alias("salts"))
-    hosts = salts.join(texts.select(F.col("key").alias("b"), "text"), "b").select(
-        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"), "text")
-    guests = pairs.join(texts.select(F.col("key").alias("a"), "text"), "a").join(salts, "b").select(
-        "b", F.pmod(F.xxhash64("a"), "salts").alias("salt"), "a", "text")
+    hosts = salts.join(sets.select(F.col("key").alias("b"), "set"), "b").select(
+        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"), "set")
+    guests = pairs.join(sets.select(F.col("key").alias("a"), "set"), "a").join(salts, "b").select(
+        "b", F.pmod(F.xxhash64("a"), "salts").alias("salt"), "a", "set")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
-        host: set[bytes] = set()
-        for b, _, a, text in _rows(batches):
-            found = shingles(text, size)
+        host = None
+        for b, _, a, found in _rows(batches):
             if a is None:                   # sorts first: the pivot, before its members
-                host = found
-                continue
-            both = len(host & found)
-            if 100 * both >= percent * (len(host) + len(found) - both):
+                host = np.frombuffer(found, np.uint64)
+            elif linked(host, np.frombuffer(found, np.uint64), percent):
                 yield a, b
 
     dealt = hosts.unionByName(guests).repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
@@ -182,62 +188,101 @@ def first_pairs(bands: DataFrame) -> DataFrame:
     return bands.join(pivots, "bucket").where(F.col("key") != F.col("b")).select(F.col("key").alias("a"), "b").distinct()
 
 
-def open_members(bands: DataFrame, roots: DataFrame, more_than: int) -> DataFrame:
-    """(bucket, n, key, label): members, with their components, of the buckets
-    that hold several components, and more members than have been pivots."""
-    members = bands.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("label"))
-    still = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(
-        (F.col("lo") != F.col("hi")) & (F.col("n") > more_than)).select("bucket", "n")
-    return members.join(still, "bucket").select("bucket", "n", "key", "label")
+def open_members(bands: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, band, n, main, rest, key, label): members, with their components,
+    of the buckets of more than two that hold several components; of these the
+    most frequent and the number of members outside it."""
+    members = bands.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
+        "bucket", "band", "key", F.coalesce("root", "key").alias("label"))
+    labels = members.groupBy("bucket", "label").count()
+    still = labels.groupBy("bucket").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).where(
+        "labels > 1 AND n > 2").select("bucket", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.count")).alias("rest"))
+    return members.join(still, "bucket").select("bucket", "band", "n", "main", "rest", "key", "label")
+
+
+def medoid_pairs(members: DataFrame, nodes: DataFrame, least: int, group: int) -> DataFrame:
+    """(a, b): plausible pairs of a member of a group of an open bucket and the
+    group's medoid ``b``, of another component."""
+    dealt = members.join(nodes.select("key", "sig"), "key").select(
+        "bucket", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / group)).alias("salt"), "key", "label", "sig")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
+        for _, rows in groupby(_rows(batches), key=lambda row: row[:2]):
+            keys, labels, sigs = (list(x) for x in list(zip(*rows))[2:])
+            minima = _minima(sigs)
+            like = sum((minima == other).sum(1) for other in minima[:LIKENED])
+            at = int(like.argmax())         # of equal ones the smallest key
+            for i in np.flatnonzero((minima == minima[at]).sum(1) >= least).tolist():
+                if labels[i] != labels[at]:
+                    yield keys[i], keys[at]
+
+    return dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key").mapInArrow(
+        lambda batches: _pairs(choose(batches)), "a binary, b binary").distinct()
 
 
-def pivot_pairs(members: DataFrame, nodes: DataFrame, pivots: int, least: int, group: int) -> DataFrame:
-    """(a, b): plausible pairs of different components among the ``members``
-    (bucket, n, key, label) and their bucket's pivots.  Where every member is a
-    pivot these are all; else each member's likeliest, as that link joins others."""
-    step = F.ceil(F.col("n") / pivots)                              # about every step-th node is a pivot
-    rows = members.join(nodes.select("key", "sig"), "key").withColumns(
-        {"whole": step == 1, "pivot": F.pmod(F.xxhash64("key", F.lit(3)), step) == 0, "groups": F.ceil(F.col("n") / group)})
+def remaining_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: int, percent: int, group: int) -> DataFrame:
+    """(a, b): links of the members outside an open bucket's main component with
+    all members of other components.  Of a component one link is enough."""
+    guest_blocks, host_blocks = F.ceil(F.col("rest") / group), F.ceil(F.col("n") / group)
+    rows = members.join(nodes.select("key", "sig"), "key").join(sets, "key").withColumn("outside", F.col("label") != F.col("main"))
 
-    def put(salt: Column, host: bool) -> DataFrame:
-        return rows.where("pivot" if host else "true").select("bucket", salt.alias("salt"), F.lit(host).alias("host"), "whole", "key", "label", "sig")
+    def every(blocks: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
 
-    hosts = put(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)), True)
-    guests = put(F.pmod(F.xxhash64("key", F.lit(5)), "groups"), False)
+    def put(guest: Column, host: Column, is_host: bool) -> DataFrame:
+        return rows.where("true" if is_host else "outside").select(
+            "bucket", guest.alias("guest"), host.alias("host"), F.lit(is_host).alias("is_host"), "band", "outside", "key", "label", "sig", "set")
+
+    hosts = put(every(guest_blocks), F.pmod(F.xxhash64("key"), host_blocks), True)
+    guests = put(F.pmod(F.xxhash64("key", F.lit(3)), guest_blocks), every(host_blocks), False)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
-        last, held, sigs, labels = None, [], None, None
-        for bucket, salt, host, whole, key, label, sig in _rows(batches):
-            if (bucket, salt) != last:
-                last, held, sigs = (bucket, salt), [], None
-            if host:                        # sorts first
-                held.append((key, label, sig))
-                continue
-            if not held:
-                continue
-            if sigs is None:
-                sigs, labels = _minima([x[2] for x in held]), np.array([x[1] for x in held], object)
-            same = (sigs == np.frombuffer(sig, np.uint32)).sum(1)
-            good = np.flatnonzero((same >= least) & (labels != label))
-            if not whole and len(good):
-                good = good[[int(same[good].argmax())]]
-            for i in good.tolist():
-                yield max(key, held[i][0]), min(key, held[i][0])
-
-    dealt = hosts.unionByName(guests).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.desc("host"))
-    return dealt.mapInArrow(lambda batches: _pairs(compare(batches)), "a binary, b binary").distinct()
-
-
-def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, text): the text of one document of each node of ``nodes`` (key,
-    first: its doc_id and text's hash)."""
+        for _, block in groupby(_rows(batches), key=lambda row: row[:3]):
+            held: list[tuple] = []
+            for _, _, _, is_host, band, outside, key, label, sig, found in block:
+                if is_host:                 # sorts first
+                    held.append((key, label, outside, sig, np.frombuffer(found, np.uint64)))
+                    continue
+                if not held:
+                    break
+                if len(held[0]) == 5:
+                    keys, labels, outsides, sigs, sets_ = zip(*held)
+                    minima, labels, outsides, keys = _minima(sigs), np.array(labels, object), np.array(outsides), np.array(keys, object)
+                    held = [()]
+                mine = np.frombuffer(sig, np.uint32)
+                equal = minima == mine
+                same = equal.sum(1)
+                # Two members outside meet twice: the smaller one asks.
+                good = np.flatnonzero((same >= least) & (labels != label) & (~outsides | (keys > key)))
+                first = equal[good].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+                good = good[first == band]
+                own, joined = np.frombuffer(found, np.uint64), set()
+                for i in good[np.argsort(-same[good], kind="stable")].tolist():
+                    if labels[i] not in joined and linked(sets_[i], own, percent):
+                        joined.add(labels[i])
+                        yield key, keys[i]
+
+    dealt = hosts.unionByName(guests).repartition("bucket", "guest", "host").sortWithinPartitions("bucket", "guest", "host", F.desc("is_host"))
+    return dealt.mapInArrow(lambda batches: _pairs(compare(batches)), "a binary, b binary")
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(key, set): the full set of each node of ``nodes`` (key, first: doc_id and
+    text's hash of one of its documents)."""
     named = nodes.select("key", F.col("first.doc").alias("doc"), F.col("first.text_hash").alias("hash"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("hash"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([hash_set(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["key", "set"])
+
     # The join has put rows with one id and text together; repeated ones go.
-    return rows.join(named, ["doc", "hash"]).dropDuplicates(["doc", "hash"]).select("key", "text")
+    one = rows.join(named, ["doc", "hash"]).dropDuplicates(["doc", "hash"])
+    return one.select("key", "text").mapInArrow(run, "key binary, set binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, how: Settings = Settings()) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, group: int = GROUP) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id,
     text).  Documents link whose sets of shingles have at least ``percent`` of
     their union in common; ``kept``: the id is its component's."""
@@ -248,18 +293,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, how: S
     shared = every.groupBy("bucket").count().where("count > 1").select("bucket")
     bands = stored(every.join(shared, "bucket"), "bands")
     live = stored(nodes.join(bands.select("key").distinct(), "key", "left_semi"), "live")
-    texts = stored(texts_of(docs, live), "texts")
+    sets = stored(sets_of(docs, live, shingle), "sets")
     least = floor_of(percent)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return confirmed(stored(pairs, "pairs"), texts, shingle, percent, how.group)
+    def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Components of the ``links`` and of those that made ``roots``."""
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links) if roots is not None else links
+        return components(stored(known, "links"))
+
+    def left(roots: DataFrame) -> DataFrame | None:
+        members = stored(open_members(bands, roots), "open")
+        return members if members.limit(1).count() else None
 
-    edges = stored(links(plausible(first_pairs(bands), live, least)), "links")
-    roots, tried, pivots = components(edges), 2, how.pivots
-    while (members := stored(open_members(bands, roots, tried), "open")).limit(1).count():
-        more = links(pivot_pairs(members, live, pivots, least, how.group))
-        edges = stored(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), "links")
-        roots, tried, pivots = components(edges), pivots, pivots * how.more
+    roots = joined(None, confirmed(stored(plausible(first_pairs(bands), live, least), "pairs"), sets, percent, group))
+    if (members := left(roots)) is not None:
+        roots = joined(roots, confirmed(stored(medoid_pairs(members, live, least, group), "pairs"), sets, percent, group))
+        if (members := left(roots)) is not None:
+            roots = joined(roots, remaining_links(members, live, sets, least, percent, group))
     label = nodes.join(roots, nodes.key == roots.node, "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
     least_id = label.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = label.join(least_id, "root").select("key", "component_id")
