@@ -108,9 +108,9 @@ def apply_prep(df: DataFrame, prep: Prep) -> DataFrame:
 # Parameters of each kind and their defaults.  ``minSplit``, the fewest rows a
 # node needs to be cut, is met through Spark's fewest rows of a child: a cut of
 # m rows leaves a child of at most m / 2.
-_DEFAULTS: dict[str, dict] = {
+DEFAULTS: dict[str, dict] = {
     "lr": {"maxIter": 1000, "regParam": 0.0, "elasticNetParam": 0.0, "C": None, "penalty": "l2", "tol": 1e-6},
-    "rf": {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 1, "minSplit": 2, "seed": K.SPLIT_SEED},
+    "rf": {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 1, "minSplit": 2, "bootstrap": True, "seed": K.SPLIT_SEED},
     "gbt": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 1, "minSplit": 2,
             "seed": K.SPLIT_SEED},
 }
@@ -119,12 +119,12 @@ _DEFAULTS: dict[str, dict] = {
 def classifier(kind: str, label: str = "label", weight: str | None = None, n_rows: int | None = None, **params):
     """ML1-ML3 with the reference's settings as defaults; unknown parameters
     are refused.  ``C`` needs ``n_rows``, the rows fitted on."""
-    if kind not in _DEFAULTS:
+    if kind not in DEFAULTS:
         raise ValueError(kind)
-    unknown = set(params) - set(_DEFAULTS[kind])
+    unknown = set(params) - set(DEFAULTS[kind])
     if unknown:
         raise ValueError(f"{kind} has no parameter {sorted(unknown)}")
-    p = _DEFAULTS[kind] | params
+    p = DEFAULTS[kind] | params
     common = dict(featuresCol="features", labelCol=label)
     if kind == "lr":
         reg, net = p["regParam"], p["elasticNetParam"]
@@ -135,13 +135,17 @@ def classifier(kind: str, label: str = "label", weight: str | None = None, n_row
         model = LogisticRegression(maxIter=p["maxIter"], regParam=reg, elasticNetParam=net, tol=p["tol"],
                                    standardization=False, **common)
     else:
-        leaf = max(p["minInstancesPerNode"], 1 if p["minSplit"] <= 3 else p["minSplit"] // 2)
-        trees = dict(maxDepth=p["maxDepth"], minInstancesPerNode=leaf, seed=p["seed"], **common)
-        model = RandomForestClassifier(numTrees=p["numTrees"], **trees) if kind == "rf" else \
+        trees = dict(maxDepth=p["maxDepth"], minInstancesPerNode=least_leaf(p), seed=p["seed"], **common)
+        model = RandomForestClassifier(numTrees=p["numTrees"], bootstrap=p["bootstrap"], **trees) if kind == "rf" else \
             GBTClassifier(maxIter=p["maxIter"], stepSize=p["stepSize"], subsamplingRate=p["subsamplingRate"], **trees)
     return model.setWeightCol(weight) if weight else model
 
 
+def least_leaf(p: dict) -> int:
+    """Fewest rows of a leaf that meet both of a tree's bounds."""
+    return max(p["minInstancesPerNode"], 1 if p["minSplit"] <= 3 else p["minSplit"] // 2)
+
+
 def lr_reg_param(C: float, n_rows: int) -> float:
     """ML1: Spark's ``regParam`` for an L2 penalty that weighs like
     scikit-learn's inverse strength ``C`` on ``n_rows`` training rows
@@ -217,12 +221,18 @@ class FittedModel:
     threshold: float | None
     label: str
 
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """Adds the filled and scaled columns that the pipeline reads."""
+        feats = self.prep.numeric + self.prep.categorical
+        return apply_prep(df.select("*", *[F.col(c).alias(f"m__{c}") for c in feats]), _rename(self.prep, "m__"))
+
+    def features(self, df: DataFrame) -> DataFrame:
+        """Adds the vector ``features`` that the model reads."""
+        return PipelineModel(self.pipeline.stages[:-1]).transform(self.prepared(df))
+
     def score(self, df: DataFrame, name: str = "p") -> DataFrame:
         """Score every row; the input columns are kept, ``name`` is added."""
-        feats = self.prep.numeric + self.prep.categorical
-        prepared = apply_prep(df.select("*", *[F.col(c).alias(f"m__{c}") for c in feats]),
-                              _rename(self.prep, "m__"))
-        out = probability_column(self.pipeline.transform(prepared), name)
+        out = probability_column(self.pipeline.transform(self.prepared(df)), name)
         return out.select(*[F.col(c) for c in df.columns], name)
 
 
@@ -243,9 +253,11 @@ def bounded(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
 
 def check_categories(df: DataFrame, categorical: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
     """Refuse a column whose values would not fit the driver and the vector."""
-    for c in categorical:
-        if df.select(qcol(c)).distinct().limit(limit + 1).count() > limit:
-            raise ValueError(f"{c} has more than {limit} categories")
+    if not categorical:
+        return
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), qcol(c).cast("string").alias("v")) for c in categorical]))
+    for r in df.select(cells.alias("x")).select("x.*").distinct().groupBy("c").count().where(F.col("count") > limit).collect():     # one row a column
+        raise ValueError(f"{r['c']} has more than {limit} categories")
 
 
 def fit(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str,

@@ -24,6 +24,7 @@ from ..operators import history as HI
 from ..operators import models as ML
 from ..operators import profile as PF
 from ..operators import projections as PR
+from ..operators import search as SE
 from ..operators import split as SP
 from ..operators import transforms as TR
 from ..sources.tables import table
@@ -299,13 +300,11 @@ def q_ultra_validation(spark, sf_dir):
 def q_csv_round_trip(spark, sf_dir):
     """IO2 then IO1: scored lines written as CSV to the shared checkpoint
     folder, read back with an explicit schema, summarised per band."""
-    import os
-    import uuid
-    from ..session import ensure_checkpoint_dir
+    from ..session import scratch_path
     from ..sources import files as FS
     scored = S.score_plain(order_lines(spark, sf_dir)).select(
         "order_id", "line_no", "item_price", "Prediction", "Return_Probability", "Confidence_Level")
-    path = os.path.join(ensure_checkpoint_dir(spark), "csv", uuid.uuid4().hex)
+    path = scratch_path(spark, "csv")
     FS.write_csv(scored, path)
     back = FS.read_csv(spark, path, "order_id long, line_no int, item_price double, Prediction int, "
                                     "Return_Probability double, Confidence_Level string")
@@ -318,29 +317,42 @@ def q_csv_round_trip(spark, sf_dir):
 @query("parquet_round_trip")
 def q_parquet_round_trip(spark, sf_dir):
     """IO2, Parquet form: scored lines in folders by band, read back by band."""
-    import os
-    import uuid
-    from ..session import ensure_checkpoint_dir
+    from ..session import scratch_path
     from ..sources import files as FS
     scored = S.score_plain(order_lines(spark, sf_dir)).select("order_id", "Prediction", "Confidence_Level")
-    path = os.path.join(ensure_checkpoint_dir(spark), "parquet", uuid.uuid4().hex)
+    path = scratch_path(spark, "parquet")
     FS.write_parquet(scored, path, partition_by=["Confidence_Level"])
     return spark.read.parquet(path).groupBy("Confidence_Level").agg(
         F.count(F.lit(1)).alias("n"), F.sum("Prediction").cast("bigint").alias("predicted_returns"))
 
 
+@query("csv_inferred")
+def q_csv_inferred(spark, sf_dir):
+    """IO2 then IO1 without a schema: type, cells and largest value of each column."""
+    from ..session import scratch_path
+    from ..sources import files as FS
+    lines = order_lines(spark, sf_dir).select(
+        "order_id", "item_price", "customer_age", "return_status", (F.col("item_price") > 100).alias("dear"),
+        F.when(F.col("line_no") == 1, "12").otherwise(" -1.5e1").alias("mixed"), F.concat(F.lit("1234567890123456789"), "line_no").alias("long_number"),
+        F.when(F.col("line_no") == 1, "true").otherwise("1").alias("flag_or_number"), F.lit("NA").alias("nothing"))
+    path = scratch_path(spark, "csv")
+    FS.write_csv(lines, path)
+    back = FS.read_csv(spark, path, infer=True)
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.count(c).alias("cells"),
+                     (F.max(F.col(c).cast("double")) if t != "string" else F.lit(None).cast("double")).alias("largest")) for c, t in back.dtypes]
+    return back.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 @query("csv_quoted_round_trip")
 def q_csv_quoted_round_trip(spark, sf_dir):
     """IO2 then IO1 on text with quotes, commas, line breaks and spaces."""
-    import os
-    import uuid
-    from ..session import ensure_checkpoint_dir
+    from ..session import scratch_path
     from ..sources import files as FS
     cu = table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
     note = F.concat(F.lit(' "'), "c_name", F.lit('", '), "c_mktsegment", F.lit("\nline 2, ""\\ end"),
                     F.when(F.col("c_custkey") % 3 == 0, F.lit('"')).otherwise(F.lit(" ")))
     text = cu.select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 5 > 0, note).alias("note"), "c_acctbal")
-    path = os.path.join(ensure_checkpoint_dir(spark), "csv", uuid.uuid4().hex)
+    path = scratch_path(spark, "csv")
     FS.write_csv(text, path)
     back = FS.read_csv(spark, path, "c_custkey long, c_mktsegment string, note string, c_acctbal double", multi_line=True)
     return back.select("c_custkey", "c_mktsegment", "note", F.length("note").alias("note_length"), "c_acctbal")
@@ -720,7 +732,7 @@ def q_model_train_evaluate(spark, sf_dir):
     train, test = data.where(F.col("part") == "train"), data.where(F.col("part") == "test")
     folds = SP.assign_folds(train, ["order_id", "line_no"], 5)
     model = ML.fit(folds.where("fold > 0"), _NUM, _CAT, "target", kind="lr", threshold="youden",
-                   tune_on=folds.where("fold = 0"), balanced=True, C=1.0, maxIter=100)
+                   tune_on=folds.where("fold = 0"), balanced=True, C=1.0)
     report = ML.evaluate_model(model, train, "target", "train").unionByName(ML.evaluate_model(model, test, "target", "test"))
     shares = F.array("accuracy", "precision", "recall", "f1", "auc")
     return report.select("split", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
@@ -734,8 +746,8 @@ def q_lr_mean_probability(spark, sf_dir):
     probability is the mean target of the rows it is fitted on; with balanced
     weights the weighted mean is one half."""
     train = _model_table(spark, sf_dir).where(F.col("part") == "train")
-    plain = ML.fit(train, _NUM, _CAT, "target", kind="lr", maxIter=100).score(train)
-    even = SP.with_class_weight(ML.fit(train, _NUM, _CAT, "target", kind="lr", maxIter=100, balanced=True).score(train), "target")
+    plain = ML.fit(train, _NUM, _CAT, "target", kind="lr").score(train)
+    even = SP.with_class_weight(ML.fit(train, _NUM, _CAT, "target", kind="lr", balanced=True).score(train), "target")
     return (plain.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("p"), 3).alias("mean_probability"))
             .join(even.agg(F.round(F.sum(F.col("p") * F.col("weight")) / F.sum("weight"), 3).alias("balanced_mean"))))
 
@@ -755,12 +767,10 @@ def q_one_hot_sums(spark, sf_dir):
 def q_model_persistence(spark, sf_dir):
     """IO3 + IO4: fit, save under the shared checkpoint folder, load: the
     loaded model scores every row of the test part as the fitted one did."""
-    import os
-    import uuid
-    from ..session import ensure_checkpoint_dir
+    from ..session import scratch_path
     data = _model_table(spark, sf_dir)
-    model = ML.fit(data.where(F.col("part") == "train"), _NUM, _CAT, "target", kind="lr", maxIter=50)
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    model = ML.fit(data.where(F.col("part") == "train"), _NUM, _CAT, "target", kind="lr")
+    path = scratch_path(spark, "models")
     ML.save(model, path)
     both = ML.load(path).score(model.score(data.where(F.col("part") == "test"), "p"), "again")
     scored = both.agg(F.count("p").alias("scored_rows"), F.count_if(~F.col("p").eqNullSafe(F.col("again"))).alias("differing_rows"))
@@ -774,7 +784,7 @@ def q_cross_validation(spark, sf_dir):
     on at most ``FIT_ROWS`` labelled rows: fits and shares among the scores."""
     data = ML.bounded(_model_table(spark, sf_dir).where(F.col("part") == "train"), ["order_id", "line_no"], FIT_ROWS)
     scores = ML.cross_validate(SP.assign_folds(data, ["order_id", "line_no"], 5), _NUM, _CAT, "target", kind="lr",
-                               grid=ML.GRIDS["lr"], balanced=True, maxIter=50)
+                               grid=ML.GRIDS["lr"], balanced=True)
     return scores.groupBy("fold").agg(F.count_distinct("params").alias("candidates"),
                                       F.count_if(F.col("score").between(0, 1)).alias("scores"))
 
@@ -790,6 +800,81 @@ def q_feature_importance(spark, sf_dir):
                    F.count_if(F.col("importance") < 0).alias("negative"))
 
 
+@query("fold_statistics")
+def q_fold_statistics(spark, sf_dir):
+    """SO4 + TR5-TR9: the preparation that each of 5 folds trains with, of all
+    lines, from one table of counts."""
+    canon, _, _ = _canonical(spark, sf_dir)
+    stats = SE.fold_statistics(SP.assign_folds(canon, ["order_id", "line_no"], 5), _NUM, _CAT)
+    return stats.select("fold", "column", *[F.round(c, 6).alias(c) for c in ("median", "mean", "std")], "mode")
+
+
+@query("score_equations")
+def q_score_equations(spark, sf_dir):
+    """ML1: the score equations of an unpenalised regression, plain and with
+    balanced weights, fitted on the train part: all are zero."""
+    train = _model_table(spark, sf_dir).where(F.col("part") == "train")
+    out = None
+    for balanced in (False, True):
+        rows = SE.score_equations(train, _NUM, _CAT, "target", balanced).select(
+            F.lit(balanced).alias("balanced"), "feature", "rows", (F.round("residual", 4) + F.lit(0.0)).alias("residual"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query("saturated_cross_validation")
+def q_saturated_cross_validation(spark, sf_dir):
+    """ML5: cross-validated F1 of a balanced regression on one category, whose
+    probabilities are the categories' weighted shares: by single fits, and by the
+    fits of all folds in one scan."""
+    train = SP.assign_folds(_model_table(spark, sf_dir).where(F.col("part") == "train"), ["order_id", "line_no"], 5)
+    single = ML.cross_validate(train, [], ["customer_location"], "target", "lr", balanced=True)
+    together = SE.cross_validate_regressions(train, [], ["customer_location"], "target", balanced=True)
+    return single.withColumn("way", F.lit("single")).unionByName(together.withColumn("way", F.lit("together"))).select(
+        "way", F.col("fold").cast("int").alias("fold"), F.round("score", 6).alias("f1"))
+
+
+@query("saturated_report")
+def q_saturated_report(spark, sf_dir):
+    """ML7: train and test report, cross-validated accuracy included, of a
+    balanced regression on one category."""
+    _, report = ML.train_test_report(_model_table(spark, sf_dir), [], ["customer_location"], "target", ["order_id", "line_no"], "lr")
+    spread = [F.round(c, 4).alias(c) for c in ("probability_mean", "probability_std", "probability_min", "probability_max", "cv_accuracy", "cv_spread")]
+    return report.select("kind", "split", "tn", "fp", "fn", "tp", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")], *spread)
+
+
+@query("single_split_trees")
+def q_single_split_trees(spark, sf_dir):
+    """ML2 + ML3 + AG22 + SC13: a forest of one tree and one round of boosting,
+    both of depth 1, fitted on all train lines: the feature with all the importance,
+    and the lines and returns of each leaf of all lines, with its probability."""
+    data = _model_table(spark, sf_dir)
+    train, out = data.where(F.col("part") == "train"), None
+    for kind, size in (("rf", {"numTrees": 1, "bootstrap": False}), ("gbt", {"maxIter": 1, "subsamplingRate": 1.0})):
+        model = ML.fit(train, ["discount", "delivery_time", "product_rating"], [], "target", kind, maxDepth=1,
+                       balanced=kind in ML.BALANCED, **size)
+        top = ML.feature_importance(model, 1).select("feature", "importance")
+        leaves = model.score(data).groupBy(F.round("p", 6).alias("p")).agg(F.count("*").alias("rows"), F.sum("target").cast("bigint").alias("returns"))
+        rows = leaves.join(top).select(F.lit(kind).alias("kind"), "feature", "importance", "p", "rows", "returns")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+GRID_ROWS = 500     # labelled rows that the grid is searched on
+
+
+@query("grid_search")
+def q_grid_search(spark, sf_dir):
+    """ML4: the 24 forests and 6 regressions of the grid over 5 folds, ranked by
+    mean F1, on at most ``GRID_ROWS`` labelled rows: 10 forests are fitted, whose
+    prefixes are the 120, and 30 regressions side by side.  The 12 boosted
+    candidates are left to ``search.grid_search`` (README: 6 fits a fold, of 200
+    rounds each)."""
+    data = ML.bounded(_model_table(spark, sf_dir).where(F.col("part") == "train"), ["order_id", "line_no"], GRID_ROWS)
+    grids = {kind: ML.GRIDS[kind] for kind in ("rf", "lr")}
+    return SE.grid_search(SP.assign_folds(data, ["order_id", "line_no"], 5), _NUM, _CAT, "target", grids, parallelism=8)
+
+
 @query("selection_ties")
 def q_selection_ties(spark, sf_dir):
     """ML6: the choice among score columns of a table by F1 at fixed

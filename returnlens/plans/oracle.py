@@ -654,6 +654,91 @@ ORACLE["cross_validation"] = with_order_lines(f"SELECT {_HASH} % 5 AS fold, 6 AS
 ORACLE["feature_importance"] = with_order_lines(
     "SELECT 10 AS features, 1.0::DOUBLE AS total, 0 AS negative FROM order_lines LIMIT 1")
 
+_NUMERIC = ["product_price", "order_quantity", "customer_age", "discount", "delivery_time", "product_rating"]
+_CATEGORIES = ["product_category", "customer_location", "payment_method", "shipping_method"]
+ORACLE["fold_statistics"] = with_order_lines(f"""
+WITH {_CANON_CTE},
+f AS (SELECT *, {_HASH} % 5 AS own FROM canon),
+k AS (SELECT unnest(range(5))::INT AS fold)
+""" + "\nUNION ALL\n".join([f"""SELECT fold, '{c}' AS "column", round(m, 6) AS median, round(avg(coalesce({c}, m)), 6) AS mean,
+  round(stddev_pop(coalesce({c}, m)), 6) AS std, NULL AS mode
+FROM f, (SELECT fold, median({c}) AS m FROM f, k WHERE own <> fold GROUP BY fold) WHERE own <> fold GROUP BY fold, m""" for c in _NUMERIC] + [
+    f"""SELECT fold, '{c}', NULL, NULL, NULL, arg_min({c}, (-n, {c}))
+FROM (SELECT fold, {c}, COUNT(*) AS n FROM f, k WHERE own <> fold GROUP BY ALL) GROUP BY fold""" for c in _CATEGORIES]))
+
+ORACLE["score_equations"] = with_order_lines(f"""
+WITH {_CANON_CTE},
+t AS (SELECT * FROM canon WHERE {_PART} = 'train'),
+names AS (SELECT unnest([{", ".join(f"'{c}'" for c in [*_NUMERIC, "(intercept)"])}]) AS feature),
+slots AS (SELECT feature, (SELECT COUNT(*) FROM t) AS rows FROM names
+""" + "".join(f"UNION ALL SELECT '{c}=' || {c}, COUNT(*) FROM t GROUP BY {c}\n" for c in _CATEGORIES) + """)
+SELECT balanced, feature, rows, 0.0::DOUBLE AS residual FROM slots, (SELECT unnest([false, true]) AS balanced)""")
+
+# A balanced regression on one category: its probability of each value, from the
+# class counts of the rows it is fitted on.
+_SHARE = "r * w1 / (r * w1 + (n - r) * w0)"
+_WEIGHTS = "round(sum(n) OVER (PARTITION BY {0}) / (2.0 * sum(r) OVER (PARTITION BY {0})), 6) AS w1, round(sum(n) OVER (PARTITION BY {0}) / (2.0 * sum(n - r) OVER (PARTITION BY {0})), 6) AS w0"
+_SATURATED = f"""canon_ AS (SELECT customer_location AS c, target AS y, {_PART} AS part, ({_HASH} % 5)::INT AS own FROM canon),
+train AS (SELECT * FROM canon_ WHERE part = 'train'),
+k AS (SELECT unnest(range(5))::INT AS fold),
+by_fold AS (SELECT fold, c, COUNT(*) AS n, SUM(y) AS r FROM train, k WHERE own <> fold GROUP BY ALL),
+fold_p AS (SELECT fold, c, {_SHARE} AS p FROM (SELECT *, {_WEIGHTS.format("fold")} FROM by_fold)),
+fold_cells AS (SELECT t.own AS fold, COUNT(*) AS n, COUNT(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp, COUNT(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp,
+  COUNT(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn, COUNT(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn
+  FROM train t JOIN fold_p q ON q.fold = t.own AND q.c = t.c GROUP BY ALL)"""
+ORACLE["saturated_cross_validation"] = with_order_lines(f"""
+WITH {_CANON_CTE}, {_SATURATED}
+SELECT way, fold, round(round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6), 6) AS f1
+FROM fold_cells, (SELECT unnest(['single', 'together']) AS way)""")
+
+ORACLE["saturated_report"] = with_order_lines(f"""
+WITH {_CANON_CTE}, {_SATURATED},
+cv AS (SELECT avg(a) AS m, stddev_pop(a) AS s FROM (SELECT round((tp + tn) / n::DOUBLE, 6) AS a FROM fold_cells)),
+whole AS (SELECT c, {_SHARE} AS p FROM (SELECT *, {_WEIGHTS.format("1")} FROM (SELECT c, COUNT(*) AS n, SUM(y) AS r FROM train GROUP BY c))),
+s AS (SELECT part AS split, y, p, (p >= 0.5)::INT AS d FROM canon_ JOIN whole USING (c)),
+ranks AS (SELECT split, y, (rank() OVER (PARTITION BY split ORDER BY p) + rank() OVER (PARTITION BY split ORDER BY p) + COUNT(*) OVER (PARTITION BY split, p) - 1) / 2.0 AS rk FROM s),
+auc AS (SELECT split, (SUM(rk) FILTER (WHERE y = 1) - SUM(y) * (SUM(y) + 1) / 2.0) / (SUM(y)::DOUBLE * SUM(1 - y)) AS auc FROM ranks GROUP BY split),
+m AS (SELECT split, COUNT(*) FILTER (WHERE y = 0 AND d = 0) AS tn, COUNT(*) FILTER (WHERE y = 0 AND d = 1) AS fp,
+  COUNT(*) FILTER (WHERE y = 1 AND d = 0) AS fn, COUNT(*) FILTER (WHERE y = 1 AND d = 1) AS tp,
+  round(avg(p), 4) AS probability_mean, round(stddev_pop(p), 4) AS probability_std, round(min(p), 4) AS probability_min, round(max(p), 4) AS probability_max
+  FROM s GROUP BY split)
+SELECT 'lr' AS kind, split, tn, fp, fn, tp, round((tp + tn) / (tn + fp + fn + tp)::DOUBLE, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision,
+  round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(auc, 6) AS auc,
+  probability_mean, probability_std, probability_min, probability_max,
+  CASE WHEN split = 'train' THEN (SELECT round(m, 4) FROM cv) END AS cv_accuracy, CASE WHEN split = 'train' THEN (SELECT round(2 * s, 4) FROM cv) END AS cv_spread
+FROM m JOIN auc USING (split)""")
+
+# The best cut of three columns by the fall in impurity, with gaps at the median.
+_SPLIT_COLUMNS = ["discount", "delivery_time", "product_rating"]
+ORACLE["single_split_trees"] = with_order_lines(f"""
+WITH {_CANON_CTE},
+meds AS (SELECT {", ".join(f"median({c}) AS m_{c}" for c in _SPLIT_COLUMNS)} FROM canon WHERE {_PART} = 'train'),
+filled AS (SELECT target AS y, {_PART} AS part, {", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _SPLIT_COLUMNS)} FROM canon, meds),
+long AS (SELECT part, y, unnest([{", ".join(f"{{'c': '{c}', 'x': {c}}}" for c in _SPLIT_COLUMNS)}], recursive := true) FROM filled),
+cuts AS (SELECT DISTINCT c, x AS cut FROM long WHERE part = 'train'),
+sides AS (SELECT l.c, cut, COUNT(*) FILTER (WHERE x <= cut) AS n0, SUM(y) FILTER (WHERE x <= cut) AS r0,
+  COUNT(*) FILTER (WHERE x > cut) AS n1, SUM(y) FILTER (WHERE x > cut) AS r1 FROM long l JOIN cuts USING (c) WHERE part = 'train' GROUP BY l.c, cut),
+w AS (SELECT round(COUNT(*) / (2.0 * SUM(y)), 6) AS w1, round(COUNT(*) / (2.0 * SUM(1 - y)), 6) AS w0 FROM filled WHERE part = 'train'),
+kinds AS (SELECT 'rf' AS kind, w1, w0 FROM w UNION ALL SELECT 'gbt', 1.0, 1.0),
+weighed AS (SELECT kind, c, cut, n0, n1, r0 * w1 AS p0, (n0 - r0) * w0 AS q0, r1 * w1 AS p1, (n1 - r1) * w0 AS q1 FROM sides, kinds),
+best AS (SELECT * FROM weighed WHERE n0 > 0 AND n1 > 0
+  QUALIFY row_number() OVER (PARTITION BY kind ORDER BY p0 * q0 / (p0 + q0) + p1 * q1 / (p1 + q1), c, cut) = 1),
+leaves AS (SELECT kind, best.c AS feature, COUNT(*) AS rows, SUM(y)::BIGINT AS returns, any_value(CASE WHEN x > cut THEN p1 / (p1 + q1) ELSE p0 / (p0 + q0) END) AS share
+  FROM long l JOIN best USING (c) GROUP BY kind, best.c, x > cut)
+SELECT kind, feature, 1.0::DOUBLE AS importance, round(CASE kind WHEN 'rf' THEN share ELSE 1 / (1 + exp(-2 * (2 * share - 1))) END, 6) AS p, rows, returns FROM leaves""")
+
+# Columns as text, the type by what all cells match.
+_TEXTS = {"order_id": "order_id::VARCHAR", "item_price": "item_price::VARCHAR", "customer_age": "customer_age::VARCHAR", "return_status": "return_status",
+          "dear": "(item_price > 100)::VARCHAR", "mixed": "CASE WHEN line_no = 1 THEN '12' ELSE ' -1.5e1' END",
+          "long_number": "'1234567890123456789' || line_no", "flag_or_number": "CASE WHEN line_no = 1 THEN 'true' ELSE '1' END", "nothing": "NULL"}
+ORACLE["csv_inferred"] = with_order_lines("WITH c AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", {x} AS v FROM order_lines" for c, x in _TEXTS.items()) + """),
+t AS (SELECT "column", COUNT(v) AS cells, CASE WHEN COUNT(v) = 0 THEN 'double' WHEN bool_and(v IN ('true', 'false')) THEN 'boolean'
+    WHEN bool_and(v IS NULL OR regexp_full_match(v, '\\s*[+-]?[0-9]+\\s*') AND TRY_CAST(trim(v) AS BIGINT) IS NOT NULL) THEN 'bigint'
+    WHEN bool_and(v IS NULL OR TRY_CAST(trim(v) AS DOUBLE) IS NOT NULL) THEN 'double' ELSE 'string' END AS type FROM c GROUP BY 1)
+SELECT t.*, (SELECT max(CASE type WHEN 'boolean' THEN (v = 'true')::INT::DOUBLE ELSE TRY_CAST(trim(v) AS DOUBLE) END)
+             FROM c WHERE c."column" = t."column" AND type <> 'string') AS largest FROM t""")
+
 _SCORES = {"price": "coalesce(product_price, 0) / 1000", "rating": "coalesce(product_rating, 3) / 5",
            "low_rating": "1 - coalesce(product_rating, 3) / 5", "rating_again": "coalesce(product_rating, 3) / 5"}
 ORACLE["selection_ties"] = with_order_lines(f"""

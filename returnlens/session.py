@@ -59,21 +59,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-#: Folders that ``materialize`` has written and ``release`` has not deleted yet.
+#: Folders handed out by ``scratch_path`` that ``release`` has not deleted yet.
 _STORED: list[str] = []
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A fresh folder below the shared checkpoint folder, which ``release``
+    deletes too."""
+    import uuid
+    path = os.path.join(ensure_checkpoint_dir(spark), kind, uuid.uuid4().hex)
+    _STORED.append(path)
+    return path
+
+
 def materialize(df, kind: str = "tables"):
     """Write ``df`` as a Parquet table in the shared checkpoint folder and
     return a frame that reads it back.  The plan runs once; the table
     survives executor loss and cuts the lineage, so later jobs read it
     (with column pruning and pushed filters) instead of recomputing the
     plan that produced it.  ``release`` deletes such tables."""
-    import uuid
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), kind, uuid.uuid4().hex)
+    path = scratch_path(spark, kind)
     df.write.mode("overwrite").parquet(path)
-    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

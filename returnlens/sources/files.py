@@ -10,22 +10,60 @@ Parquet is the default sink.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import nan_to_null, qcol
+from ..functions.coerce import nan_to_null, qcol, text_to_double
 
 # FIXED VALUES: text that counts as a missing cell (the common CSV NA set).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+# FIXED VALUES: text that counts as a truth value.
+TRUTHS = {"True": True, "TRUE": True, "true": True, "False": False, "FALSE": False, "false": False}
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+
+
+def _fits(c: Column) -> dict[str, Column]:
+    """Whether a cell's text is of each type, from the least type up."""
+    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return {"boolean": c.isin(*TRUTHS), "bigint": c.rlike(_WHOLE) & trimmed.try_cast("bigint").isNotNull(), "double": text_to_double(c).isNotNull()}
+
+
+def infer_types(text: DataFrame) -> dict[str, str]:
+    """IO1: for each text column the least of boolean, bigint, double and string
+    that fits all its cells but NULL; a column without cells is double.
+
+    The counts of fitting cells add up, so this is one aggregate of the table,
+    whatever its parts; whole numbers beyond 64 bits are double."""
+    aggs = []
+    for i, name in enumerate(text.columns):
+        aggs += [F.count(qcol(name)).alias(f"n{i}"), *[F.count_if(fit).alias(f"{kind}{i}") for kind, fit in _fits(qcol(name)).items()]]
+    if not aggs:
+        return {}
+    row = text.agg(*aggs).first()
+    return {name: "double" if not row[f"n{i}"] else next((k for k in ("boolean", "bigint", "double") if row[f"{k}{i}"] == row[f"n{i}"]), "string")
+            for i, name in enumerate(text.columns)}
+
+
+def with_types(text: DataFrame, types: dict[str, str]) -> DataFrame:
+    """The text columns of ``types`` as these types; every cell has to fit."""
+    def as_type(name: str) -> Column:
+        c = qcol(name)
+        trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
+        return {"boolean": F.lower(c) == "true", "bigint": trimmed.cast("bigint"), "double": text_to_double(c)}.get(types.get(name), c)
+
+    return text.select(*[as_type(name).alias(name) for name in text.columns])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             multi_line: bool = False, bad_cells: str = "raise") -> DataFrame:
+             multi_line: bool = False, bad_cells: str = "raise", infer: bool = False) -> DataFrame:
     """IO1: CSV with header; NA tokens and NaN → NULL.
 
-    Every field is read as text; with a ``schema`` it is then cast.  A record
+    Every field is read as text; with a ``schema`` it is then cast, and without
+    one ``infer`` asks for the least types that fit (``infer_types``).  A record
     with the wrong number of fields raises.  A cell that does not fit its type
     raises (``bad_cells='raise'``) or becomes NULL and is counted in an extra
     INT column ``bad_cells`` (``bad_cells='count'``).  ``multi_line`` allows
@@ -34,7 +72,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     reader = (spark.read.option("header", True).option("mode", "FAILFAST").option("quote", '"').option("escape", '"')
               .option("multiLine", multi_line))
     if schema is None:
-        return normalise_missing(reader.csv(path))
+        text = normalise_missing(reader.csv(path))
+        return with_types(text, infer_types(text)) if infer else text
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     text = normalise_missing(reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path))

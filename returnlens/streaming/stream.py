@@ -23,7 +23,7 @@ from ..functions import rules as R
 from ..functions.coerce import column_to_double
 from ..plans.scoring import decorate
 from ..plans.views import ORDER_LINES_COLUMNS, order_lines_with_dates
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, materialize, scratch_path
 
 
 def lines_stream(spark: SparkSession, folder: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -105,7 +105,7 @@ def arriving_window_rates(spark: SparkSession, sf_dir: str, slices: int = 4, wat
     lines = materialize(order_lines_with_dates(spark, sf_dir))
     medians = stream_medians(lines)
     lo, hi = lines.agg(F.min("order_date"), F.max("order_date")).first()
-    home = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    home = scratch_path(spark, "streams")
     landing, out = os.path.join(home, "landing"), os.path.join(home, "rates")
     if lo is None:
         return spark.createDataFrame([], "window_start_day bigint, lines bigint, predicted_returns bigint, actual_returns bigint")

@@ -72,3 +72,15 @@ def test_csv_records_of_wrong_length_raise(spark, tmp_path):
     (tmp_path / "short.csv").write_text("id,note,x\n1,a,1.0\n2,b\n")
     with pytest.raises(Exception, match="MALFORMED"):
         FS.read_csv(spark, str(tmp_path / "short.csv"), CSV_SCHEMA).collect()
+
+
+def test_inferred_types_are_the_least_that_fit(spark):
+    cells = {"b": ["true", "FALSE", None], "i": ["1", " -2 ", None], "d": ["1", "2.5", "inf"], "s": ["1", "x", None], "mix": ["true", "1", None],
+             "none": [None, None, None], "long": ["9223372036854775807", "9223372036854775808", "0"], "d2": ["1d", "2", "3"]}
+    text = spark.createDataFrame(list(zip(*cells.values())), ", ".join(f"{c} string" for c in cells))
+    types = FS.infer_types(text)
+    assert types == {"b": "boolean", "i": "bigint", "d": "double", "s": "string", "mix": "string", "none": "double", "long": "double", "d2": "string"}
+    out = FS.with_types(text, types)
+    assert [t for _, t in out.dtypes] == list(types.values())
+    assert [tuple(r)[:3] for r in out.collect()] == [(True, 1, 1.0), (False, -2, 2.5), (None, None, float("inf"))]
+    assert FS.infer_types(text.limit(0)) == dict.fromkeys(cells, "double")
