@@ -11,8 +11,10 @@ out the survivors are compacted.  Dimensions are taken by descending mass, so
 bounds close early.  Each task sends the best k of its shard for each query,
 and the best k of these are kept.
 
-Shards and blocks have a fixed size, so a task's memory does not grow with the
-tables; their number does.  The only broadcast is one short row for each length
+Shards and blocks have a largest size, so a task's memory does not grow with the
+tables; their number does.  A candidate is sent once for each block of queries, a
+query once for each shard: n * q / 16,384 rows at least, or 3 times the table at a
+million vectors of which one in 50 asks.  The only broadcast is one short row for each length
 of vectors (n lengths take a table of at least n * n / 2 components).
 
 Scores are exact 64-bit integers.  Vectors with a norm of ``LARGE`` or more, whose
@@ -35,8 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard of candidates and of a block of queries; queries that are scored together.
-SHARD, BLOCK, TOGETHER = 1_024, 2_048, 64
+#: Most rows of a shard of candidates and of a block of queries, so that a task
+#: holds 32 MB of 64 dimensions; queries that are scored together.
+SHARD, BLOCK, TOGETHER = 32_768, 32_768, 64
+#: Fewest rows of a shard that is cut off to give every partition of a shuffle work.
+LEAST_SHARD = 8_192
 #: Dimensions added between two rounds of bounds.
 STEP = 16
 #: Two norms below this have a product, and so every partial score, below 2^62.
@@ -66,12 +71,12 @@ class Shard:
         #: Norm of the dimensions from each cut on, for each candidate.
         tail = np.cumsum((self.columns.astype(float) ** 2)[::-1], axis=0)[::-1]
         self.rest = [np.sqrt(tail[c]) if c < n_dims else np.zeros(len(ids)) for c in self.cuts]
-        # Sums below 2^53 are exact in floating point, where products are fast.
+        # Sums below 2^53 are exact in floating point, where products are fast; a score and a bound are half of that each.
         self.largest = float(np.abs(vectors).max(initial=0))
 
     def best(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Query's row, ids and scores of its best k here."""
-        exact = self.largest * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 2**53
+        exact = self.largest * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 2**52
         kind = np.float64 if exact else np.int64
         columns, q = self.columns.astype(kind, copy=False), queries[:, self.order].astype(kind)
         for lo in range(0, len(q), TOGETHER):
@@ -82,8 +87,9 @@ class Shard:
             for at, to in zip(self.cuts, self.cuts[1:]):
                 part += some[:, at:to] @ held[at:to]
                 if to < queries.shape[1] and len(alive) > 4 * k:
-                    slack = np.sqrt(tail[:, to])[:, None] * self.rest[self.cuts.index(to)][alive][None, :] * (1 + 1e-9) + 1e-6
-                    low = np.where(mine[:, alive], -np.inf, part - slack)
+                    # Whole numbers, so that the bounds of large sums aren't rounded.
+                    slack = np.ceil(np.sqrt(tail[:, to])[:, None] * self.rest[self.cuts.index(to)][alive][None, :] * (1 + 1e-9) + 1).astype(kind)
+                    low = np.where(mine[:, alive], -np.inf if exact else np.iinfo(np.int64).min, part - slack)
                     bar = np.partition(low, len(alive) - k, axis=1)[:, len(alive) - k]
                     stay = (part + slack >= bar[:, None]).any(0)
                     if stay.mean() < 0.75:
@@ -132,7 +138,9 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256) -> Da
     rows = quantised(vectors, scale).distinct()
     counts = rows.groupBy("dims").agg(F.count("*").alias("n"), F.count_if(query).alias("q"))
     rows = rows.join(F.broadcast(counts), "dims")
-    shards, blocks = F.ceil(F.col("n") / SHARD), F.ceil(F.col("q") / BLOCK)
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = F.greatest(F.ceil(F.col("n") / SHARD), F.least(F.lit(partitions), F.ceil(F.col("n") / LEAST_SHARD)))
+    blocks = F.ceil(F.col("q") / BLOCK)
     mark = F.xxhash64("vec_id", "v")
 
     def to(side: Column, shard: Column, block: Column) -> Column:

@@ -39,6 +39,7 @@ def test_op9_equals_brute_force(spark):
 def test_many_shards_blocks_ties_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 40)
     monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(topk, "LEAST_SHARD", 40)
     rng = np.random.default_rng(0)
     rows = [(i, rng.integers(-2, 3, 5).tolist()) for i in range(300)] + [(1000 + i, [1, 0, 0, 0, 0]) for i in range(200)]
     df = spark.createDataFrame([(i, [x / 256 for x in v], "clash") for i, v in rows + rows[:60]], "vec_id bigint, embedding array<double>, score string")
@@ -66,6 +67,36 @@ def test_bounds_keep_the_best(size):
         assert got.tolist() == want and scores.tolist() == [s[i] for i in want]
 
 
+def heavy(rng, dims, n=400):
+    """Heavy common dimensions, small whole numbers elsewhere: scores of 2^53 and
+    more whose order is settled by the last few units.  Row 0 asks."""
+    v = np.full((n, dims), 2**27, np.int64)
+    v[:, :4] = rng.integers(0, 100, (n, 4))
+    v[:, 40:] = rng.integers(-3, 4, (n, dims - 40))
+    v[0, :4] = 1
+    return v
+
+
+def test_bounds_of_large_sums_are_not_rounded(spark):
+    rng = np.random.default_rng(9)
+    for dims in range(64, 124):
+        v = heavy(rng, dims)
+        s = v.astype(object) @ v[0].astype(object)
+        want = [i for i in sorted(range(len(v)), key=lambda i: (-s[i], i)) if i][:5]
+        (_, got, scores), = topk.Shard(np.arange(len(v)), v).best(np.array([0]), v[:1], 5)
+        assert got.tolist() == want and scores.tolist() == [s[i] for i in want]
+    rows = [(i + 1000 * dims, v.tolist()) for dims in (70, 99) for i, v in enumerate(heavy(rng, dims))]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id bigint, embedding array<double>")
+    assert run(df) == slow(rows)
+
+
+def test_few_copies_are_sent_at_a_million_vectors():
+    """Rows of the shuffle over rows of the table, by the sizes alone."""
+    n, q, partitions = 10**6, 20_000, 200
+    shards = max(-(-n // topk.SHARD), min(partitions, -(-n // topk.LEAST_SHARD)))
+    assert (n * -(-q // topk.BLOCK) + q * shards) / n < 4
+
+
 def test_large_values_are_exact(spark):
     rows = [(i, [float((i * 7919) % 1000 * 2**20), float(i)]) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
