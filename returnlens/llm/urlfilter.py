@@ -3,9 +3,9 @@
 1. Host and path are cut from the URL; the longest rule whose host is the URL's
    host or a parent of it, and whose path starts the URL's path, decides.
 2. Other URLs: host labels and path pieces are segmented into words by Viterbi
-   under a unigram model (words of page titles and paths, and the pieces of
-   hyphenated hosts and last labels, counted over all pages; an unknown word's chance falls
-   tenfold a letter).
+   under a unigram model (words of page titles, paths and hyphenated hosts over all
+   pages; the labels of distinct hosts, cut and counted again in a few rounds; an
+   unknown word's chance falls tenfold a letter).  Percent escapes are decoded.
 3. Multinomial naive Bayes scores the words of host and path.  Its classes are
    taught by seed words: a URL whose host has one is blocked, all others allowed;
    the word counts of both classes run over all pages, and every word is scored
@@ -29,12 +29,15 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Words of hosts that teach what to block: gambling, drugs, adult, advertising, scams.
 SEEDS = ["adult", "ads", "adserver", "bet", "bets", "betting", "casino", "porn", "sex", "xxx", "poker", "pills", "pharma",
          "viagra", "spam", "loans", "lottery", "jackpot", "warez", "malware", "phishing", "scam"]
@@ -68,6 +71,12 @@ def by_rule(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _first(top: DataFrame) -> list[Row]:
+    """The rows of an ordered limit.  Stored first: collected as it is, each
+    partition would send as many rows to the driver as all are to have."""
+    return stored(top, "url-top").collect()
+
+
 class Unigrams:
     """Word segmentation under a unigram model."""
 
@@ -101,7 +110,7 @@ class Unigrams:
         return out
 
     def tokens(self, host: str, path: str) -> list[str]:
-        return [f"h:{w}" for w in self.words(host)] + [f"p:{w}" for w in self.words(path.lower())]
+        return [f"h:{w}" for w in self.words(host)] + [f"p:{w}" for w in self.words(unquote(path).lower())]
 
 
 def with_seeds(counts: dict[str, int], seeds: list[str]) -> dict[str, int]:
@@ -110,16 +119,41 @@ def with_seeds(counts: dict[str, int], seeds: list[str]) -> dict[str, int]:
     return counts | {s: max(counts.get(s, 0), least) for s in seeds}
 
 
-def unigrams(pages: DataFrame, seeds: list[str], max_words: int) -> Unigrams:
-    """Model from the titles and URLs of ``pages`` (url, html).  Of hosts only
-    what hyphens have cut and the last label count: others may be several words."""
-    pieces = F.array_join(F.regexp_extract_all("host", F.lit("(?<=-)[a-z]+|[a-z]+(?=-)|[a-z]+$"), F.lit(0)), " ")
+def unigrams(pages: DataFrame, seeds: list[str], max_words: int, rounds: int = 2) -> Unigrams:
+    """Model from the titles and URLs of ``pages`` (url, html).  Titles, paths and
+    what hyphens have cut in hosts are words.  A run of letters in a host may be
+    several: first it counts as one word for each further host that has it; then
+    ``rounds`` times all distinct runs are cut by the model so far, and their
+    words, counted once a host, make the next one."""
+    parts = parsed(pages)
+    hyphened = F.array_join(F.regexp_extract_all("host", F.lit("(?<=-)[a-z]+|[a-z]+(?=-)|[a-z]+$"), F.lit(0)), " ")
     title = F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)", 1)
-    text = F.concat_ws(" ", pieces, "path", F.coalesce(title, F.lit("")))
+    text = F.concat_ws(" ", hyphened, "path", F.coalesce(title, F.lit("")))
     words = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
-    top = (parsed(pages).select(words.alias("w")).where(F.length("w") <= LONGEST).groupBy("w").count()
-           .orderBy(F.desc("count"), "w").limit(max_words).collect())
-    return Unigrams(with_seeds({r.w: r["count"] for r in top}, seeds))
+    base = stored(parts.select(words.alias("w")).where(F.length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n")), "url-counts")
+    runs = F.explode(F.regexp_extract_all("host", F.lit("(?<![a-z-])[a-z]+(?![a-z-])"), F.lit(0)))
+    labels = stored(parts.select("host").distinct().select(runs.alias("w")).where(F.length("w") <= 256).groupBy("w").agg(F.count("*").alias("n")), "url-labels")
+
+    def model(of_labels: DataFrame) -> Unigrams:
+        every = base.unionAll(of_labels.where(F.length("w") <= LONGEST)).groupBy("w").agg(F.sum("n").alias("n")).where("n > 0")
+        return Unigrams(with_seeds({r.w: r.n for r in _first(every.orderBy(F.desc("n"), "w").limit(max_words))}, seeds))
+
+    found = model(labels.select("w", (F.col("n") - 1).alias("n")))
+    for _ in range(rounds):
+        found = model(cut_labels(labels, found))
+    return found
+
+
+def cut_labels(labels: DataFrame, model: Unigrams) -> DataFrame:
+    """(w, n): the words of ``labels`` (w, n) under ``model``."""
+    shipped = _Shipped(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(w, n) for label, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in shipped.unigrams().cut(label)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["w", "n"])
+
+    return labels.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 class Bayes:
@@ -167,11 +201,14 @@ class _Shipped:
     def __getstate__(self):
         return {"log": self.log, "total": self.total, "_model": None}
 
-    def tokens(self, host: str, path: str) -> list[str]:
+    def unigrams(self) -> Unigrams:
         if self._model is None:
             self._model = Unigrams({})
             self._model.log, self._model.total = self.log, self.total
-        return self._model.tokens(host, path)
+        return self._model
+
+    def tokens(self, host: str, path: str) -> list[str]:
+        return self.unigrams().tokens(host, path)
 
 
 def taught(tokens: DataFrame, seeds: list[str]) -> DataFrame:
@@ -195,7 +232,7 @@ def fit_bayes(tokens: DataFrame, seeds: list[str], max_words: int, counts: DataF
     counts = word_counts(tokens, seeds) if counts is None else counts
     docs = taught(tokens, seeds).agg(F.count_if(F.col("bad") == 0), F.count_if(F.col("bad") == 1)).first()
     sums = counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
-    top = most_frequent(counts, max_words).collect()
+    top = _first(most_frequent(counts, max_words))
     return Bayes({r.w: (r.a, r.b) for r in top}, (sums[0], sums[1]), sums[2], (docs[0], docs[1]))
 
 
@@ -211,8 +248,6 @@ def rare_counts(rows: DataFrame, counts: DataFrame, max_words: int) -> DataFrame
 def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: list[str] = SEEDS, max_words: int = 50_000) -> DataFrame:
     """(page_id, host, path, rule, verdict, words, score) of each page
     (page_id, url, html).  ``score``: log odds of block over allow."""
-    from .common import stored
-
     words = unigrams(pages, seeds, max_words)
     rows = stored(with_tokens(parsed(pages.select("page_id", "url")), words).withColumn("row", F.monotonically_increasing_id()), "url-tokens")
     counts = stored(word_counts(rows, seeds), "url-words")

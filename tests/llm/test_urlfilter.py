@@ -112,3 +112,47 @@ def test_query_blocks_spam_hosts_and_keeps_others(spark):
 
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], "page_id bigint, url string, html string"), RULES).count() == 0
+
+
+def pages_of(spark, urls):
+    return spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+
+
+def test_a_label_of_many_hosts_is_one_word(spark):
+    rng = random.Random(3)
+    syllables = ["th", "ra", "mo", "lin", "ex", "amp", "le", "net"]
+    hosts = ["".join(rng.choices(syllables, k=3)) for _ in range(300)]
+    model = U.unigrams(pages_of(spark, [f"http://m.{h}.example.net/{'/'.join(rng.choices(syllables, k=4))}" for h in hosts]), U.SEEDS, 50_000)
+    assert model.cut("example") == ("example",)
+    assert model.cut("casinolinra")[0] == "casino"
+
+
+def test_bayes_finds_hosts_whose_seed_is_hidden(spark):
+    """Hosts to block share words with those that hold a seed; half hold none."""
+    rng = random.Random(4)
+    bad, good = ["bonus", "spins", "wager", "roulette", "payout", "lucky"], ["garden", "recipe", "museum", "library", "school", "weather"]
+    urls, hidden, clean = [], [], []
+    for i in range(1200):
+        words = bad if i % 4 == 0 else good
+        seen = i % 8 == 0
+        host = "".join(rng.sample(words, 2)) + (rng.choice(U.SEEDS) if seen else "")
+        urls.append(f"http://{host}.org/{rng.choice(words)}/{rng.choice(words)}%20{rng.choice(words)}")
+        if words is good:
+            clean.append(i)
+        elif not seen:
+            hidden.append(i)
+    # every word also stands alone somewhere, so that names can be cut
+    urls += [f"http://{w}-{v}.org/" for w in good for v in good if w != v] + [f"http://{w}-poker.org/{w}" for w in bad] * 3
+    verdict = {r.page_id: r.verdict for r in U.judge(pages_of(spark, urls), []).collect()}
+    assert sum(verdict[i] == "block" for i in hidden) >= 0.9 * len(hidden)
+    assert sum(verdict[i] == "allow" for i in clean) >= 0.95 * len(clean)
+
+
+def test_models_are_read_from_stored_rows(spark):
+    """What reaches the driver does not depend on the number of partitions."""
+    words = spark.range(2000).selectExpr("concat('w', id) AS w", "id % 7 AS n")
+    for parts in (2, 40):
+        top = words.repartition(parts).orderBy("n", "w").limit(500)
+        rows = U._first(top)
+        assert len(rows) == 500
+        assert U.stored(top, "url-top").rdd.getNumPartitions() <= 4
