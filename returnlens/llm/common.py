@@ -45,6 +45,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", ["doc_id", "text"])
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them as no column of
+    ``columns`` needs to differ from all (in any case)."""
+    taken, mark = {c.lower() for c in columns}, "__"
+    while any(mark + n.lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def rows_of(batch: pa.RecordBatch, column: int, chars: int = 1 << 20):
     """Start and texts of consecutive pieces of a batch's string column, each
     of about ``chars`` characters (at least one row); a null text is empty."""

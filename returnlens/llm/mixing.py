@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import stored, unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK = 1000
@@ -178,11 +178,12 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float =
 
 def mixed(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float = 3.0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    plan = mix(docs, weights, share, cap).groupBy(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("hash").alias("__hash")) \
-        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__hash": F.xxhash64("text", "source")})
+    id_, hash_, n, rows, at, times, copy = unused(docs.columns, "id", "hash", "copies", "rows", "place", "times", "copy")
+    plan = mix(docs, weights, share, cap).groupBy(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("hash").alias(hash_)) \
+        .agg(F.sum("copies").alias(n), F.count("*").alias(rows))
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), hash_: F.xxhash64("text", "source")})
     # Rows that share id, text and source share their copies: the first ones get what doesn't divide.
-    place = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))
-    times = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__place") <= F.col("__copies") % F.col("__rows")).cast("int")
-    return (keyed.join(plan, ["__id", "__hash"]).withColumn("__place", place).withColumn("__times", times.cast("int"))
-            .where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns))
+    place = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(F.lit(1)))
+    often = F.floor(F.col(n) / F.col(rows)) + (F.col(at) <= F.col(n) % F.col(rows)).cast("int")
+    return (keyed.join(plan, [id_, hash_]).withColumn(at, place).withColumn(times, often.cast("int"))
+            .where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns))

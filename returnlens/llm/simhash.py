@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 SEED = 42
 #: Fingerprints that a shard should hold on average, queries included.
@@ -262,13 +262,12 @@ def deduplicated(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFr
     """The rows of ``docs`` without near-duplicates: of each component one row
     stays, that of its smallest doc_id (null last; of rows that share the id,
     the one with the smallest text hash).  Columns as in ``docs``."""
-    columns = docs.columns
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)),
-                              "__hash": F.xxhash64("text", F.isnull("doc_id"))})
-    marked = stored(with_fingerprint(keyed.selectExpr("CAST(doc_id AS BIGINT) doc_id", "__id", "__hash", "text"), shingle,
-                                     ["doc_id", "__id", "__hash"]), "marked")
+    id_, hash_ = unused([*docs.columns, "doc_id", "fp", "root", "first"], "id", "hash")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), hash_: F.xxhash64("text", F.isnull("doc_id"))})
+    marked = stored(with_fingerprint(keyed.selectExpr("CAST(doc_id AS BIGINT) doc_id", f"`{id_}`", f"`{hash_}`", "text"), shingle,
+                                     ["doc_id", id_, hash_]), "marked")
     classes = near_duplicates(marked.select("doc_id", "fp"), max_bits).select("fp", "root")
-    first = F.min(F.struct(F.isnull("doc_id"), "__id", "__hash")).alias("first")
-    keep = marked.join(classes, "fp").groupBy("root").agg(first).select("first.__id", "first.__hash")
+    first = F.min(F.struct(F.isnull("doc_id"), id_, hash_)).alias("first")
+    keep = marked.join(classes, "fp").groupBy("root").agg(first).select(f"first.{id_}", f"first.{hash_}")
     # The join has put rows with one id and text together; repeated ones go.
-    return keyed.join(keep, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*columns)
+    return keyed.join(keep, [id_, hash_], "left_semi").dropDuplicates([id_, hash_]).select(*docs.columns)

@@ -78,3 +78,11 @@ def test_edge_cases(spark):
     assert mixed.where("size(filter(split(text, ' '), w -> w <> '')) > 0").count() == sum(r.copies for r in out if r["size"])
     assert M.mix(docs_of(spark, []), [1]).count() == 0 and M.mixed(docs_of(spark, []), [1]).count() == 0
     assert M.mix(docs_of(spark, ["", None]), [1]).agg({"copies": "sum"}).first()[0] == 2
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["__id", "__hash", "__copies", "__rows", "__place", "__times", "__copy", "___copy", "copies", "key", "rate"]
+    df = docs_of(spark, ["a b c", "d e", "a b c d"]).selectExpr("*", *[f"doc_id + {i} AS {n}" for i, n in enumerate(names)])
+    out = M.mixed(df, [1])
+    assert out.columns == df.columns
+    assert all(r[n] == r.doc_id + i for r in out.collect() for i, n in enumerate(names)) and out.count() > 0

@@ -109,3 +109,11 @@ def test_deduplicated_keeps_one_of_each_component(spark):
     nulls = df.selectExpr("CAST(NULL AS BIGINT) doc_id", "text", "source", "ids")
     assert S.deduplicated(nulls).count() == len(set(comp))
     assert S.deduplicated(docs_of(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["__id", "__hash", "___id", "fp", "root", "first", "component_id"]
+    df = docs_of(spark, ["a b c d", "e f g h", "a b c d"]).selectExpr("*", *[f"doc_id + {i} AS {n}" for i, n in enumerate(names)])
+    out = S.deduplicated(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 1]
+    assert all(r[n] == r.doc_id + i for r in out.collect() for i, n in enumerate(names))
