@@ -21,6 +21,7 @@ from ..functions.coerce import column_to_double
 from ..operators import analytics as AN
 from ..operators import evaluate as EV
 from ..operators import history as HI
+from ..operators import merging as ME
 from ..operators import models as ML
 from ..operators import profile as PF
 from ..operators import projections as PR
@@ -29,7 +30,7 @@ from ..operators import split as SP
 from ..operators import transforms as TR
 from ..sources.tables import table
 from . import scoring as S
-from .views import order_lines
+from .views import order_lines, order_lines_with_dates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -326,6 +327,36 @@ def q_parquet_round_trip(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum("Prediction").cast("bigint").alias("predicted_returns"))
 
 
+@query("observed_write")
+def q_observed_write(spark, sf_dir):
+    """IO2 + AG2 + AG6 + AG7: scored lines written as Parquet once; summary,
+    distribution and missing cells are collected by the job that writes them."""
+    from ..session import scratch_path
+    scored = S.score_plain(order_lines(spark, sf_dir))
+    inputs = [c for c in scored.columns if c not in K.RESULT_COLUMNS]
+    return ME.write_observed(scored, scratch_path(spark, "scored"), ME.score_metrics(F.col("Return_Probability"), F.col("Prediction"), inputs))
+
+
+PROFILE_BOUNDS = {"item_price": (0.0, 200.0), "order_quantity": (0.0, 50.0), "customer_age": (18.0, 98.0), "product_rating": (1.0, 5.0)}
+
+
+@query("stored_profile")
+def q_stored_profile(spark, sf_dir):
+    """AG2 + AG17 + AG20: profiles of each day's lines, stored, and merged over a
+    range of days without the lines; whether the merged estimate of distinct values
+    is within 5 % of their number."""
+    from ..session import materialize
+    lines = order_lines_with_dates(spark, sf_dir)
+    parts = materialize(ME.profile_parts(lines, F.col("order_date"), PROFILE_BOUNDS, ["payment_method", "order_id"]))
+    merged = ME.merged_profile(parts.where("part >= DATE '1994-03-05' AND part < DATE '1996-07-01'"))
+    some = lines.where("order_date >= DATE '1994-03-05' AND order_date < DATE '1996-07-01'")
+    exact = some.agg(*[F.count_distinct(c).alias(c) for c in [*PROFILE_BOUNDS, "payment_method", "order_id"]])
+    number = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("number")) for c in exact.columns])))
+    return merged.join(number, "column").select(
+        "column", "rows", "missing", "least", "most", F.array_join(F.col("bins").cast("array<string>"), ",").alias("bins"),
+        (F.abs(F.col("distinct") - F.col("number")) <= 0.05 * F.col("number")).cast("int").alias("near"), "number")
+
+
 @query("csv_inferred")
 def q_csv_inferred(spark, sf_dir):
     """IO2 then IO1 without a schema: type, cells and largest value of each column."""

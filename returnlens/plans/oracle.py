@@ -739,6 +739,27 @@ t AS (SELECT "column", COUNT(v) AS cells, CASE WHEN COUNT(v) = 0 THEN 'double' W
 SELECT t.*, (SELECT max(CASE type WHEN 'boolean' THEN (v = 'true')::INT::DOUBLE ELSE TRY_CAST(trim(v) AS DOUBLE) END)
              FROM c WHERE c."column" = t."column" AND type <> 'string') AS largest FROM t""")
 
+_BOUNDS = {"item_price": (0, 200), "order_quantity": (0, 50), "customer_age": (18, 98), "product_rating": (1, 5)}
+_BIN = "least(greatest(floor((x - lo) / (hi - lo) * 10), 0), 9)"
+ORACLE["stored_profile"] = with_order_lines("WITH c AS (" + "\nUNION ALL\n".join(
+    [f"SELECT order_date, '{c}' AS \"column\", {c}::VARCHAR AS v, {c}::DOUBLE AS x, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi FROM order_lines" for c, (lo, hi) in _BOUNDS.items()]
+    + [f"SELECT order_date, '{c}', {c}::VARCHAR, NULL, NULL, NULL FROM order_lines" for c in ("payment_method", "order_id")]) + f""")
+SELECT "column", COUNT(*) AS rows, COUNT(*) - COUNT(v) AS missing, min(x) AS least, max(x) AS most,
+  concat_ws(',', {", ".join(f"COUNT(*) FILTER (WHERE x IS NOT NULL AND {_BIN} = {i})" for i in range(10))}) AS bins, 1 AS near, COUNT(DISTINCT v) AS number
+FROM c WHERE order_date >= DATE '1994-03-05' AND order_date < DATE '1996-07-01' GROUP BY 1""")
+
+_LINE_COLUMNS = ["order_id", "line_no", "customer_id", "product_category", "item_price", "order_quantity", "customer_age", "customer_location",
+                 "payment_method", "shipping_method", "discount", "delivery_days", "product_rating", "return_status"]
+ORACLE["observed_write"] = with_order_lines(f"""
+WITH {_scored(_PLAIN_P, _BANDS6)}
+SELECT COUNT(*) AS total_records, CAST(SUM(pred) AS BIGINT) AS predicted_returns, CAST(COUNT(*) - SUM(pred) AS BIGINT) AS predicted_non_returns,
+  round(avg(pred::DOUBLE), 6) AS return_rate, round(avg(p), 6) AS probability_mean, round(stddev_pop(p), 6) AS probability_std,
+  min(p) AS probability_min, max(p) AS probability_max, round(avg((p > 0.5)::INT::DOUBLE), 6) AS share_above, round(avg((p < 0.5)::INT::DOUBLE), 6) AS share_below,
+  COUNT(*) FILTER (WHERE p > 0.7) AS high_risk_count, COUNT(*) FILTER (WHERE p > 0.3 AND p <= 0.7) AS medium_risk_count,
+  COUNT(*) FILTER (WHERE p <= 0.3) AS low_risk_count,
+  (SELECT {len(_LINE_COLUMNS)} * COUNT(*) - {" - ".join(f"COUNT({c})" for c in _LINE_COLUMNS)} FROM order_lines) AS missing_cells
+FROM scored""")
+
 _SCORES = {"price": "coalesce(product_price, 0) / 1000", "rating": "coalesce(product_rating, 3) / 5",
            "low_rating": "1 - coalesce(product_rating, 3) / 5", "rating_again": "coalesce(product_rating, 3) / 5"}
 ORACLE["selection_ties"] = with_order_lines(f"""
