@@ -54,8 +54,6 @@ FACTORS |= np.uint64(1)
 NO_ID = 2**63 - 1
 #: Shingles hashed by all functions at once.
 BLOCK = 2_048
-
-
 #: Members of a bucket or of a pivot that meet in one group.
 GROUP = 256
 #: Members of a group that the others are likened to when its medoid is chosen.
@@ -316,3 +314,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, group:
     return sketch.select("doc_id", "n_shingles", "key").join(classes, "key", "left").withColumn(
         "component_id", F.when(F.isnull("key"), F.col("doc_id")).otherwise(F.col("component_id"))).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM words),
+nodes AS (SELECT row_number() OVER () AS node, s, len(s) AS n, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT node, n, unnest(s) AS x FROM nodes),
+links AS (SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.x = b.x AND a.node <> b.node AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+classes AS (SELECT node, s, least(least, coalesce((SELECT min(m.least) FROM reach JOIN nodes m ON m.node = reach.b WHERE reach.a = nodes.node), least)) AS component_id FROM nodes)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s
+"""

@@ -109,4 +109,5 @@ ORACLE: dict[str, str] = {
     "op8_chat": chat.CHATS_SQL,
     "op9_top_k": topk.TOP_K_SQL,
     "op11_collocations": collocations.COLLOCATIONS_SQL,
+    "op12_minhash": minhash.NEAR_DUPLICATES_SQL,
 }
