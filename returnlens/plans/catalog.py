@@ -906,6 +906,22 @@ def q_grid_search(spark, sf_dir):
     return SE.grid_search(SP.assign_folds(data, ["order_id", "line_no"], 5), _NUM, _CAT, "target", grids, parallelism=8)
 
 
+@query("reloaded_model")
+def q_reloaded_model(spark, sf_dir):
+    """SC13 on X2: two models of the returns by location, fitted on the lines
+    before 1997 and before 1999; the stream scores the lines before 1997 with the
+    first and, once the second is published, the others with that."""
+    from ..session import materialize
+    from ..streaming import serving as SV
+    lines = materialize(order_lines_with_dates(spark, sf_dir).select(
+        "customer_location", (F.col("return_status") == "Returned").cast("int").alias("target"), "order_date"))
+    models = [ML.fit(lines.where(F.col("order_date") < F.lit(day).cast("date")), [], ["customer_location"], "target", "lr") for day in ("1997-01-01", "1999-01-01")]
+    early = F.col("order_date") < F.lit("1997-01-01").cast("date")
+    out = SV.reloaded_scores(lines, [(lines.where(early), models[0]), (lines.where(~early), models[1])])
+    return out.groupBy("version", "customer_location").agg(
+        F.count("*").alias("rows"), F.sum("target").cast("bigint").alias("returns"), F.round(F.avg("p"), 4).alias("p"))
+
+
 @query("selection_ties")
 def q_selection_ties(spark, sf_dir):
     """ML6: the choice among score columns of a table by F1 at fixed

@@ -760,6 +760,12 @@ SELECT COUNT(*) AS total_records, CAST(SUM(pred) AS BIGINT) AS predicted_returns
   (SELECT {len(_LINE_COLUMNS)} * COUNT(*) - {" - ".join(f"COUNT({c})" for c in _LINE_COLUMNS)} FROM order_lines) AS missing_cells
 FROM scored""")
 
+ORACLE["reloaded_model"] = with_order_lines(f"""
+WITH l AS (SELECT customer_location, {_ACTUAL} AS target, order_date, CASE WHEN order_date < DATE '1997-01-01' THEN 1 ELSE 2 END AS version FROM order_lines),
+share AS (SELECT 1 AS version, customer_location, avg(target::DOUBLE) AS p FROM l WHERE order_date < DATE '1997-01-01' GROUP BY 2
+  UNION ALL SELECT 2, customer_location, avg(target::DOUBLE) FROM l WHERE order_date < DATE '1999-01-01' GROUP BY 2)
+SELECT version, customer_location, COUNT(*) AS rows, SUM(target)::BIGINT AS returns, round(any_value(p), 4) AS p FROM l JOIN share USING (version, customer_location) GROUP BY ALL""")
+
 _SCORES = {"price": "coalesce(product_price, 0) / 1000", "rating": "coalesce(product_rating, 3) / 5",
            "low_rating": "1 - coalesce(product_rating, 3) / 5", "rating_again": "coalesce(product_rating, 3) / 5"}
 ORACLE["selection_ties"] = with_order_lines(f"""
