@@ -11,18 +11,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.coerce import column_to_double, qcol
 
 
+def _in_own_session(df: DataFrame) -> DataFrame:
+    """``df`` in a session with the same settings and tables.  A session that has
+    observed something can't be sent to tasks any more, as the summaries of fitted
+    tree models are that hold it; so none of the caller's observes anything."""
+    spark = df.sparkSession
+    twin = spark._jsparkSession.cloneSession()
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(twin, df._jdf.queryExecution().analyzed())
+    return DataFrame(rows, SparkSession(spark.sparkContext, twin))
+
+
 def write_observed(df: DataFrame, path: str, metrics: dict[str, Column]) -> DataFrame:
     """IO2: ``df`` written as Parquet; one row with the aggregates ``metrics``
     of its rows, from the same job."""
     seen = Observation()
-    df.observe(seen, *[c.alias(name) for name, c in metrics.items()]).write.mode("overwrite").parquet(path)
+    _in_own_session(df).observe(seen, *[c.alias(name) for name, c in metrics.items()]).write.mode("overwrite").parquet(path)
     got = seen.get                                                       # one number for each metric
     # Their types are those of the aggregates, whatever the values.
     types = dict(df.limit(0).agg(*[c.alias(name) for name, c in metrics.items()]).dtypes)

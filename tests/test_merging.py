@@ -20,6 +20,14 @@ def test_observed_metrics_are_those_of_the_written_rows(spark):
     assert spark.read.parquet(path).count() == 1000
 
 
+def test_models_still_score_in_a_session_that_has_observed(spark):
+    from returnlens.operators import models as ML
+    df = spark.range(200).selectExpr("CAST(id % 13 AS DOUBLE) AS p", "CAST(id % 13 > 5 AS INT) AS d")
+    path = os.path.join(tempfile.mkdtemp(prefix="rl-observed-"), "out")
+    assert ME.write_observed(df, path, {"n": F.count("*")}).first().n == 200
+    assert ML.fit(df, ["p"], [], "d", "rf", numTrees=1, maxDepth=1).score(df).count() == 200
+
+
 def test_observed_write_of_an_empty_table(spark):
     df = spark.range(0).selectExpr("CAST(id AS DOUBLE) AS p", "CAST(id AS INT) AS d")
     path = os.path.join(tempfile.mkdtemp(prefix="rl-observed-"), "out")
