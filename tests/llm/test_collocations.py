@@ -106,3 +106,10 @@ def test_sieve_lets_all_members_pass(spark):
     sieve = C.Sieve(C.sieve_of(spark.createDataFrame([(int(f),) for f in fps], "fp bigint")))
     assert sieve.passes(fps.view(np.uint64)).all()
     assert sieve.passes(rng.integers(0, 2**64, 10_000, dtype=np.uint64)).mean() < 0.01
+
+
+def test_query_equals_brute_force(spark):
+    import __spark_entry__ as E
+    from ..conftest import SF_SMALL
+    rows = [(r.lang, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    assert got(E.queries()["op11_collocations"](spark, SF_SMALL)) == slow(rows)
