@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import decide as D
 from ..functions.coerce import column_to_double, qcol
+from ..session import materialize
 
 
 def _c(x) -> Column:
@@ -26,7 +27,7 @@ def _c(x) -> Column:
 
 def class_counts(df: DataFrame, label="actual") -> DataFrame:
     """AG13: rows per class and the class share (normalised frequency)."""
-    counts = df.groupBy(_c(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(df.groupBy(_c(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n").alias("__total"))     # one row
     return counts.join(total).select("label", "n", F.round(F.col("n") / F.col("__total"), 6).alias("share"))
 
@@ -61,13 +62,15 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def histograms(df: DataFrame, specs: Sequence[tuple[str, str, int]]) -> DataFrame:
     """AG17 for several columns at once: ``specs`` lists (variable, column,
-    bins).  One aggregate finds every column's bounds (two numbers each),
+    bins).  The columns are stored once, so the plan behind ``df`` runs once.
+    One aggregate finds every column's bounds (two numbers each),
     then one pass bins each row once per column (an array of structs,
     exploded) and counts per (variable, bin): (variable, bin, lower, upper,
     n) for non-empty bins.  Missing values have no bin; they are counted out
     in the aggregate rather than filtered per row, so no filter on the
     computed bin is pushed into the input's joins."""
-    xs = [column_to_double(df, col) for _, col, _ in specs]
+    df = materialize(df.select(*[column_to_double(df, col).alias(f"x{i}") for i, (_, col, _) in enumerate(specs)]))
+    xs = [F.col(f"x{i}") for i in range(len(specs))]
     r = df.agg(*[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
                *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).collect()[0]
     items, lows, widths = [], {}, {}

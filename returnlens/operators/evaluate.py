@@ -1,20 +1,30 @@
 """Summaries and evaluation against actual returns (AG6-AG12, AG21).
 
 Each summary is one aggregate (partial aggregation on every task, one small
-final merge).  The ROC family works on the table of distinct scores with
-positive/negative counts, and takes its running sums from
-``prefix.running_sums`` — exact, and never one task for all scores.
+final merge).  The ROC curve and area work on the table of distinct scores with
+positive/negative counts, and take their running sums from
+``prefix.running_sums`` — exact, and never one task for all scores.  The best
+threshold needs no such table: bins of scores are cut where it may lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import bisect
+import heapq
+import math
+from collections.abc import Sequence
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import materialize
 from .prefix import running_sums
 
+#: Bins of the first round of ``youden_cut``, and at most about as many in a later one.
+FIRST_BINS, SPLITS = 1_024, 4_096
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -177,19 +187,89 @@ def roc_auc(df: DataFrame, score="score", label="label") -> DataFrame:
         N.cast("bigint").alias("negatives"))
 
 
+def _edges(lo: float, hi: float, parts: int) -> set[float]:
+    """Cuts of [lo, hi] that leave both ends in bins of their own, about ``parts``."""
+    step = hi / parts - lo / parts
+    return {e for e in (lo + step * i for i in range(1, parts)) if lo < e <= hi} or {hi}
+
+
+def _bins(rows: DataFrame, edges: Sequence[float]) -> list[Row]:
+    """(bin, pos, neg, lo, hi) of the scores between neighbours of ``edges``, from
+    the highest; infinite scores and NaN, the highest of all, have their own."""
+    cut = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="score", outputCol="at", handleInvalid="keep")
+    s, top = F.col("score"), float(len(edges) + 2)
+    place = (F.when(F.isnan(s), F.lit(top + 1)).when(s == float("inf"), F.lit(top))
+             .when(s == float("-inf"), F.lit(-1.0)).otherwise(F.col("at")))
+    found = (cut.transform(rows).groupBy(place.alias("bin"))
+             .agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"), F.min("score").alias("lo"), F.max("score").alias("hi")))
+    return sorted(found.collect(), key=lambda b: -b["bin"])
+
+
+def youden_cut(df: DataFrame, score="score", label="label") -> dict[str, float | int | None]:
+    """AG12 by branch and bound over bins of scores: threshold, tps, fps at it, and
+    the positives and negatives.  Exact: J is compared in whole numbers.
+
+    A bin's counts bound J for every cut inside it: all its positives and none of
+    its negatives above the cut.  Bins whose bound stays below the best J at a
+    bin's edge are done, and so are bins of one score or of one class; the others,
+    highest bounds first, are cut again.  Scores are stored once and no round
+    shuffles or collects more than a row for each of ``SPLITS`` bins and task,
+    however many distinct scores there are."""
+    narrow = df.select(_c(score).cast("double").alias("score"), F.coalesce(_c(label).cast("int") == 1, F.lit(False)).alias("y"))
+    rows = materialize(narrow).where(F.col("score").isNotNull())
+    shares = F.array(*[F.lit(i / FIRST_BINS) for i in range(1, FIRST_BINS)])
+    seen = rows.agg(F.percentile_approx("score", shares, 10 * FIRST_BINS)).first()[0] or []
+    bins = _bins(rows, sorted({e for e in seen if math.isfinite(e)}) or [0.0])
+    P, N = sum(b["pos"] for b in bins), sum(b["neg"] for b in bins)
+    best, at = 0, {"threshold": None, "tps": 0, "fps": 0}
+    if not P or not N:
+        return at | {"positives": P, "negatives": N}
+    waiting: list[tuple[int, float, float, int, int]] = []          # (-bound, lo, hi, tps above, fps above)
+
+    def visit(children: Sequence[Row], tps: int, fps: int) -> None:
+        nonlocal best, at
+        for b in children:
+            if b["pos"] and b["neg"] and b["lo"] < b["hi"]:
+                heapq.heappush(waiting, (fps * P - (tps + b["pos"]) * N, b["lo"], b["hi"], tps, fps))
+            tps, fps = tps + b["pos"], fps + b["neg"]
+            j = tps * N - fps * P
+            if j > best or (j == best > 0 and b["lo"] > at["threshold"]):
+                best, at = j, {"threshold": b["lo"], "tps": tps, "fps": fps}
+
+    visit(bins, 0, 0)
+    while waiting:
+        parents = []
+        while waiting and len(parents) < SPLITS // 16:
+            bound, lo, hi, tps, fps = heapq.heappop(waiting)
+            if -bound > best or (-bound == best > 0 and hi > at["threshold"]):
+                parents.append((lo, hi, tps, fps))
+        if not parents:
+            break
+        edges: set[float] = set()
+        for lo, hi, _, _ in parents:
+            edges |= {lo, math.nextafter(hi, math.inf)} | _edges(lo, hi, max(2, SPLITS // len(parents)))
+        inside = rows.where(F.col("score").between(min(p[0] for p in parents), max(p[1] for p in parents)))
+        bins = _bins(inside, sorted(e for e in edges if math.isfinite(e)))
+        parents.sort()
+        starts = [p[0] for p in parents]
+        children: dict[int, list[Row]] = {}
+        for b in bins:
+            k = bisect.bisect_right(starts, b["lo"]) - 1
+            if k >= 0 and b["hi"] <= parents[k][1]:
+                children.setdefault(k, []).append(b)
+        for k in sorted(children, reverse=True):
+            visit(children[k], *parents[k][2:])
+    return at | {"positives": P, "negatives": N}
+
+
 def youden_threshold(df: DataFrame, score="score", label="label") -> DataFrame:
     """AG12: the score maximising TPR - FPR, the highest such score on ties.
     One class only → 0.5.  When no score beats J = 0 the best cut is above
     every score: NULL (nothing is positive)."""
-    roc = roc_curve(df, score, label)
-    j = (F.col("tpr") - F.col("fpr"))
-    best = roc.agg(F.max_by(F.struct(F.col("score"), j.alias("j")),
-                            F.struct(j, F.col("score"))).alias("b"),
-                   F.max("tps").alias("pos_total"), F.max("fps").alias("neg_total"))
-    single = (F.col("pos_total") == 0) | (F.col("neg_total") == 0) | F.col("pos_total").isNull()
-    return best.select(
-        F.when(single, F.lit(0.5)).when(F.col("b.j") > 0, F.col("b.score")).alias("threshold"),
-        F.when(single, F.lit(None).cast("double")).otherwise(_round6(F.col("b.j"))).alias("youden_j"))
+    cut = youden_cut(df, score, label)
+    P, N = cut["positives"], cut["negatives"]
+    row = (cut["threshold"], cut["tps"] / P - cut["fps"] / N) if P and N else (0.5, None)
+    return df.sparkSession.createDataFrame([row], "threshold double, youden_j double").select("threshold", _round6(F.col("youden_j")).alias("youden_j"))
 
 
 def best_threshold(df: DataFrame, score="score", label="label") -> float | None:

@@ -42,15 +42,14 @@ def split_stratified(df: DataFrame, keys: Sequence[str], label: str, seed: int =
     """SO3 with exact shares: of each class the ``test_percent`` % of rows with
     the smallest key hashes are 'test' (rows with equal keys stay together).
 
-    The cut of each class is an order statistic of its hashes, found by running
-    counts over ranges, so a class of any size is never ranked in one task.
-    Classes are few: one literal each."""
-    from .quantiles import rank_values
-    marked = df.select(qcol(label).cast("string").alias("column"), key_hash(keys, seed).cast("double").alias("value"))
-    counts = materialize(marked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    totals = {r["column"]: int(r["n"]) for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect() if r["column"] is not None}
-    wanted = {c: [n * test_percent // 100 - 1] for c, n in totals.items() if n * test_percent >= 100}
-    cuts = rank_values(counts, wanted)
+    The cut of each class is an order statistic of its hashes, exact from a
+    sketch's bracket (``quantiles``), so hashes are neither shuffled nor ranked as a
+    whole.  Classes are few: one literal each."""
+    from .quantiles import order_statistics
+    marked = materialize(df.select(qcol(label).cast("string").alias("label"), key_hash(keys, seed).cast("double").alias("hash")))
+    classes = [r["label"] for r in marked.select("label").distinct().collect() if r["label"] is not None]
+    cuts = order_statistics(marked, {c: F.when(F.col("label") == c, F.col("hash")) for c in classes}, test_percent / 100,
+                            lambda n: [n * test_percent // 100 - 1] if n * test_percent >= 100 else [])
     test = F.lit(False)
     for (c, _), cut in sorted(cuts.items()):
         test = test | ((qcol(label).cast("string") == c) & (key_hash(keys, seed) <= int(cut)))
@@ -71,7 +70,7 @@ def split_report(df: DataFrame, label: str = "actual", part: str = "part") -> Da
 def class_weights(df: DataFrame, label: str = "actual", with_share: bool = False) -> DataFrame:
     """AG14 (+AG13): balanced weight n / (k * n_c) per class, as (label, n,
     [share,] weight)."""
-    counts = df.groupBy(qcol(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(df.groupBy(qcol(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n").alias("__total"), F.count(F.lit(1)).alias("__classes"))     # one row
     weight = F.round(F.col("__total") / (F.col("__classes") * F.col("n")), 6).alias("weight")
     share = [F.round(F.col("n") / F.col("__total"), 6).alias("share")] if with_share else []

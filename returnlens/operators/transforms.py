@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import names as N
 from ..functions.coerce import column_to_double, is_numeric_type, nan_to_null, qcol
+from ..session import materialize
 from . import quantiles as Q
 from .prefix import running_sums
 
@@ -114,8 +115,8 @@ def median_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact medians (the mean of the two middle values for an even count)
     as a (column, median) table, one row per column with values.
 
-    Distinct values are counted once and ranked by running counts over value
-    ranges (``quantiles.medians``), so no task ever holds a whole column.
+    A sketch brackets the middle and only values inside the bracket are shuffled
+    and ranked (``quantiles.medians``), so no task ever holds a whole column.
     """
     meds = fit_medians(df, columns, missing=None)
     rows = [(c, meds[c]) for c in columns if meds.get(c) is not None]
@@ -141,7 +142,7 @@ def fit_medians(df: DataFrame, columns: Sequence[str], missing: float | None = 0
     ``missing`` (0, as in the reference)."""
     if not columns:
         return {}
-    got = Q.medians(_long_values(df, columns, as_text=False))
+    got = Q.medians(df, {c: column_to_double(df, c) for c in columns})
     return {c: (got[c] if got.get(c) is not None else missing) for c in columns}
 
 
@@ -321,9 +322,12 @@ def fit_fill_statistics(df: DataFrame, columns: Sequence[str], per_cell: bool =
     cell converts (TR2); with ``per_cell`` every column is coerced cell by
     cell (TR1) and non-numbers count as gaps.  One aggregate finds the gaps;
     only columns that have some are counted by value (a fill changes nothing
-    elsewhere), so identifiers are never grouped."""
+    elsewhere), so identifiers are never grouped.  The columns are stored once, so
+    the plan behind ``df`` (joins, for example) runs once for all statistics."""
     if not columns:
         return [], {}, {}
+    if not any(isinstance(df.schema[c].dataType, T.NullType) for c in columns):   # Parquet has no such type
+        df = materialize(df.select(*[qcol(c) for c in columns]))
     gaps = cell_gaps(df, columns)
     if per_cell:
         numeric = list(columns)

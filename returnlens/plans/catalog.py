@@ -175,6 +175,19 @@ def q_youden_threshold(spark, sf_dir):
     return EV.youden_threshold(_production(spark, sf_dir), "Return_Probability", "actual")
 
 
+@query("youden_continuous")
+def q_youden_continuous(spark, sf_dir):
+    """AG12 by branch and bound on the continuous SC4 propensity: nearly every
+    line has a score of its own."""
+    canon, _, _ = _canonical(spark, sf_dir)
+    feats = {"price": F.col("product_price"), "category": F.col("product_category"),
+             "delivery": F.col("delivery_time"), "rating": F.col("product_rating"),
+             "return_rate": F.col("return_history_rate"), "discount": F.col("discount"),
+             "quantity": F.col("order_quantity"), "age": F.col("customer_age")}
+    cut = EV.youden_cut(canon.select(R.clamp(R.propensity("production", feats)).alias("score"), "target"), "score", "target")
+    return spark.createDataFrame([tuple(cut.values())], "threshold double, tps bigint, fps bigint, positives bigint, negatives bigint")
+
+
 @query("tuned_decisions")
 def q_tuned_decisions(spark, sf_dir):
     """SC4 → AG12 → SC6 → SC7 → SC10: the propensity as a score, its Youden
@@ -203,7 +216,8 @@ def q_class_weights(spark, sf_dir):
 @query("class_counts")
 def q_class_counts(spark, sf_dir):
     """AG13: rows and share of each class beside the target rate."""
-    df = _actual(order_lines(spark, sf_dir))
+    from ..session import materialize
+    df = materialize(_actual(order_lines(spark, sf_dir)).select("actual"))
     return AN.class_counts(df, "actual").join(AN.target_rate(df, "actual"))
 
 
@@ -906,6 +920,15 @@ def q_grid_search(spark, sf_dir):
     return SE.grid_search(SP.assign_folds(data, ["order_id", "line_no"], 5), _NUM, _CAT, "target", grids, parallelism=8)
 
 
+@query("streamed_history")
+def q_streamed_history(spark, sf_dir):
+    """X1 on a stream: lines arrive in three slices of order dates; one in 97 of
+    the first slice comes with the last and is late.  Each customer's history
+    before every day, its counted lines and its late ones."""
+    from ..streaming import history as SH
+    return SH.arriving_history(spark, sf_dir, slices=3)
+
+
 @query("reloaded_model")
 def q_reloaded_model(spark, sf_dir):
     """SC13 on X2: two models of the returns by location, fitted on the lines

@@ -269,6 +269,22 @@ j AS (SELECT score, tps / CAST(P AS DOUBLE) - fps / CAST(N AS DOUBLE) AS j FROM
 SELECT CASE WHEN j > 0 THEN score END AS threshold, round(j, 6) AS youden_j
 FROM j ORDER BY j DESC, score DESC LIMIT 1""")
 
+ORACLE["youden_continuous"] = with_order_lines(f"""
+WITH {_CANON_CTE},
+sc AS (SELECT {_PROP_CLAMPED} AS score, target FROM canon),
+c AS (SELECT score, CAST(SUM(CASE WHEN target = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+             CAST(SUM(CASE WHEN target = 1 THEN 0 ELSE 1 END) AS BIGINT) AS neg
+      FROM sc WHERE score IS NOT NULL GROUP BY 1),
+t AS (SELECT CAST(SUM(pos) AS BIGINT) AS P, CAST(SUM(neg) AS BIGINT) AS N FROM c),
+roc AS (
+  SELECT score,
+    CAST(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tps,
+    CAST(SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fps
+  FROM c)
+SELECT CASE WHEN tps * N > fps * P THEN score END AS threshold, CASE WHEN tps * N > fps * P THEN tps ELSE 0 END AS tps,
+       CASE WHEN tps * N > fps * P THEN fps ELSE 0 END AS fps, P AS positives, N AS negatives
+FROM roc, t ORDER BY tps * CAST(N AS HUGEINT) - fps * CAST(P AS HUGEINT) DESC, score DESC LIMIT 1""")
+
 ORACLE["class_weights"] = with_order_lines(f"""
 WITH c AS (SELECT {_ACTUAL} AS label, COUNT(*) AS n FROM order_lines GROUP BY 1)
 SELECT label, n, round(n / CAST(SUM(n) OVER () AS DOUBLE), 6) AS share,
@@ -499,6 +515,25 @@ SELECT ol.order_id, ol.line_no, CAST(prior_orders AS BIGINT) AS prior_orders,
        round(CASE WHEN prior_lines > 0 THEN prior_returns::DOUBLE / prior_lines::DOUBLE END, 6) AS prior_return_rate
 FROM ol JOIN hist USING (customer_id, order_date)""")
 
+ORACLE["streamed_history"] = with_order_lines(f"""
+WITH span AS (SELECT MIN(order_date) AS lo, date_diff('day', MIN(order_date), MAX(order_date)) + 1 AS days FROM order_lines),
+ol AS (SELECT order_id, customer_id, order_date, {_ACTUAL} AS actual,
+              date_diff('day', lo, order_date) * 3 // days = 0 AND (order_id + line_no) % 97 = 0 AS late
+       FROM order_lines, span),
+daily AS (SELECT customer_id, order_date, COUNT(DISTINCT order_id) AS orders, COUNT(*) AS lines, SUM(actual) AS returns
+          FROM ol WHERE NOT late GROUP BY 1, 2),
+hist AS (
+  SELECT customer_id, order_date, lines, COALESCE(SUM(orders) OVER w, 0) AS prior_orders,
+    COALESCE(SUM(lines) OVER w, 0) AS prior_lines, COALESCE(SUM(returns) OVER w, 0) AS prior_returns
+  FROM daily
+  WINDOW w AS (PARTITION BY customer_id ORDER BY order_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+arrived AS (SELECT customer_id, order_date, COUNT(*) AS n FROM ol GROUP BY 1, 2)
+SELECT customer_id, CAST(date_diff('day', DATE '1970-01-01', order_date) AS BIGINT) AS day,
+       CAST(prior_orders AS BIGINT) AS prior_orders, CAST(prior_lines AS BIGINT) AS prior_lines,
+       CAST(prior_returns AS BIGINT) AS prior_returns, CAST(COALESCE(lines, 0) AS BIGINT) AS lines,
+       CAST(n - COALESCE(lines, 0) AS BIGINT) AS late_lines
+FROM arrived LEFT JOIN hist USING (customer_id, order_date)""")
+
 ORACLE["stream_window_rates"] = with_order_lines(f"""
 WITH {_MEDIANS},
 {_scored(_QUICK_P, _BANDS6, 'order_lines, med')}

@@ -6,6 +6,7 @@ from __future__ import annotations
 import random
 import statistics
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -72,3 +73,31 @@ def test_ranges_split_values_that_share_a_prefix(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert len(sizes) >= 3 and max(sizes) < 1500
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 1.0])
+def test_order_statistics_at_any_share(spark, share):
+    """Ranks far from the sketch's bracket are found too: it is opened."""
+    rnd = random.Random(int(share * 10))
+    vals = [rnd.choice([None, 7.0, 7.0, float("inf"), float("-inf"), rnd.uniform(-9, 9)]) for _ in range(700)]
+    df = spark.createDataFrame([(v, None) for v in vals], "x double, y double")
+    known = sorted(v for v in vals if v is not None)
+    ranks = [0, len(known) // 5, len(known) // 2, len(known) - 1]
+    got = Q.order_statistics(df, {"x": F.col("x"), "y": F.col("y")}, share, lambda n: ranks)
+    assert got == {("x", k): known[k] for k in ranks}
+
+
+def test_values_outside_the_bracket_are_not_shuffled(spark, monkeypatch):
+    kept = []
+    inner = Q._bracketed
+    monkeypatch.setattr(Q, "_bracketed", lambda *a: kept.append(inner(*a)) or kept[-1])
+    df = spark.range(200_000).select(F.rand(5).alias("x"), (F.col("id") % 5).cast("double").alias("z"))
+    got = Q.medians(df, {"x": F.col("x"), "z": F.col("z")})
+    want = df.agg(F.percentile("x", 0.5), F.percentile("z", 0.5)).first()
+    assert got == {"x": want[0], "z": want[1]}
+    assert len(kept) == 1 and kept[0].count() < 200_000 * 10 / Q.SKETCH
+
+
+def test_a_rank_beyond_the_values_is_an_error(spark):
+    with pytest.raises(ValueError):
+        Q.order_statistics(spark.range(3).select(F.col("id").cast("double").alias("x")), {"x": F.col("x")}, 0.5, lambda n: [3])
