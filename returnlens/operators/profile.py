@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import names as N
 from ..functions.coerce import column_to_double, qcol
+from .distinct import sketchable, sketched_counts
 from .projections import feature_types
 
 
@@ -121,18 +122,23 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None,
                     approx: bool = False) -> DataFrame:
     """AG20: distinct non-null values per column as (column, n_distinct).
 
-    Exact counting unpivots and de-duplicates on (column, value), so one
-    column's values spread over all tasks; ``approx`` uses HyperLogLog++."""
+    One aggregate counts all columns of few values (``distinct``); the others are
+    unpivoted and de-duplicated on (column, value), so one column's values spread
+    over all tasks.  ``approx`` uses HyperLogLog++."""
     columns = list(df.columns) if columns is None else list(columns)
     if approx:
         row = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(columns)])
         pairs = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct"))
                  for i, c in enumerate(columns)]
         return row.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
-    items = [F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")) for c in columns]
+    few, _ = sketched_counts(df, {c: sketchable(qcol(c), df.schema[c].dataType) for c in columns})
+    known = df.sparkSession.createDataFrame([(c, n) for c, n in few.items() if n], "column string, n_distinct bigint")
+    items = [F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")) for c in columns if few[c] is None]
+    if not items:
+        return known
     long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
-    return (long.where(F.col("value").isNotNull()).distinct()
-            .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
+    return known.unionAll(long.where(F.col("value").isNotNull()).distinct()
+                          .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
 
 
 def row_errors(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import names as N
 from ..functions.coerce import column_to_double, qcol, is_numeric_type
+from .distinct import EXACT, sketchable, sketched_counts
 
 
 def drop_identifiers(df: DataFrame) -> DataFrame:
@@ -110,47 +112,60 @@ def with_kind(stats: DataFrame, limit, *more: str) -> DataFrame:
     return stats.select("column", "n_numeric", "n_distinct", kind.alias("kind"), "position", *more)
 
 
+def _features(df: DataFrame, leakage_mode: str) -> list[str]:
+    """Columns that are neither leakage nor the target."""
+    leak, target = set(N.leakage_columns(df.columns, leakage_mode)), N.find_target_exact(list(df.columns))
+    return [c for c in df.columns if c not in leak and c != target]
+
+
+def _few(df: DataFrame, feats: Sequence[str]) -> tuple[dict[str, int | None], dict[str, int]]:
+    """Distinct values of each feature (None: more than a sketch holds) and cells
+    that convert to a number, one aggregate.  Numeric columns are keyed by the
+    number."""
+    numbers = {c: column_to_double(df, c) for c in feats}
+    keys = {c: sketchable(numbers[c], T.DoubleType()) if is_numeric_type(df.schema[c].dataType) else qcol(c).cast("string") for c in feats}
+    few, more = sketched_counts(df, keys, **{f"n{i}": F.count(numbers[c]) for i, c in enumerate(feats)})
+    return few, {c: more[f"n{i}"] for i, c in enumerate(feats)}
+
+
 def type_stats(df: DataFrame, leakage_mode: str = "substring") -> DataFrame:
     """PR13 statistics per feature column: cells that convert to a number
     and distinct values (a column is 'numeric' when some value converts and
     it has at most ``limit`` distinct values, see ``with_kind``).
 
-    Leakage columns and the target are left out first.  One job: values are
-    unpivoted to (column, text, number); distinct counting shuffles on
-    (column, value), so one wide column never sits in one task.  Numeric
-    columns are keyed by the number itself (text stays NULL): no per-cell
-    number-to-text formatting, and -0.0 equals 0.0 as in pandas.
-    Returns (column, n_numeric, n_distinct, position).
+    Leakage columns and the target are left out first.  One aggregate counts all
+    columns of few values exactly (``distinct``); only the others are unpivoted to
+    (column, text, number), and their distinct counting shuffles on (column,
+    value), so one wide column never sits in one task.  Numeric columns are keyed
+    by the number itself: no per-cell number-to-text formatting, and -0.0 equals
+    0.0 as in pandas.  Returns (column, n_numeric, n_distinct, position).
     """
-    cols = list(df.columns)
-    leak = set(N.leakage_columns(cols, leakage_mode))
-    target = N.find_target_exact(cols)
-    feats = [c for c in cols if c not in leak and c != target]
+    schema = "column string, n_numeric bigint, n_distinct bigint, position int"
+    feats = _features(df, leakage_mode)
     if not feats:
-        return df.sparkSession.createDataFrame(
-            [], "column string, n_numeric bigint, n_distinct bigint, position int")
+        return df.sparkSession.createDataFrame([], schema)
+    few, numeric = _few(df, feats)
     items = []
-    for i, c in enumerate(feats):
-        dt = df.schema[c].dataType
-        text = F.lit(None).cast("string") if is_numeric_type(dt) else qcol(c).cast("string")
-        items.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
-                              text.alias("text"), column_to_double(df, c).alias("num")))
-    long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
-    # the number is a function of the text, so (text, num) groups by value
-    per_value = (long.groupBy("column", "position", "text", "num")
-                 .agg(F.count("num").alias("n_num")))
-    present = F.col("text").isNotNull() | F.col("num").isNotNull()
-    stats = (per_value.groupBy("column", "position")
-             .agg(F.sum("n_num").alias("n_numeric"),
-                  F.count_if(present).alias("n_distinct")))
-    return stats.select("column", F.col("n_numeric").cast("bigint").alias("n_numeric"),
-                        F.col("n_distinct").cast("bigint").alias("n_distinct"),
-                        F.col("position").cast("int").alias("position"))
+    for c in (c for c in feats if few[c] is None):
+        is_number = is_numeric_type(df.schema[c].dataType)
+        items.append(F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("text") if is_number else qcol(c).cast("string").alias("text"),
+                              (column_to_double(df, c) if is_number else F.lit(None).cast("double")).alias("num")))
+    if items:
+        long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*").where("text IS NOT NULL OR num IS NOT NULL").distinct()
+        few |= {r["column"]: r["count"] for r in long.groupBy("column").count().collect()}      # one row per column
+    return df.sparkSession.createDataFrame([(c, numeric[c], few[c], i) for i, c in enumerate(feats)], schema)
 
 
 def feature_types(df: DataFrame, limit: int = K.TYPE_LIMIT_FLEXIBLE,
                   leakage_mode: str = "substring") -> tuple[list[str], list[str]]:
-    """PR13 as two name lists (numeric, categorical), in column order."""
-    rows = sorted(detect_types(df, limit, leakage_mode).collect(), key=lambda r: r["position"])
-    return ([r["column"] for r in rows if r["kind"] == "numeric"],
-            [r["column"] for r in rows if r["kind"] == "categorical"])
+    """PR13 as two name lists (numeric, categorical), in column order.  Up to a
+    limit of ``distinct.EXACT`` one aggregate is all: columns with more values are
+    never counted."""
+    if limit > EXACT:
+        rows = {r["column"]: r["kind"] for r in detect_types(df, limit, leakage_mode).collect()}
+        kinds = {c: rows[c] for c in _features(df, leakage_mode)}
+    else:
+        feats = _features(df, leakage_mode)
+        few, numeric = _few(df, feats) if feats else ({}, {})
+        kinds = {c: "numeric" if numeric[c] and few[c] is not None and few[c] <= limit else "categorical" for c in feats}
+    return [c for c, k in kinds.items() if k == "numeric"], [c for c, k in kinds.items() if k == "categorical"]

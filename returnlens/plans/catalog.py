@@ -465,6 +465,17 @@ def q_filtered_results(spark, sf_dir):
     return PR.display_columns(AN.filter_results(scored, 0.6, "Return"), 10)
 
 
+@query("filtered_download")
+def q_filtered_download(spark, sf_dir):
+    """FI1 + FI2 + IO2: the confident predicted returns written as CSV, all
+    columns, and read back without a schema (IO1)."""
+    from ..session import scratch_path
+    from ..sources import files as FS
+    path = scratch_path(spark, "csv")
+    FS.write_csv(AN.filter_results(S.score_production(order_lines(spark, sf_dir)), 0.6, "Return"), path)
+    return FS.read_csv(spark, path, infer=True)
+
+
 @query("row_validation")
 def q_row_validation(spark, sf_dir):
     """FI4: all six record checks over every line, on raw values that really
@@ -888,6 +899,21 @@ def q_saturated_report(spark, sf_dir):
     return report.select("kind", "split", "tn", "fp", "fn", "tp", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")], *spread)
 
 
+@query("model_batch_report")
+def q_model_batch_report(spark, sf_dir):
+    """SC13 with SC6, SC7, SC10, AG6-AG9 and AG2: a balanced regression on one
+    category, fitted on the train lines and tuned on the test lines, over all
+    lines: the results by category beside the report on them."""
+    data = _model_table(spark, sf_dir)
+    model = ML.fit(data.where(F.col("part") == "train"), [], ["customer_location"], "target", "lr", threshold="youden",
+                   tune_on=data.where(F.col("part") == "test"), balanced=True)
+    results, report = S.model_report(data.select("customer_location", *_NUM, "target"), model, "target")
+    per = results.groupBy("customer_location", "Prediction_Label", "Confidence_Level").agg(
+        F.count("*").alias("rows"), F.sum("target").cast("bigint").alias("returns"), F.round(F.avg("Return_Probability"), 4).alias("p"))
+    inexact = ["threshold", "probability_mean", "probability_std", "probability_min", "probability_max"]
+    return per.join(report.drop("leakage_columns").withColumns({c: F.round(c, 4) for c in inexact}))     # one row of report
+
+
 @query("single_split_trees")
 def q_single_split_trees(spark, sf_dir):
     """ML2 + ML3 + AG22 + SC13: a forest of one tree and one round of boosting,

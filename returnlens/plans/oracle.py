@@ -385,6 +385,14 @@ SELECT order_id, line_no, customer_id, product_category, item_price, order_quant
        CASE WHEN pred = 1 THEN 'Return' ELSE 'Not Return' END AS Prediction_Label, band AS Confidence_Level
 FROM prod WHERE p >= 0.6 AND pred = 1""")
 
+ORACLE["filtered_download"] = with_order_lines(f"""
+WITH {_PROD_CTE}
+SELECT order_id, line_no, customer_id, product_category, item_price, order_quantity, customer_age,
+       customer_location, payment_method, shipping_method, discount, delivery_days, product_rating, return_status,
+       pred AS Prediction, p AS Return_Probability,
+       CASE WHEN pred = 1 THEN 'Return' ELSE 'Not Return' END AS Prediction_Label, band AS Confidence_Level
+FROM prod WHERE p >= 0.6 AND pred = 1""")
+
 ORACLE["row_validation"] = """
 WITH b AS (
   SELECT l_extendedprice - 2000 AS price, 10 + o_custkey % 63 AS age, p_size % 13 / 2.0 AS rating,
@@ -743,6 +751,32 @@ SELECT 'lr' AS kind, split, tn, fp, fn, tp, round((tp + tn) / (tn + fp + fn + tp
   CASE WHEN split = 'train' THEN (SELECT round(m, 4) FROM cv) END AS cv_accuracy, CASE WHEN split = 'train' THEN (SELECT round(2 * s, 4) FROM cv) END AS cv_spread
 FROM m JOIN auc USING (split)""")
 
+_REPORT = ["kind", "threshold", "total_records", "predicted_returns", "predicted_non_returns", "return_rate", "probability_mean", "probability_std",
+           "probability_min", "probability_max", "share_above", "share_below", "high_risk_count", "medium_risk_count", "low_risk_count", "missing_cells",
+           "actual_rate", "tn", "fp", "fn", "tp"]
+_REPORT_COLUMNS = ["product_price", "order_quantity", "customer_age", "discount", "delivery_time", "product_rating"]
+ORACLE["model_batch_report"] = with_order_lines(f"""
+WITH {_CANON_CTE}, {_SATURATED},
+whole AS (SELECT c, {_SHARE} AS p FROM (SELECT *, {_WEIGHTS.format("1")} FROM (SELECT c, COUNT(*) AS n, SUM(y) AS r FROM train GROUP BY c))),
+cuts AS (SELECT p, SUM(SUM(y)) OVER (ORDER BY p DESC) AS tps, SUM(SUM(1 - y)) OVER (ORDER BY p DESC) AS fps, SUM(SUM(y)) OVER () AS pos, SUM(SUM(1 - y)) OVER () AS neg
+  FROM canon_ JOIN whole USING (c) WHERE part = 'test' GROUP BY p),
+cut AS (SELECT p AS thr FROM cuts ORDER BY tps * neg - fps * pos DESC, p DESC LIMIT 1),
+s AS (SELECT customer_location, target AS y, p, thr, (p >= thr)::INT AS d, {" + ".join(f"({c} IS NULL)::INT" for c in _REPORT_COLUMNS)} AS gaps
+  FROM canon JOIN whole ON c = customer_location, cut),
+report AS (SELECT 'lr' AS kind, round(any_value(thr), 4) AS threshold, COUNT(*) AS total_records, SUM(d)::BIGINT AS predicted_returns, SUM(1 - d)::BIGINT AS predicted_non_returns,
+  round(avg(d::DOUBLE), 6) AS return_rate, round(avg(p), 4) AS probability_mean, round(stddev_pop(p), 4) AS probability_std, round(min(p), 4) AS probability_min,
+  round(max(p), 4) AS probability_max, round(avg((p > 0.5)::INT), 6) AS share_above, round(avg((p < 0.5)::INT), 6) AS share_below,
+  COUNT(*) FILTER (WHERE p > 0.7) AS high_risk_count, COUNT(*) FILTER (WHERE p > 0.3 AND p <= 0.7) AS medium_risk_count, COUNT(*) FILTER (WHERE p <= 0.3) AS low_risk_count,
+  SUM(gaps)::BIGINT AS missing_cells, round(avg(y::DOUBLE), 6) AS actual_rate, COUNT(*) FILTER (WHERE y = 0 AND d = 0) AS tn, COUNT(*) FILTER (WHERE y = 0 AND d = 1) AS fp,
+  COUNT(*) FILTER (WHERE y = 1 AND d = 0) AS fn, COUNT(*) FILTER (WHERE y = 1 AND d = 1) AS tp FROM s)
+SELECT customer_location, CASE WHEN d = 1 THEN 'Return' ELSE 'Not Return' END AS Prediction_Label,
+  CASE WHEN abs(p - thr) < 0.1 THEN 'Very High' WHEN abs(p - thr) < 0.2 THEN 'High' WHEN abs(p - thr) < 0.3 THEN 'Medium-High'
+       WHEN abs(p - thr) < 0.4 THEN 'Medium' WHEN abs(p - thr) < 0.5 THEN 'Medium-Low' ELSE 'Low' END AS Confidence_Level,
+  COUNT(*) AS rows, SUM(y)::BIGINT AS returns, round(avg(p), 4) AS p, {", ".join(f"any_value(report.{c}) AS {c}" for c in _REPORT)},
+  round(any_value((tp + tn) / total_records::DOUBLE), 6) AS accuracy, round(any_value(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0)), 6) AS precision,
+  round(any_value(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0)), 6) AS recall, round(any_value(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS f1
+FROM s, report GROUP BY ALL""")
+
 # The best cut of three columns by the fall in impurity, with gaps at the median.
 _SPLIT_COLUMNS = ["discount", "delivery_time", "product_rating"]
 ORACLE["single_split_trees"] = with_order_lines(f"""

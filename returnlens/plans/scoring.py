@@ -17,7 +17,10 @@ from ..functions import names as N
 from ..functions import rules as R
 from ..functions.coerce import column_to_double, qcol, text_to_double
 from ..operators import transforms as TR
+from ..operators.evaluate import metrics_from_confusion
+from ..operators.merging import score_metrics
 from ..operators.projections import replace_result_columns, scoring_columns
+from ..session import materialize
 
 
 def decorate(df: DataFrame, p: Column, bands: str = "six", threshold: float | None = K.DECISION_CUTOFF,
@@ -105,3 +108,28 @@ def score_with_probability(df: DataFrame, p: Column, threshold: float | None,
                            bands: str = "distance") -> DataFrame:
     """SC6 (+SC7, SC10) for a model probability and a tuned threshold."""
     return decorate(df, p, bands, threshold, inclusive=True)
+
+
+def score_with_model(df: DataFrame, model) -> DataFrame:
+    """SC13, then SC6, SC7 and SC10 at the model's threshold, with PR12: the
+    table with a fitted model's result columns."""
+    return decorate(model.score(df, "__p"), F.col("__p"), "distance", model.threshold, inclusive=True).drop("__p")
+
+
+def model_report(df: DataFrame, model, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A fitted model over a whole table: the results (``score_with_model``), stored,
+    and one row on them: model kind and threshold, AG6, AG7 and AG2, the leakage
+    columns left out, and with a ``target`` of 0 and 1 the confusion matrix and
+    its metrics (AG8, AG9, AG21).  The report is one aggregate."""
+    results = materialize(score_with_model(df, model))
+    d, cells = F.col("Prediction"), {}
+    if target is not None:
+        hit = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+        cells = {k: F.count_if((qcol(target) == y) & (d == p)) for k, (y, p) in hit.items()}
+        cells["actual_rate"] = F.round(F.avg(qcol(target).cast("double")), 6)
+    metrics = score_metrics(F.col("Return_Probability"), d, [c for c in df.columns if c not in K.RESULT_COLUMNS])
+    row = results.agg(F.lit(model.kind).alias("kind"), F.lit(model.threshold).cast("double").alias("threshold"),
+                      F.lit(len(N.leakage_columns(df.columns, "substring"))).alias("leakage_columns"),
+                      *[c.alias(k) for k, c in (metrics | cells).items()])
+    extra = ("kind", "threshold", "leakage_columns", *metrics, *(["actual_rate"] if target is not None else []))
+    return results, (metrics_from_confusion(row, extra) if target is not None else row)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from returnlens.operators import analytics as AN
 from returnlens.operators import profile as PF
 from returnlens.operators import projections as PR
@@ -92,3 +94,24 @@ def test_filter_results(spark):
 def test_class_counts_share(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "actual int")
     assert rows(AN.class_counts(df), "label", "n", "share") == [(0, 3, 0.75), (1, 1, 0.25)]
+
+
+def test_columns_of_many_values_are_not_counted(spark, monkeypatch):
+    """Counts around the sketch's bound are exact; zero has one sign, gaps count
+    for nothing, and a limit beyond the bound counts all."""
+    from returnlens.operators import distinct as DI
+    n = DI.EXACT
+    df = spark.range(3 * n).selectExpr(f"CAST(id AS STRING) AS k_many", f"id % {n} AS k_bound", f"id % {n + 1} AS k_above",
+                                       "IF(id % 2 = 0, 0.0D, -0.0D) AS zeros", "CAST(NULL AS STRING) AS nothing", "CONCAT('a', id % 3) AS letters",
+                                       "IF(id % 3 = 0, NULL, id % 5) AS gaps", "CAST(id % 4 AS FLOAT) AS f")
+    few, _ = DI.sketched_counts(df, {c: DI.sketchable(F.col(c), df.schema[c].dataType) for c in df.columns})
+    assert few == {"k_many": None, "k_bound": n, "k_above": None, "zeros": 1, "nothing": 0, "letters": 3, "gaps": 5, "f": 4}
+    stats = {r["column"]: (r["n_numeric"], r["n_distinct"]) for r in PR.type_stats(df).collect()}
+    assert stats["k_many"] == (3 * n, 3 * n) and stats["k_above"] == (3 * n, n + 1) and stats["k_bound"] == (3 * n, n)
+    assert stats["letters"] == (0, 3) and stats["nothing"] == (0, 0) and stats["zeros"] == (3 * n, 1) and stats["gaps"] == (2 * n, 5)
+    assert PR.feature_types(df, 4) == (["zeros", "f"], ["k_many", "k_bound", "k_above", "nothing", "letters", "gaps"])
+    assert PR.feature_types(df, n + 1)[0] == ["k_bound", "k_above", "zeros", "gaps", "f"]
+    assert rows(PF.distinct_counts(df.select("k_many", "k_above", "letters", "nothing")), "column", "n_distinct") == \
+        [("k_above", n + 1), ("k_many", 3 * n), ("letters", 3)]
+    none = df.limit(0)
+    assert PR.feature_types(none, 4)[0] == [] and PF.distinct_counts(none).count() == 0
