@@ -47,23 +47,23 @@ def closed_days(stream: DataFrame, delay: str, ts: str = "order_ts") -> DataFram
                        F.coalesce("returns", F.lit(0)).cast("bigint").alias("returns"))
 
 
-def _before(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    orders, lines, returns, last = state.get if state.exists else (0, 0, 0, None)
-    days = sorted(row for f in frames for row in f[["day", "orders", "lines", "returns"]].itertuples(index=False, name=None))
-    if last is not None and days[0][0] <= last:
-        raise ValueError(f"day {days[0][0]} of customer {key[0]} was closed before")
-    out = []
-    for day, o, n, r in days:
-        out.append((key[0], day, orders, lines, returns, n))
-        orders, lines, returns, last = orders + int(o), lines + int(n), returns + int(r), int(day)
-    state.update((orders, lines, returns, last))
-    yield pd.DataFrame(out, columns=["customer_id", "day", "prior_orders", "prior_lines", "prior_returns", "lines"])
-
-
 def histories(closed: DataFrame) -> DataFrame:
     """``HISTORY`` rows from a stream of ``CLOSED`` rows."""
+
+    def before(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        orders, lines, returns, last = state.get if state.exists else (0, 0, 0, None)
+        days = sorted(row for f in frames for row in f[["day", "orders", "lines", "returns"]].itertuples(index=False, name=None))
+        if last is not None and days[0][0] <= last:
+            raise ValueError(f"day {days[0][0]} of customer {key[0]} was closed before")
+        out = []
+        for day, o, n, r in days:
+            out.append((key[0], day, orders, lines, returns, n))
+            orders, lines, returns, last = orders + int(o), lines + int(n), returns + int(r), int(day)
+        state.update((orders, lines, returns, last))
+        yield pd.DataFrame(out, columns=["customer_id", "day", "prior_orders", "prior_lines", "prior_returns", "lines"])
+
     return closed.groupBy("customer_id").applyInPandasWithState(
-        _before, HISTORY, _TOTALS, "append", GroupStateTimeout.NoTimeout)
+        before, HISTORY, _TOTALS, "append", GroupStateTimeout.NoTimeout)
 
 
 def with_late_lines(arrived: DataFrame, history: DataFrame, ts: str = "order_ts") -> DataFrame:
