@@ -6,9 +6,11 @@ Two jobs, each exactly-once from its own checkpoint, joined by a table:
   appends them when the watermark has passed the day.  It groups by order first,
   then by customer, so a customer with a third of all lines is spread over tasks;
   state is a row for each order of a day that is still open.
-* ``histories`` holds four numbers for each customer and turns closed days, of which
-  a customer has at most one a day, into totals before them.  A closed day
-  never comes again and days close in order, so no timer is needed.
+* ``keep_histories`` holds four numbers for each customer, in a table that every
+  micro-batch of closed days replaces, and turns those days, of which a customer has at
+  most one a day, into totals before them.  A closed day never comes again and days
+  close in order, so no timer is needed.  It is a window over the batch, not a call
+  for each customer, whose number grows with the table.
 
 A line later than the watermark is counted in no day.  ``with_late_lines`` finds how
 many there were from what has arrived and what was counted.
@@ -17,21 +19,20 @@ many there were from what has arrived and what was counted.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 from datetime import date
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.views import order_lines_with_dates
-from ..session import materialize, scratch_path
+from ..session import ensure_checkpoint_dir, materialize, scratch_path
 from .stream import land, lines_stream, run_to_parquet
 
 CLOSED = "customer_id bigint, day bigint, orders bigint, lines bigint, returns bigint"
 HISTORY = "customer_id bigint, day bigint, prior_orders bigint, prior_lines bigint, prior_returns bigint, lines bigint"
-_TOTALS = "orders bigint, lines bigint, returns bigint, day bigint"
+TOTALS = "customer_id bigint, orders bigint, lines bigint, returns bigint, day bigint"
+_COUNTS = ("orders", "lines", "returns")
+_NUMBERS = ("customer_id", "day", *_COUNTS)
 
 
 def closed_days(stream: DataFrame, delay: str, ts: str = "order_ts") -> DataFrame:
@@ -47,23 +48,41 @@ def closed_days(stream: DataFrame, delay: str, ts: str = "order_ts") -> DataFram
                        F.coalesce("returns", F.lit(0)).cast("bigint").alias("returns"))
 
 
-def histories(closed: DataFrame) -> DataFrame:
-    """``HISTORY`` rows from a stream of ``CLOSED`` rows."""
+def histories(held: DataFrame | None, closed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``HISTORY`` rows of newly ``CLOSED`` rows, and the customers' totals after
+    them, from the totals ``held`` before (None: there are none).
 
-    def before(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        orders, lines, returns, last = state.get if state.exists else (0, 0, 0, None)
-        days = sorted(row for f in frames for row in f[["day", "orders", "lines", "returns"]].itertuples(index=False, name=None))
-        if last is not None and days[0][0] <= last:
-            raise ValueError(f"day {days[0][0]} of customer {key[0]} was closed before")
-        out = []
-        for day, o, n, r in days:
-            out.append((key[0], day, orders, lines, returns, n))
-            orders, lines, returns, last = orders + int(o), lines + int(n), returns + int(r), int(day)
-        state.update((orders, lines, returns, last))
-        yield pd.DataFrame(out, columns=["customer_id", "day", "prior_orders", "prior_lines", "prior_returns", "lines"])
+    A customer's totals stand as one more row before the new days, so the totals before a
+    day are a running sum: one shuffle by customer, of at most a row a day for each."""
+    new = closed.select(*_NUMBERS, F.lit(True).alias("new"))
+    both = new if held is None else new.unionByName(held.select(*_NUMBERS, F.lit(False).alias("new")))
+    own = Window.partitionBy("customer_id")
+    last = F.max(F.when(~F.col("new"), F.col("day"))).over(own)
+    before = own.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    again = F.raise_error(F.concat(F.lit("day "), F.col("day").cast("string"), F.lit(" of customer "),
+                                   F.coalesce(F.col("customer_id").cast("string"), F.lit("NULL")), F.lit(" was closed before")))
+    summed = both.select("customer_id", F.when(F.col("new") & (F.col("day") <= last), again.cast("bigint")).otherwise(F.col("day")).alias("day"),
+                         *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast("bigint").alias(f"prior_{c}") for c in _COUNTS], "lines", "new")
+    totals = both.groupBy("customer_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in _COUNTS], F.max("day").alias("day"))
+    return summed.where("new").drop("new"), totals
 
-    return closed.groupBy("customer_id").applyInPandasWithState(
-        before, HISTORY, _TOTALS, "append", GroupStateTimeout.NoTimeout)
+
+def keep_histories(closed: DataFrame, out: str, totals: str, checkpoint: str) -> None:
+    """Adds the histories of what has arrived on ``closed`` to the table ``out`` and goes
+    on from ``checkpoint`` when called again.  Each micro-batch has folders of its own for
+    its rows and for the totals after it, which a batch that is run again replaces; the totals
+    of the one before stay until its next has been written."""
+
+    def extend(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = spark.read.schema(TOTALS).parquet(os.path.join(totals, f"batch-{number - 1}")) if number else None
+        rows, after = histories(held, batch)
+        rows.write.mode("overwrite").parquet(os.path.join(out, f"batch-{number}"))
+        after.write.mode("overwrite").parquet(os.path.join(totals, f"batch-{number}"))
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(totals, f"batch-{number - 2}"))
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    closed.writeStream.foreachBatch(extend).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def with_late_lines(arrived: DataFrame, history: DataFrame, ts: str = "order_ts") -> DataFrame:
@@ -83,8 +102,10 @@ def advance(spark: SparkSession, home: str, schema, delay: str) -> DataFrame:
     days, out = os.path.join(home, "days"), os.path.join(home, "history")
     name = os.path.basename(home)
     run_to_parquet(closed_days(lines_stream(spark, os.path.join(home, "landing"), schema), delay), days, f"{name}-days")
-    run_to_parquet(histories(lines_stream(spark, days, CLOSED)), out, f"{name}-history")
-    return spark.read.schema(HISTORY).parquet(out)
+    spark.createDataFrame([], HISTORY).write.mode("ignore").parquet(os.path.join(out, "none"))     # no day has closed yet
+    keep_histories(lines_stream(spark, days, CLOSED), out, os.path.join(home, "totals"),
+                   os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-history"))
+    return spark.read.schema(HISTORY).parquet(os.path.join(out, "*"))
 
 
 def arriving_history(spark: SparkSession, sf_dir: str, slices: int = 3, delay: str = "60 days", late_every: int = 97) -> DataFrame:

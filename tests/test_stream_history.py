@@ -7,6 +7,8 @@ import random
 import tempfile
 from datetime import datetime, timedelta, timezone
 
+import pytest
+
 from returnlens.streaming import history as SH
 from returnlens.streaming.stream import land
 
@@ -55,3 +57,15 @@ def test_days_wait_for_the_watermark(spark):
     land(spark.createDataFrame([(1, 1, START, 1), (1, 2, START + timedelta(days=3), 0)], SCHEMA), os.path.join(home, "landing"))
     assert SH.advance(spark, home, schema, "30 days").count() == 0
     assert SH.arriving_history(spark, "/root/testdata/sf0.001", slices=2).where("late_lines > 0").count() > 0
+
+
+def test_totals_run_on_over_batches_without_a_call_for_each_customer(spark):
+    closed = "customer_id bigint, day bigint, orders bigint, lines bigint, returns bigint"
+    first, totals = SH.histories(None, spark.createDataFrame([(1, 5, 1, 2, 1), (1, 3, 2, 4, 0), (None, 4, 1, 1, 1)], closed))
+    assert sorted(map(tuple, first.collect()), key=str) == sorted([(1, 3, 0, 0, 0, 4), (1, 5, 2, 4, 0, 2), (None, 4, 0, 0, 0, 1)], key=str)
+    later, after = SH.histories(totals, spark.createDataFrame([(1, 9, 1, 1, 1), (2, 4, 1, 1, 0), (None, 6, 1, 1, 0)], closed))
+    assert sorted(map(tuple, later.collect()), key=str) == sorted([(1, 9, 3, 6, 1, 1), (2, 4, 0, 0, 0, 1), (None, 6, 1, 1, 1, 1)], key=str)
+    assert sorted(map(tuple, after.collect()), key=str) == sorted([(1, 4, 7, 2, 9), (2, 1, 1, 0, 4), (None, 2, 2, 1, 6)], key=str)
+    assert "Pandas" not in later._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="day 5 of customer 1 was closed before"):
+        SH.histories(totals, spark.createDataFrame([(1, 5, 1, 1, 0)], closed))[0].collect()
