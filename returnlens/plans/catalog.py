@@ -59,7 +59,7 @@ def _rows(scored: DataFrame) -> DataFrame:
 
 
 def _production(spark, sf_dir) -> DataFrame:
-    return _actual(S.score_production(order_lines(spark, sf_dir)))
+    return _actual(S.score_production(order_lines(spark, sf_dir), keep=["return_status"]))
 
 
 def _canonical(spark, sf_dir):
@@ -95,12 +95,12 @@ def q_rule_score_imputed(spark, sf_dir):
 
 @query("rule_score_production")
 def q_rule_score_production(spark, sf_dir):
-    return _per_score(S.score_production(order_lines(spark, sf_dir)))
+    return _per_score(S.score_production(order_lines(spark, sf_dir), keep=["return_status"]))
 
 
 @query("rule_score_production_rows")
 def q_rule_score_production_rows(spark, sf_dir):
-    return _rows(S.score_production(order_lines(spark, sf_dir)))
+    return _rows(S.score_production(order_lines(spark, sf_dir), keep=["order_id", "line_no"]))
 
 
 @query("propensity")
@@ -121,7 +121,7 @@ def q_propensity(spark, sf_dir):
 @query("labels_and_bands")
 def q_labels_and_bands(spark, sf_dir):
     """SC5-SC12: every label and band ladder over the production scores."""
-    scored = S.score_production(order_lines(spark, sf_dir))
+    scored = S.score_production(order_lines(spark, sf_dir), keep=[])
     bands = AN.bands_table(scored.select("Return_Probability"))
     return (bands.groupBy("Return_Probability", "label", "confidence6", "confidence7",
                           "confidence_distance", "confidence2", "risk_band")
@@ -135,7 +135,7 @@ def q_labels_and_bands(spark, sf_dir):
 
 @query("probability_distribution")
 def q_probability_distribution(spark, sf_dir):
-    return EV.probability_distribution(S.score_production(order_lines(spark, sf_dir)))
+    return EV.probability_distribution(S.score_production(order_lines(spark, sf_dir), keep=[]))
 
 
 @query("confusion_metrics")
@@ -193,12 +193,14 @@ def q_tuned_decisions(spark, sf_dir):
     """SC4 → AG12 → SC6 → SC7 → SC10: the propensity as a score, its Youden
     threshold tuned against actual returns, decisions p >= t, labels and
     distance-to-threshold bands, counted."""
+    from ..session import materialize
     canon, _, _ = _canonical(spark, sf_dir)
     feats = {"price": F.col("product_price"), "category": F.col("product_category"),
              "delivery": F.col("delivery_time"), "rating": F.col("product_rating"),
              "return_rate": F.col("return_history_rate"), "discount": F.col("discount"),
              "quantity": F.col("order_quantity"), "age": F.col("customer_age")}
-    scored = canon.select(R.clamp(R.propensity("production", feats)).alias("p"), "target")
+    # stored: the tuning and the decisions read it, and the joins run once
+    scored = materialize(canon.select(R.clamp(R.propensity("production", feats)).alias("p"), "target"))
     t = EV.best_threshold(scored, "p", "target")
     out = S.score_with_probability(scored, F.col("p"), t, bands="distance")
     # A line without a score is no return: the comparison is false.
@@ -243,14 +245,14 @@ def q_top_categories(spark, sf_dir):
 @query("category_return_rate")
 def q_category_return_rate(spark, sf_dir):
     """AG16 + SO1 + SO2: mean predicted return per category, top 10."""
-    return AN.group_mean_top(S.score_production(order_lines(spark, sf_dir)),
+    return AN.group_mean_top(S.score_production(order_lines(spark, sf_dir), keep=["product_category"]),
                              "product_category", "Prediction", 10)
 
 
 @query("histograms")
 def q_histograms(spark, sf_dir):
     """AG17: price (20 bins), rating (10 bins), probability (20 bins)."""
-    scored = S.score_production(order_lines(spark, sf_dir))
+    scored = S.score_production(order_lines(spark, sf_dir), keep=["item_price", "product_rating"])
     return AN.histograms(scored, [("price", "item_price", K.HIST_BINS["price"]),
                                   ("rating", "product_rating", K.HIST_BINS["rating"]),
                                   ("probability", "Return_Probability", K.HIST_BINS["probability"])])
@@ -258,7 +260,7 @@ def q_histograms(spark, sf_dir):
 
 @query("risk_distribution")
 def q_risk_distribution(spark, sf_dir):
-    return AN.risk_distribution(S.score_production(order_lines(spark, sf_dir)))
+    return AN.risk_distribution(S.score_production(order_lines(spark, sf_dir), keep=[]))
 
 
 @query("dataset_summary")
@@ -461,7 +463,8 @@ def q_scoring_columns_fallback(spark, sf_dir):
 @query("filtered_results")
 def q_filtered_results(spark, sf_dir):
     """FI1 + FI2 + PR11 + PR12: confident predicted returns, display columns."""
-    scored = S.score_production(order_lines(spark, sf_dir))
+    lines = order_lines(spark, sf_dir)
+    scored = S.score_production(lines, keep=lines.columns)
     return PR.display_columns(AN.filter_results(scored, 0.6, "Return"), 10)
 
 
@@ -472,7 +475,8 @@ def q_filtered_download(spark, sf_dir):
     from ..session import scratch_path
     from ..sources import files as FS
     path = scratch_path(spark, "csv")
-    FS.write_csv(AN.filter_results(S.score_production(order_lines(spark, sf_dir)), 0.6, "Return"), path)
+    lines = order_lines(spark, sf_dir)
+    FS.write_csv(AN.filter_results(S.score_production(lines, keep=lines.columns), 0.6, "Return"), path)
     return FS.read_csv(spark, path, infer=True)
 
 
@@ -709,7 +713,7 @@ def q_folds(spark, sf_dir):
 def q_format_rates(spark, sf_dir):
     """SF1: per shipping method, predicted return rate as '12.34%' and mean
     probability as '0.123' beside the raw doubles."""
-    scored = S.score_production(order_lines(spark, sf_dir))
+    scored = S.score_production(order_lines(spark, sf_dir), keep=["shipping_method"])
     g = scored.groupBy("shipping_method").agg(F.avg(F.col("Prediction").cast("double")).alias("rate"),
                                               F.avg("Return_Probability").alias("mean_p"))
     return g.select("shipping_method", FM.percent(F.col("rate")).alias("return_rate"),

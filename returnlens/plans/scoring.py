@@ -8,6 +8,8 @@ Prediction_Label, Confidence_Level.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +84,14 @@ def score_quick(df: DataFrame, numeric_fallback: bool = True) -> DataFrame:
     return decorate(df, quick_probability(df, numeric_fallback), "six")
 
 
-def production_probability(df: DataFrame) -> Column:
+def production_columns(columns: Sequence[str]) -> list[str]:
+    """The columns that some rule family of SC3 reads."""
+    leak = set(N.leakage_columns(columns, "substring"))
+    return [c for c in columns if c not in leak
+            and any(N.contains_any(c, words) for words, _ in K.PRODUCTION_RULES)]
+
+
+def production_probability(df: DataFrame, stored: bool = False) -> Column:
     """SC3 probability: batch preparation (TR15: leakage drop, column
     coercion, median/mode fill), then the four rule families over the
     prepared columns; text values coerce per cell and mostly add nothing."""
@@ -91,17 +100,22 @@ def production_probability(df: DataFrame) -> Column:
     # original columns), and of those only the ones with missing cells need
     # batch statistics: a fill changes nothing in a complete column, and
     # per-cell coercion of complete text equals converting the column.
-    leak = set(N.leakage_columns(base.columns, "substring"))
-    used = [c for c in base.columns if c not in leak
-            and any(N.contains_any(c, words) for words, _ in K.PRODUCTION_RULES)]
-    fills, _, numeric = TR.scoring_fills(base, only=used)
+    used = production_columns(base.columns)
+    fills, _, numeric = TR.scoring_fills(base, only=used, stored=stored)
     cols = [(c, fills[c] if c in numeric else text_to_double(fills[c])) for c in used]
     return R.clamp(R.production_rule_score(cols))
 
 
-def score_production(df: DataFrame) -> DataFrame:
-    """SC3 (+SC5, SC7, SC9) over the input; every input column is kept."""
-    return decorate(df, production_probability(df), "seven")
+def score_production(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """SC3 (+SC5, SC7, SC9) over the input; every input column is kept.
+
+    With ``keep``, of the input only these columns and those that the rules read;
+    they are stored once, so the plan behind ``df`` (joins, for example) runs
+    once for the batch statistics and the scores."""
+    if keep is not None:
+        wanted = {*keep, *production_columns(_inputs(df))}
+        df = materialize(df.select(*[qcol(c) for c in df.columns if c in wanted]))
+    return decorate(df, production_probability(df, stored=keep is not None), "seven")
 
 
 def score_with_probability(df: DataFrame, p: Column, threshold: float | None,

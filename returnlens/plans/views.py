@@ -9,8 +9,10 @@ large-large join and is a shuffle (sort-merge) join on the order key;
 the dimension joins (customer, nation, part) are left to the planner, which
 broadcasts a side only while its measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles (AQE
-re-plans at run time and splits skewed keys).  Each scan keeps only the
-columns used here.
+re-plans at run time and splits skewed keys).  Lines are shuffled at most twice,
+while they are narrow: by part first, then by order, where the customer is joined
+to the orders already; the few nations come last, so their names are in no shuffle.
+Each scan keeps only the columns used here.
 """
 
 from __future__ import annotations
@@ -50,10 +52,10 @@ def order_lines_from(li: DataFrame, od: DataFrame, cu: DataFrame, na: DataFrame,
                      pa: DataFrame) -> DataFrame:
     """The view over given inputs (``li`` may be a stream: stream-static
     joins).  Adds ``order_date`` (DATE) and ``order_ts`` (event time)."""
-    j = (li.join(od, li.l_orderkey == od.o_orderkey)
-         .join(cu, F.col("o_custkey") == F.col("c_custkey"))
-         .join(na, F.col("c_nationkey") == F.col("n_nationkey"))
-         .join(pa, F.col("l_partkey") == F.col("p_partkey")))
+    placed = od.join(cu, F.col("o_custkey") == F.col("c_custkey"))
+    j = (li.join(pa, F.col("l_partkey") == F.col("p_partkey"))
+         .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+         .join(na, F.col("c_nationkey") == F.col("n_nationkey")))
 
     null_d = F.lit(None).cast("double")
     null_i = F.lit(None).cast("int")

@@ -94,3 +94,14 @@ def test_production_scorer_uses_batch_fill(spark):
     # row 3: price 10 (-0.1), rating 4.5 (-0.2), delivery 8 (+0.15)
     assert got[2][0] == 0.3 - 0.1 - 0.2 + 0.15
     assert got[0][2] == "Returned"  # leakage columns stay in the output
+
+
+def test_production_scorer_runs_the_plan_behind_its_input_once(spark):
+    """With ``keep`` the scores, also of the rows that fill statistics came from, read a stored table."""
+    df = spark.createDataFrame([(150.0, None, 5, "a"), (None, 2.0, 0, "b"), (10.0, 4.5, 0, None)],
+                               "item_price double, product_rating double, discount int, note string")
+    joined = df.join(df.select("note", F.lit(1).alias("other")), "note", "left")
+    kept = S.score_production(joined, keep=["note"])
+    assert kept.columns[:4] == ["note", "item_price", "product_rating", "discount"] and "other" not in kept.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, S.score_production(joined).drop("other").collect()))
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
