@@ -33,13 +33,17 @@ def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def trimmed(c: Column) -> Column:
+    """Text without the white space of ``\\s`` around it."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def text_to_double(c: Column) -> Column:
     """Strict text → DOUBLE; NULL when the text is not a number."""
-    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
     return (
-        F.when(c.rlike(_DECIMAL_TEXT), trimmed.try_cast("double"))
+        F.when(c.rlike(_DECIMAL_TEXT), trimmed(c).try_cast("double"))
         .when(c.rlike(_INFINITY_TEXT),
-              F.when(trimmed.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+              F.when(trimmed(c).startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
     )
 
 

@@ -10,11 +10,13 @@ Parquet is the default sink.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import nan_to_null, qcol, text_to_double
+from ..functions.coerce import nan_to_null, qcol, text_to_double, trimmed
 
 # FIXED VALUES: text that counts as a missing cell (the common CSV NA set).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -28,8 +30,22 @@ _WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 
 def _fits(c: Column) -> dict[str, Column]:
     """Whether a cell's text is of each type, from the least type up."""
-    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return {"boolean": c.isin(*TRUTHS), "bigint": c.rlike(_WHOLE) & trimmed.try_cast("bigint").isNotNull(), "double": text_to_double(c).isNotNull()}
+    return {"boolean": c.isin(*TRUTHS), "bigint": c.rlike(_WHOLE) & trimmed(c).try_cast("bigint").isNotNull(), "double": text_to_double(c).isNotNull()}
+
+
+def _fit_counts(text: DataFrame, open_types: dict[str, Sequence[str]]) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """Cells of each column, and those that fit each of its ``open_types``."""
+    aggs = []
+    for i, (name, kinds) in enumerate(open_types.items()):
+        fits = _fits(qcol(name))
+        aggs += [F.count(qcol(name)).alias(f"n{i}"), *[F.count_if(fits[kind]).alias(f"{kind}{i}") for kind in kinds]]
+    row = text.agg(*aggs).first()
+    return ({name: row[f"n{i}"] for i, name in enumerate(open_types)},
+            {(name, kind): row[f"{kind}{i}"] for i, (name, kinds) in enumerate(open_types.items()) for kind in kinds})
+
+
+#: Rows that ``infer_types`` looks at for types that are ruled out.
+FIRST_ROWS = 1_000
 
 
 def infer_types(text: DataFrame) -> dict[str, str]:
@@ -37,23 +53,24 @@ def infer_types(text: DataFrame) -> dict[str, str]:
     that fits all its cells but NULL; a column without cells is double.
 
     The counts of fitting cells add up, so this is one aggregate of the table,
-    whatever its parts; whole numbers beyond 64 bits are double."""
-    aggs = []
-    for i, name in enumerate(text.columns):
-        aggs += [F.count(qcol(name)).alias(f"n{i}"), *[F.count_if(fit).alias(f"{kind}{i}") for kind, fit in _fits(qcol(name)).items()]]
-    if not aggs:
+    whatever its parts; whole numbers beyond 64 bits are double.  One cell that does not
+    fit rules a type out, so types that a cell of ``FIRST_ROWS`` rows rules out are not
+    tried on the others; every cell is tried for each type that may still be."""
+    if not text.columns:
         return {}
-    row = text.agg(*aggs).first()
-    return {name: "double" if not row[f"n{i}"] else next((k for k in ("boolean", "bigint", "double") if row[f"{k}{i}"] == row[f"n{i}"]), "string")
-            for i, name in enumerate(text.columns)}
+    kinds = dict.fromkeys(text.columns, ("boolean", "bigint", "double"))
+    some, fit = _fit_counts(text.limit(FIRST_ROWS), kinds)
+    left = {name: [kind for kind in tried if fit[name, kind] == some[name]] for name, tried in kinds.items()}
+    cells, fit = _fit_counts(text, left)
+    return {name: "double" if not cells[name] else next((k for k in left[name] if fit[name, k] == cells[name]), "string")
+            for name in text.columns}
 
 
 def with_types(text: DataFrame, types: dict[str, str]) -> DataFrame:
     """The text columns of ``types`` as these types; every cell has to fit."""
     def as_type(name: str) -> Column:
         c = qcol(name)
-        trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
-        return {"boolean": F.lower(c) == "true", "bigint": trimmed.cast("bigint"), "double": text_to_double(c)}.get(types.get(name), c)
+        return {"boolean": F.lower(c) == "true", "bigint": trimmed(c).cast("bigint"), "double": text_to_double(c)}.get(types.get(name), c)
 
     return text.select(*[as_type(name).alias(name) for name in text.columns])
 

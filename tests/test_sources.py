@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from returnlens.sources import files as FS
 
@@ -84,3 +85,22 @@ def test_inferred_types_are_the_least_that_fit(spark):
     assert [t for _, t in out.dtypes] == list(types.values())
     assert [tuple(r)[:3] for r in out.collect()] == [(True, 1, 1.0), (False, -2, 2.5), (None, None, float("inf"))]
     assert FS.infer_types(text.limit(0)) == dict.fromkeys(cells, "double")
+
+
+def test_a_cell_after_the_first_rows_still_rules_a_type_out(spark, monkeypatch):
+    """Types that the first rows rule out are not tried on the others; all cells are tried for the rest."""
+    tried = []
+    counted = FS._fit_counts
+    monkeypatch.setattr(FS, "FIRST_ROWS", 2)
+    monkeypatch.setattr(FS, "_fit_counts", lambda text, kinds: (tried.append({c: list(k) for c, k in kinds.items()}), counted(text, kinds))[1])
+    rows_in = [("x", "1", None, "1", "true"), ("y", "2", None, "2", "false"), ("1", "3", "7", "2.5", "1"), ("2", "4", None, "x", "true")]
+    text = spark.createDataFrame(rows_in, "s string, i string, late string, turns string, b string").coalesce(1)
+    assert FS.infer_types(text) == {"s": "string", "i": "bigint", "late": "bigint", "turns": "string", "b": "string"}
+    assert tried[1] == {"s": [], "i": ["bigint", "double"], "late": ["boolean", "bigint", "double"], "turns": ["bigint", "double"], "b": ["boolean"]}
+
+
+def test_white_space_around_numbers(spark):
+    from returnlens.functions.coerce import text_to_double
+    cells = [" 1", "2\t", "\n3\r\n", "\x0b\f4", " -inf ", "5 6", "", "  ", " 7", None]
+    got = spark.createDataFrame([(c,) for c in cells], "t string").select(text_to_double(F.col("t"))).collect()
+    assert [r[0] for r in got] == [1.0, 2.0, 3.0, 4.0, float("-inf"), None, None, None, None, None]
