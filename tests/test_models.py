@@ -145,3 +145,25 @@ def test_one_hot_categories_come_from_all_lines(spark, monkeypatch):
     got = {(r["column"], r["value"]) for r in catalog.q_one_hot_sums(spark, SF_MID).collect()}
     for c in ("shipping_method", "payment_method"):
         assert {v for k, v in got if k == c and v is not None} == {r[0] for r in seen.select(c).distinct().collect()}
+
+
+def test_regression_on_categories_is_fitted_on_their_combinations(spark, monkeypatch):
+    rows_in = [("a", 1)] * 30 + [("a", 0)] * 10 + [("b", 1)] * 6 + [("b", 0)] * 18 + [(None, 1)] * 4 + [("b", None)] * 0
+    df = spark.createDataFrame(rows_in, "c string, y int")
+    seen = []
+    fit = ML.Pipeline.fit
+    monkeypatch.setattr(ML.Pipeline, "fit", lambda self, rows: (seen.append(rows.count()), fit(self, rows))[1])
+    model = ML.fit(df, [], ["c"], "y", "lr")
+    assert seen == [4]
+    got = {r["c"]: r["p"] for r in model.score(df).select("c", "p").distinct().collect()}
+    assert abs(got["b"] - 0.25) < 1e-4 and abs(got["a"] - 34 / 44) < 1e-4 and got[None] == got["a"]
+
+
+def test_evaluation_scores_rows_once(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1)] * 3 + [("a", 0)] + [("b", 0)] * 4, "c string, y int")
+    model = ML.fit(df, [], ["c"], "y", "lr")
+    report = ML.evaluate_model(model, df, "y", spread=True)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan and "LocalTableScan" not in plan
+    row = report.first()
+    assert (row["tn"], row["fp"], row["fn"], row["tp"]) == (4, 1, 0, 3) and abs(row["probability_max"] - 0.75) < 1e-4
