@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.coerce import column_to_double
+from ..operators.projections import scoring_columns
+from ..operators.transforms import fit_medians
 from ..plans.scoring import decorate
 from ..plans.views import ORDER_LINES_COLUMNS, order_lines_with_dates
 from ..session import ensure_checkpoint_dir, materialize, scratch_path
@@ -88,8 +90,6 @@ def run_to_parquet(df: DataFrame, path: str, name: str | None = None,
 
 def stream_medians(lines: DataFrame) -> dict[str, float]:
     """Fit the SC2 medians on a batch of lines (the frozen statistics)."""
-    from ..operators.projections import scoring_columns
-    from ..operators.transforms import fit_medians
     return fit_medians(lines, scoring_columns(lines.select(*ORDER_LINES_COLUMNS)))
 
 
@@ -102,8 +102,11 @@ def arriving_window_rates(spark: SparkSession, sf_dir: str, slices: int = 4, wat
     windows are appended to a Parquet table.  Lines later than the watermark
     would be left out; within a slice order does not matter.  A last row far
     ahead closes the windows that remain."""
-    lines = materialize(order_lines_with_dates(spark, sf_dir))
-    medians = stream_medians(lines)
+    lines = order_lines_with_dates(spark, sf_dir)
+    used = scoring_columns(lines.select(*ORDER_LINES_COLUMNS))
+    # what is scored and counted is stored and lands, not the whole line
+    lines = materialize(lines.select(*used, "return_status", "order_date", "order_ts"))
+    medians = fit_medians(lines, used)
     lo, hi = lines.agg(F.min("order_date"), F.max("order_date")).first()
     home = scratch_path(spark, "streams")
     landing, out = os.path.join(home, "landing"), os.path.join(home, "rates")
