@@ -10,7 +10,7 @@ the dimension joins (customer, nation, part) are left to the planner, which
 broadcasts a side only while its measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles (AQE
 re-plans at run time and splits skewed keys).  Lines are shuffled at most twice,
-while they are narrow: by part first, then by order, where the customer is joined
+narrowed before the first (flags in a byte, dates in days): by part first, then by order, where the customer is joined
 to the orders already; the few nations come last, so their names are in no shuffle.
 Each scan keeps only the columns used here.
 """
@@ -48,12 +48,32 @@ LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_
                     "l_discount", "l_returnflag", "l_shipdate"]
 
 
+#: Bits of a line's flags.
+NO_AGE, NO_RATING, RETURNED = 1, 2, 4
+
+
 def order_lines_from(li: DataFrame, od: DataFrame, cu: DataFrame, na: DataFrame,
                      pa: DataFrame) -> DataFrame:
     """The view over given inputs (``li`` may be a stream: stream-static
     joins).  Adds ``order_date`` (DATE) and ``order_ts`` (event time)."""
-    placed = od.join(cu, F.col("o_custkey") == F.col("c_custkey"))
-    j = (li.join(pa, F.col("l_partkey") == F.col("p_partkey"))
+    # Lines and orders are narrowed before they are shuffled: what one row tells by
+    # itself is worked out there, flags share a byte, dates are days.
+    lines = li.select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
+        F.when(_blank_every(25), F.lit(None).cast("double")).otherwise(F.col("l_extendedprice")).alias("price"),
+        F.round(F.col("l_discount") * 100).alias("percent"),
+        sum([F.when(flag, bit).otherwise(0) for flag, bit in (
+            (_blank_every(27), NO_AGE), (_blank_every(29), NO_RATING),
+            (F.col("l_returnflag") == "R", RETURNED))], F.lit(0)).cast("tinyint").alias("marks"),
+        F.to_date("l_shipdate").alias("ship_date"))
+    placed = od.withColumn("o_orderdate", F.to_date("o_orderdate")).join(cu, F.col("o_custkey") == F.col("c_custkey"))
+
+    def marked(bit: int) -> F.Column:
+        return F.col("marks").bitwiseAND(F.lit(bit)) != 0
+
+    j = (lines.join(pa, F.col("l_partkey") == F.col("p_partkey"))
+         .select("l_orderkey", "l_linenumber", "l_quantity", "price", "percent", "marks", "ship_date", "p_type",
+                 (F.col("p_size") % 9).alias("size"))
          .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(na, F.col("c_nationkey") == F.col("n_nationkey")))
 
@@ -64,23 +84,23 @@ def order_lines_from(li: DataFrame, od: DataFrame, cu: DataFrame, na: DataFrame,
         F.col("l_linenumber").alias("line_no"),
         F.col("o_custkey").alias("customer_id"),
         F.col("p_type").alias("product_category"),
-        F.when(_blank_every(25), null_d).otherwise(F.col("l_extendedprice") / F.lit(500.0)).alias("item_price"),
+        (F.col("price") / F.lit(500.0)).alias("item_price"),
         F.col("l_quantity").cast("int").alias("order_quantity"),
-        F.when(_blank_every(27), null_i)
+        F.when(marked(NO_AGE), null_i)
          .otherwise((F.lit(18) + F.col("c_custkey") % 63).cast("int")).alias("customer_age"),
         F.col("n_name").alias("customer_location"),
         F.col("c_mktsegment").alias("payment_method"),
         F.col("o_orderpriority").alias("shipping_method"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("discount"),
-        (F.lit(1) + F.abs(F.datediff(F.col("l_shipdate"), F.col("o_orderdate"))) % 30)
+        F.col("percent").cast("int").alias("discount"),
+        (F.lit(1) + F.abs(F.datediff(F.col("ship_date"), F.col("o_orderdate"))) % 30)
         .cast("int").alias("delivery_days"),
-        F.when(_blank_every(29), null_d)
-         .otherwise(F.lit(1.0) + (F.col("p_size") % 9) / F.lit(2.0)).alias("product_rating"),
-        F.when(F.col("l_returnflag") == "R", F.lit("Returned"))
+        F.when(marked(NO_RATING), null_d)
+         .otherwise(F.lit(1.0) + F.col("size") / F.lit(2.0)).alias("product_rating"),
+        F.when(marked(RETURNED), F.lit("Returned"))
          .otherwise(F.lit("Not Returned")).alias("return_status"),
-        F.to_date(F.col("o_orderdate")).alias("order_date"),
+        F.col("o_orderdate").alias("order_date"),
         # event time at UTC midnight of the order date, whatever the session zone
-        F.timestamp_seconds(F.unix_date(F.to_date(F.col("o_orderdate"))).cast("long") * 86400)
+        F.timestamp_seconds(F.unix_date(F.col("o_orderdate")).cast("long") * 86400)
         .alias("order_ts"),
     )
 

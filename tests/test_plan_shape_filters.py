@@ -56,3 +56,13 @@ def test_histograms_match_single_histograms(spark):
 def test_histograms_of_an_all_null_column_are_empty(spark):
     df = spark.createDataFrame([(None,), (None,)], "a double")
     assert AN.histograms(df, [("a", "a", 3)]).count() == 0
+
+
+def test_lines_are_narrow_before_they_are_shuffled(spark):
+    """Flags, prices and dates of a line are worked out below the joins."""
+    wanted = ["item_price", "product_rating", "discount", "delivery_days", "shipping_method", "return_status"]
+    plan = order_lines(spark, SF_SMALL).select(*wanted)._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in reversed(plan.splitlines()) if "Project" in x and "l_partkey" in x)
+    assert "AS marks" in line and "AS price" in line and "AS ship_date" in line and "AS percent" in line
+    above = plan[:plan.index(line)]
+    assert "l_returnflag" not in above and "l_shipdate" not in above and "l_linenumber" not in above and "l_extendedprice" not in above
