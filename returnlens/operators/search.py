@@ -147,22 +147,57 @@ class Design:
     def names(self) -> list[str]:
         return [*self.prep.numeric, *(f"{c}={v}" for c in self.prep.categorical for v in self.values[c]), "(intercept)"]
 
-    def matrix(self, batch: pa.RecordBatch) -> np.ndarray:
-        """A row for each of ``batch`` (numeric and categorical columns first)."""
-        parts = []
+    def slots(self) -> Iterator[tuple[int, int]]:
+        """(first feature, number of values) of each categorical column."""
+        at = len(self.prep.numeric)
+        for c in self.prep.categorical:
+            yield at, len(self.values[c])
+            at += len(self.values[c])
+
+    def parts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The features of a batch of ``_rows_for``: a row for each number and one of
+        ones; for each categorical column the rows' slots, from 1 (0: none)."""
+        numbers = np.ones((len(self.prep.numeric) + 1, batch.num_rows))
         for i, c in enumerate(self.prep.numeric):
             x = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
             mean, std = self.prep.scaler.get(c, (0.0, 1.0))
-            parts.append(((np.where(np.isnan(x), self.prep.medians[c], x) - (mean or 0.0)) / (std or 1.0))[:, None])
+            numbers[i] = (np.where(np.isnan(x), self.prep.medians[c], x) - (mean or 0.0)) / (std or 1.0)
+        slots = []
         for i, c in enumerate(self.prep.categorical, len(self.prep.numeric)):
-            at = {v: k for k, v in enumerate(self.values[c])}
-            coded = batch.column(i).dictionary_encode()
-            code = np.array([at.get(v, -1) for v in coded.dictionary.to_pylist()] + [at.get(self.prep.modes[c], -1)])
-            slot = code[coded.indices.fill_null(len(code) - 1).to_numpy(zero_copy_only=False)]
-            hot = np.zeros((batch.num_rows, len(at)))
-            hot[np.flatnonzero(slot >= 0), slot[slot >= 0]] = 1.0
-            parts.append(hot)
-        return np.hstack([*parts, np.ones((batch.num_rows, 1))])
+            code, mode = batch.column(i).to_numpy().astype(np.intp), self.prep.modes[c]
+            missing = self.values[c].index(mode) if mode in self.values[c] else UNKNOWN
+            slots.append(np.where(code == MISSING, missing, code) + 1)
+        return numbers, slots
+
+    def margin(self, w: np.ndarray, numbers: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+        """x w of each row."""
+        out = np.append(w[:len(numbers) - 1], w[-1]) @ numbers
+        for own, (at, size) in zip(slots, self.slots()):
+            out += np.append(0.0, w[at:at + size])[own]
+        return out
+
+    def total(self, v: np.ndarray | None, numbers: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+        """Sum of v x over the rows; without ``v`` the rows whose x is not zero."""
+        first = np.count_nonzero(numbers, axis=1) if v is None else numbers @ v
+        return np.concatenate([first[:-1], *(np.bincount(own, v, size + 1)[1:] for own, (_, size) in zip(slots, self.slots())), first[-1:]])
+
+    def curvature(self, v: np.ndarray, numbers: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+        """Sum of v x x' over the rows.  A row has one slot of a categorical column:
+        sums by slot, and by pairs of slots, stand for products with its zeros."""
+        at = [*range(len(numbers) - 1), -1]
+        n = len(numbers) - 1 + sum(size for _, size in self.slots()) + 1
+        out, weighted = np.zeros((n, n)), numbers * v
+        out[np.ix_(at, at)] = weighted @ numbers.T
+        before: list[tuple[int, int, np.ndarray]] = []
+        for own, (a, size) in zip(slots, self.slots()):
+            for i, x in zip(at, weighted):
+                out[i, a:a + size] = out[a:a + size, i] = np.bincount(own, x, size + 1)[1:]
+            np.fill_diagonal(out[a:a + size, a:a + size], out[-1, a:a + size])
+            for b, width, other in before:
+                pairs = np.bincount(own * (width + 1) + other, v, (size + 1) * (width + 1)).reshape(size + 1, width + 1)[1:, 1:]
+                out[a:a + size, b:b + width], out[b:b + width, a:a + size] = pairs, pairs.T
+            before.append((a, size, own))
+        return out
 
 
 @dataclass
@@ -183,20 +218,43 @@ class Regression:
         return self.l1 * float(np.abs(w[:-1]).sum()) + self.l2 / 2 * float((w[:-1] ** 2).sum())
 
 
+#: Codes of a cell without a value, and of one whose value has no slot.
+MISSING, UNKNOWN = -2, -1
+
+
 def _rows_for(df: DataFrame, design: Design, label: str, fold_col: str | None) -> DataFrame:
+    """(x0, ..., c0, ..., fold, y): numbers, the place of each category among its
+    column's values, fold and label.  What each step reads of a stored one is numbers
+    only: texts are looked up once."""
+    numeric, categorical = design.prep.numeric, design.prep.categorical
     fold = qcol(fold_col).cast("int") if fold_col else F.lit(0)
-    return df.select(*[column_to_double(df, c).alias(c) for c in design.prep.numeric], *[qcol(c).cast("string").alias(c) for c in design.prep.categorical],
-                     fold.alias("__fold"), qcol(label).cast("double").alias("__y"))
+    rows = df.select(*[column_to_double(df, c).alias(f"x{i}") for i, c in enumerate(numeric)], *[qcol(c).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)],
+                     fold.alias("fold"), qcol(label).cast("double").alias("y"))
+    places = [{v: k for k, v in enumerate(design.values[c])} for c in categorical]
+    if not places:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns
+            for i, at in enumerate(places, len(numeric)):
+                cells = columns[i].dictionary_encode()
+                code = np.array([at.get(v, UNKNOWN) for v in cells.dictionary.to_pylist()] + [MISSING], np.int32)
+                columns[i] = pa.array(code[cells.indices.fill_null(len(code) - 1).to_numpy(zero_copy_only=False)])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    kinds = [f"x{i} double" for i in range(len(numeric))] + [f"c{i} int" for i in range(len(categorical))]
+    return rows.mapInArrow(run, ", ".join([*kinds, "fold int", "y double"]))
 
 
 def _per_design(batch: pa.RecordBatch, designs: dict[int | None, Design], fits: list[Regression]):
-    """(fit's number, fit, its rows' mask, matrix, y) for each fit."""
+    """(fit's number, fit, its rows' mask, its design and the batch's parts, y) for each fit."""
     folds, y = (batch.column(batch.num_columns - k).to_numpy(zero_copy_only=False) for k in (2, 1))
-    made: dict[int | None, np.ndarray] = {}
+    made: dict[int | None, tuple] = {}
     for i, fit in enumerate(fits):
         if fit.fold not in made:
-            made = {fit.fold: designs[fit.fold].matrix(batch)}      # fits come by fold: one matrix at a time
-        yield i, fit, folds == fit.fold, made[fit.fold], y
+            made = {fit.fold: designs[fit.fold].parts(batch)}      # fits come by fold: one design at a time
+        yield i, fit, folds == fit.fold, designs[fit.fold], made[fit.fold], y
 
 
 def _added(parts: DataFrame, schema: str) -> list:
@@ -214,13 +272,14 @@ def _added(parts: DataFrame, schema: str) -> list:
 
 
 def fit_regressions(df: DataFrame, designs: dict[int | None, Design], fits: list[Regression], label: str, fold_col: str | None = None,
-                    tol: float = 1e-9, max_steps: int = 100, max_width: int = 2_000) -> list[Regression]:
-    """Fits all of ``fits`` (with ``w`` set on return), a scan of ``df`` a step.
+                    tol: float = 1e-9, max_steps: int = 100, max_width: int = 2_000, rows: DataFrame | None = None) -> list[Regression]:
+    """Fits all of ``fits`` (with ``w`` set on return), a scan a step of ``rows``, the
+    rows of ``df`` that ``_rows_for`` makes, stored here unless they are given.
     A fit that has not converged after ``max_steps`` is an error."""
     width = max(len(d.names()) for d in designs.values())
     if width > max_width:
         raise ValueError(f"{width} features; curvature is kept for {max_width} at most")
-    rows = _rows_for(df, next(iter(designs.values())), label, fold_col)
+    rows = materialize(_rows_for(df, next(iter(designs.values())), label, fold_col)) if rows is None else rows
     fits = sorted(fits, key=lambda f: (f.fold is None, f.fold or 0))
     tried = {}
     for i, f in enumerate(fits):
@@ -235,15 +294,15 @@ def fit_regressions(df: DataFrame, designs: dict[int | None, Design], fits: list
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for k, fit, own, x, y in _per_design(batch, designs, [f for _, f in asked]):
-                    use = ~own if fit.fold is not None else np.ones(len(y), bool)
-                    x_, y_ = x[use], y[use]
-                    weight = np.where(y_ == 1.0, fit.weights[1], fit.weights[0])
-                    margin = x_ @ fit.w
+                for k, fit, own, design, x, y in _per_design(batch, designs, [f for _, f in asked]):
+                    weight = np.where(y == 1.0, fit.weights[1], fit.weights[0])
+                    if fit.fold is not None:
+                        weight[own] = 0.0
+                    margin = design.margin(fit.w, *x)
                     p = 1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700)))
-                    loss = (weight * (np.logaddexp(0.0, margin) - y_ * margin)).sum()
-                    gradient = x_.T @ (weight * (p - y_))
-                    curve = x_.T @ (x_ * (weight * p * (1 - p))[:, None])
+                    loss = (weight * (np.logaddexp(0.0, margin) - y * margin)).sum()
+                    gradient = design.total(weight * (p - y), *x)
+                    curve = design.curvature(weight * p * (1 - p), *x)
                     packed = np.concatenate(([weight.sum(), loss], gradient, curve.ravel()))
                     sums[asked[k][0]] = sums[asked[k][0]] + packed if asked[k][0] in sums else packed
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["fit", "sums"])
@@ -302,8 +361,8 @@ def regression_cells(df: DataFrame, designs: dict[int | None, Design], fits: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _, fit, own, x, y in _per_design(batch, designs, fits):
-                got, real = x[own] @ fit.w >= 0.0, y[own] == 1.0
+            for _, fit, own, design, x, y in _per_design(batch, designs, fits):
+                got, real = design.margin(fit.w, *x)[own] >= 0.0, y[own] == 1.0
                 out.append((fit.params, fit.fold, *(int((a & b).sum()) for a, b in ((~real, ~got), (~real, got), (real, ~got), (real, got)))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), CELLS.types)], names=CELLS.names)
 
@@ -352,24 +411,45 @@ def plain_design(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     return Design(prep, {c: sorted(r["v"] for r in found if r["c"] == c) for c in categorical})
 
 
-def score_equations(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, balanced: bool = False) -> DataFrame:
+@dataclass
+class Prepared:
+    """What regressions of one label on ``rows`` (``_rows_for``, stored) read."""
+    rows: DataFrame
+    design: Design
+    classes: dict[int, int]
+
+
+def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str) -> Prepared:
+    """The features of ``df``, its preparation and rows of each class, for any number of fits."""
+    df = materialize(df.select(*[qcol(c) for c in dict.fromkeys([*numeric, *categorical, label])]))
+    design = plain_design(df, numeric, categorical)
+    rows = materialize(_rows_for(df, design, label, None))
+    return Prepared(rows, design, {int(r[0]): r[1] for r in rows.groupBy(F.col("y").cast("int")).count().collect()})
+
+
+def score_equations(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, balanced: bool = False,
+                    prepared: Prepared | None = None) -> DataFrame:
     """(feature, rows, residual): of an unpenalised regression fitted on ``df``
     the sum of weight * (y - p) * x over each feature's rows with x other than
-    zero, and their number.  The fit is right where all sums are zero."""
-    df = materialize(df)
-    design = plain_design(df, numeric, categorical)
-    n = {int(r[0]): r[1] for r in df.groupBy(qcol(label).cast("int")).count().collect()}
+    zero, and their number.  The fit is right where all sums are zero.
+    ``prepared`` is what ``prepare`` has made of the same rows and columns."""
+    ready = prepare(df, numeric, categorical, label) if prepared is None else prepared
+    design, n = ready.design, ready.classes
     weights = tuple(sum(n.values()) / (len(n) * n[k]) if balanced and n.get(k) else 1.0 for k in (0, 1))
-    fit = fit_regressions(df, {None: design}, [Regression(None, weights=weights)], label)[0]
+    fit = fit_regressions(df, {None: design}, [Regression(None, weights=weights)], label, rows=ready.rows)[0]
     names = design.names()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
         for batch in batches:
-            for _, _, _, x, y in _per_design(batch, {None: design}, [fit]):
-                left = np.where(y == 1.0, *weights[::-1]) * (y - 1.0 / (1.0 + np.exp(-(x @ fit.w))))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array((x != 0).sum(0), pa.int64()), pa.array(x.T @ left)], names=["feature", "rows", "residual"])
-
-    return _rows_for(df, design, label, None).mapInArrow(run, "feature string, rows bigint, residual double").groupBy("feature").agg(
+            for _, _, _, _, x, y in _per_design(batch, {None: design}, [fit]):
+                left = np.where(y == 1.0, *weights[::-1]) * (y - 1.0 / (1.0 + np.exp(-design.margin(fit.w, *x))))
+                own = design.total(None, *x), design.total(left, *x)
+                sums = own if sums is None else tuple(a + b for a, b in zip(sums, own))
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums[0], pa.int64()), pa.array(sums[1])], names=["feature", "rows", "residual"])
+
+    return ready.rows.mapInArrow(run, "feature string, rows bigint, residual double").groupBy("feature").agg(
         F.sum("rows").alias("rows"), F.sum("residual").alias("residual"))
 
 

@@ -115,3 +115,19 @@ def test_grid_search_ranks_all_candidates(table):
     got = SE.grid_search(table, NUM, CAT, "y", grids).collect()
     assert [r["rank"] for r in got] == list(range(1, 8)) and len({(r["kind"], r["params"]) for r in got}) == 7
     assert [r["mean"] for r in got] == sorted((r["mean"] for r in got), reverse=True) and all(r["std"] >= 0 for r in got)
+
+
+def test_steps_read_numbers_and_their_sums_equal_dense_products(table):
+    prepared = SE.prepare(table.withColumn("d", F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string"))), NUM, ["c", "d"], "y")
+    assert {t for _, t in prepared.rows.dtypes} <= {"double", "int"}
+    batch = prepared.rows.toArrow().combine_chunks().to_batches()[0]
+    numbers, slots = prepared.design.parts(batch)
+    sizes = [n for _, n in prepared.design.slots()]
+    x = np.hstack([numbers[:-1].T, *(np.eye(n + 1)[own][:, 1:] for own, n in zip(slots, sizes)), numbers[-1:].T])
+    rng = np.random.default_rng(5)
+    v, w = rng.random(len(x)), rng.normal(size=x.shape[1])
+    assert x.shape == (700, len(prepared.design.names())) and prepared.design.values["d"] == ["0", "1", "2"]
+    assert np.allclose(prepared.design.margin(w, numbers, slots), x @ w)
+    assert np.allclose(prepared.design.total(v, numbers, slots), v @ x)
+    assert np.array_equal(prepared.design.total(None, numbers, slots), (x != 0).sum(0))
+    assert np.allclose(prepared.design.curvature(v, numbers, slots), x.T @ (x * v[:, None]))
