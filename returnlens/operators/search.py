@@ -6,9 +6,10 @@
 * **Many regressions in one scan.** All candidates and folds of a logistic
   regression keep their coefficients on the driver; a step is one pass that adds up
   every fit's loss, gradient and curvature (Newton's method; a penalty on absolute
-  values is met by coordinate descent on the same quadratic).  Fits that have
-  converged leave the later passes.  A step moves fits x D x D numbers a task, D
-  the length of the feature vector, which ``max_width`` bounds.
+  values is met by coordinate descent on the same quadratic).  What it reads is stored
+  in blocks of rows, as numbers.  Fits that have converged leave the later passes.  A
+  step moves fits x D x D numbers a task, D the length of the feature vector, which
+  ``max_width`` bounds.
 * **Prefixes of ensembles.** A boosted fit of 200 rounds holds the one of 100, a
   forest of 200 trees one of 100, and a tree grown to depth 30 those cut at 10 and
   15.  Only the largest of a family is fitted (Spark ML); one pass over the rows
@@ -220,18 +221,22 @@ class Regression:
 
 #: Codes of a cell without a value, and of one whose value has no slot.
 MISSING, UNKNOWN = -2, -1
+#: Rows of a block, and blocks that a step takes at once.  A step's batches hold some
+#: thousands of blocks: longer ones would make them too large for a task.
+BLOCK, TAKEN = 100, 100
 
 
-def _rows_for(df: DataFrame, design: Design, label: str, fold_col: str | None) -> DataFrame:
+def _rows_for(df: DataFrame, design: Design, label: str, fold_col: str | None, packed: bool = False) -> DataFrame:
     """(x0, ..., c0, ..., fold, y): numbers, the place of each category among its
-    column's values, fold and label.  What each step reads of a stored one is numbers
-    only: texts are looked up once."""
+    column's values, fold and label.  ``packed`` makes a row of each block of rows, its
+    columns the cells of one column side by side: steps read a stored one of these
+    (``_unpacked``), so texts are looked up once and cells are not moved one by one."""
     numeric, categorical = design.prep.numeric, design.prep.categorical
     fold = qcol(fold_col).cast("int") if fold_col else F.lit(0)
     rows = df.select(*[column_to_double(df, c).alias(f"x{i}") for i, c in enumerate(numeric)], *[qcol(c).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)],
                      fold.alias("fold"), qcol(label).cast("double").alias("y"))
     places = [{v: k for k, v in enumerate(design.values[c])} for c in categorical]
-    if not places:
+    if not places and not packed:
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +246,37 @@ def _rows_for(df: DataFrame, design: Design, label: str, fold_col: str | None) -
                 cells = columns[i].dictionary_encode()
                 code = np.array([at.get(v, UNKNOWN) for v in cells.dictionary.to_pylist()] + [MISSING], np.int32)
                 columns[i] = pa.array(code[cells.indices.fill_null(len(code) - 1).to_numpy(zero_copy_only=False)])
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([_packed(c, kind) for c, kind in zip(columns, _kinds(batch))] if packed else columns, names=batch.schema.names)
 
-    kinds = [f"x{i} double" for i in range(len(numeric))] + [f"c{i} int" for i in range(len(categorical))]
-    return rows.mapInArrow(run, ", ".join([*kinds, "fold int", "y double"]))
+    kinds = [f"x{i} double" for i in range(len(numeric))] + [f"c{i} int" for i in range(len(categorical))] + ["fold int", "y double"]
+    return rows.mapInArrow(run, ", ".join(f"{c} binary" for c in rows.columns) if packed else ", ".join(kinds))
+
+
+def _kinds(batch: pa.RecordBatch) -> list[type]:
+    """Types of a block's cells; places are below ``models.MAX_CATEGORIES``."""
+    return [np.int16 if name.startswith("c") else np.float64 for name in batch.schema.names]
+
+
+def _packed(cells: pa.Array, kind: type) -> pa.Array:
+    """The cells of one column by blocks; without a value: NaN."""
+    x = cells.to_numpy(zero_copy_only=False).astype(kind)
+    return pa.array([x[k:k + BLOCK].tobytes() for k in range(0, len(x), BLOCK)], pa.binary())
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks, some thousands at once."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, TAKEN):
+            blocks = whole.slice(k, TAKEN)
+            yield pa.RecordBatch.from_arrays([pa.array(_joined(c, kind)) for c, kind in zip(blocks.columns, _kinds(blocks))], names=blocks.schema.names)
+
+
+def _joined(blocks: pa.Array, kind: type) -> np.ndarray:
+    """The cells of a column's blocks, which lie side by side already."""
+    blocks = blocks.cast(pa.binary())
+    _, offsets, cells = blocks.buffers()
+    ends = np.frombuffer(offsets, np.int32)[blocks.offset:blocks.offset + len(blocks) + 1]
+    return np.frombuffer(cells, np.uint8)[ends[0]:ends[-1]].view(kind)
 
 
 def _per_design(batch: pa.RecordBatch, designs: dict[int | None, Design], fits: list[Regression]):
@@ -272,14 +304,14 @@ def _added(parts: DataFrame, schema: str) -> list:
 
 
 def fit_regressions(df: DataFrame, designs: dict[int | None, Design], fits: list[Regression], label: str, fold_col: str | None = None,
-                    tol: float = 1e-9, max_steps: int = 100, max_width: int = 2_000, rows: DataFrame | None = None) -> list[Regression]:
-    """Fits all of ``fits`` (with ``w`` set on return), a scan a step of ``rows``, the
-    rows of ``df`` that ``_rows_for`` makes, stored here unless they are given.
-    A fit that has not converged after ``max_steps`` is an error."""
+                    tol: float = 1e-9, max_steps: int = 100, max_width: int = 2_000, blocks: DataFrame | None = None) -> list[Regression]:
+    """Fits all of ``fits`` (with ``w`` set on return; by fold), a scan a step of
+    ``blocks``, which ``_rows_for`` packs of the rows of ``df``, stored here unless
+    they are given.  A fit that has not converged after ``max_steps`` is an error."""
     width = max(len(d.names()) for d in designs.values())
     if width > max_width:
         raise ValueError(f"{width} features; curvature is kept for {max_width} at most")
-    rows = materialize(_rows_for(df, next(iter(designs.values())), label, fold_col)) if rows is None else rows
+    blocks = materialize(_rows_for(df, next(iter(designs.values())), label, fold_col, packed=True)) if blocks is None else blocks
     fits = sorted(fits, key=lambda f: (f.fold is None, f.fold or 0))
     tried = {}
     for i, f in enumerate(fits):
@@ -293,7 +325,7 @@ def fit_regressions(df: DataFrame, designs: dict[int | None, Design], fits: list
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
-            for batch in batches:
+            for batch in _unpacked(batches):
                 for k, fit, own, design, x, y in _per_design(batch, designs, [f for _, f in asked]):
                     weight = np.where(y == 1.0, fit.weights[1], fit.weights[0])
                     if fit.fold is not None:
@@ -307,7 +339,7 @@ def fit_regressions(df: DataFrame, designs: dict[int | None, Design], fits: list
                     sums[asked[k][0]] = sums[asked[k][0]] + packed if asked[k][0] in sums else packed
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["fit", "sums"])
 
-        for r in _added(rows.mapInArrow(run, schema), schema):
+        for r in _added(blocks.mapInArrow(run, schema), schema):
             f, sums = fits[r["fit"]], np.frombuffer(r["sums"])
             _step(f, r["fit"], tried, sums, tol)
     raise RuntimeError(f"{sum(not f.done for f in fits)} regressions have not converged in {max_steps} steps")
@@ -331,6 +363,8 @@ def _step(f: Regression, i: int, tried: dict[int, np.ndarray], sums: np.ndarray,
     move = _descent(gradient, curve, now, f.l1) if f.l1 else -np.linalg.lstsq(curve, gradient, rcond=1e-12)[0]
     f.done = float(np.abs(move).max(initial=0.0)) < tol
     tried[i] = now + move
+    if f.done:
+        f.w = tried[i]                                      # without it the rest of each sum would grow with the rows
 
 
 def _descent(gradient: np.ndarray, curve: np.ndarray, w: np.ndarray, l1: float) -> np.ndarray:
@@ -403,18 +437,29 @@ def cross_validate_regressions(df: DataFrame, numeric: Sequence[str], categorica
 
 
 def plain_design(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Design:
-    """Preparation fitted on all rows of ``df``."""
-    ML.check_categories(df, categorical)
-    prep = ML.fit_prep(df, numeric, categorical)
-    found = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), qcol(c).cast("string").alias("v")) for c in categorical])).alias("x")).select(
-        "x.*").where("v IS NOT NULL").distinct().collect() if categorical else []       # bounded by MAX_CATEGORIES
-    return Design(prep, {c: sorted(r["v"] for r in found if r["c"] == c) for c in categorical})
+    """Preparation fitted on all rows of ``df`` as ``models.fit_prep`` fits it; limits,
+    modes and values of the categories are told from one table of counts."""
+    values: dict[str, list[str]] = {c: [] for c in categorical}
+    modes = {c: "Unknown" for c in categorical}
+    if categorical:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("text")) for c in categorical]))
+        counts = materialize(df.select(cells.alias("x")).select("x.*").groupBy("column", "text").agg(F.count("*").alias("n")))
+        for r in counts.groupBy("column").count().where(F.col("count") > ML.MAX_CATEGORIES).collect():      # one row a column
+            raise ValueError(f"{r['column']} has more than {ML.MAX_CATEGORIES} categories")
+        modes |= {c: mode for (c, _), mode in _modes(counts, ["n"]).items()}
+        for r in counts.where("text IS NOT NULL").select("column", "text").collect():       # bounded by MAX_CATEGORIES
+            values[r["column"]].append(r["text"])
+    prep = ML.fit_prep(df, numeric, [])
+    prep.categorical, prep.modes = list(categorical), modes
+    return Design(prep, {c: sorted(texts) for c, texts in values.items()})
 
 
 @dataclass
 class Prepared:
-    """What regressions of one label on ``rows`` (``_rows_for``, stored) read."""
+    """What regressions of one label read: ``blocks`` of ``rows`` (``_rows_for``),
+    stored; ``rows`` are worked out when they are read."""
     rows: DataFrame
+    blocks: DataFrame
     design: Design
     classes: dict[int, int]
 
@@ -423,33 +468,37 @@ def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], l
     """The features of ``df``, its preparation and rows of each class, for any number of fits."""
     df = materialize(df.select(*[qcol(c) for c in dict.fromkeys([*numeric, *categorical, label])]))
     design = plain_design(df, numeric, categorical)
-    rows = materialize(_rows_for(df, design, label, None))
-    return Prepared(rows, design, {int(r[0]): r[1] for r in rows.groupBy(F.col("y").cast("int")).count().collect()})
+    blocks = materialize(_rows_for(df, design, label, None, packed=True))
+    classes = df.groupBy(qcol(label).cast("double").cast("int").alias("y")).count().collect()
+    return Prepared(_rows_for(df, design, label, None), blocks, design, {int(r["y"]): r["count"] for r in classes})
 
 
-def score_equations(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, balanced: bool = False,
+def score_equations(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, balanced: bool | Sequence[bool] = False,
                     prepared: Prepared | None = None) -> DataFrame:
-    """(feature, rows, residual): of an unpenalised regression fitted on ``df``
-    the sum of weight * (y - p) * x over each feature's rows with x other than
-    zero, and their number.  The fit is right where all sums are zero.
+    """(balanced, feature, rows, residual): of an unpenalised regression fitted on
+    ``df`` the sum of weight * (y - p) * x over each feature's rows with x other than
+    zero, and their number.  The fit is right where all sums are zero.  The fits of
+    several ``balanced`` go side by side: a scan serves them all.
     ``prepared`` is what ``prepare`` has made of the same rows and columns."""
     ready = prepare(df, numeric, categorical, label) if prepared is None else prepared
     design, n = ready.design, ready.classes
-    weights = tuple(sum(n.values()) / (len(n) * n[k]) if balanced and n.get(k) else 1.0 for k in (0, 1))
-    fit = fit_regressions(df, {None: design}, [Regression(None, weights=weights)], label, rows=ready.rows)[0]
+    ways = [balanced] if isinstance(balanced, bool) else list(balanced)
+    weights = [tuple(sum(n.values()) / (len(n) * n[k]) if way and n.get(k) else 1.0 for k in (0, 1)) for way in ways]
+    fits = fit_regressions(df, {None: design}, [Regression(None, weights=w) for w in weights], label, blocks=ready.blocks)
     names = design.names()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = None
-        for batch in batches:
-            for _, _, _, _, x, y in _per_design(batch, {None: design}, [fit]):
-                left = np.where(y == 1.0, *weights[::-1]) * (y - 1.0 / (1.0 + np.exp(-design.margin(fit.w, *x))))
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in _unpacked(batches):
+            for i, fit, _, _, x, y in _per_design(batch, {None: design}, fits):
+                left = np.where(y == 1.0, *fit.weights[::-1]) * (y - 1.0 / (1.0 + np.exp(-design.margin(fit.w, *x))))
                 own = design.total(None, *x), design.total(left, *x)
-                sums = own if sums is None else tuple(a + b for a, b in zip(sums, own))
-        if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums[0], pa.int64()), pa.array(sums[1])], names=["feature", "rows", "residual"])
+                sums[i] = tuple(a + b for a, b in zip(sums[i], own)) if i in sums else own
+        for i, (rows, residual) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([ways[i]] * len(names)), pa.array(names), pa.array(rows, pa.int64()), pa.array(residual)],
+                                             names=["balanced", "feature", "rows", "residual"])
 
-    return ready.rows.mapInArrow(run, "feature string, rows bigint, residual double").groupBy("feature").agg(
+    return ready.blocks.mapInArrow(run, "balanced boolean, feature string, rows bigint, residual double").groupBy("balanced", "feature").agg(
         F.sum("rows").alias("rows"), F.sum("residual").alias("residual"))
 
 

@@ -873,14 +873,10 @@ def q_fold_statistics(spark, sf_dir):
 def q_score_equations(spark, sf_dir):
     """ML1: the score equations of an unpenalised regression, plain and with
     balanced weights, fitted on the train part: all are zero."""
-    train = _model_table(spark, sf_dir).where(F.col("part") == "train")
-    prepared = SE.prepare(train, _NUM, _CAT, "target")      # the same for both fits
-    out = None
-    for balanced in (False, True):
-        rows = SE.score_equations(train, _NUM, _CAT, "target", balanced, prepared).select(
-            F.lit(balanced).alias("balanced"), "feature", "rows", (F.round("residual", 4) + F.lit(0.0)).alias("residual"))
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    canon, _, _ = _canonical(spark, sf_dir)
+    train = SP.split_train_test(canon, ["order_id", "line_no"]).where(F.col("part") == "train")
+    equations = SE.score_equations(train, _NUM, _CAT, "target", (False, True))     # stores what it reads of the train part
+    return equations.select("balanced", "feature", "rows", (F.round("residual", 4) + F.lit(0.0)).alias("residual"))
 
 
 @query("saturated_cross_validation")

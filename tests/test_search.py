@@ -131,3 +131,46 @@ def test_steps_read_numbers_and_their_sums_equal_dense_products(table):
     assert np.allclose(prepared.design.total(v, numbers, slots), v @ x)
     assert np.array_equal(prepared.design.total(None, numbers, slots), (x != 0).sum(0))
     assert np.allclose(prepared.design.curvature(v, numbers, slots), x.T @ (x * v[:, None]))
+
+
+def test_steps_read_blocks_that_hold_the_rows(table, monkeypatch):
+    prepared = SE.prepare(table.repartition(3), NUM, CAT, "y")
+    assert {t for _, t in prepared.blocks.dtypes} == {"binary"} and prepared.blocks.count() < 700 / 20
+    monkeypatch.setattr(SE, "TAKEN", 2)     # several turns, the last not full
+    batches = list(SE._unpacked(prepared.blocks.toArrow().combine_chunks().to_batches()))
+    assert len(batches) > 2 and max(b.num_rows for b in batches) == 2 * SE.BLOCK
+    got = [tuple(None if v != v else v for v in r.values()) for b in batches for r in b.to_pylist()]
+    assert sorted(got, key=repr) == sorted(map(tuple, prepared.rows.collect()), key=repr)
+
+
+def test_plain_design_equals_a_fit_of_the_preparation(table):
+    """Ties go to the smallest text; a category without values has the mode 'Unknown'."""
+    df = table.withColumn("d", F.when(F.col("id") < 600, F.concat(F.lit("v"), F.col("id") % 3))).withColumn("none", F.lit(None).cast("string"))
+    design = SE.plain_design(df, NUM, ["c", "d", "none"])
+    assert design.prep == ML.fit_prep(df, NUM, ["c", "d", "none"]) and design.prep.modes["d"] == "v0"
+    assert design.values == {"c": ["a", "b", "c", "d"], "d": ["v0", "v1", "v2"], "none": []}
+
+
+def test_fits_of_both_weightings_share_their_scans(table, monkeypatch):
+    scans, added = [], SE._added
+    monkeypatch.setattr(SE, "_added", lambda *a: scans.append(1) or added(*a))
+    alone, needed = {}, []
+    for balanced in (False, True):
+        before = len(scans)
+        alone |= {(balanced, r["feature"]): (r["rows"], r["residual"]) for r in SE.score_equations(table, NUM, CAT, "y", balanced).collect()}
+        needed.append(len(scans) - before)
+    before = len(scans)
+    both = {(r["balanced"], r["feature"]): (r["rows"], r["residual"]) for r in SE.score_equations(table, NUM, CAT, "y", (False, True)).collect()}
+    assert len(scans) - before == max(needed)
+    assert both.keys() == alone.keys() and len(both) == 16
+    assert all(both[k][0] == alone[k][0] and both[k][1] == pytest.approx(alone[k][1], abs=1e-6) for k in both)
+
+
+def test_the_last_move_is_taken():
+    """Of a quadratic from a point near its minimum: a sum over many rows would show what is left."""
+    curve, best = np.array([[2.0, 0.5], [0.5, 1.0]]), np.array([0.3, -0.2])
+    near = best + 4e-10
+    fit, tried = SE.Regression(None, w=np.zeros(2)), {0: near}
+    off = near - best
+    SE._step(fit, 0, tried, np.concatenate(([1.0, 0.5 * off @ curve @ off], curve @ off, curve.ravel())), 1e-9)
+    assert fit.done and np.abs(fit.w - best).max() < 1e-15
