@@ -167,3 +167,61 @@ def test_evaluation_scores_rows_once(spark, monkeypatch):
     assert "UDF" not in plan and "LocalTableScan" not in plan
     row = report.first()
     assert (row["tn"], row["fp"], row["fn"], row["tp"]) == (4, 1, 0, 3) and abs(row["probability_max"] - 0.75) < 1e-4
+
+
+def test_model_selection_fits_and_tunes_on_the_whole_train_part(spark, monkeypatch):
+    from returnlens.plans import catalog
+    from returnlens.session import materialize
+    made = [(i // 3, i % 3, float(i % 90), i % 7, 20 + i % 40, i % 11, i % 13, i % 5 / 2, "abc"[i % 3], "xy"[i % 2], None if i % 50 == 0 else "p",
+             "s", int(i * 7 % 10 < 4)) for i in range(1_500)]
+    data = materialize(SP.split_train_test(spark.createDataFrame(
+        made, "order_id long, line_no int, product_price double, order_quantity int, customer_age int, discount int, delivery_time int, "
+              "product_rating double, product_category string, customer_location string, payment_method string, shipping_method string, target int"),
+        ["order_id", "line_no"]))
+    monkeypatch.setattr(catalog, "_model_table", lambda spark, sf_dir: data)
+    monkeypatch.setattr(catalog, "FIT_ROWS", 100)
+    monkeypatch.setattr(ML, "PRODUCTION", {"rf": {"numTrees": 2, "maxDepth": 2}, "gbt": {"maxIter": 2, "maxDepth": 2}, "lr": {"maxIter": 5, "C": 1.0}})
+    seen, learned, fit, learn = [], [], ML.fit, ML.Pipeline.fit
+    monkeypatch.setattr(ML, "fit", lambda df, *a, **k: (seen.append((k["kind"], df.count(), k["tune_on"].count())), fit(df, *a, **k))[1])
+    monkeypatch.setattr(ML.Pipeline, "fit", lambda self, rows: (learned.append(rows.count()), learn(self, rows))[1])
+    got = {r["split"]: r for r in catalog.q_model_selection(spark, "").collect()}
+    folds = SP.assign_folds(data.where("part = 'train'"), ["order_id", "line_no"], 5)
+    fitted_on, tuned_on = folds.where("fold > 0").count(), folds.where("fold = 0").count()
+    assert fitted_on + tuned_on > 1_000 and seen == [(kind, fitted_on, tuned_on) for kind in ("rf", "gbt", "lr")]
+    assert learned == [fitted_on] * 3
+    assert list(got) == ["rf", "gbt", "lr"] and sum(r["chosen"] for r in got.values()) == 1
+    assert {r["tn"] + r["fp"] + r["fn"] + r["tp"] for r in got.values()} == {data.where("part = 'test'").count()}
+
+
+def test_trees_cut_at_values_that_a_sample_of_rows_misses(spark):
+    rare = F.col("id") % 20_000 == 7
+    df = spark.range(60_000).select(rare.cast("int").alias("y"), F.when(rare, 9.0).otherwise((F.col("id") % 4).cast("double")).alias("x"),
+                                    F.when(rare, "rare").otherwise("often").alias("c"))
+    for numeric, categorical in ((["x"], []), ([], ["c"])):
+        for seed in (1, 2, 3):      # Spark ML's 10,000 rows hold none of the three with a chance of 0.58
+            model = ML.fit(df, numeric, categorical, "y", "rf", whole_cuts=True, numTrees=1, bootstrap=False, maxDepth=1, seed=seed)
+            got = {(r["y"], r["p"]): r["count"] for r in model.score(df).groupBy("y", "p").count().collect()}
+            assert got == {(0, 0.0): 59_997, (1, 1.0): 3}
+
+
+def test_cut_values_come_from_all_rows(spark):
+    n, inf = 4_000, float("inf")
+    df = spark.createDataFrame([(float(i % 5), 0.0 if i < 3_900 else float(i), float(i), 1.0, None,
+                                 float("nan") if i == 1 else inf if i == 2 else -inf if i == 3 else float(i % 2)) for i in range(n)],
+                               "few double, heavy double, many double, one double, none double, odd double")
+    got = ML.cut_values(df, df.columns, 8)
+    assert got["few"] == [1.0, 2.0, 3.0, 4.0] and got["one"] == [1.0] and got["none"] == [0.0] and got["odd"] == [1.0]
+    assert got["heavy"][0] == 0.0 and 0.0 < got["heavy"][1] < 1e-300       # what lies above the heavy value has a bin of its own
+    assert len(got["many"]) == 7 and all(abs(v - n * k / 8) <= 4 for k, v in enumerate(got["many"], 1))
+    assert ML.cut_values(df, []) == {}
+
+
+def test_model_with_whole_cuts_is_saved_and_loaded(spark):
+    df = spark.createDataFrame([(float(i % 50), "ab"[i % 2], int(i % 50 > 20)) for i in range(400)], "x double, c string, y int")
+    model = ML.fit(df, ["x"], ["c"], "y", "gbt", whole_cuts=True, maxIter=3, maxDepth=3)
+    path = os.path.join(tempfile.mkdtemp(), "m")
+    ML.save(model, path)
+    odd = df.unionByName(spark.createDataFrame([(float("nan"), "z", 0), (None, None, 0), (-1e9, "a", 0), (1e9, "b", 0)], df.schema))
+    again = ML.load(path).score(model.score(odd), "again").collect()
+    assert all(r["p"] == r["again"] for r in again) and EV.roc_auc(model.score(df), "p", "y").first()["auc"] > 0.99
+    assert ML.feature_importance(model, 1).first()["feature"] == "x"
